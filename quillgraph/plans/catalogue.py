@@ -1,0 +1,6 @@
+"""Registered queries over the given tables, each with its equivalent SQL where SQL can express it."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
