@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import packing, token_counts
 
-MODULES = (token_counts,)
+MODULES = (packing, token_counts)
 
 
 def queries() -> dict:
