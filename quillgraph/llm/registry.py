@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts, url_filter
+from . import packing, token_counts, topk, url_filter
 
-MODULES = (packing, token_counts, url_filter)
+MODULES = (packing, token_counts, topk, url_filter)
 
 
 def queries() -> dict:
