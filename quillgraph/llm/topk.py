@@ -53,6 +53,12 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([min(most, max(least, sum(int(a) * int(b) for a, b in zip(u, v, strict=True)))) for u, v in zip(q.tolist(), x.tolist(), strict=True)], np.int64)
 
 
+def products(q: np.ndarray, at: np.ndarray, x: np.ndarray, to: np.ndarray, by=exact, slice_: int = 1 << 16) -> np.ndarray:
+    """``by`` of the chosen rows, a slice at a time."""
+    parts = [by(q[at[i : i + slice_]], x[to[i : i + slice_]]) for i in range(0, len(at), slice_)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def search(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, copies: np.ndarray, k: int, chunk: int = 128):
     """Per query, the k best rows but for one copy of itself: places in q and x, scores, how many copies count.
 
@@ -68,18 +74,20 @@ def search(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, cop
         n = min(len(x), 4 * k + 1)
         seeds = np.argpartition(-bound, n - 1, axis=1)[:, :n] if n < len(x) else np.tile(np.arange(len(x)), (b - a, 1))
         rows = np.repeat(np.arange(b - a), n)
-        scores = exact(q[a + rows], x[seeds.ravel()]).reshape(b - a, n)
+        scores = products(q, a + rows, x, seeds.ravel()).reshape(b - a, n)
         same = (x_id[seeds] == q_id[a:b, None]) & (x[seeds] == q[a:b, None, :]).all(2)
         mine = np.where(same & (copies[seeds] == 1), np.iinfo(np.int64).min, scores)
         least = np.sort(mine, axis=1)[:, -k] if n >= k else np.full(b - a, np.iinfo(np.int64).min)
         at, to = np.nonzero(bound + slack >= least[:, None])
         for fine in range(1, len(LEVELS)):
-            keep = np.einsum("ij,ij->i", q_stats[fine][a + at], x_stats[fine][to]) + slack[at, 0] >= least[at]
+            keep = products(q_stats[fine], a + at, x_stats[fine], to, lambda u, v: np.einsum("ij,ij->i", u, v)) + slack[at, 0] >= least[at]
             at, to = at[keep], to[keep]
         pairs += len(at)
-        scores = exact(q[a + at], x[to])
-        left = copies[to] - ((x_id[to] == q_id[a + at]) & (x[to] == q[a + at]).all(1))
-        keep = (left > 0) & (scores >= least[at])
+        scores = products(q, a + at, x, to)
+        keep = scores >= least[at]
+        at, to, scores = at[keep], to[keep], scores[keep]
+        left = copies[to] - ((x_id[to] == q_id[a + at]) & products(q, a + at, x, to, lambda u, v: (u == v).all(1)).astype(bool))
+        keep = left > 0
         at, to, scores, left = at[keep], to[keep], scores[keep], left[keep]
         order = np.lexsort((to, -scores, at))
         at, to, scores, left = at[order], to[order], scores[order], left[order]
@@ -103,8 +111,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, row_block: int = 16_3
     counts = x.agg(F.count("*").alias("n"), F.count_if("_query").alias("q")).first()
     row_blocks, query_blocks = max(1, -(-counts["n"] // row_block)), max(1, -(-counts["q"] // query_block))
     place = F.xxhash64("vec_id", "x")
-    asked = x.where("_query").select("vec_id", "x", "copies", "size", F.lit(True).alias("asks"), F.pmod(place, F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).cast("long").alias("rb"))
-    held = x.select("vec_id", "x", "copies", "size", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long").alias("qb"), F.pmod(place, F.lit(row_blocks)).alias("rb"))
+    asked = x.where("_query").select("vec_id", "x", "copies", "size", F.lit(True).alias("asks"), F.pmod(place, F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("rb"))
+    held = x.select("vec_id", "x", "copies", "size", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"), F.pmod(place, F.lit(row_blocks)).alias("rb"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", na_position="last", kind="stable")
@@ -114,7 +122,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, row_block: int = 16_3
             return pd.DataFrame({c: [] for c in columns})
         qx, xx = np.stack(q["x"].to_list()).astype(float).reshape(len(q), -1), np.stack(rows["x"].to_list()).astype(float).reshape(len(rows), -1)
         # null ids are no queries; as candidates they equal no query's id
-        ids = [f["vec_id"].astype("Int64").fillna(0).to_numpy(np.int64) for f in (q, rows)]
+        ids = [f["vec_id"].astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64) for f in (q, rows)]
         absent = rows["vec_id"].isna().to_numpy()
         copies = rows["copies"].to_numpy(np.int64)
         (at, to, scores, left), _ = search(qx, ids[0], xx, ids[1], copies, k)
