@@ -1,7 +1,7 @@
 """Quality rules whose cutoffs control the risk of rejecting good documents.
 
 Each rule gives a document a whole number, higher for worse. Labelled documents are the holdout. Within a stratum
-(a language), a rule's cutoff moves from "rejects nothing" to stricter values for as long as an exact binomial test
+(a language), among those that pass the base rule, a rule's cutoff moves from "rejects nothing" to stricter values for as long as an exact binomial test
 shows that at most a share ``risk / rules`` of good documents is rejected: P(Binomial(n, risk / rules) <= k) is at most
 alpha / (strata * rules), for k of n good labelled documents rejected. Testing nested cutoffs in a fixed order and
 stopping at the first failure needs no correction for their number; the division corrects for strata and rules (Bonferroni).
@@ -32,7 +32,6 @@ RULES = {
     "repeats": "100 * n_repeat_words div n_words",
     "long_words": "least(400, 10 * word_chars div n_words)",
     "short_words": "400 - least(400, 10 * word_chars div n_words)",
-    "few_words": "400 - least(400, n_words div 5)",
 }
 
 
@@ -106,11 +105,17 @@ def cutoff(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float, alp
     return best
 
 
+def base_failed(prefix: str = "", min_words: int = 20, max_repeat: int = 30):
+    """Too few words, or too many of them in repeated windows."""
+    n, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (n < min_words) | (100 * repeated > max_repeat * n)
+
+
 def risk_controlled_cutoffs(counted: DataFrame, labels: DataFrame, stratum: str, risk: float, alpha: float, lift: float) -> DataFrame:
-    """``_stratum`` and a column for each rule: the cutoff, or null. At most a few hundred bins of a rule come together."""
+    """``_stratum`` and a column for each rule: the cutoff, or null, from labelled documents that pass the base rule. At most a few hundred bins of a rule come together."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     rules = ", ".join(f"'{name}', cast({rule} as int)" for name, rule in RULES.items())
-    plain = counted.where("_q_n_words > 0").select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("_stratum"), *(F.col(f"_q_{c}").alias(c) for c in COUNTS))
+    plain = counted.where(~base_failed("_q_")).select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("_stratum"), *(F.col(f"_q_{c}").alias(c) for c in COUNTS))
     held = plain.join(labels, "doc_id").selectExpr("_stratum", "_quality", f"stack({len(RULES)}, {rules}) as (rule, bin)")
     bins = held.groupBy("_stratum", "rule", "bin").agg(F.count_if(F.col("_quality") == 1).alias("good"), F.count_if(F.col("_quality") == 0).alias("bad"))
     tests = bins.select(F.count_distinct("_stratum").alias("n")).first()["n"] * len(RULES)
@@ -124,7 +129,7 @@ def risk_controlled_cutoffs(counted: DataFrame, labels: DataFrame, stratum: str,
     return bins.groupBy("_stratum").applyInPandas(choose, "_stratum string, " + ", ".join(f"{r} int" for r in RULES))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, carry: list[str], stratum: str = "lang", risk: float = 0.02, alpha: float = 0.05, lift: float = 5.0, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, carry: list[str], stratum: str = "lang", risk: float = 0.02, alpha: float = 0.05, lift: float = 5.0) -> DataFrame:
     """The columns ``carry`` of each row of ``docs``, the base counts, ``base_failed``, ``failed_rules`` and ``kept``.
 
     ``carry`` must name doc_id and the stratum. A null text has no words and fails the base rule; a null stratum is the
@@ -137,9 +142,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, carry: list[str], stratum:
     cutoffs = cutoffs.select(F.col("_stratum").alias("_q_stratum"), *(F.col(r).alias(f"_c_{r}") for r in RULES))
     joined = counted.withColumn("_q_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(small(cutoffs, 10_000), "_q_stratum", "left")
     plain = joined.withColumns({c: F.col(f"_q_{c}") for c in COUNTS if c not in carry})
-    failed = F.array_compact(F.array(*(F.when((F.col("n_words") > 0) & (F.expr(rule) >= F.col(f"_c_{name}")), name) for name, rule in RULES.items())))
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    out = plain.select(*carry, *COUNTS[:-1], base.alias("base_failed"), failed.alias("failed_rules"))
+    failed = F.array_compact(F.array(*(F.when(~base_failed() & (F.expr(rule) >= F.col(f"_c_{name}")), name) for name, rule in RULES.items())))
+    out = plain.select(*carry, *COUNTS[:-1], base_failed().alias("base_failed"), failed.alias("failed_rules"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
