@@ -158,31 +158,40 @@ class _Encoder(dict):
             self.by_rank = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _Run
         if len(self) >= self.most:
             self.clear()
-        # Letter and number classes of these characters don't differ between the two libraries' Unicode versions.
-        if self.by_rank and max(chunk) < "\u0500":
-            ids = np.array(self.by_rank.encode_ordinary(" " + chunk), "<u4").tobytes()
+        if chunk[-1] in ",." and chunk[:-1].isalpha():
+            ids = self[chunk[:-1]] + self.encode(chunk[-1])  # letters and marks never share a token
         else:
             ids = self.encode(" " + chunk)
         self[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
+        # Letter and number classes of these characters don't differ between the two libraries' Unicode versions.
+        if self.by_rank and max(text, default="") < "\u0500":
+            return np.array(self.by_rank.encode_ordinary(text), "<u4").tobytes()
+        return self.whole(text)
+
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of_text(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.whole(text)
         chunks = text.split(" ")
-        # a blank next to other white space belongs to a run; then, and with special strings, the text is taken as a whole
-        if any(s in text for s in self.special) or not all(chunks) or _edge_space(text):
+        try:
+            if chunks[0][-1:].isspace():
+                raise _Run
+            return self.encode(chunks[0]) + b"".join(map(self.__getitem__, chunks[1:]))
+        except _Run:
             return self.encode(text)
-        return self.encode(chunks[0]) + b"".join(map(self.__getitem__, chunks[1:]))
-
 
-def _edge_space(text: str) -> bool:
-    import re
 
-    return bool(re.search(r"[^\S ] | [^\S ]", text))
+class _Run(Exception):
+    """A blank stands next to other white space: they belong to one run, and the text is taken as a whole."""
 
 
 _encoders: dict[str, _Encoder] = {}
