@@ -66,6 +66,7 @@ def search(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, cop
     the table. Also returns the share of pairs that got an exact score.
     """
     out, pairs = [], 0
+    small_ = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1]) < _EXACT  # sums are exact in doubles
     q_stats, x_stats = zip(*((statistics(q, s), statistics(x, s)) for s in LEVELS), strict=True)
     for a in range(0, len(q), chunk):
         b = min(a + chunk, len(q))
@@ -78,14 +79,23 @@ def search(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, cop
         same = (x_id[seeds] == q_id[a:b, None]) & (x[seeds] == q[a:b, None, :]).all(2)
         mine = np.where(same & (copies[seeds] == 1), np.iinfo(np.int64).min, scores)
         least = np.sort(mine, axis=1)[:, -k] if n >= k else np.full(b - a, np.iinfo(np.int64).min)
-        at, to = np.nonzero(bound + slack >= least[:, None])
+        open_ = bound + slack >= least[:, None]
         for fine in range(1, len(LEVELS)):
-            keep = products(q_stats[fine], a + at, x_stats[fine], to, lambda u, v: np.einsum("ij,ij->i", u, v)) + slack[at, 0] >= least[at]
-            at, to = at[keep], to[keep]
-        pairs += len(at)
-        scores = products(q, a + at, x, to)
-        keep = scores >= least[at]
-        at, to, scores = at[keep], to[keep], scores[keep]
+            if 20 * np.count_nonzero(open_) > open_.size:  # many are left: all of them at once
+                open_ &= q_stats[fine][a:b] @ x_stats[fine].T + slack >= least[:, None]
+            else:
+                at, to = np.nonzero(open_)
+                open_[at, to] = products(q_stats[fine], a + at, x_stats[fine], to, lambda u, v: np.einsum("ij,ij->i", u, v)) + slack[at, 0] >= least[at]
+        pairs += np.count_nonzero(open_)
+        if small_ and 20 * np.count_nonzero(open_) > open_.size:
+            dense = q[a:b] @ x.T
+            at, to = np.nonzero(open_ & (dense >= least[:, None]))
+            scores = dense[at, to].astype(np.int64)
+        else:
+            at, to = np.nonzero(open_)
+            scores = products(q, a + at, x, to)
+            keep = scores >= least[at]
+            at, to, scores = at[keep], to[keep], scores[keep]
         left = copies[to] - ((x_id[to] == q_id[a + at]) & products(q, a + at, x, to, lambda u, v: (u == v).all(1)).astype(bool))
         keep = left > 0
         at, to, scores, left = at[keep], to[keep], scores[keep], left[keep]
