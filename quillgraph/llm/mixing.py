@@ -26,10 +26,10 @@ UNIT = 1 << 20  # rates are whole multiples of 1 / UNIT
 _X_MAX = 1e6
 
 
-def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id``, ``_key`` and ``size``, the number of words (null: 0). The key of a source orders by code point, null last."""
+def sizes(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``doc_id``, the columns ``carry``, ``_key`` and ``size``, the number of words (null: 0). The key of a source orders by code point, null last."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t"))
-    return docs.select("doc_id", key.alias("_key"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", *(carry or []), key.alias("_key"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def source_targets(hist: DataFrame, weights=(5, 2, 1), most: int = MOST) -> DataFrame:
@@ -99,16 +99,22 @@ def multipliers(hist: DataFrame, targets: DataFrame, most: int = MOST, steps: in
 
 
 def copies(rows: DataFrame, weights=(5, 2, 1), most: int = MOST, seed: int = 1) -> DataFrame:
-    """``rows`` (stashed, with ``doc_id``, ``_key``, ``size``) with ``source_size``, ``target`` and ``copies``."""
+    """``rows`` (stashed, with ``doc_id``, ``_key``, ``size``) and ``source_size``, ``target`` and ``copies``."""
     hist = stash(rows.groupBy("_key", "size").agg(F.count("*").alias("n")))
     targets = multipliers(hist, stash(source_targets(hist, weights, most)), most)
-    r = rate(F.col("size"), F.col("mean"), F.col("multiplier"), most)
-    rated = rows.join(small(targets, 10_000), "_key").select(*rows.columns, "source_size", "target", F.when(F.col("size") > 0, r).otherwise(0).alias("_rate"))
-    rated = rated.withColumn("_whole", F.floor(F.col("_rate") / UNIT)).withColumn("_fraction", F.col("_rate") - F.col("_whole") * UNIT)
-    # hash minus fraction: how early the row gets its extra copy; null for rows that can't have one
-    rated = rated.withColumn("_order", F.when(F.col("_fraction") > 0, F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(UNIT)) - F.col("_fraction")))
+    rated = rows.join(small(targets.select("_key", "source_size", "target", "mean", "multiplier"), 10_000), "_key")
+    rated = rated.withColumns(_rated(most, seed))
+    cut = cuts(rated.select("_key", "size", "_whole", "_order"), targets)
     extra = F.when((F.col("_order") < F.col("_cut")) | ((F.col("_order") == F.col("_pick_order")) & (F.col("size") == F.col("_pick_size"))), 1).otherwise(0)
-    return rated.join(small(cuts(rated, targets), 10_000), "_key").select(*rows.columns, "source_size", "target", (F.col("_whole") + extra).cast("long").alias("copies"))
+    return rated.join(small(cut, 10_000), "_key").select(*rows.columns, "source_size", "target", (F.col("_whole") + extra).cast("long").alias("copies"))
+
+
+def _rated(most: int, seed: int) -> dict[str, Column]:
+    """``_whole``, the sure copies, and ``_order``, hash minus fraction: how early the row gets one more; null if it can't."""
+    r = F.when(F.col("size") > 0, rate(F.col("size"), F.col("mean"), F.col("multiplier"), most)).otherwise(0)
+    whole = F.floor(r / UNIT)
+    fraction = r - whole * UNIT
+    return {"_whole": whole, "_order": F.when(fraction > 0, F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(UNIT)) - fraction)}
 
 
 def cuts(rated: DataFrame, targets: DataFrame, bits: int = 10) -> DataFrame:
@@ -147,6 +153,15 @@ def mix(docs: DataFrame, weights=(5, 2, 1), most: int = MOST, seed: int = 1, tex
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    own = docs.columns
+    packed = docs.select(F.struct(*own).alias("_row"), "doc_id", "source", F.col(text).alias("text"))
+    rows = stash(sizes(packed, "text", ["_row"]))
+    taken = copies(rows, **settings).where("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
+
+
 def op5_source_mix(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

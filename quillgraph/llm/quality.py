@@ -12,6 +12,7 @@ strata at once, with confidence 1 - ``alpha``. A cutoff is only used if it rejec
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -129,8 +130,8 @@ def risk_controlled_cutoffs(counted: DataFrame, labels: DataFrame, stratum: str,
     return bins.groupBy("_stratum").applyInPandas(choose, "_stratum string, " + ", ".join(f"{r} int" for r in RULES))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, carry: list[str], stratum: str = "lang", risk: float = 0.02, alpha: float = 0.05, lift: float = 5.0) -> DataFrame:
-    """The columns ``carry`` of each row of ``docs``, the base counts, ``base_failed``, ``failed_rules`` and ``kept``.
+def judged(docs: DataFrame, labels: DataFrame, carry: list[str], stratum: str = "lang", risk: float = 0.02, alpha: float = 0.05, lift: float = 5.0) -> DataFrame:
+    """The columns ``carry`` of each row of ``docs`` and, prefixed with ``_q_``: ``COUNTS``, ``base_failed``, ``failed_rules``, ``kept``.
 
     ``carry`` must name doc_id and the stratum. A null text has no words and fails the base rule; a null stratum is the
     stratum of the empty string; a stratum without enough labels gets no cutoffs, so only the base rule rejects there.
@@ -139,17 +140,24 @@ def quality_rules(docs: DataFrame, labels: DataFrame, carry: list[str], stratum:
     """
     counted = stash(with_counts(docs, carry))
     cutoffs = stash(risk_controlled_cutoffs(counted, labels, stratum, risk, alpha, lift))
-    cutoffs = cutoffs.select(F.col("_stratum").alias("_q_stratum"), *(F.col(r).alias(f"_c_{r}") for r in RULES))
+    cutoffs = cutoffs.select(F.col("_stratum").alias("_q_stratum"), *(F.col(r).alias(f"_q_cut_{r}") for r in RULES))
     joined = counted.withColumn("_q_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(small(cutoffs, 10_000), "_q_stratum", "left")
-    plain = joined.withColumns({c: F.col(f"_q_{c}") for c in COUNTS if c not in carry})
-    failed = F.array_compact(F.array(*(F.when(~base_failed() & (F.expr(rule) >= F.col(f"_c_{name}")), name) for name, rule in RULES.items())))
-    out = plain.select(*carry, *COUNTS[:-1], base_failed().alias("base_failed"), failed.alias("failed_rules"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    base = base_failed("_q_")
+    values = {name: F.expr(re.sub(r"\b(n_|word_)", r"_q_\1", rule)) for name, rule in RULES.items()}
+    failed = F.array_compact(F.array(*(F.when(~base & (value >= F.col(f"_q_cut_{name}")), name) for name, value in values.items())))
+    out = joined.withColumns({"_q_base_failed": base, "_q_failed_rules": failed})
+    out = out.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.size("_q_failed_rules") == 0))
+    return out.select(*carry, *(f"_q_{c}" for c in (*COUNTS, "base_failed", "failed_rules", "kept")))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, as they are."""
+    return judged(docs, labels, docs.columns, **settings).where("_q_kept").select(*docs.columns)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id", "lang"])
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rows = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id", "lang"])
+    return rows.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in (*COUNTS[:-1], "base_failed", "kept")))
 
 
 QUERIES = {"op7_quality_rules": op7_quality_rules}
