@@ -49,12 +49,18 @@ def english_tokens(c: Column) -> Column:
 
 
 def char_ngrams(c: Column, n: int = 4) -> Column:
-    """Set of character n-grams; a text of at most n characters is its own only gram; none of an empty text."""
-    starts = F.sequence(F.lit(1), F.length(c) - n + 1)
+    """Set of character n-grams; a text of at most n characters is its own only gram; none of an empty text.
+
+    The characters become an array, bound once, so that a gram costs the same wherever it stands.
+    """
+    grams = F.transform(
+        F.array(F.split(c, "")),
+        lambda chars: F.transform(F.sequence(F.lit(0), F.length(c) - n), lambda i: F.concat(*(F.get(chars, i + k) for k in range(n)))),
+    )
     return (
         F.when(F.coalesce(F.length(c), F.lit(0)) == 0, F.array().cast("array<string>"))
         .when(F.length(c) <= n, F.array(c))
-        .otherwise(F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))))
+        .otherwise(F.array_distinct(F.get(grams, 0)))
     )
 
 
@@ -196,8 +202,8 @@ def dedup_key(question: Column, answer: Column, explicit: Column | None = None)
     return hashed if explicit is None else F.coalesce(blank_to_null(explicit), hashed)
 
 
-#: Fixed value: a capitalised phrase, with small words inside.
-PHRASE = r"\b([A-Z][\w'.-]*(?:\s+(?:of|the|and|de|[A-Z][\w'.-]*)){0,5})\b"
+#: Fixed value: a capitalised phrase, with small words inside. Word characters are ASCII, so that engines agree.
+PHRASE = r"(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9_'.-]*(?:\s+(?:of|the|and|de|[A-Z][A-Za-z0-9_'.-]*)){0,5})"
 
 
 def capitalised_phrases(title: Column, text: Column, most: int = 32) -> Column:

@@ -347,7 +347,7 @@ def llm_json_repair(spark, sf):
 
 # Entities and graphs
 
-_ENT = r"""WITH m AS (SELECT doc_id, source, regexp_extract_all(text, '\b([A-Z][\w''.-]*(?:\s+(?:of|the|and|de|[A-Z][\w''.-]*)){0,5})\b', 1) AS f FROM documents),
+_ENT = r"""WITH m AS (SELECT doc_id, source, regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9_''.-]*(?:\s+(?:of|the|and|de|[A-Z][A-Za-z0-9_''.-]*)){0,5})', 1) AS f FROM documents),
 l AS (SELECT doc_id, source, [regexp_replace(regexp_replace(x, '^[ ,.;:()]+', ''), '[ ,.;:()]+$', '') FOR x IN f IF length(trim(x)) >= 3] AS names FROM m),
 n AS (SELECT doc_id, source, names, unnest(names) AS name, generate_subscripts(names, 1) AS i FROM l),
 o AS (SELECT doc_id, source, name, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS pos FROM n GROUP BY doc_id, source, name),
