@@ -24,7 +24,7 @@ from .common import table
 
 TURNS = {"user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "</s>"), "system": ("[SYS]", "[/SYS]")}
 OTHER_END = "[/ROLE]"
-_BODY = r"/?INST\]|ANS\]|/?SYS\]|/ROLE\]|ROLE=[^\[\]\s]*\]|/s>"
+_BODY = r"/?INST\]|ANS\]|/?SYS\]|/ROLE\]|ROLE=[^\[\]<\\\s]*\]|/s>"
 CONTROL = re.compile(rf"[\[<](?:{_BODY})")
 _ESCAPABLE = re.compile(rf"([\[<])(\\*)({_BODY})")
 _ESCAPED = re.compile(rf"([\[<])\\(\\*)({_BODY})")
@@ -173,7 +173,7 @@ def op2_chat_format(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_chat_format": op2_chat_format}
-_TEXT = r"([\[<])(\\*)(/?INST\]|ANS\]|/?SYS\]|/ROLE\]|ROLE=[^\[\]\s]*\]|/s>)"
+_TEXT = r"([\[<])(\\*)(/?INST\]|ANS\]|/?SYS\]|/ROLE\]|ROLE=[^\[\]<\\\s]*\]|/s>)"
 ORACLES = {
     "op2_chat_format": rf"""
 WITH t AS (
