@@ -46,7 +46,7 @@ def parse(docs: DataFrame, schema: str = "sct-clause-v1") -> DataFrame:
     own = F.concat_ws(" ", "clause_id", "clause_title")
     markers = markers.withColumn("clause_path", F.array_compact(F.array(*path, own)))
     joined = markers.join(docs.select("source", F.col("text").alias("_text")), "source")
-    raw = F.trim(F.substring("_text", F.col("start") + 1, F.coalesce("end", F.length("_text")) - F.col("start")))
+    raw = F.regexp_replace(F.substring("_text", F.col("start") + 1, F.coalesce("end", F.length("_text")) - F.col("start")), r"^\s+|\s+$", "")
     records = joined.select(
         "source", "clause_id", "clause_title", "clause_path", F.col("start").alias("start_offset"), F.coalesce("end", F.length("_text")).alias("end_offset"), raw.alias("raw_text"),
         text.evidence_id(F.col("source"), F.col("clause_id"), schema).alias("evidence_id"), F.sha2(raw, 256).alias("content_hash"),
