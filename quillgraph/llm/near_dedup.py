@@ -7,12 +7,12 @@ shingles of the document, so two permutations give all coordinates and a shingle
 Banding: ``bands`` bands of ``rows`` coordinates. A pair at the limit of 0.8 shares no band with probability
 (1 - 0.8 ** rows) ** bands, 2e-6 for 7 rows and 56 bands, and pairs below half hardly ever meet.
 
-Texts with the same set of shingles form a class first and only its smallest id goes on. Then in rounds: in each bucket
-of a band every member proposes itself to one member, the round's pivot, of another component; pairs not tried before
-are confirmed with the exact Jaccard coefficient of their sets; links merge components. That is a row for each member of
-a bucket, never all pairs. When a round has merged nothing new, or after ``rounds`` rounds, what is left are buckets with
-members of different components: those pairs across components are tried, all of them, so no link is missed because a
-bucket is large.
+Texts with the same set of shingles form a class first and only its smallest id goes on. In each bucket of a band every
+member is paired with the bucket's smallest id; the pairs are confirmed with the exact Jaccard coefficient of their full
+sets, and links make components. That is a row for each member of a bucket, never all pairs. Where buckets then still
+hold several components, all their members outside the largest one are compared with all others of other components,
+inside tasks and in blocks of a bounded number of members: signatures and sets decide there, and rows come out only for
+links, which are confirmed like the first. So no link is missed because a bucket is large.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import LOWER_AZ, small, stash, table, texts
 
@@ -121,6 +122,71 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int, text: str =
     return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def sketches(docs: DataFrame, shingle: int, rows: int, bands: int, text: str = "text") -> DataFrame:
+    """``doc_id``, ``text_hash``, ``sketch`` (low 16 bits of each coordinate of the signature) and ``held`` (sorted low 32 bits of the
+    shingles' hashes)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        signer = _signers.get((rows, bands)) or _signers.setdefault((rows, bands), Signer(rows, bands))
+        for batch, raws in texts(batches):
+            sets = [shingles(raw, shingle) for raw in raws]
+            made = [signer.signature(values).astype(np.uint16).tobytes() for values in sets]
+            held = [np.unique(values.astype(np.uint32)).tobytes() for values in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary()), pa.array(held, pa.binary())], ["doc_id", "text_hash", "sketch", "held"])
+
+    made = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, text_hash long, sketch binary, held binary")
+    return made.dropDuplicates(["doc_id", "text_hash"])
+
+
+def near_limit(open_: DataFrame, rows: int, bands: int, percent: int, block: int = 2048) -> DataFrame:
+    """Pairs (a, b) of members of one group in different components that are links or all but links.
+
+    ``open_``: grp, rep, lab, sketch, held. Signatures that agree too seldom for the limit, by 3.5 deviations, are passed over; for
+    the others the 32-bit hashes of the sets decide, with a hundredth to spare for hashes that fall together. Only members
+    outside the group's largest component ask. Groups of more than ``block`` members are compared block by block.
+    """
+    coordinates, limit = rows * bands, percent / 100
+    least = (limit - 3.5 * (limit * (1 - limit) / coordinates) ** 0.5) * coordinates
+
+    def compare(pdf):
+        import pandas as pd
+
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(len(pdf), coordinates)
+        held = [np.frombuffer(h, np.uint32) for h in pdf["held"]]
+        sizes = np.array([len(h) for h in held])
+        label, block_ = pdf["lab"].to_numpy(), pdf["blk"].to_numpy()
+        two = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
+        kinds, counts = np.unique(label, return_counts=True)
+        odd = (label != kinds[counts.argmax()]) | two  # two blocks may have different largest components
+        x, y = [], []
+        for r in np.flatnonzero(odd).tolist():
+            # partners: of another component, each pair once, across the blocks if there are two
+            ask = (label != label[r]) & ~(odd & (np.arange(len(label)) < r)) & (np.minimum(sizes, sizes[r]) >= (limit - 0.01) * np.maximum(sizes, sizes[r]))
+            if two:
+                ask &= block_ != block_[r]
+            to = np.flatnonzero(ask)
+            for c in to[(sketch[to] == sketch[r]).sum(1) >= least].tolist():
+                both = len(np.intersect1d(held[r], held[c], assume_unique=True))
+                if both >= (limit - 0.01) * (sizes[r] + sizes[c] - both):
+                    x.append(r)
+                    y.append(c)
+        ids, hashes = pdf["doc_id"].to_numpy(), pdf["text_hash"].to_numpy()
+        return pd.DataFrame({"xi": ids[x], "xh": hashes[x], "yi": ids[y], "yh": hashes[y]}) if x else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("xi", "xh", "yi", "yh")})
+
+    sizes = open_.groupBy("grp").agg(F.count("*").alias("members"))
+    dealt = open_.join(sizes, "grp").withColumn("nb", F.ceil(F.col("members") / block).cast("int"))
+    dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("nb")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select("grp", F.least("blk", "k").alias("lo"), F.greatest("blk", "k").alias("hi"), "blk", "doc_id", "text_hash", "lab", "sketch", "held")
+    found = dealt.groupBy("grp", "lo", "hi").applyInPandas(compare, "xi long, xh long, yi long, yh long")
+    return _ordered(found.select(F.struct(F.col("xi").alias("doc_id"), F.col("xh").alias("text_hash")).alias("x"), F.struct(F.col("yi").alias("doc_id"), F.col("yh").alias("text_hash")).alias("y")))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, text: str = "text") -> DataFrame:
     """The ``pairs`` (a, b) of representatives, structs of doc_id and text_hash, with 100 * intersection >= percent * union of their full sets."""
 
@@ -155,79 +221,83 @@ def components(links: DataFrame) -> DataFrame:
     """``id``, ``label``: the smallest id reachable over ``links`` (a, b), for ids with a link.
 
     Alternating stars: each id points its larger neighbours, then its smaller ones, at the smallest id around it, until
-    nothing changes; a few rounds for any shape, and each written out.
+    every id points at one that points nowhere; a few rounds for any shape, and each written out.
     """
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
+    while not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).union(edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u", F.lit(1).cast("long").alias("n")).limit(1)).isEmpty():
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        around = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stash(around)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "id")
-
+        edges = stash(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 7, bands: int = 56, rounds: int = 2, hot_copies: int = 10_000, text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs``.
 
-    Documents whose sets of ``shingle``-word shingles overlap by ``percent`` or more are linked; ``component_id`` is the
-    smallest doc_id reachable and one document of each component, that one, is kept. Null, empty and blank texts have no
-    shingles and are linked with nothing. A row with a null doc_id takes no part: its component is null and it is kept.
-    Rows of one doc_id with different texts are documents of their own; identical rows stay repeated. An empty table
-    gives an empty result; other columns are ignored. Ids are cast to long.
-    """
+def _classified(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 7, bands: int = 56, hot_copies: int = 10_000, text: str = "text") -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n_shingles`` and ``component_id`` of each row."""
+    spark = docs.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # pairs of long texts stay small in memory
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     signed = stash(signatures(docs, shingle, rows, bands))
     known = signed.where("doc_id is not null and set_hash is not null").select(F.struct("doc_id", "text_hash").alias("id"), "set_hash", "buckets")
     # classes of one shingle set: partial aggregation, so thousands of copies shuffle as a few rows
     classes = stash(known.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets"), F.count("*").alias("copies")))
-    members = classes.select("rep", F.explode("buckets").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stash(members.join(crowded, "bucket").select("bucket", "rep", "n"))
-
-    links, tried, labels = None, None, None
-    for turn in range(rounds + 1):
-        if labels is None:
-            here = members.withColumn("label", F.col("rep"))
-        else:
-            here = members.where("n > 2").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            mixed_ = here.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-            here = here.join(mixed_, "bucket")
-        if turn < rounds:
-            # the pivot: the smallest id first, then another member each round
-            choice = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            pivots = here.groupBy("bucket").agg(F.min(F.struct(choice.alias("c"), "rep", "label")).alias("p"))
-            pairs = here.join(pivots, "bucket").where(F.col("label") != F.col("p.label")).select(F.col("rep").alias("x"), F.col("p.rep").alias("y"))
-        else:
-            # what the rounds left: pairs of different components in a bucket
-            one, other = here.select("bucket", F.col("rep").alias("x"), F.col("label").alias("lx")), here.select("bucket", F.col("rep").alias("y"), F.col("label").alias("ly"))
-            pairs = one.join(other, "bucket").where("lx < ly").select("x", "y")
-        pairs = pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stash(pairs)
-        if turn and pairs.isEmpty():
-            break
-        found = stash(confirmed(pairs, docs, shingle, percent))
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        labels = stash(components(links))
+    # buckets with company; the pivot of a bucket is its smallest id, so near copies of one text mostly share theirs
+    members = classes.select("rep.doc_id", "rep.text_hash", F.explode("buckets").alias("bucket"))
+    in_bucket = Window.partitionBy("bucket")
+    rep = F.struct("doc_id", "text_hash")
+    crowded = stash(members.withColumns({"n": F.count("*").over(in_bucket), "pivot": F.min(rep).over(in_bucket)}).where("n > 1"))
+    links = stash(confirmed(_ordered(crowded.select(rep.alias("x"), F.col("pivot").alias("y"))), docs, shingle, percent))
+    labels = stash(components(links))
+    # buckets that still hold several components, grouped by the smallest of them: a member stands in a group once
+    flat = labels.select("id.doc_id", "id.text_hash", "label")
+    here = crowded.where("n > 2").select("bucket", "doc_id", "text_hash").join(flat, ["doc_id", "text_hash"], "left").withColumn("label", F.coalesce("label", rep))
+    here = here.withColumns({"lo": F.min("label").over(in_bucket), "hi": F.max("label").over(in_bucket)}).where("lo < hi")
+    here = stash(here.select(F.xxhash64("lo").alias("grp"), "doc_id", "text_hash", F.xxhash64("label").alias("lab")).distinct())
+    if not here.isEmpty():
+        asked = here.select("doc_id", "text_hash").distinct()
+        of = docs.withColumn("text_hash", F.xxhash64("text")).join(asked, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text")
+        found = stash(near_limit(here.join(sketches(of, shingle, rows, bands), ["doc_id", "text_hash"]), rows, bands, percent))
+        found = stash(confirmed(found, docs, shingle, percent)) if not found.isEmpty() else found
+        if not found.isEmpty():
+            labels = stash(components(links.union(found)))
     joined = classes.select("set_hash", "copies", F.col("rep").alias("id")).join(labels, "id", "left")
     final = stash(joined.select("set_hash", "copies", F.coalesce("label.doc_id", "id.doc_id").alias("component_id")))
     # a class with very many copies is sent to them; the other copies go to their classes
     hot = final.where(F.col("copies") > hot_copies).select("set_hash", F.col("component_id").alias("_hot"))
-    rows_ = signed.select("doc_id", "n_shingles", "set_hash").join(small(hot, 10_000), "set_hash", "left")
+    rows_ = signed.select("doc_id", "text_hash", "n_shingles", "set_hash").join(small(hot, 10_000), "set_hash", "left")
     at_home = F.col("_hot").isNull() & F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull()
-    near = rows_.where(at_home).join(final.select("set_hash", "component_id"), "set_hash").select("doc_id", "n_shingles", "component_id")
-    rest = rows_.where(~at_home).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_hot", "doc_id")).alias("component_id"))
-    return near.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    near = rows_.where(at_home).join(final.select("set_hash", "component_id"), "set_hash").select("doc_id", "text_hash", "n_shingles", "component_id")
+    rest = rows_.where(~at_home).select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_hot", "doc_id")).alias("component_id"))
+    return near.union(rest)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, **settings) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs``.
+
+    Documents whose sets of ``shingle``-word shingles overlap by ``percent`` or more are linked; ``component_id`` is the
+    smallest doc_id reachable and one document of each component, that one, is kept. Null, empty and blank texts have no
+    shingles and are linked with nothing. A row with a null doc_id takes no part: its component is null and it is kept.
+    Rows of one doc_id with different texts are documents of their own; identical rows stay repeated. An empty table
+    gives an empty result; other columns are ignored. Ids are cast to long.
+    """
+    found = _classified(docs, shingle, percent, **settings)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` but for those that another document stands for; of rows that agree in id and text one stays."""
+    found = stash(_classified(docs, shingle, percent, text=text, **settings).where("doc_id is not null"))
+    id_ = [F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).eqNullSafe(F.col("_hash"))]
+    gone = stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    kept = docs.join(small(gone, 100_000), id_[0] & id_[1], "left_anti")
+    again = stash(found.where("doc_id = component_id").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(small(again, 100_000), id_[0] & id_[1], "left_semi").dropDuplicates(["doc_id", text])
+    return kept.join(small(again, 100_000), id_[0] & id_[1], "left_anti").unionByName(repeated)
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
