@@ -260,6 +260,17 @@ def test_spans_and_redaction(spark, odd, empty):
     assert pii.redacted_documents(odd).count() == odd.count() and pii.redacted_documents(odd).columns == odd.columns and pii.redacted_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [30, 190, 10_000])
+def test_sample_of_labels_is_bounded(spark, monkeypatch, most):
+    random.seed(1)
+    texts = [f"call +1 ({random.randint(200, 999)}) 555-{random.randint(1000, 9999)} or {random.randint(10**15, 10**16 - 1)}" for _ in range(100)]
+    seen = []
+    monkeypatch.setattr(pii.Trees, "fit", lambda self, x, y: seen.append(len(y)) or self)
+    monkeypatch.setattr(pii, "thresholds", lambda trees, x, y, precision: seen.append(len(y)) or [])
+    pii.fit(docs(spark, texts).repartition(3), most_labelled=most)
+    assert 0 < sum(seen) <= most and (most < 200 or sum(seen) >= 190)
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 20, (4000, pii.FEATURES)).astype(float)
