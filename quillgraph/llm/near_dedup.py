@@ -305,4 +305,19 @@ def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_near_dedup": op8_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(words) >= 2 THEN list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) ELSE words END) AS shingle FROM w
+), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+k AS (SELECT u, min(v) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN k ON k.u = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id
+"""
+}

@@ -161,4 +161,36 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_quality_rules": op7_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_quality_rules": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS st, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)
+), rp AS (
+  SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1) GROUP BY 1
+), b AS (
+  SELECT doc_id, st, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM w
+), f AS (
+  SELECT doc_id, st, n_words, word_chars, n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words,
+    n_words < 20 OR 100 * coalesce(r, 0) > 30 * n_words AS base_failed
+  FROM b LEFT JOIN rp USING (doc_id)
+), v AS (
+  SELECT doc_id, st, unnest(['symbols', 'dup_lines', 'repeats', 'long_words', 'short_words']) AS rule,
+    unnest([least(400, 100 * n_symbols // n_words), 100 * n_dup_lines // n_lines, 100 * n_repeat_words // n_words, least(400, 10 * word_chars // n_words), 400 - least(400, 10 * word_chars // n_words)]) AS bin
+  FROM f WHERE NOT base_failed
+), l AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+bn AS (SELECT st, rule, bin, count(*) FILTER (q = 1) AS good, count(*) FILTER (q = 0) AS bad FROM v JOIN l USING (doc_id) GROUP BY ALL),
+cu AS (
+  SELECT st, rule, bin, sum(good) OVER o AS k, sum(bad) OVER o AS h, sum(good) OVER a AS ng, sum(bad) OVER a AS nb, (SELECT count(DISTINCT st) * 5 FROM bn) AS m
+  FROM bn WINDOW o AS (PARTITION BY st, rule ORDER BY bin DESC), a AS (PARTITION BY st, rule)
+), te AS (
+  SELECT *, CASE WHEN k >= ng * 0.004 THEN false ELSE
+    ln(list_sum([exp(lgamma(ng + 1) - lgamma(i + 1) - lgamma(ng - i + 1) + i * ln(0.004) + (ng - i) * ln(1 - 0.004)) FOR i IN range(0, CAST(k AS BIGINT) + 1)])) <= ln(0.05 / m) END AS ok FROM cu
+), va AS (SELECT *, bool_and(ok) OVER (PARTITION BY st, rule ORDER BY bin DESC) AS valid FROM te),
+ct AS (SELECT st, rule, min(bin) AS cut FROM va WHERE valid AND h > 0 AND h * ng >= 5 * k * nb GROUP BY ALL),
+rj AS (SELECT DISTINCT doc_id FROM v JOIN ct USING (st, rule) WHERE bin >= cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rj) AS kept FROM f
+"""
+}
