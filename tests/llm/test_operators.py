@@ -271,6 +271,26 @@ def test_sample_of_labels_is_bounded(spark, monkeypatch, most):
     assert 0 < sum(seen) <= most and (most < 200 or sum(seen) >= 190)
 
 
+def test_numbers_parted_by_a_blank_are_found(spark):
+    cards, mixed = "7536784127813050 4845168114407329", "+1 (826) 555-4081 190.137.223.204"
+    assert pii.base_spans(cards) == [] and [k for _, k, _ in pii.base_spans(mixed)] == [1]
+    assert {(0, 2, 16), (17, 2, 33)} <= set(pii.candidates(cards)) and {(0, 3, 17), (18, 1, 33)} <= set(pii.candidates(mixed))
+    many = " ".join("1" for _ in range(3000))
+    assert len(pii.candidates(many)) < 20 * 3000
+    # a form that no check refutes has no label, and what belongs to a base span of another kind is a negative
+    assert pii.label("10. 0. 0. 1", 0, 1, 11, set()) is None and pii.label("10. 0. 0. 256", 0, 1, 13, set()) == 0
+    card = "4111 1111 1111 1111"
+    assert dict(pii.labels(card, pii.base_spans(card)))[0, 3, 14] == 0
+    random.seed(2)
+    texts = []
+    for i in range(500):
+        number = str(random.randint(10**14, 10**15 - 1))
+        number += next(d for d in "0123456789" if pii.luhn(number + d))
+        texts.append(f"word {number} word +1 ({random.randint(200, 999)}) 555-{random.randint(1000, 9999)} word {random.randint(1, 255)}.{random.randint(0, 255)}.0.{i % 256} word {random.randint(10**15, 10**16 - 1)} word")
+    found = pii.redacted_documents(docs(spark, [*texts, f"word {cards} word", f"word {mixed} word"]))
+    assert {r["doc_id"]: r["text"] for r in found.where("doc_id >= 500").collect()} == {500: "word [CARD] [CARD] word", 501: "word [PHONE] [IP] word"}
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 20, (4000, pii.FEATURES)).astype(float)
