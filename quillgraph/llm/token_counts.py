@@ -5,6 +5,9 @@ there. So the encoding of every prefix follows by dynamic programming from the e
 token of a prefix is the one vocabulary entry ending there that merging leaves apart from the last token of the prefix
 before it, and its count is one more than the count there. Whether two tokens stay apart is asked of the tokenizer
 itself, once a pair. Stored counts then answer truncation and budget questions without encoding again.
+
+They are stored as steps from each prefix to the next, a byte each (four, where a text has a step that a byte doesn't
+hold), from which the counts come back exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, texts
+from .common import stash, table, texts
 from .lattice import Vocabulary, lattices
 
 SPACE = "▁"  # stands for a space inside pieces
@@ -38,7 +41,8 @@ class PrefixCounter:
             raise ValueError("the model has a piece for the line break, which must separate here")
         self.pieces = Vocabulary(pieces)
         self.most_words = most_words
-        self.totals: dict[str, int] = {}
+        self.steps: dict[str, bytes | None] = {}  # None: a step doesn't fit a byte
+        self.wide: dict[str, np.ndarray] = {}
         self.pairs, self.apart = np.full(1 << PAIR_BITS, ~np.uint64(0)), np.zeros(1 << PAIR_BITS, bool)
 
     def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -102,51 +106,59 @@ class PrefixCounter:
         return part[1:] if part[:1] == "\n" else part if part[:1] == SPACE else SPACE + part
 
     def learn(self, parts: set[str]) -> list[str]:
-        """Put totals of the parts that are missing into the memory; returns those parts."""
-        new = list(parts.difference(self.totals))
+        """Put steps of the parts that are missing into the memory; returns those parts."""
+        new = list(parts.difference(self.steps))
         asked = [p for p in new if p != "\n"]
         if "\n" in parts:
-            self.totals["\n"] = 1
+            self.steps["\n"] = b"\1"
         for rows, sizes, counts in self.counts([self.word(p) for p in asked]):
-            totals = counts[np.arange(len(rows)), sizes].tolist()
-            for row, total in zip(rows.tolist(), totals, strict=True):
+            steps = np.diff(counts, axis=1)
+            width, fits = steps.shape[1], np.abs(steps).max(axis=1, initial=0) <= 127
+            narrow = steps.astype(np.int8).tobytes()
+            for k, (row, size) in enumerate(zip(rows.tolist(), sizes.tolist(), strict=True)):
                 part = asked[row]
-                self.totals[part] = total + (part[:1] == "\n")
+                line = part[:1] == "\n"
+                # what lies beyond the word's size is no step of it
+                if fits[k] or np.abs(steps[k, :size]).max(initial=0) <= 127:
+                    self.steps[part] = b"\1" * line + narrow[k * width : k * width + size]
+                else:
+                    self.steps[part], self.wide[part] = None, np.concatenate([[1] * line, steps[k, :size]]).astype("<i4")
         return new
 
-    def of_texts(self, texts: list[str], most: int = 3_000_000) -> list[int]:
-        """Tokens of whole texts, in groups of about ``most`` characters."""
+    def stored(self, parts: list[str]) -> bytes:
+        """The steps of a text: their size in bytes, then those of all its parts. The first is that of the space in front."""
+        try:
+            return b"\1" + b"".join(map(self.steps.__getitem__, parts))
+        except TypeError:
+            every = [self.wide[p] if self.steps[p] is None else np.frombuffer(self.steps[p], np.int8) for p in parts]
+            return b"\4" + np.concatenate(every).astype("<i4").tobytes()
+
+    def of_texts(self, texts: list[str], most: int = 3_000_000) -> list[bytes]:
+        """Stored steps of whole texts, in groups of about ``most`` characters."""
         out, group, size = [], [], 0
         for k, text in enumerate(texts):
             group.append(self.parts(text))
             size += len(text)
             if size > most or k == len(texts) - 1:
                 new = self.learn(set().union(*group))
-                out += [sum(map(self.totals.__getitem__, parts)) for parts in group]
-                if len(self.totals) > self.most_words:
+                out += map(self.stored, group)
+                if len(self.steps) > self.most_words:
                     for part in new:
-                        self.totals.pop(part, None)
+                        self.steps.pop(part, None)
+                        self.wide.pop(part, None)
                 group, size = [], 0
         return out
 
-    def prefixes(self, text: str) -> np.ndarray:
-        """Token counts of the prefixes of 0, 1, ... code points of the text."""
-        parts = self.parts(text)
-        words = list({self.word(p) for p in parts if p != "\n"})
-        of_word = {}
-        for rows, sizes, counts in self.counts(words):
-            for row, size, line in zip(rows.tolist(), sizes.tolist(), counts, strict=True):
-                of_word[words[row]] = line[1 : size + 1]
-        out, before = [], 0
-        for part in parts:
-            if part[:1] == "\n":
-                before += 1
-                out.append([before])
-            if part != "\n":
-                out.append(of_word[self.word(part)] + before)
-                before = int(out[-1][-1])
-        # the space that the model puts in front is no character of the text
-        return np.concatenate([[0], *out])[[0, *range(2, len(text) + 2)]].astype(np.uint32) if text else np.zeros(1, np.uint32)
+
+def _steps(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, "<i4" if stored[0] == 4 else np.int8, offset=1)
+
+
+def counts_of(stored: bytes) -> np.ndarray:
+    """Token counts of the prefixes of 0, 1, ... code points from stored steps."""
+    counts = np.cumsum(_steps(stored), dtype=np.int64)
+    # the space that the model puts in front is no character of the text
+    return np.concatenate([[0], counts[1:]]).astype(np.uint32)
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -159,59 +171,80 @@ def counter(model_file: str) -> PrefixCounter:
     return _counters[model_file]
 
 
-def prefix_token_counts(docs: DataFrame, model_file: str, limit: int = 4096, keep: bool = True, text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` and, with ``keep``, ``prefix_counts`` of each row of ``docs``.
+def _columns(docs: DataFrame) -> list[T.StructField]:
+    return [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType())]
 
-    ``prefix_counts`` holds a little-endian unsigned 32-bit count for each prefix of 0, 1, ... code points. A null text
-    counts as empty (no tokens); rows are never merged, so repeated rows and null ids come back as they are; an empty
-    table gives an empty result; other columns are ignored. A pass over the rows: no shuffle, and memory for one Arrow
-    batch and two bounded tables in each worker.
-    """
-    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    schema = T.StructType(fields + [T.StructField("prefix_counts", T.BinaryType())] * keep)
+
+def prefix_steps(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_bytes`` and ``prefix_steps``, from which ``counts_of`` reads the count at every prefix, of each row of ``docs``."""
+    schema = T.StructType([*_columns(docs), T.StructField("prefix_steps", T.BinaryType())])
 
     def count(batches):
         import pyarrow as pa
 
         counts = counter(model_file)
         for batch, rows in texts(batches):
-            strings = [b.decode("utf-8", "replace") for b in rows]
-            if keep:
-                kept = [counts.prefixes(s) for s in strings]
-                totals = [int(c[-1]) for c in kept]
-            else:
-                totals = counts.of_texts(strings)
-            columns = [batch.column(0), pa.array([len(b) for b in rows], pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_())]
+            stored = counts.of_texts([b.decode("utf-8", "replace") for b in rows])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in rows], pa.int64()), pa.array(stored, pa.binary())], [f.name for f in schema.fields])
+
+    return docs.select("doc_id", F.col(text).cast("string").alias("text")).mapInArrow(count, schema)
+
+
+def from_steps(steps: DataFrame, limit: int = 4096, keep: bool = True) -> DataFrame:
+    """The columns of ``prefix_token_counts`` from those of ``prefix_steps``."""
+    fields = [*_columns(steps), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
+    schema = T.StructType(fields + [T.StructField("prefix_counts", T.BinaryType())] * keep)
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            stored = batch.column(2).to_pylist()
+            totals = [int(_steps(s).sum(dtype=np.int64)) for s in stored]
+            columns = [batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_())]
             if keep:
-                columns.append(pa.array([c.astype("<u4").tobytes() for c in kept], pa.binary()))
+                columns.append(pa.array([counts_of(s).astype("<u4").tobytes() for s in stored], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
-    return docs.select("doc_id", F.col(text).cast("string").alias("text")).mapInArrow(count, schema)
+    return steps.select("doc_id", "n_bytes", "prefix_steps").mapInArrow(read, schema)
+
+
+def prefix_token_counts(docs: DataFrame, model_file: str, limit: int = 4096, keep: bool = True, text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` and, with ``keep``, ``prefix_counts`` of each row of ``docs``.
+
+    ``prefix_counts`` holds a little-endian unsigned 32-bit count for each prefix of 0, 1, ... code points. A null text
+    counts as empty (no tokens); rows are never merged, so repeated rows and null ids come back as they are; an empty
+    table gives an empty result; other columns are ignored. A pass over the rows: no shuffle, and memory for one Arrow
+    batch and two bounded tables in each worker.
+    """
+    return from_steps(prefix_steps(docs, model_file, text), limit, keep)
 
 
 def longest_prefix(counts: DataFrame, budget: int) -> DataFrame:
-    """Adds ``prefix_chars``, the most code points whose prefix has at most ``budget`` tokens, from stored counts.
+    """Adds ``prefix_chars``, the most code points whose prefix has at most ``budget`` tokens, from stored counts or steps.
 
     A longer prefix can have fewer tokens, so the whole array is looked through. A null array gives null.
     """
+    name = "prefix_steps" if "prefix_steps" in counts.columns else "prefix_counts"
 
     @F.pandas_udf(T.LongType())
     def longest(stored):
         def one(raw):
             if raw is None:
                 return None
-            fits = np.flatnonzero(np.frombuffer(raw, "<u4") <= budget)
+            fits = np.flatnonzero((counts_of(raw) if name == "prefix_steps" else np.frombuffer(raw, "<u4")) <= budget)
             return int(fits[-1]) if len(fits) else None
 
         return stored.map(one, na_action=None).astype("Int64")
 
-    return counts.withColumn("prefix_chars", longest("prefix_counts"))
+    return counts.withColumn("prefix_chars", longest(name))
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return prefix_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096, keep=False)
+    docs = table(spark, sf_dir, "documents")
+    return from_steps(stash(prefix_steps(docs, public_tokenizers.path("piece_bpe_32k.model"))), 4096, keep=False)
 
 
 QUERIES = {"op10_token_counts": op10_token_counts}

@@ -58,6 +58,31 @@ def test_prefix_counts_equal_the_tokenizer(spark, odd, empty):
     assert token_counts.prefix_token_counts(empty, MODEL).count() == 0
 
 
+def test_query_stores_the_count_at_every_prefix(spark, odd, tmp_path, monkeypatch):
+    import sentencepiece
+
+    sp, kept = sentencepiece.SentencePieceProcessor(model_file=MODEL), []
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(token_counts, "stash", lambda df: kept.append(df.cache()) or kept[0])
+    got = {str(r) for r in token_counts.op10_token_counts(spark, str(tmp_path)).select("n_bytes", "n_tokens", "over_limit").collect()}
+    stored = kept[0].join(odd.select("doc_id", "text").distinct(), "doc_id").collect()
+    assert len(stored) >= len(ODD) - 1
+    for r in stored:
+        s, counts = r["text"] or "", token_counts.counts_of(r["prefix_steps"])
+        assert len(counts) == len(s) + 1 and f"Row(n_bytes={len(s.encode())}, n_tokens={counts[-1]}, over_limit={counts[-1] > 4096})" in got
+        for i in {*range(0, min(len(s), 60) + 1), len(s)}:
+            assert counts[i] == len(sp.encode(s[:i]))
+
+
+def test_steps_that_a_byte_does_not_hold():
+    counter = token_counts.PrefixCounter(MODEL)
+    counter.learn({"ab", "c"})
+    counter.steps["ab"], counter.wide["ab"] = None, np.array([1, 300, -300], "<i4")
+    stored = counter.stored(["ab", "c", "ab"])
+    n = len(counter.steps["c"])
+    assert stored[0] == 4 and token_counts.counts_of(stored).tolist()[:3] == [0, 301, 1] and len(token_counts.counts_of(stored)) == 6 + n
+
+
 def test_longest_prefix(spark):
     got = token_counts.longest_prefix(token_counts.prefix_token_counts(docs(spark, ["hello world again", ""]), MODEL), 2)
     import sentencepiece
