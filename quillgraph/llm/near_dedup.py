@@ -11,7 +11,7 @@ Texts with the same set of shingles form a class first and only its smallest id
 member is paired with the bucket's smallest id; the pairs are confirmed with the exact Jaccard coefficient of their full
 sets, and links make components. That is a row for each member of a bucket, never all pairs. Where buckets then still
 hold several components, all their members outside the largest one are compared with all others of other components,
-inside tasks and in blocks of a bounded number of members: signatures and sets decide there, and rows come out only for
+inside tasks and in blocks of a bounded number of members: their sets alone decide there, and rows come out only for
 links, which are confirmed like the first. So no link is missed because a bucket is large.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 from .common import LOWER_AZ, small, stash, table, texts
 
 D = 1 << 20
+PLACES = 1 << 20  # of the table that bounds what two sets share
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -122,54 +123,63 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int, text: str =
     return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def sketches(docs: DataFrame, shingle: int, rows: int, bands: int, text: str = "text") -> DataFrame:
-    """``doc_id``, ``text_hash``, ``sketch`` (low 16 bits of each coordinate of the signature) and ``held`` (sorted low 32 bits of the
-    shingles' hashes)."""
+def held_sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``held`` (sorted low 32 bits of the shingles' hashes)."""
 
     def run(batches):
         import pyarrow as pa
 
-        signer = _signers.get((rows, bands)) or _signers.setdefault((rows, bands), Signer(rows, bands))
         for batch, raws in texts(batches):
-            sets = [shingles(raw, shingle) for raw in raws]
-            made = [signer.signature(values).astype(np.uint16).tobytes() for values in sets]
-            held = [np.unique(values.astype(np.uint32)).tobytes() for values in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary()), pa.array(held, pa.binary())], ["doc_id", "text_hash", "sketch", "held"])
+            held = [np.unique(shingles(raw, shingle).astype(np.uint32)).tobytes() for raw in raws]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.binary())], ["doc_id", "text_hash", "held"])
 
-    made = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, text_hash long, sketch binary, held binary")
+    made = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, text_hash long, held binary")
     return made.dropDuplicates(["doc_id", "text_hash"])
 
 
-def near_limit(open_: DataFrame, rows: int, bands: int, percent: int, block: int = 2048) -> DataFrame:
+def near_limit(open_: DataFrame, percent: int, block: int = 2048) -> DataFrame:
     """Pairs (a, b) of members of one group in different components that are links or all but links.
 
-    ``open_``: grp, rep, lab, sketch, held. Signatures that agree too seldom for the limit, by 3.5 deviations, are passed over; for
-    the others the 32-bit hashes of the sets decide, with a hundredth to spare for hashes that fall together. Only members
-    outside the group's largest component ask. Groups of more than ``block`` members are compared block by block.
+    ``open_``: grp, doc_id, text_hash, lab, held. The 32-bit hashes of the sets decide, with a hundredth to spare for hashes
+    that fall together, for every pair whose sizes allow a link; pairs that share too few places of a table, which is never
+    less than they share of their sets, need no exact count. Only members outside the group's largest component ask.
+    Groups of more than ``block`` members are compared block by block.
     """
-    coordinates, limit = rows * bands, percent / 100
-    least = (limit - 3.5 * (limit * (1 - limit) / coordinates) ** 0.5) * coordinates
+    limit = percent / 100 - 0.01
 
     def compare(pdf):
         import pandas as pd
 
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(len(pdf), coordinates)
         held = [np.frombuffer(h, np.uint32) for h in pdf["held"]]
         sizes = np.array([len(h) for h in held])
+        order = np.argsort(sizes, kind="stable")
+        pdf, held, sizes = pdf.iloc[order], [held[k] for k in order.tolist()], sizes[order]
         label, block_ = pdf["lab"].to_numpy(), pdf["blk"].to_numpy()
         two = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         kinds, counts = np.unique(label, return_counts=True)
         odd = (label != kinds[counts.argmax()]) | two  # two blocks may have different largest components
+        places = np.concatenate(held) & np.uint32(PLACES - 1)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        marked = np.zeros(PLACES, np.int8)
         x, y = [], []
         for r in np.flatnonzero(odd).tolist():
-            # partners: of another component, each pair once, across the blocks if there are two
-            ask = (label != label[r]) & ~(odd & (np.arange(len(label)) < r)) & (np.minimum(sizes, sizes[r]) >= (limit - 0.01) * np.maximum(sizes, sizes[r]))
+            # partners: of a size that allows a link, of another component, each pair once, across the blocks if there are two
+            first, last = np.searchsorted(sizes, limit * sizes[r], "left"), np.searchsorted(sizes, sizes[r] / limit, "right")
+            near = np.arange(first, last)
+            ask = (label[near] != label[r]) & ~(odd[near] & (near < r))
             if two:
-                ask &= block_ != block_[r]
-            to = np.flatnonzero(ask)
-            for c in to[(sketch[to] == sketch[r]).sum(1) >= least].tolist():
+                ask &= block_[near] != block_[r]
+            if not ask.any():
+                continue
+            first, last = near[ask][0], near[ask][-1] + 1
+            mine = places[starts[r] : starts[r + 1]]
+            marked[mine] = 1
+            most = np.add.reduceat(marked[places[starts[first] : starts[last]]], starts[first:last] - starts[first], dtype=np.int64)
+            marked[mine] = 0
+            to = near[ask]
+            for c in to[most[to - first] >= limit * (sizes[r] + sizes[to] - most[to - first])].tolist():
                 both = len(np.intersect1d(held[r], held[c], assume_unique=True))
-                if both >= (limit - 0.01) * (sizes[r] + sizes[c] - both):
+                if both >= limit * (sizes[r] + sizes[c] - both):
                     x.append(r)
                     y.append(c)
         ids, hashes = pdf["doc_id"].to_numpy(), pdf["text_hash"].to_numpy()
@@ -178,7 +188,7 @@ def near_limit(open_: DataFrame, rows: int, bands: int, percent: int, block: int
     sizes = open_.groupBy("grp").agg(F.count("*").alias("members"))
     dealt = open_.join(sizes, "grp").withColumn("nb", F.ceil(F.col("members") / block).cast("int"))
     dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("nb")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("grp", F.least("blk", "k").alias("lo"), F.greatest("blk", "k").alias("hi"), "blk", "doc_id", "text_hash", "lab", "sketch", "held")
+    dealt = dealt.select("grp", F.least("blk", "k").alias("lo"), F.greatest("blk", "k").alias("hi"), "blk", "doc_id", "text_hash", "lab", "held")
     found = dealt.groupBy("grp", "lo", "hi").applyInPandas(compare, "xi long, xh long, yi long, yh long")
     return _ordered(found.select(F.struct(F.col("xi").alias("doc_id"), F.col("xh").alias("text_hash")).alias("x"), F.struct(F.col("yi").alias("doc_id"), F.col("yh").alias("text_hash")).alias("y")))
 
@@ -259,7 +269,7 @@ def _classified(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int
     if not here.isEmpty():
         asked = here.select("doc_id", "text_hash").distinct()
         of = docs.withColumn("text_hash", F.xxhash64("text")).join(asked, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text")
-        found = stash(near_limit(here.join(sketches(of, shingle, rows, bands), ["doc_id", "text_hash"]), rows, bands, percent))
+        found = stash(near_limit(here.join(held_sets(of, shingle), ["doc_id", "text_hash"]), percent))
         found = stash(confirmed(found, docs, shingle, percent)) if not found.isEmpty() else found
         if not found.isEmpty():
             labels = stash(components(links.union(found)))
