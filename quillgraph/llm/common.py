@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -19,18 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, or the context's checkpoint folder; a local session without either gets a new one.
+
+    On a cluster a folder of one machine would be a different one on each executor, so there the setting is needed.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local.get(spark.sparkContext.applicationId)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return base.rstrip("/")
+
+
+_local: dict[str, str] = {}
+
+
 def stash(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder in ``spark.checkpoint.dir`` and read it back.
+    """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts the lineage with files that outlive any executor, keeps columns prunable and gives the
-    optimizer real sizes. Only a session without the setting (a local test) gets a folder of its own.
+    This cuts the lineage with files that outlive any executor, keeps columns prunable and gives the optimizer real sizes.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

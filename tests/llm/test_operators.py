@@ -211,7 +211,7 @@ def test_url_rules_and_scores(spark):
     assert rule("http://example.com/en/") == rule("http://a.example.com/en/x") == "example.com/en/" and rule("x://net/fr/") == "net/fr/"
     assert rule("http://com") is None and rule("http://xcom/") is None and got[36]["host"] == got[36]["path"] == "" and got[38]["host"] == ""
     # scores against dictionaries: the same folds train
-    folds = {r["page_id"]: r["f"] for r in pages(spark, urls).select("page_id", F.pmod(F.xxhash64("url"), F.lit(5)).alias("f")).collect()}
+    folds = {r["page_id"]: r["f"] for r in pages(spark, urls).select("page_id", url_filter.fold(F.col("url"), 5).alias("f")).collect()}
     shown = {r["page_id"]: r["s"] for r in pages(spark, urls).select("page_id", url_filter.symbols(*url_filter.host_and_path(F.col("url"))).alias("s")).collect()}
     ratio = plain_ratio([(shown[i], got[i]["verdict"] == "allow") for i in got if got[i]["rule"] and folds[i] != 0], 3)
     for i, r in got.items():
@@ -221,6 +221,22 @@ def test_url_rules_and_scores(spark):
     assert url_filter.url_filter(pages(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_url_verdicts_against_sql(spark):
+    """Folds, threshold and verdicts, with rules' verdicts in both classes and repeated rows."""
+    import duckdb
+    import pandas as pd
+
+    random.seed(9)
+    urls = [f"http://{random.choice(['news', 'spam', 'www'])}{i}.{random.choice(['example', 'site'])}.{random.choice(['com', 'net', 'org'])}/{random.choice(['fr', 'es', 'en', 'de'])}/{random.choice(['page', 'buy', 'read'])}{i % 7}" for i in range(300)]
+    urls += [None, "", urls[0], urls[0], "http://a.net/fr/" + "z" * 5000]
+    pages_ = pd.DataFrame({"page_id": range(len(urls)), "url": urls, "html": "h"})  # noqa: F841
+    con = duckdb.connect()
+    con.sql("create view pages as select * from pages_")
+    want = {r[0]: r[1:] for r in con.sql(f"select page_id, host, path, rule, verdict, score from ({url_filter.ORACLES['op3_url_filter']})").fetchall()}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], None if r["score"] is None else round(r["score"], 9)) for r in rows(url_filter.url_filter(pages(spark, urls)))}
+    assert got == want and {"allow", "block"} == {v[3] for v in got.values() if v[2] is None}
+
+
 # Top-k
 
 
