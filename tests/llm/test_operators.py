@@ -301,6 +301,48 @@ def test_spans_and_redaction(spark, odd, empty):
     assert pii.redacted_documents(odd).count() == odd.count() and pii.redacted_documents(odd).columns == odd.columns and pii.redacted_documents(empty).count() == 0
 
 
+def plain_base_spans(text):
+    """The contract's patterns one by one."""
+    import re
+
+    out = []
+    for kind, pattern in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+            if (True, kind == 1 and all(int(p) <= 255 for p in m[0].split(".")), 14 <= len(digits) <= 19 and sum(doubled) % 10 == 0, 10 <= len(digits) <= 15)[kind]:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_are_the_patterns(spark):
+    random.seed(8)
+    parts = ["a", "b@", "@", ".", "..", "x.com", "1", "12", "255", "256", "1.2.3.4", "4111", "1111 1111", "+1", "+", "(", ")", " ", "  ", "-", "%", "_", "é", "\n", "555-0271", "٣", "007"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 25))) for _ in range(30_000)]
+    for t in texts:
+        assert pii.base_spans(t) == plain_base_spans(t), t
+    # the query's columns from the same plain spans
+    for r in rows(pii.find_pii(docs(spark, texts[:500]), pii.fit(docs(spark, texts[:500])), ["doc_id"])):
+        base = plain_base_spans(texts[r["doc_id"]])
+        digest = hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        assert r["_pii_base_sha256"] == digest and [r[f"_pii_n_{k}"] for k in pii.KINDS] == [sum(b[1] == k for b in base) for k in range(4)]
+
+
+@pytest.mark.parametrize("piece", ["aadot", "a dot ", "a.", "a . ", "[dot]", "a@", "a at b dot ", "1", "1 ", "1.", "+1(", "1-"])
+def test_time_grows_with_the_length(piece):
+    import time
+
+    for text in ("a@" + piece * 20 + "x" * 90, "a@" + piece * (1_000_000 // len(piece))):
+        began = time.process_time()
+        assert isinstance(pii.base_spans(text) + pii.candidates(text), list)
+        assert time.process_time() - began < 20
+
+
+def test_spelled_addresses_are_proposed():
+    for text in ("write to jane [at] example [dot] com now", "jane at mail dot example dot org", "jane (at) example . com", "jane@example.com"):
+        assert any(k == 0 for _, k, _ in pii.candidates(text)), text
+
+
 @pytest.mark.parametrize("most", [30, 190, 10_000])
 def test_sample_of_labels_is_bounded(spark, monkeypatch, most):
     random.seed(1)
