@@ -4,8 +4,9 @@ Texts are cut into pieces where they are read; only ids and lengths are shuffled
 shards of a bounded number of pieces. Each shard is packed best-fit in falling order of length and then improved by
 local search: pieces leave the emptiest underfull sequences by a move into a gap, by an exchange with a shorter piece
 whose sequence gets fuller, or by an exchange with two shorter pieces. Each step raises the sum of squared fills, so
-the search ends; sequences that run empty go. Sequences that a shard leaves underfull are packed again with those of
-other shards, until few enough remain for one.
+the search ends; it goes on until no such exchange raises the sum, and sequences that run empty go. Sequences that a
+shard leaves underfull are dealt anew and packed with those of other shards, until few enough remain for one shard or a
+level empties no sequence.
 """
 
 from __future__ import annotations
@@ -48,72 +49,126 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, size: int, most_pairs: int = 24) -> list[list[int]]:
-    """Local search over the underfull bins. Exchanges with two pieces look at bins of at most ``most_pairs`` pieces."""
-    sizes = lengths.tolist()
-    fill = [sum(sizes[p] for p in b) for b in bins]
-    open_ = [k for k in range(len(bins)) if fill[k] < size]
-    room: dict[int, set[int]] = defaultdict(set)  # free space -> bins
-    one: dict[int, set[tuple]] = defaultdict(set)  # largest piece that may replace this one -> (bin, piece)
-    two: dict[int, set[tuple]] = defaultdict(set)  # the same for two pieces
-    entries: dict[int, list] = {}
-
-    def put(k: int) -> None:
-        left, b = size - fill[k], bins[k]
-        if not b or not left:
+def _bits(mask: int):
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
+
+
+class _Underfull:
+    """Underfull bins by free space, and by free space with the sizes of their pieces and of pairs of their pieces, as bit sets."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], size: int):
+        self.bins, self.sizes, self.size = bins, sizes, size
+        self.fill = [sum(sizes[p] for p in b) for b in bins]
+        self.rooms = 0  # bit r: a bin has r left
+        self.by_room: dict[int, dict[int, None]] = defaultdict(dict)
+        self.present = (defaultdict(int), defaultdict(int))  # for pieces and for pairs: room -> bit set of sizes
+        self.holders: tuple[dict, dict] = (defaultdict(dict), defaultdict(dict))  # (room, size) -> bins
+        for k in range(len(bins)):
+            self.put(k)
+
+    def _held(self, k: int) -> tuple[int, int]:
+        one = two = 0
+        for p in self.bins[k]:
+            two |= one << self.sizes[p]
+            one |= 1 << self.sizes[p]
+        return one, two
+
+    def put(self, k: int) -> None:
+        left = self.size - self.fill[k]
+        if self.bins[k] and left:
+            self.rooms |= 1 << left
+            self.by_room[left][k] = None
+            for present, holders, held in zip(self.present, self.holders, self._held(k), strict=True):
+                present[left] |= held
+                for s in _bits(held):
+                    holders[left, s][k] = None
+
+    def take(self, k: int) -> None:
+        left = self.size - self.fill[k]
+        if k not in self.by_room[left]:
             return
-        keys = entries[k] = [(room, left, k)]
-        keys += [(one, sizes[p] + left, (k, p)) for p in b]
-        if len(b) <= most_pairs:
-            keys += [(two, sizes[p] + sizes[q] + left, (k, p, q)) for i, p in enumerate(b) for q in b[:i] if sizes[p] + sizes[q] + left <= size]
-        for index, key, value in keys:
-            index[key].add(value)
-
-    def take(k: int) -> None:
-        for index, key, value in entries.pop(k, ()):
-            index[key].discard(value)
-
-    def first(index: dict, least: int, most: int, fits):
-        for key in range(least, most + 1):
-            for value in index.get(key, ()):
-                if fits(value):
-                    return value
-        return None
-
-    for k in open_:
-        put(k)
-    for k in sorted(open_, key=fill.__getitem__):
-        if not bins[k] or fill[k] == size:
-            continue
-        changed = True
-        while changed and bins[k]:
-            changed = False
-            for p in sorted(bins[k], key=sizes.__getitem__, reverse=True):
-                x = sizes[p]
-                fuller = lambda v: v != k and fill[v] + x > fill[k]  # noqa: E731, B023
-                if (to := first(room, x, size, fuller)) is not None:
-                    out, back = to, []
-                else:
-                    # a shorter piece, or two, whose bin gets fuller than this one was
-                    grows = lambda v: v[0] != k and (d := x - sum(sizes[q] for q in v[1:])) > 0 and fill[v[0]] + d > fill[k]  # noqa: E731, B023
-                    found = first(one, x, min(size, x + 16), grows) or first(two, x, min(size, x + 4), grows)
-                    if found is None:
-                        continue
-                    out, back = found[0], list(found[1:])
-                take(k)
-                take(out)
-                bins[k].remove(p)
-                for q in back:
-                    bins[out].remove(q)
-                bins[out].append(p)
-                bins[k] += back
-                change = x - sum(sizes[q] for q in back)
-                fill[out] += change
-                fill[k] -= change
-                put(k)
-                put(out)
+        del self.by_room[left][k]
+        if not self.by_room[left]:
+            self.rooms &= ~(1 << left)
+        for present, holders, held in zip(self.present, self.holders, self._held(k), strict=True):
+            for s in _bits(held):
+                del holders[left, s][k]
+                if not holders[left, s]:
+                    del holders[left, s]
+                    present[left] &= ~(1 << s)
+
+    def best(self, x: int, fill: int) -> tuple[int, list[int]] | None:
+        """Where a piece of ``x`` from a bin filled to ``fill`` should go and the sizes that come back for it; None if nothing gains.
+
+        An exchange that moves d on balance into a bin filled to f changes the sum of squares by 2 d (f + d - fill). In one
+        room all bins are filled alike, so the smallest size that may come back gains most there; all rooms are looked at.
+        """
+        # without anything back, the fullest bin that holds it
+        fits = (self.rooms >> x << x) & ((1 << max(0, self.size - fill + x)) - 1)
+        if fits:
+            return next(iter(self.by_room[(fits & -fits).bit_length() - 1])), []
+        gain, found = 0, None
+        for kind, present in enumerate(self.present):
+            for left in _bits(self.rooms):
+                least, most = max(1, x - left), min(x - 1, self.size - left + x - fill - 1)
+                fits = present[left] >> least << least & ((1 << most + 1) - 1) if least <= most else 0
+                if fits:
+                    back = (fits & -fits).bit_length() - 1
+                    g = (x - back) * (self.size - left + x - back - fill)
+                    if g > gain:
+                        gain, found = g, (kind, left, back)
+        if found is None:
+            return None
+        kind, left, back = found
+        to = next(iter(self.holders[kind][left, back]))
+        if kind == 0:
+            return to, [back]
+        held = sorted(self.sizes[p] for p in self.bins[to])
+        have = set(held)
+        return to, next([s, back - s] for s in held if back - s in have and (2 * s != back or held.count(s) > 1))
+
+
+def improve(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
+    """Local search over the underfull bins until no move and no exchange of one piece for one or two raises the sum of squared fills.
+
+    Each step raises that sum of whole numbers, so the search ends. Bins run from the emptiest, pieces from the longest.
+    """
+    sizes = lengths.tolist()
+    state = _Underfull(bins, sizes, size)
+    fill = state.fill
+
+    def step(k: int) -> bool:
+        state.take(k)
+        for x in sorted({sizes[p] for p in bins[k]}, reverse=True):
+            found = state.best(x, fill[k])
+            if found is None:
+                continue
+            to, back = found
+            state.take(to)
+            moved = next(p for p in bins[k] if sizes[p] == x)
+            bins[k].remove(moved)
+            for s in back:
+                q = next(p for p in bins[to] if sizes[p] == s)
+                bins[to].remove(q)
+                bins[k].append(q)
+            bins[to].append(moved)
+            fill[to] += x - sum(back)
+            fill[k] -= x - sum(back)
+            state.put(to)
+            state.put(k)
+            return True
+        state.put(k)
+        return False
+
+    changed = True
+    while changed:
+        changed = False
+        for k in sorted((k for k in range(len(bins)) if bins[k] and fill[k] < size), key=fill.__getitem__):
+            while bins[k] and fill[k] < size and step(k):
                 changed = True
-                break
     return [b for b in bins if b]
 
 
@@ -250,7 +305,7 @@ def pack_pieces(pieces: DataFrame, size: int, shard_pieces: int = 16_384) -> Dat
         shard = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(shards)).cast("int")
         return rows.withColumn("_shard", shard).groupBy("_shard").applyInPandas(one, out_schema)
 
-    n, done, level = pieces.count(), None, 0
+    n, before, done, level = pieces.count(), None, None, 0
     while True:
         last = n <= shard_pieces
         result = packed(pieces, n, level, last)
@@ -259,11 +314,13 @@ def pack_pieces(pieces: DataFrame, size: int, shard_pieces: int = 16_384) -> Dat
         result = stash(result)
         kept = result.where("full")
         done = kept if done is None else done.unionByName(kept)
-        pieces = result.where("not full").drop("sequence_id", "offset", "full")
-        left = pieces.count()
-        if left > 0.9 * n:  # underfull for want of short pieces, which more rounds don't bring
-            return (result if level == 0 else done.unionByName(result.where("not full"))).drop("full")
-        n, level = left, level + 1
+        underfull = result.where("not full")
+        pieces = underfull.drop("sequence_id", "offset", "full")
+        left = underfull.agg(F.count("*").alias("pieces"), F.count_if(F.col("offset") == 0).alias("sequences")).first()
+        if before is not None and left["sequences"] >= before:
+            # a new deal and a whole search emptied no sequence: what is left stays as it is
+            return done.unionByName(result.where("not full")).drop("full")
+        n, before, level = left["pieces"], left["sequences"], level + 1
     return (result if done is None else done.unionByName(result)).drop("full")
 
 

@@ -130,6 +130,46 @@ def test_local_search_raises_squared_fill():
         assert all(lengths[b].sum() <= 1024 for b in better)
 
 
+def plain_improvements(bins, size):
+    """Every move or exchange with one or two pieces, between two underfull bins, that raises the sum of squared fills."""
+    fill = [sum(b) for b in bins]
+    for k, o in itertools.permutations([k for k in range(len(bins)) if fill[k] < size], 2):
+        for x in bins[k]:
+            backs = [(), *((q,) for q in bins[o]), *itertools.combinations(bins[o], 2)]
+            for back in backs:
+                d = x - sum(back)
+                if d > 0 and fill[o] + d <= size and (fill[o] + d) ** 2 + (fill[k] - d) ** 2 > fill[o] ** 2 + fill[k] ** 2:
+                    yield k, o, x, back
+
+
+def test_no_improving_exchange_is_left():
+    rng = np.random.default_rng(11)
+    for size, high, n in [(40, 39, 60), (40, 25, 60), (64, 10, 80), (64, 63, 40), (30, 20, 50)] * 6:
+        lengths = rng.integers(1, high + 1, n)
+        places = np.array_split(rng.permutation(n), n)  # a poor start: each piece alone
+        for start in ([p.tolist() for p in places], packing.best_fit(lengths, size)):
+            better = packing.improve([list(b) for b in start], lengths, size)
+            assert sorted(p for b in better for p in b) == list(range(n))
+            assert next(plain_improvements([lengths[b].tolist() for b in better], size), None) is None
+
+
+def test_documents_fill_sequences(spark):
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    got = packing.best_fit_packing(spark.read.parquet(path), BPE, ranks_file=RANKS).groupBy("sequence_id").agg(F.sum("length").alias("f")).collect()
+    fill = [r["f"] for r in got]
+    assert max(fill) <= 1024 and len(fill) <= math.ceil(sum(fill) / 1024) * 1.005
+
+
+def test_levels_end_where_nothing_fits(spark):
+    pieces = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(40).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
+    got = packing.pack_pieces(packing.stash(pieces), 64, shard_pieces=50)
+    assert got.count() == got.select("sequence_id").distinct().count() == 500
+
+
 def test_levels_of_packing(spark):
     pieces = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") * 37 % 60 + 1).alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
     got = packing.pack_pieces(packing.stash(pieces), 64, shard_pieces=400)
