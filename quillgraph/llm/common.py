@@ -65,3 +65,27 @@ def texts(batches: Iterable, text: str = "text"):
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         yield batch, [b or b"" for b in column.cast(pa.binary()).to_pylist()]
+
+
+def heaviest(counts: DataFrame, key: str, n: str = "n", most: int = 10_000) -> DataFrame:
+    """The ``most`` rows of largest ``n``, written out. Any other key has less than one in ``most`` of all that ``n`` counts."""
+    return stash(counts.orderBy(F.desc(n), key).limit(most))
+
+
+def join_spread(rows: DataFrame, values: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``values`` (one row for each ``key``), an inner join.
+
+    Rows of the keys in ``heavy`` (rows of ``values``, bounded by ``heaviest``) meet a broadcast where they lie; only the
+    others are shuffled, and none of their keys holds more than a small share of them.
+    """
+    heavy = F.broadcast(heavy)
+    rest = rows.join(heavy.select(key), key, "left_anti").join(values.join(heavy.select(key), key, "left_anti"), key)
+    return rows.join(heavy, key).unionByName(rest)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column in ``taken`` has it."""
+    taken = [c.lower() for c in taken]
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -17,13 +17,14 @@ links, which are confirmed like the first. So no link is missed because a bucket
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import LOWER_AZ, small, stash, table, texts
+from .common import LOWER_AZ, fresh, heaviest, join_spread, small, stash, table, texts
 
 D = 1 << 20
 PLACES = 1 << 20  # of the table that bounds what two sets share
@@ -197,34 +198,45 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, text: str = "text") -> DataFrame:
-    """The ``pairs`` (a, b) of representatives, structs of doc_id and text_hash, with 100 * intersection >= percent * union of their full sets."""
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, text: str = "text", block: int = 1000) -> DataFrame:
+    """The ``pairs`` (a, b) of representatives, structs of doc_id and text_hash, with 100 * intersection >= percent * union of their full sets.
+
+    Texts stream through tasks, each ``b`` followed by its partners; the partners of a ``b`` with very many of them are
+    dealt into blocks of about ``block``, each with a copy of its text.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        last = (None, None)
+        pivot = None
         for batch in batches:
-            a, b, left, right = (batch.column(i) for i in range(4))
-            keep = []
-            for i, (one, other) in enumerate(zip(left.cast(pa.binary()), right.cast(pa.binary()), strict=True)):
-                pivot = b[i].as_py()
-                if last[0] != pivot:  # rows of a pivot come one after another
-                    last = (pivot, shingles(other.as_py() or b"", shingle))
-                x, y = shingles(one.as_py() or b"", shingle), last[1]
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            b, a, of = (batch.column(i) for i in range(3))
+            keep, partner = [], a.is_valid()
+            for i, raw in enumerate(of.cast(pa.binary())):
+                values = shingles(raw.as_py() or b"", shingle)
+                if not partner[i].as_py():
+                    pivot = values
                     continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if 100 * min(len(values), len(pivot)) < percent * max(len(values), len(pivot)):
+                    continue
+                both = len(np.intersect1d(values, pivot, assume_unique=True))
+                if 100 * both >= percent * (len(values) + len(pivot) - both):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], ["a", "b"])
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows)], ["a", "b"])
 
     id_ = F.struct("doc_id", F.xxhash64(text).alias("text_hash"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # rows that agree in id and text are one; a copy of it is enough
     held = docs.select(id_.alias("id"), F.col(text).alias("_t")).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("_t").alias("_t"))
-    joined = pairs.join(held.select(F.col("id").alias("a"), F.col("_t").alias("_left")), "a").join(held.select(F.col("id").alias("b"), F.col("_t").alias("_right")), "b")
-    return joined.select("a", "b", "_left", "_right").mapInArrow(run, pairs.schema)
+    hot = heaviest(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > block), "b")
+    blocks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
+    dealt = pairs.join(F.broadcast(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), blocks).alias("blk"))
+    pivots = pairs.select("b").distinct().join(F.broadcast(hot), "b", "left").select("b", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("blk"))
+    partners = dealt.join(held.withColumnRenamed("id", "a"), "a").select("b", "blk", "a", "_t")
+    heads = pivots.join(held.withColumnRenamed("id", "b"), "b").select("b", "blk", F.lit(None).cast(pairs.schema["a"].dataType).alias("a"), "_t")
+    rows = heads.unionByName(partners).repartition("b", "blk").sortWithinPartitions("b", "blk", F.asc_nulls_first("a"))
+    return rows.select("b", "a", "_t").mapInArrow(run, pairs.select("a", "b").schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,29 +256,57 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
+@contextmanager
+def _small_batches(spark):
+    """Batches of 1,000 rows at most while tables are written, so that long texts stay small in memory; then as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= 1000:
+        yield
+        return
+    spark.conf.set(name, "1000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _classified(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 7, bands: int = 56, hot_copies: int = 10_000, text: str = "text") -> DataFrame:
     """``doc_id``, ``text_hash``, ``n_shingles`` and ``component_id`` of each row."""
-    spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # pairs of long texts stay small in memory
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    with _small_batches(docs.sparkSession):
+        signed, final = _components_of_classes(docs, shingle, percent, rows, bands)
+    # a class with very many copies is sent to them; the other copies go to their classes
+    hot = final.where(F.col("copies") > hot_copies).select("set_hash", F.col("component_id").alias("_hot"))
+    rows_ = signed.select("doc_id", "text_hash", "n_shingles", "set_hash").join(small(hot, 10_000), "set_hash", "left")
+    at_home = F.col("_hot").isNull() & F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull()
+    near = rows_.where(at_home).join(final.select("set_hash", "component_id"), "set_hash").select("doc_id", "text_hash", "n_shingles", "component_id")
+    rest = rows_.where(~at_home).select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_hot", "doc_id")).alias("component_id"))
+    return near.union(rest)
+
+
+def _components_of_classes(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows; ``set_hash``, ``copies`` and ``component_id`` of all classes of one set. Both written out."""
     signed = stash(signatures(docs, shingle, rows, bands))
     known = signed.where("doc_id is not null and set_hash is not null").select(F.struct("doc_id", "text_hash").alias("id"), "set_hash", "buckets")
     # classes of one shingle set: partial aggregation, so thousands of copies shuffle as a few rows
     classes = stash(known.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets"), F.count("*").alias("copies")))
     # buckets with company; the pivot of a bucket is its smallest id, so near copies of one text mostly share theirs
-    members = classes.select("rep.doc_id", "rep.text_hash", F.explode("buckets").alias("bucket"))
-    in_bucket = Window.partitionBy("bucket")
+    members = classes.select(F.explode("buckets").alias("bucket"), "rep.doc_id", "rep.text_hash")
     rep = F.struct("doc_id", "text_hash")
-    crowded = stash(members.withColumns({"n": F.count("*").over(in_bucket), "pivot": F.min(rep).over(in_bucket)}).where("n > 1"))
+    buckets = stash(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(rep).alias("pivot")).where("n > 1"))
+    heavy = heaviest(buckets, "bucket")
+    crowded = stash(join_spread(members, buckets, "bucket", heavy))
     links = stash(confirmed(_ordered(crowded.select(rep.alias("x"), F.col("pivot").alias("y"))), docs, shingle, percent))
     labels = stash(components(links))
     # buckets that still hold several components, grouped by the smallest of them: a member stands in a group once
     flat = labels.select("id.doc_id", "id.text_hash", "label")
     here = crowded.where("n > 2").select("bucket", "doc_id", "text_hash").join(flat, ["doc_id", "text_hash"], "left").withColumn("label", F.coalesce("label", rep))
-    here = here.withColumns({"lo": F.min("label").over(in_bucket), "hi": F.max("label").over(in_bucket)}).where("lo < hi")
-    here = stash(here.select(F.xxhash64("lo").alias("grp"), "doc_id", "text_hash", F.xxhash64("label").alias("lab")).distinct())
-    if not here.isEmpty():
+    here = stash(here.select("bucket", "doc_id", "text_hash", "label"))
+    mixed_ = stash(here.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
+    if not mixed_.isEmpty():
+        here = join_spread(here, mixed_, "bucket", heaviest(mixed_, "bucket"))
+        here = stash(here.select(F.xxhash64("lo").alias("grp"), "doc_id", "text_hash", F.xxhash64("label").alias("lab")).distinct())
         asked = here.select("doc_id", "text_hash").distinct()
         of = docs.withColumn("text_hash", F.xxhash64("text")).join(asked, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text")
         found = stash(near_limit(here.join(held_sets(of, shingle), ["doc_id", "text_hash"]), percent))
@@ -274,14 +314,7 @@ def _classified(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int
         if not found.isEmpty():
             labels = stash(components(links.union(found)))
     joined = classes.select("set_hash", "copies", F.col("rep").alias("id")).join(labels, "id", "left")
-    final = stash(joined.select("set_hash", "copies", F.coalesce("label.doc_id", "id.doc_id").alias("component_id")))
-    # a class with very many copies is sent to them; the other copies go to their classes
-    hot = final.where(F.col("copies") > hot_copies).select("set_hash", F.col("component_id").alias("_hot"))
-    rows_ = signed.select("doc_id", "text_hash", "n_shingles", "set_hash").join(small(hot, 10_000), "set_hash", "left")
-    at_home = F.col("_hot").isNull() & F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull()
-    near = rows_.where(at_home).join(final.select("set_hash", "component_id"), "set_hash").select("doc_id", "text_hash", "n_shingles", "component_id")
-    rest = rows_.where(~at_home).select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_hot", "doc_id")).alias("component_id"))
-    return near.union(rest)
+    return signed, stash(joined.select("set_hash", "copies", F.coalesce("label.doc_id", "id.doc_id").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, **settings) -> DataFrame:
@@ -298,12 +331,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, **sett
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` but for those that another document stands for; of rows that agree in id and text one stays."""
+    """The rows of ``docs`` but for those that another document stands for; of rows that agree in id and text one stays.
+
+    Rows with a null id and texts without words all stay. ``docs`` may have any other columns, which come back as they are.
+    """
     found = stash(_classified(docs, shingle, percent, text=text, **settings).where("doc_id is not null"))
-    id_ = [F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).eqNullSafe(F.col("_hash"))]
-    gone = stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    own_id, own_hash = fresh("_id", docs.columns), fresh("_hash", docs.columns)
+    id_ = [F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).eqNullSafe(F.col(own_hash))]
+    named = lambda df: df.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
+    gone = stash(named(found.where("doc_id <> component_id")).distinct())
     kept = docs.join(small(gone, 100_000), id_[0] & id_[1], "left_anti")
-    again = stash(found.where("doc_id = component_id").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    again = stash(named(found.where("doc_id = component_id").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")))
     if again.isEmpty():
         return kept
     repeated = kept.join(small(again, 100_000), id_[0] & id_[1], "left_semi").dropDuplicates(["doc_id", text])

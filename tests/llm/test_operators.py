@@ -504,6 +504,22 @@ def test_near_duplicate_rows(spark, odd, empty):
     kept = near_dedup.one_of_each_group(odd)
     assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 1
     assert kept.where("doc_id is not null").count() == kept.where("doc_id is not null").select("doc_id").distinct().count()
+    clashing = odd.withColumns({c: F.lit("x") for c in ("_id", "_HASH", "bucket", "n", "pivot", "blk", "component_id", "set_hash")})
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    again = near_dedup.one_of_each_group(clashing)
+    assert again.columns == clashing.columns and again.count() == kept.count() and spark.conf.get(name) == before
+
+
+def test_pairs_of_a_crowded_pivot_are_dealt_into_blocks(spark):
+    texts = ["a b c d e f g h i j", *(f"a b c d e f g h i j k{i}" for i in range(40)), *(f"z{i} b y d x" for i in range(10))]
+    df = docs(spark, texts).select("doc_id", "text")
+    ids = df.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("a"))
+    pairs = near_dedup.stash(ids.join(ids.where("a.doc_id in (0, 1)").withColumnRenamed("a", "b"), F.col("a.doc_id") > F.col("b.doc_id")))
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    want = {(a, b) for b in (0, 1) for a in range(b + 1, len(texts)) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    for block in (3, 1000):
+        assert {(r["a"]["doc_id"], r["b"]["doc_id"]) for r in near_dedup.confirmed(pairs, df, 2, 80, block=block).collect()} == want
 
 
 @pytest.mark.parametrize("block", [1, 2, 2048])
