@@ -7,27 +7,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources.files import stash
 
 
-def candidates(paragraphs: DataFrame, clauses: DataFrame, limit: int = 12, n: int = 4) -> DataFrame:
-    """``source``, ``pid``, ``cid``: clauses that contain the paragraph or lie in it, and the ``limit`` that hold most of its grams.
+def candidates(paragraphs: DataFrame, clauses: DataFrame, limit: int = 12, n: int = 4, block: int = 512) -> DataFrame:
+    """``source``, ``pid``, ``p_text``, ``cid``, ``c_text``: clauses that contain the paragraph or lie in it, and the ``limit`` that share most of its grams.
 
-    ``paragraphs`` has source, pid, p_text, ``clauses`` source, cid, c_text, both compacted. An equi-join on source and gram does
-    the blocking; a text inside another shares its grams, so containment is tested on the pairs that share one.
+    ``paragraphs`` has source, pid, p_text, ``clauses`` source, cid, c_text, both compacted. Both sides of a source are dealt
+    into blocks of about ``block`` texts; a pair of blocks is compared in one task by a product of gram counts, which gives
+    ``limit`` rows a paragraph and the contained ones. Ties go to the smaller cid.
     """
-    p = paragraphs.select("source", "pid", "p_text", F.explode(text.char_ngrams(F.col("p_text"), n)).alias("gram"))
-    c = clauses.select("source", "cid", "c_text", F.explode(text.char_ngrams(F.col("c_text"), n)).alias("gram"))
-    pairs = p.drop("p_text").join(c.drop("c_text"), ["source", "gram"]).groupBy("source", "pid", "cid").agg(F.count("*").alias("shared"))
-    # texts of fewer than n characters have one gram of their own and meet nothing longer: they are compared within the source
-    short_p = paragraphs.where((F.length("p_text") < n) & (F.length("p_text") > 0)).select("source", "pid")
-    short_c = clauses.where((F.length("c_text") < n) & (F.length("c_text") > 0)).select("source", "cid")
-    short = short_p.join(clauses.select("source", "cid"), "source").select("source", "pid", "cid").union(paragraphs.select("source", "pid").join(short_c, "source").select("source", "pid", "cid"))
-    pairs = pairs.unionByName(short.withColumn("shared", F.lit(0).cast("long"))).groupBy("source", "pid", "cid").agg(F.max("shared").alias("shared"))
-    pairs = pairs.join(paragraphs, ["source", "pid"]).join(clauses, ["source", "cid"])
-    inside = F.contains("p_text", "c_text") | F.contains("c_text", "p_text")
+    sides = ((paragraphs, "pid", "p_text", True), (clauses, "cid", "c_text", False))
+    counts = [df.groupBy("source").agg(F.ceil(F.count("*") / block).cast("int").alias(f"_n_{id_}")) for df, id_, _, _ in sides]
+    blocks = stash(counts[0].join(counts[1], "source"))
+    dealt = None
+    for df, id_, text_, asks in sides:
+        own, other = ("_pb", "_cb") if asks else ("_cb", "_pb")
+        n_other = "_n_cid" if asks else "_n_pid"
+        part = df.where(F.length(text_) > 0).join(blocks, "source").select(
+            "source", F.col(id_).cast("long").alias("id"), F.col(text_).alias("text"), F.lit(asks).alias("asks"),
+            F.pmod(F.xxhash64(id_), F.col(f"_n_{id_}")).alias(own), F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)).alias(other),
+        )
+        dealt = part if dealt is None else dealt.unionByName(part)
+
+    def compare(pdf):
+        import numpy as np
+        import pandas as pd
+
+        asks = pdf["asks"].to_numpy(bool)
+        p, c = pdf[asks].sort_values("id", kind="stable"), pdf[~asks].sort_values("id", kind="stable")
+        out = []
+        if len(p) and len(c):
+            grams = [[{t} if len(t) <= n else {t[i : i + n] for i in range(len(t) - n + 1)} for t in side["text"]] for side in (p, c)]
+            known = {g: i for i, g in enumerate(set().union(*grams[0]))}
+            wide = np.zeros((len(c), len(known)), np.float32)
+            for row, own in enumerate(grams[1]):
+                wide[row, [known[g] for g in own if g in known]] = 1
+            sizes = np.array([len(g) for g in grams[1]])
+            short = np.array([len(t) < n for t in c["text"]])
+            c_texts, c_ids = c["text"].tolist(), c["id"].to_numpy()
+            for row, (pid, gold) in enumerate(zip(p["id"].tolist(), p["text"].tolist(), strict=True)):
+                own = grams[0][row]
+                shared = wide[:, [known[g] for g in own]].sum(1).astype(np.int64)
+                # a text inside another shares all its grams, unless it is too short to have one
+                maybe = (shared >= np.minimum(sizes, len(own))) | short | (len(gold) < n)
+                inside = np.array([bool(m) and (gold in t or t in gold) for m, t in zip(maybe, c_texts, strict=True)])
+                best = np.argsort(-shared, kind="stable")
+                chosen = np.zeros(len(c), bool)
+                chosen[best[:limit]] = True
+                for k in np.flatnonzero((chosen & (shared > 0)) | inside).tolist():
+                    out.append((pdf["source"].iloc[0], pid, int(c_ids[k]), int(shared[k]), bool(inside[k])))
+        return pd.DataFrame(out, columns=["source", "pid", "cid", "shared", "inside"])
+
+    kind = paragraphs.schema["source"].dataType.simpleString()
+    found = dealt.groupBy("source", "_pb", "_cb").applyInPandas(compare, f"source {kind}, pid long, cid long, shared long, inside boolean")
     w = Window.partitionBy("source", "pid").orderBy(F.desc("shared"), "cid")
-    ranked = pairs.where((F.col("shared") > 0) | inside).withColumn("_rank", F.row_number().over(w))
-    return ranked.where((F.col("_rank") <= limit) | inside).drop("_rank", "shared")
+    kept = found.withColumn("_rank", F.row_number().over(w)).where((F.col("_rank") <= limit) | F.col("inside")).select("source", "pid", "cid")
+    return kept.join(paragraphs, ["source", "pid"]).join(clauses, ["source", "cid"])
 
 
 def score(gold: Column, clause: Column, sequence: Column | None = None, n: int = 4) -> tuple[Column, Column]:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def inverted_index(mentions: DataFrame) -> DataFrame:
-    """``name``, sorted distinct ``units`` from name, unit."""
-    return mentions.groupBy("name").agg(F.array_sort(F.collect_set("unit")).alias("units"))
+def postings(mentions: DataFrame, span: int = 4096) -> DataFrame:
+    """``name``, ``block``, ``units`` from name, unit (a number): distinct units in order, in blocks of ``span`` ids, so no row grows with a name's fame."""
+    of = mentions.select("name", "unit", F.floor(F.col("unit") / span).alias("block")).distinct()
+    return of.groupBy("name", "block").agg(F.array_sort(F.collect_list("unit")).alias("units"))
 
 
 def cooccurrence(entities: DataFrame, most: int = 11) -> DataFrame:
@@ -42,13 +43,15 @@ def capped(scored: DataFrame, caps: dict[str, int], kind: str = "kind", *ties: s
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
 
-def entity_rollup(mentions: DataFrame) -> DataFrame:
-    """``entity_id``, ``name``, distinct ``evidence_ids`` and ``standard_ids`` in order of first appearance, from name, evidence, standard, pos."""
+def entity_rollup(mentions: DataFrame, span: int = 4096) -> DataFrame:
+    """``entity_id``, ``name``, ``field`` (evidence or standard), ``block`` and ``ids``: the distinct ids of each entity in order of first appearance.
 
-    def ordered(column: str, alias: str) -> DataFrame:
-        firsts = mentions.groupBy("name", column).agg(F.min("pos").alias("pos"))
-        gathered = F.array_sort(F.collect_list(F.struct("pos", F.col(column).alias("v"))))
-        return firsts.groupBy("name").agg(F.transform(gathered, lambda x: x["v"]).alias(alias))
-
-    both = ordered("evidence", "evidence_ids").join(ordered("standard", "standard_ids"), "name")
-    return both.select(F.substring(F.sha2("name", 256), 1, 16).alias("entity_id"), "name", "evidence_ids", "standard_ids")
+    ``mentions``: name, evidence, standard, pos (a number). An id stands in the block of its first ``pos``, ``span`` places wide.
+    """
+    firsts = None
+    for field in ("evidence", "standard"):
+        part = mentions.where(F.col(field).isNotNull()).groupBy("name", F.col(field).cast("string").alias("id")).agg(F.min("pos").alias("pos")).withColumn("field", F.lit(field))
+        firsts = part if firsts is None else firsts.unionByName(part)
+    gathered = F.array_sort(F.collect_list(F.struct("pos", "id")))
+    blocks = firsts.groupBy("name", "field", F.floor(F.col("pos") / span).alias("block")).agg(F.transform(gathered, lambda x: x["id"]).alias("ids"))
+    return blocks.select(F.substring(F.sha2("name", 256), 1, 16).alias("entity_id"), "name", "field", "block", "ids")

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import stash
+
 
 def small(df: DataFrame, most: int = 50_000) -> DataFrame:
-    """A broadcast hint only for a side counted to have at most ``most`` rows."""
+    """A broadcast hint only for a side counted to have at most ``most`` rows. What was counted is written, so it is what is sent."""
+    df = stash(df)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
@@ -18,9 +21,19 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     return df.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
 
 
-def keep_longest(df: DataFrame, keys: list[str], text: str, *ties: Column | str) -> DataFrame:
-    """The row with the longest text of each key; blank texts are dropped."""
-    return first_by(df.where(F.trim(F.col(text)) != ""), keys, F.desc(F.length(text)), *ties)
+def best_of_each(df: DataFrame, keys: list[str], score: Column, tie: str) -> DataFrame:
+    """The row of each key with the highest ``score``, then the smallest ``tie``, a unique number.
+
+    Only keys, scores and ties are aggregated, with partial maxima; the other columns join in for the rows that won. Keys may be null.
+    """
+    scored = df.withColumns({"_score": score, "_tie": -F.col(tie)})
+    best = scored.groupBy(*keys).agg(F.max(F.struct("_score", "_tie"))["_tie"].alias("_best")).select((-F.col("_best")).alias("_winner"))
+    return df.join(best, F.col(tie) == F.col("_winner"), "left_semi")
+
+
+def keep_longest(df: DataFrame, keys: list[str], text: str, tie: str) -> DataFrame:
+    """The row with the longest text of each key; blank texts are dropped. ``tie`` is a unique number, the smallest wins."""
+    return best_of_each(df.where(F.trim(F.col(text)) != ""), keys, F.length(text), tie)
 
 
 def clause_quality(text: Column) -> Column:
@@ -29,8 +42,8 @@ def clause_quality(text: Column) -> Column:
     return F.least(F.length(text), F.lit(6000)) - contents - F.least(F.lit(800), 80 * F.regexp_count(text, F.lit("…|\\.{4,}")))
 
 
-def keep_best(df: DataFrame, keys: list[str], quality: Column, *ties: Column | str) -> DataFrame:
-    return first_by(df.withColumn("_quality", quality), keys, F.desc("_quality"), *ties).drop("_quality")
+def keep_best(df: DataFrame, keys: list[str], quality: Column, tie: str) -> DataFrame:
+    return best_of_each(df, keys, quality, tie)
 
 
 def merge_channels(channels: list[tuple[str, DataFrame]], keys: list[str], rank: str = "rank") -> DataFrame:
@@ -44,12 +57,12 @@ def merge_channels(channels: list[tuple[str, DataFrame]], keys: list[str], rank:
     return kept.withColumn("position", F.row_number().over(w)).drop("_channel")
 
 
-def three_tier_lookup(rows: DataFrame, corpus: DataFrame, tiers: list[list[str]], value: str) -> DataFrame:
+def three_tier_lookup(rows: DataFrame, corpus: DataFrame, tiers: list[list[str]], value: str, position: str) -> DataFrame:
     """``value`` of the corpus by the first tier of key columns that finds it. A key of several corpus rows takes the longest
-    value, then the greatest."""
+    value, and of equally long ones the one with the greatest ``position``. Rows with a null in a tier's keys don't match there."""
     found = []
     for k, keys in enumerate(tiers):
-        best = corpus.groupBy(*keys).agg(F.max(F.struct(F.length(value).alias("n"), F.col(value).alias("v"))).alias(f"_hit{k}"))
+        best = corpus.groupBy(*keys).agg(F.max(F.struct(F.length(value).alias("n"), F.col(position).alias("p"), F.col(value).alias("v"))).alias(f"_hit{k}"))
         rows = rows.join(best, keys, "left")
         found.append(F.col(f"_hit{k}.v"))
     tier = F.coalesce(*(F.when(F.col(f"_hit{k}").isNotNull(), k + 1) for k in range(len(tiers))))

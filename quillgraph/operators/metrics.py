@@ -16,20 +16,23 @@ def at_k(retrieved: DataFrame, gold: DataFrame, ks: tuple[int, ...]) -> DataFram
     w = Window.partitionBy("query_id").orderBy("rank", "key")
     ranked = retrieved.groupBy("query_id", "key").agg(F.min("rank").alias("rank")).withColumn("rank", F.row_number().over(w))
     gold = gold.select("query_id", "key").distinct()
-    marked = ranked.join(gold.withColumn("good", F.lit(1)), ["query_id", "key"], "left")
-    aggs = [F.coalesce(F.max(F.when(F.col("good") == 1, 1.0 / F.col("rank"))), F.lit(0.0)).alias("mrr")]
+    marked = ranked.join(gold.withColumn("good", F.lit(True)), ["query_id", "key"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    return flagged_at_k(marked, gold.groupBy("query_id").agg(F.count("*").alias("relevant")), ks)
+
+
+def flagged_at_k(retrieved: DataFrame, totals: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """The same from ``retrieved`` (query_id, key, rank, good) and ``totals`` (query_id, relevant): gold is counted, not listed."""
+    w = Window.partitionBy("query_id").orderBy("rank", "key")
+    ranked = retrieved.groupBy("query_id", "key").agg(F.min("rank").alias("rank"), F.max("good").alias("good")).withColumn("rank", F.row_number().over(w))
+    aggs = [F.coalesce(F.max(F.when(F.col("good"), 1.0 / F.col("rank"))), F.lit(0.0)).alias("mrr")]
     for k in ks:
-        aggs += [F.count_if((F.col("rank") <= k) & (F.col("good") == 1)).alias(f"found_{k}"), F.count_if(F.col("rank") <= k).alias(f"shown_{k}")]
-    totals = gold.groupBy("query_id").agg(F.count("*").alias("relevant"))
-    joined = totals.join(marked.groupBy("query_id").agg(*aggs), "query_id", "left").na.fill(0)
-    out = ["query_id"]
+        aggs += [F.count_if((F.col("rank") <= k) & F.col("good")).alias(f"found_{k}"), F.count_if(F.col("rank") <= k).alias(f"shown_{k}")]
+    joined = totals.join(ranked.groupBy("query_id").agg(*aggs), "query_id", "left").na.fill(0)
+    shares = []
     for k in ks:
-        out += [
-            F.when(F.col(f"found_{k}") > 0, 1.0).otherwise(0.0).alias(f"hit_{k}"),
-            (F.col(f"found_{k}") / F.col("relevant")).alias(f"recall_{k}"),
-            F.when(F.col(f"shown_{k}") > 0, F.col(f"found_{k}") / F.col(f"shown_{k}")).otherwise(0.0).alias(f"precision_{k}"),
-        ]
-    return joined.select(*out, "mrr")
+        found, shown = F.col(f"found_{k}"), F.col(f"shown_{k}")
+        shares += [(found > 0).cast("double").alias(f"hit_{k}"), (found / F.col("relevant")).alias(f"recall_{k}"), F.when(shown > 0, found / shown).otherwise(0.0).alias(f"precision_{k}")]
+    return joined.select("query_id", *shares, "mrr")
 
 
 def set_scores(predicted: Column, gold: Column) -> dict[str, Column]:
@@ -45,11 +48,15 @@ def set_scores(predicted: Column, gold: Column) -> dict[str, Column]:
 
 
 def token_scores(rows: DataFrame, key: str = "query_id") -> DataFrame:
-    """``key``, ``precision``, ``recall``, ``f1`` of token multisets from columns ``predicted`` and ``gold`` (arrays); empty both: 1."""
-    sides = [rows.select(key, F.explode(side).alias("token")).groupBy(key, "token").agg(F.count("*").alias(side)) for side in ("predicted", "gold")]
-    shared = sides[0].join(sides[1], [key, "token"]).groupBy(key).agg(F.sum(F.least("predicted", "gold")).alias("shared"))
-    sized = rows.select(key, F.size("predicted").alias("p"), F.size("gold").alias("g")).join(shared, key, "left")
-    n = F.coalesce("shared", F.lit(0))
+    """``key``, ``precision``, ``recall``, ``f1`` of token multisets from columns ``predicted`` and ``gold`` (arrays); both empty: 1.
+
+    Rows of one key add up, so a long answer may come in parts; only counts of tokens are shuffled.
+    """
+    empty_ = F.array().cast("array<string>")
+    counted = rows.select(key, F.posexplode_outer(F.array(*(F.coalesce(side, empty_) for side in ("predicted", "gold")))).alias("side", "tokens"))
+    counted = counted.select(key, "side", F.explode_outer("tokens").alias("token")).groupBy(key, "token").agg(*(F.count_if((F.col("side") == i) & F.col("token").isNotNull()).alias(n) for i, n in enumerate("pg")))
+    n = F.col("shared")
+    sized = counted.groupBy(key).agg(F.sum("p").alias("p"), F.sum("g").alias("g"), F.sum(F.least("p", "g")).alias("shared"))
     empty = (F.col("p") == 0) & (F.col("g") == 0)
     scored = sized.select(key, F.when(empty, 1.0).when(F.col("p") > 0, n / F.col("p")).otherwise(0.0).alias("precision"), F.when(empty, 1.0).when(F.col("g") > 0, n / F.col("g")).otherwise(0.0).alias("recall"))
     return scored.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))

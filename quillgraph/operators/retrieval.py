@@ -1,7 +1,7 @@
 """Search: lexical, by vectors, by n-grams; fusion of channels.
 
-Questions are a table. Its tokens select the corpus's postings before anything is shuffled, so a search moves the rows of
-tokens that some question holds and not the corpus.
+Questions are a table. Lexical searches stream the corpus past blocks of questions, dense ones compare blocks of both;
+no table of questions by documents exists outside a task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .identity import small
+from ..sources.files import stash
+from . import blocks
 
 
 def top_k(scored: DataFrame, query: str, k: int, score: str = "score", tie: str = "doc_id", digits: int = 9) -> DataFrame:
@@ -22,36 +23,33 @@ def top_k(scored: DataFrame, query: str, k: int, score: str = "score", tie: str
     return ranked.where(F.col("rank") <= k).drop("_rounded")
 
 
-def bm25(questions: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """``query_id``, ``doc_id``, ``score`` of each pair that shares a token.
+def bm25(questions: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, zeros: bool = False) -> DataFrame:
+    """``query_id``, ``doc_id``, ``score``, ``rank`` of the ``k`` best documents of each question.
 
     ``questions`` has query_id and tokens, ``corpus`` doc_id and tokens (arrays). idf = ln(N - df + .5) - ln(df + .5); a negative one is
     ``epsilon`` times the mean over the vocabulary. Each occurrence of a token in a question counts. Documents without
-    tokens are no part of N. Pairs that share no token have score 0 and don't appear.
+    tokens are no part of N. Scores that round to 0 appear only with ``zeros``. The corpus is tokenised once and written.
     """
-    sized = corpus.select("doc_id", "tokens", F.size("tokens").alias("dl")).where("dl > 0")
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    postings = sized.select("doc_id", "dl", F.explode("tokens").alias("token")).groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.select("token", (F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    sized = stash(corpus.select("doc_id", F.col("tokens").alias("items"), F.size("tokens").alias("size"), F.lit(0.0).alias("bonus")).where("size > 0"))
+    stats = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+    # a document counts a token once, so partial counts are all that is shuffled
+    df = sized.select(F.explode(F.array_distinct("items")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    idf = stash(df.select("token", (F.ln(F.lit(stats["n"]) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw")))
     mean = idf.agg(F.avg("raw").alias("m")).first()["m"] or 0.0
     asked = questions.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
-    wanted = small(asked.select("token").distinct())
-    weights = idf.join(wanted, "token", "left_semi").select("token", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
-    # the corpus is read again for the questions' tokens only: the filter comes before the shuffle
-    hits = sized.select("doc_id", "dl", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return hits.join(weights, "token").join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-
-
-def ngram_containment(questions: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``query_id``, ``doc_id``, ``score``: share of a question's grams that the document holds. Both have ``grams`` (sets)."""
-    asked = questions.select("query_id", F.size("grams").alias("asked"), F.explode("grams").alias("gram"))
-    wanted = small(asked.select("gram").distinct())
-    held = corpus.select("doc_id", F.explode("grams").alias("gram")).join(wanted, "gram", "left_semi")
-    hits = held.join(asked, "gram").groupBy("query_id", "doc_id", "asked").agg(F.count("*").alias("shared"))
-    return hits.select("query_id", "doc_id", (F.col("shared") / F.col("asked")).alias("score"))
+    weighed = asked.join(idf, "token").select("query_id", "token", (F.col("qf") * F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw"))).alias("w"))
+    held = weighed.groupBy("query_id").agg(F.collect_list("token").alias("items"), F.collect_list("w").alias("weights"))  # a question's own tokens
+    if zeros:
+        none = questions.select("query_id").distinct().join(held, "query_id", "left_anti")
+        held = held.unionByName(none.select("query_id", F.array().cast("array<string>").alias("items"), F.array().cast("array<double>").alias("weights")))
+    found = blocks.top_k(held.withColumn("parts", F.lit(1.0)), sized, k, blocks.saturated(k1, b, stats["mean"] or 1.0), zeros)
+    return found if zeros else found.where("score > 0")
+
+
+def ngram_containment(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """``query_id``, ``doc_id``, ``score``, ``rank``: the documents that hold the largest share of a question's grams. Both have ``grams`` (sets)."""
+    asked = questions.where(F.size("grams") > 0).select("query_id", F.col("grams").alias("items"), F.transform("grams", lambda g: F.lit(1.0)).alias("weights"), F.size("grams").cast("double").alias("parts"))
+    return blocks.top_k(asked, corpus.where(F.size("grams") > 0).select("doc_id", F.col("grams").alias("items"), F.lit(0.0).alias("size"), F.lit(0.0).alias("bonus")), k)
 
 
 def reciprocal_rank_fusion(channels: list[tuple[str, DataFrame]], constant: int = 60) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .identity import small
+
 
 def hash_order(key: Column, seed: int) -> Column:
     """A pseudo-random order that every engine computes alike."""
@@ -13,17 +15,34 @@ def hash_order(key: Column, seed: int) -> Column:
 
 
 def stratified_split(rows: DataFrame, key: str, kind: str, shares: dict[str, int], seed: int = 42) -> DataFrame:
-    """``split`` for each row: within each ``kind``, by hash order, in proportion to ``shares``."""
-    w = Window.partitionBy(kind).orderBy(hash_order(F.col(key), seed), key)
-    placed = rows.withColumns({"_place": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(kind))})
-    total, upto, split = sum(shares.values()), 0, F.lit(list(shares)[-1])
-    cases = []
+    """``split`` for each row: within each ``kind``, by hash order, in proportion to ``shares``. A null kind is one of its own.
+
+    The first three hex digits of the hash make 4,096 bins of a kind. Counts of bins tell which split a bin belongs to;
+    only the rows of bins that a border cuts are ranked.
+    """
+    order = hash_order(F.col(key), seed)
+    own = F.coalesce(F.concat(F.lit("k"), F.col(kind).cast("string")), F.lit("-"))
+    placed = rows.withColumns({"_kind": own, "_hash": order, "_bin": F.substring(order, 1, 3)})
+    before = Window.partitionBy("_kind").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 bins at most
+    bins = placed.groupBy("_kind", "_bin").agg(F.count("*").alias("_in"))
+    bins = bins.withColumns({"_before": F.coalesce(F.sum("_in").over(before), F.lit(0)), "_n": F.sum("_in").over(Window.partitionBy("_kind"))})
+    total, upto, cases = sum(shares.values()), 0, []
     for name, share in shares.items():
         upto += share
-        cases.append((F.col("_place") * total < F.col("_n") * upto, name))
-    for condition, name in reversed(cases[:-1]):
-        split = F.when(condition, name).otherwise(split)
-    return placed.withColumn("split", split).drop("_place", "_n")
+        cases.append((name, upto))
+
+    def split_at(place: Column) -> Column:
+        split = F.lit(cases[-1][0])
+        for name, border in reversed(cases[:-1]):
+            split = F.when(place * total < F.col("_n") * border, name).otherwise(split)
+        return split
+
+    low, high = split_at(F.col("_before")), split_at(F.col("_before") + F.col("_in") - 1)
+    known = placed.join(small(bins.withColumns({"_low": low, "_cut": low != high})), ["_kind", "_bin"])
+    whole = known.where("not _cut").withColumn("split", F.col("_low"))
+    w = Window.partitionBy("_kind", "_bin").orderBy("_hash", key)
+    ranked = known.where("_cut").withColumn("split", split_at(F.col("_before") + F.row_number().over(w) - 1))
+    return whole.unionByName(ranked).select(*rows.columns, "split")
 
 
 def overlaps(splits: DataFrame, key: str) -> DataFrame:
@@ -39,15 +58,31 @@ def gate(rows: DataFrame, required: list[str], kinds: tuple[str, ...], key: str)
     return rows.agg(F.count("*").alias("n"), *missing, F.count_if(~F.col("type").isin(*kinds)).alias("bad_type"), (F.count("*") - F.count_distinct(key)).alias("repeated"))
 
 
-def negatives(positives: DataFrame, corpus: DataFrame, per_positive: int = 6, near: int = 2, seed: int = 42) -> DataFrame:
-    """``query_id``, ``doc_id``, ``origin``: for each positive the neighbours within ``near`` of its source, then others of the source.
+def negatives(positives: DataFrame, corpus: DataFrame, per_positive: int = 6, near: int = 2, seed: int = 42, text: str | None = None) -> DataFrame:
+    """``query_id``, ``doc_id``, ``origin``, ``rank``: for each positive the neighbours within ``near`` of its source, then others of the source, then rows of other sources.
 
-    ``positives``: query_id, doc_id, source, pos; ``corpus``: doc_id, source, pos. Others come in hash order; the positive itself
-    is never one. Candidates are the rows of the source, joined on it.
+    ``positives``: query_id, doc_id, source, pos; ``corpus``: doc_id, source, pos (and ``text``, which both need if it is named).
+    The positive itself is never one, nor, with ``text``, a row whose text contains the positive's or lies in it. Neighbours
+    come from an equi-join on places; others from the first rows of each source in hash order and of all rows, in lists
+    long enough to fill up after what a list may lose to the neighbours.
     """
-    others = positives.alias("p").join(corpus.alias("c"), F.col("p.source") == F.col("c.source")).where(F.col("p.doc_id") != F.col("c.doc_id"))
-    distance = F.abs(F.col("p.pos") - F.col("c.pos"))
-    origin = F.when(distance <= near, "neighbour").otherwise("same_source")
-    ranked = others.select(F.col("p.query_id").alias("query_id"), F.col("c.doc_id").alias("doc_id"), origin.alias("origin"), F.when(distance <= near, distance).otherwise(near + 1).alias("_d"))
-    w = Window.partitionBy("query_id").orderBy("_d", hash_order(F.col("doc_id"), seed), "doc_id")
-    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_positive).drop("_d")
+    carry = [text] if text else []
+    p = positives.select("query_id", F.col("doc_id").alias("_own"), F.col("source").alias("_source"), "pos", *(F.col(c).alias("_gold") for c in carry))
+    c = corpus.select("doc_id", "source", "pos", *carry).withColumn("_h", hash_order(F.col("doc_id"), seed))
+    around = p.withColumn("_place", F.explode(F.transform(F.sequence(F.lit(-near), F.lit(near)), lambda d: F.col("pos") + d))).where("_place <> pos")
+    side = around.join(c.withColumnRenamed("pos", "_p"), (F.col("_source") == F.col("source")) & (F.col("_place") == F.col("_p"))).withColumns({"origin": F.lit("neighbour"), "_d": F.abs(F.col("_place") - F.col("pos"))})
+    long_enough = per_positive + 2 * near + 1
+    w = Window.partitionBy("source").orderBy("_h", "doc_id")
+    listed = c.withColumnRenamed("pos", "_p").withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= long_enough)  # ranked in part before the shuffle
+    others = p.join(listed, F.col("_source") == F.col("source")).where(F.abs(F.col("_p") - F.col("pos")) > near).withColumns({"origin": F.lit("same_source"), "_d": F.lit(near + 1)})
+    # sources of the first rows of all: enough of other sources for any source
+    first = listed.groupBy("source").agg(F.min(F.struct("_h", "doc_id")).alias("m")).orderBy("m").limit(per_positive + 1).select("source")
+    pool = listed.where(F.col("_i") <= per_positive).join(F.broadcast(first), "source", "left_semi")
+    away = p.join(F.broadcast(pool), F.col("_source") != F.col("source")).withColumns({"origin": F.lit("random"), "_d": F.lit(near + 2)})
+    columns = ["query_id", "_own", *(["_gold", text] if text else []), "doc_id", "origin", "_d", "_h"]
+    union = side.select(*columns).unionByName(others.select(*columns)).unionByName(away.select(*columns)).where("doc_id <> _own")
+    if text:
+        packed = lambda name: F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"\s+", "")
+        union = union.where(~(F.contains(packed(text), packed("_gold")) | F.contains(packed("_gold"), packed(text))))
+    best = Window.partitionBy("query_id").orderBy("_d", "_h", "doc_id")
+    return union.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_positive).select("query_id", "doc_id", "origin", "rank")

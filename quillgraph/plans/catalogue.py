@@ -86,8 +86,9 @@ SELECT query_id, CAST(f5 > 0 AS INTEGER)::DOUBLE AS hit_5, round(f5 / relevant,
 FROM rel JOIN m USING (query_id)""")
 def retrieval_metrics(spark, sf):
     e = t(spark, sf, "embeddings").select("vec_id", "label")
-    gold = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "label").join(e, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("key"))
-    out = metrics.at_k(_dense(spark, sf).select("query_id", F.col("doc_id").alias("key"), "rank"), gold, (5, 10))
+    of_label = e.groupBy("label").agg((F.count("*") - 1).alias("relevant"))  # all but the query itself
+    totals = e.where(F.col("vec_id") % 50 == 0).join(of_label, "label").where("relevant > 0").select(F.col("vec_id").alias("query_id"), "relevant")
+    out = metrics.flagged_at_k(_labelled(spark, sf).select("query_id", F.col("doc_id").alias("key"), "rank", (F.col("ql") == F.col("dl")).alias("good")), totals, (5, 10))
     return out.select("query_id", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
@@ -147,8 +148,7 @@ _ENGLISH = _BM25.replace("{p}", "[a-z0-9]+")
 def _bm25(spark, sf, tokens):
     questions = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("tokens"))
     corpus = t(spark, sf, "documents").select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    scored = retrieval.bm25(questions, corpus).where(F.round("score", 9) > 0)
-    return retrieval.top_k(scored, "query_id", 20)
+    return retrieval.bm25(questions, corpus, 20)
 
 
 @query(f"WITH {_SEARCH} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM bt")
@@ -156,6 +156,15 @@ def bm25_topk(spark, sf):
     return _bm25(spark, sf, text.search_tokens).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {_BM25.replace("{p}", "[A-Za-z0-9]+").replace("lower(text)", "text")}, al AS (SELECT query_id, doc_id, coalesce(score, 0) AS score FROM (SELECT item_id AS query_id FROM benchmark) CROSS JOIN z LEFT JOIN bm USING (query_id, doc_id))
+SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM al) WHERE rank <= 20""")
+def bm25_with_zeros(spark, sf):
+    """The baseline's variant: case counts, and documents that share nothing follow with a score of 0."""
+    questions = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.mixed_tokens(F.col("text")).alias("tokens"))
+    corpus = t(spark, sf, "documents").where(F.regexp_like("text", F.lit("[A-Za-z0-9]"))).select("doc_id", text.mixed_tokens(F.col("text")).alias("tokens"))
+    return retrieval.bm25(questions, corpus, 20, zeros=True).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_ENGLISH} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM bt")
 def bm25_english_topk(spark, sf):
     return _bm25(spark, sf, text.english_tokens).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
@@ -180,7 +189,7 @@ def _containment(spark, sf):
     grams = lambda c: F.when(F.length(_plain(c)) > 4, text.char_ngrams(_plain(c)))
     questions = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), grams(F.col("text")).alias("grams"))
     corpus = t(spark, sf, "documents").select("doc_id", grams(F.col("text")).alias("grams"))
-    return retrieval.top_k(retrieval.ngram_containment(questions, corpus), "query_id", 20)
+    return retrieval.ngram_containment(questions, corpus, 20)
 
 
 @query(f"WITH {_GRAMS} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM nt")
@@ -365,10 +374,10 @@ def entity_extract(spark, sf):
     return _entities(spark, sf).select("doc_id", F.posexplode("names").alias("p", "name")).select("doc_id", (F.col("p") + 1).alias("pos"), "name")
 
 
-@query(_ENT + "SELECT name, count(DISTINCT doc_id) AS n, md5(array_to_string(list_sort(list(DISTINCT doc_id)), ',')) AS units_md5 FROM e GROUP BY 1")
+@query(_ENT + "SELECT name, doc_id // 4096 AS block, count(DISTINCT doc_id) AS n, md5(array_to_string(list_sort(list(DISTINCT doc_id)), ',')) AS units_md5 FROM e GROUP BY ALL")
 def inverted_index(spark, sf):
-    found = graph.inverted_index(_entities(spark, sf).select(F.col("doc_id").alias("unit"), F.explode("names").alias("name")))
-    return found.select("name", F.size("units").cast("long").alias("n"), F.md5(F.array_join(F.transform("units", lambda x: x.cast("string")), ",").cast("binary")).alias("units_md5"))
+    found = graph.postings(_entities(spark, sf).select(F.col("doc_id").alias("unit"), F.explode("names").alias("name")))
+    return found.select("name", "block", F.size("units").cast("long").alias("n"), F.md5(F.array_join(F.transform("units", lambda x: x.cast("string")), ",").cast("binary")).alias("units_md5"))
 
 
 _EDGES = _ENT + ", h AS (SELECT doc_id, name AS head FROM e WHERE pos = 1), g AS (SELECT DISTINCT head, name AS tail, doc_id FROM h JOIN e USING (doc_id) WHERE pos BETWEEN 2 AND 12)"
@@ -383,13 +392,11 @@ def cooccurrence_edges(spark, sf):
     return _edges(spark, sf).select("head", "tail", F.col("unit").alias("doc_id"))
 
 
-@query(_ENT + """, ev AS (SELECT name, doc_id, min(doc_id) AS p FROM e GROUP BY ALL), s AS (SELECT name, source, min(doc_id) AS p FROM e GROUP BY ALL)
-SELECT substr(sha256(name), 1, 16) AS entity_id, name, (SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY p) FROM ev WHERE ev.name = n.name) AS evidence_ids,
-  (SELECT string_agg(source, ',' ORDER BY p) FROM s WHERE s.name = n.name) AS standard_ids FROM (SELECT DISTINCT name FROM e) n""")
+@query(_ENT + """, ev AS (SELECT name, 'evidence' AS field, doc_id::VARCHAR AS id, min(doc_id) AS p FROM e GROUP BY ALL UNION ALL SELECT name, 'standard', source, min(doc_id) FROM e WHERE source IS NOT NULL GROUP BY ALL)
+SELECT substr(sha256(name), 1, 16) AS entity_id, name, field, p // 4096 AS block, string_agg(id, ',' ORDER BY p, id) AS ids FROM ev GROUP BY ALL""")
 def entity_rollup(spark, sf):
     mentions = _entities(spark, sf).select(F.explode("names").alias("name"), F.col("doc_id").alias("evidence"), F.col("source").alias("standard"), F.col("doc_id").alias("pos"))
-    rolled = graph.entity_rollup(mentions)
-    return rolled.select("entity_id", "name", F.array_join(F.transform("evidence_ids", lambda x: x.cast("string")), ",").alias("evidence_ids"), F.array_join("standard_ids", ",").alias("standard_ids"))
+    return graph.entity_rollup(mentions).select("entity_id", "name", "field", "block", F.array_join("ids", ",").alias("ids"))
 
 
 _PLACES = """ed AS (SELECT 's' || s_suppkey AS head, 'n' || s_nationkey AS tail FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
@@ -445,14 +452,15 @@ def keep_best_quality(spark, sf):
     return identity.keep_best(t(spark, sf, "documents"), ["source", "lang"], identity.clause_quality(F.col("text")), "doc_id").select("source", "lang", "doc_id")
 
 
-@query("""WITH c AS (SELECT doc_id, source, lang, text, length(text) AS n FROM documents WHERE doc_id % 3 <> 0),
-a AS (SELECT doc_id, max(row(n, text)) AS m FROM c GROUP BY 1), b AS (SELECT source, lang, max(row(n, text)) AS m FROM c GROUP BY ALL)
-SELECT d.doc_id, CAST(CASE WHEN a.m IS NOT NULL THEN 1 WHEN b.m IS NOT NULL THEN 2 END AS INTEGER) AS tier, md5(coalesce(a.m[2], b.m[2])) AS text_md5
+@query("""WITH c AS (SELECT doc_id, source, lang, text, length(text) AS n FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)),
+a AS (SELECT doc_id, max(row(n, doc_id, text)) AS m FROM c GROUP BY 1), b AS (SELECT source, lang, max(row(n, doc_id, text)) AS m FROM c GROUP BY ALL)
+SELECT d.doc_id, CAST(CASE WHEN a.m IS NOT NULL THEN 1 WHEN b.m IS NOT NULL THEN 2 END AS INTEGER) AS tier, md5(coalesce(a.m[3], b.m[3])) AS text_md5
 FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b ON b.source = d.source AND b.lang = d.lang""")
 def identity_lookup_tiers(spark, sf):
-    """Each document's text by its id, else by source and language, from a corpus that lacks a third of the ids."""
-    d = t(spark, sf, "documents")
-    found = identity.three_tier_lookup(d.select("doc_id", "source", "lang"), d.where("doc_id % 3 <> 0").select("doc_id", "source", "lang", "text"), [["doc_id"], ["source", "lang"]], "text")
+    """Each document's text by its id, else by source and language, from the documents that have a label."""
+    d = t(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    labelled = d.join(t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    found = identity.three_tier_lookup(d.drop("text"), labelled, [["doc_id"], ["source", "lang"]], "text", "doc_id")
     return found.select("doc_id", "tier", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -489,8 +497,9 @@ s AS (SELECT conv_id, sum(least(pt.k, gt.k)) AS shared FROM pt JOIN gt USING (co
 r AS (SELECT conv_id, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(p) > 0 THEN coalesce(shared, 0) / len(p) ELSE 0.0 END AS pr, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(g) > 0 THEN coalesce(shared, 0) / len(g) ELSE 0.0 END AS re FROM x LEFT JOIN s USING (conv_id))
 SELECT conv_id AS query_id, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1 FROM r""")
 def token_f1(spark, sf):
-    rows = _sides(spark, sf).select(F.col("conv_id").alias("query_id"), text.english_tokens(F.col("a")).alias("predicted"), text.english_tokens(F.col("u")).alias("gold"))
-    return metrics.token_scores(rows).select("query_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+    turns = t(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), text.english_tokens(F.coalesce("text", F.lit(""))).alias("tokens"), "role")
+    out = metrics.token_scores(turns.select("query_id", *(F.when(F.col("role") == role, F.col("tokens")).otherwise(F.array().cast("array<string>")).alias(side) for role, side in (("assistant", "predicted"), ("user", "gold")))))
+    return out.select("query_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 _CITES = """WITH v AS (SELECT conv_id, list(DISTINCT turn % 5) FILTER (role = 'assistant') AS p0, list(DISTINCT turn % 4) FILTER (role = 'user') AS g0 FROM conversations GROUP BY 1),
@@ -586,14 +595,18 @@ def validate_gate(spark, sf):
     return splits.gate(t(spark, sf, "documents").withColumn("type", F.col("lang")), ["text", "source"], ("en", "fr"), "doc_id")
 
 
-@query("""WITH p AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant' AND length(text) >= 8),
-n AS (SELECT p.conv_id * 1000 + p.turn AS query_id, c.conv_id * 1000 + c.turn AS doc_id, abs(p.turn - c.turn) AS d FROM p JOIN conversations c ON c.conv_id = p.conv_id AND c.turn <> p.turn),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN d <= 2 THEN d ELSE 3 END, md5('42|' || doc_id), doc_id) AS rank FROM n)
-SELECT query_id, doc_id, CASE WHEN d <= 2 THEN 'neighbour' ELSE 'same_source' END AS origin, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
+@query(r"""WITH c AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id AS source, turn AS pos, role, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS z FROM conversations),
+h AS (SELECT *, md5('42|' || doc_id) AS h FROM c), l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS i FROM h),
+f AS (SELECT source FROM l WHERE i = 1 ORDER BY h, doc_id LIMIT 7), p AS (SELECT * FROM h WHERE role = 'assistant' AND length(text) >= 8),
+n AS (SELECT p.doc_id AS query_id, l.doc_id, l.h, CASE WHEN p.source <> l.source THEN 'random' WHEN abs(p.pos - l.pos) <= 2 THEN 'neighbour' ELSE 'same_source' END AS origin,
+  CASE WHEN p.source <> l.source THEN 4 WHEN abs(p.pos - l.pos) <= 2 THEN abs(p.pos - l.pos) ELSE 3 END AS d
+  FROM p JOIN l ON p.doc_id <> l.doc_id AND (p.source = l.source OR (l.i <= 6 AND l.source IN (SELECT source FROM f))) WHERE NOT (contains(l.z, p.z) OR contains(p.z, l.z))),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, h, doc_id) AS rank FROM n)
+SELECT query_id, doc_id, origin, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
 def negative_mining(spark, sf):
-    c = t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("conv_id").alias("source"), F.col("turn").alias("pos"), "role", "text")
-    positives = c.where((F.col("role") == "assistant") & (F.length("text") >= 8)).select(F.col("doc_id").alias("query_id"), "doc_id", "source", "pos")
-    return splits.negatives(positives, c.select("doc_id", "source", "pos"))
+    c = t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("conv_id").alias("source"), F.col("turn").alias("pos"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    positives = c.where((F.col("role") == "assistant") & (F.length("text") >= 8)).select(F.col("doc_id").alias("query_id"), "doc_id", "source", "pos", "text")
+    return splits.negatives(positives, c.select("doc_id", "source", "pos", "text"), text="text")
 
 
 @query("""SELECT count(DISTINCT conv_id) AS questions, count(DISTINCT conv_id) FILTER (role = 'assistant' AND length(text) >= 8) AS usable,

@@ -25,10 +25,10 @@ def method(f):
 
 @method
 def bm25(questions: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:
-    """Lexical search; the baseline's pairs of score 0 aren't listed, as a question's other documents are all alike there."""
+    """Lexical search; documents that share nothing with a question follow with a score of 0."""
     q = questions.select("query_id", text.mixed_tokens(F.col("text")).alias("tokens"))
     c = corpus.select("doc_id", text.mixed_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return retrieval.top_k(retrieval.bm25(q, c), "query_id", k)
+    return retrieval.bm25(q, c, k, zeros=True)
 
 
 @method

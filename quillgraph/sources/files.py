@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null
 
+_local: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a local session without it gets a new one, on a cluster it must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local.get(spark.sparkContext.applicationId)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return base.rstrip("/")
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: what several steps read is computed once and outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     """``source`` (file name), ``path``, ``text`` of all Markdown files below ``folder``."""
