@@ -79,14 +79,6 @@ def nfkc_udf(s):
     return s.fillna("").map(lambda t: unicodedata.normalize("NFKC", t).translate(table))
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio_udf(a, b):
-    """Ratio of matching blocks of two texts, 0 if one is empty."""
-    from difflib import SequenceMatcher
-
-    return a.fillna("").combine(b.fillna(""), lambda x, y: SequenceMatcher(None, x, y).ratio() if x and y else 0.0)
-
-
 # Standards and clauses
 
 
@@ -96,12 +88,16 @@ def document_key(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"\(\d{4}\)", ""), rf"[^a-z0-9{CJK}.\-_]", "")
 
 
+#: Kinds and numbers in names of standards.
+KINDS = "hbz|gbt|gjb|qj|hb"
+NUMBER = r"(\d{2,6})(?:[.\-_](\d+))?"
+
+
 def comparison_id(c: Column) -> Column:
     """``kind:number:part:year`` of a standard's name, or empty: prefix form, suffix form, loose prefix form, bare number."""
     s = F.regexp_replace(F.regexp_replace(document_key(c), r"\.md", ""), "_", "-")
     s = F.regexp_replace(F.regexp_replace(s, r"hb-z|hb/z", "hbz"), r"gb-t|gb/t", "gbt")
-    kinds = "hbz|gbt|gjb|qj|hb"
-    number = r"(\d{2,6})(?:[.\-_](\d+))?"
+    kinds, number = KINDS, NUMBER
 
     def tier(pattern: str, kind: int | Column, num: int, part: int, year: int) -> Column:
         get = lambda g: F.regexp_extract(s, pattern, g)
@@ -130,9 +126,40 @@ def standard_codes(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"({STANDARD_CODE})"), 1), F.trim))
 
 
+#: Forms of punctuation that mean the same.
+FORMS = ("．。—–－／", "..---/")
+
+
+def one_form(c: Column) -> Column:
+    return F.translate(F.coalesce(c, F.lit("")), *FORMS)
+
+
+def display_id(file: Column, body: Column) -> tuple[Column, Column]:
+    """Display name and year of a standard from its file name, with the head of its text where the name has no year."""
+    s = F.regexp_replace(one_form(F.regexp_replace(file, r"(?<=.)\.[^.]*$", "")), r"\+", " ")
+    s = F.regexp_replace(F.regexp_replace(s, "_", "."), r"(?i)-(?:gbt|gb|hb|gjb)-(?:cd|e)-\d+$", "")
+    s = F.trim(F.regexp_replace(s, r"\s+", " "))
+    upper, year = F.upper(s), F.regexp_extract(s, r"((?:19|20)\d{2})", 1)
+    starts = [("GBT ", "GB/T "), ("GB ", "GB "), ("HB ", "HB "), ("GJB ", "GJB ")]
+    name = F.coalesce(*(F.when(upper.startswith(k), F.concat(F.lit(v), F.substring(s, len(k) + 1, F.length(s)))) for k, v in starts), F.when(F.regexp_like(s, F.lit(r"^\d")), F.concat(F.lit("GB/T "), s)), s)
+    name = F.trim(F.regexp_replace(F.regexp_replace(name, r"\s*-\s*", "-"), r"\s+", " "))
+    head, pattern = F.substring(one_form(body), 1, 1200), r"(?i)\b((?:GB\s*/?\s*T|GB|HB|GJB)\s*[0-9.]+)\s*-\s*((?:19|20)\d{2})"
+    told, told_year = F.upper(F.regexp_replace(F.regexp_extract(head, pattern, 1), r"\s+", " ")), F.regexp_extract(head, pattern, 2)
+    told = F.regexp_replace(F.concat(told, F.lit("-"), told_year), "GB ?/ T", "GB/T")
+    by_text = (year == "") & (told_year != "")
+    return F.when(by_text, told).otherwise(name), F.when(by_text, told_year).otherwise(year)
+
+
+def clause_title(title: Column) -> Column:
+    """What follows the number of a clause heading."""
+    t = F.regexp_replace(F.trim(F.regexp_replace(one_form(title), r"^[#\s]+|[#\s]+$", "")), r"\s*\.\s*", ".")
+    rest = F.regexp_replace(t, r"(?i)^(?:(?:附\s*录|附\s*件|appendix|annex)\s*[A-Z0-9一二三四五六七八九十]+|[A-Z]\.\d+(?:\.\d+){0,6}|\d+(?:\.\d+){0,7})", "")
+    return F.regexp_replace(rest, r"^[ :：.\-\s]+|[ :：.\-\s]+$", "")
+
+
 def clause_number(title: Column) -> Column:
     """Number of a clause heading (1.2.3, A.1, Annex B), or null."""
-    t = F.regexp_replace(F.trim(F.regexp_replace(title, r"^[#\s]+|[#\s]+$", "")), r"\s*\.\s*", ".")
+    t = F.regexp_replace(F.trim(F.regexp_replace(one_form(title), r"^[#\s]+|[#\s]+$", "")), r"\s*\.\s*", ".")
     after = rf"(?:\s|$|(?=[{CJK}A-Za-z（(]))"
     numeric = F.regexp_extract(t, rf"^(\d+(?:\.\d+){{0,7}}){after}", 1)
     letter = F.upper(F.regexp_extract(t, rf"(?i)^([A-Z]\.\d+(?:\.\d+){{0,6}}){after}", 1))
@@ -185,7 +212,10 @@ def forward_reference(c: Column) -> Column:
 # Identities
 
 
-def evidence_id(standard: Column, clause: Column, schema: str = "sct-clause-v1") -> Column:
+CLAUSE_SCHEMA = "clause-v1"
+
+
+def evidence_id(standard: Column, clause: Column, schema: str = CLAUSE_SCHEMA) -> Column:
     return F.concat(F.lit("ev_"), F.substring(F.sha2(F.concat_ws("|", standard, clause, F.lit(schema)), 256), 1, 20))
 
 
@@ -268,27 +298,19 @@ def parse_triples(reply: Column) -> Column:
     return F.transform(F.filter(rows, lambda r: r.isNotNull()), lambda r: r.withField("confidence", F.coalesce(r["confidence"], F.lit(0.5))))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def salvage_json_objects_udf(s):
-    """Objects of a damaged JSON array as texts: control characters and trailing commas removed, then object by object."""
-    import json
-    import re
-
-    def one(text):
-        text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", re.sub(r"<think>.*?</think>", "", text or "", flags=re.S))
-        decoder, at, out = json.JSONDecoder(), text.find("{"), []
-        text = re.sub(r",\s*([}\]])", r"\1", text)
-        at = text.find("{")
-        while at >= 0:
-            try:
-                value, end = decoder.raw_decode(text, at)
-                out.append(json.dumps(value, ensure_ascii=False, sort_keys=True))
-            except ValueError:
-                end = at + 1
-            at = text.find("{", end)
-        return out
-
-    return s.map(one, na_action=None)
+def salvage_objects(reply: Column) -> Column:
+    """Objects of a damaged JSON array as texts: thinking and control characters removed, trailing commas dropped, then object by object.
+
+    An object is a stretch of balanced braces, strings and at most three levels of objects inside; Spark's parser decides
+    whether it is one. What no brace closes drops.
+    """
+    s = F.regexp_replace(F.coalesce(reply, F.lit("")), r"(?s)<think>.*?</think>", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), r",\s*([}\]])", "$1")
+    inner = r'(?:[^{}"]|"(?:[^"\\]|\\.)*+")*+'
+    for _ in range(3):
+        inner = r'(?:[^{}"]|"(?:[^"\\]|\\.)*+"|\{' + inner + r'\})*+'
+    found = F.regexp_extract_all(s, F.lit(r"(?s)(\{" + inner + r"\})"), 1)
+    return F.filter(found, lambda x: F.get_json_object(x, "$").isNotNull())
 
 
 def router_reply(reply: Column) -> Column:

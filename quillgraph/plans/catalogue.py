@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import chunk, text
+from ..functions import chunk, similarity, text
 from ..operators import align, clauses, graph, identity, metrics, rank, retrieval, router, splits
 
 QUERIES: dict = {}
@@ -275,7 +275,7 @@ def alignment_status_counts(spark, sf):
 def alignment_with_sequence_ratio(spark, sf):
     """The full score, with the ratio of matching blocks of the first 4,000 and 8,000 characters as the rule has it."""
     paragraphs, answers = _pairs_of_turns(spark, sf)
-    pairs = align.candidates(paragraphs, answers).withColumn("ratio", text.sequence_ratio_udf(F.substring("p_text", 1, 4000), F.substring("c_text", 1, 8000)))
+    pairs = align.candidates(paragraphs, answers).withColumn("ratio", similarity.sequence_ratio(F.substring("p_text", 1, 4000), F.substring("c_text", 1, 8000)))
     value, method = align.score(F.col("p_text"), F.col("c_text"), F.col("ratio"))
     best = align.best_with_margin(pairs.withColumns({"score": value, "method": method}), ["source", "pid"], align.ANSWER_GATES)
     return best.select("source", "pid", "cid", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "method", "status")
@@ -291,14 +291,44 @@ def chunk_fixed_stride(spark, sf):
     return chunks.select("doc_id", F.size("chunks").alias("part_count"), F.posexplode("chunks").alias("part_index", "chunk"))
 
 
-@query()
+def _cuts(size: int, overlap: int, half: int) -> str:
+    """Chunks of texts without CJK marks: the window's last line break in its second half ends a chunk."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+c AS (SELECT doc_id, 0 AS i, 0 AS b, CASE WHEN length(t) <= {size} THEN length(t) ELSE coalesce(nullif(CASE WHEN length(regexp_extract(substr(t, 1, {size}), '^(?s:.*)\n')) >= {half} THEN length(regexp_extract(substr(t, 1, {size}), '^(?s:.*)\n')) END, 0), {size}) END AS e FROM d WHERE t <> ''
+  UNION ALL SELECT doc_id, i + 1, nb, CASE WHEN nb + {size} >= n THEN n WHEN length(regexp_extract(substr(t, nb + 1, {size}), '^(?s:.*)\n')) >= {half} THEN nb + length(regexp_extract(substr(t, nb + 1, {size}), '^(?s:.*)\n')) ELSE nb + {size} END
+  FROM (SELECT doc_id, i, greatest(b + 1, e - {overlap}) AS nb, length(t) AS n, t FROM c JOIN d USING (doc_id) WHERE e < length(t))),
+p AS (SELECT doc_id, i, regexp_replace(substr(t, b + 1, e - b), '^\\s+|\\s+$', '', 'g') AS chunk FROM c JOIN d USING (doc_id))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS part_index, chunk FROM p WHERE chunk <> ''"""
+
+
+@query(_cuts(1500, 100, 750))
 def chunk_boundary(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.posexplode(chunk.boundary_chunks(F.col("text"))).alias("part_index", "chunk"))
 
 
-@query()
+@query("WITH x AS (" + _cuts(1200, 120, 601) + ") SELECT *, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS part_count, row_number() OVER (ORDER BY doc_id, part_index) - 1 AS global_index FROM x")
+def chunk_ordinals(spark, sf):
+    """Chunks of clauses with their place in their text and in the whole corpus."""
+    d = t(spark, sf, "documents")
+    return chunk.placed_chunks(d, chunk.clause_chunks(F.col("text")), ["doc_id"], ["doc_id"]).select("doc_id", "part_index", "part_count", "global_index", "chunk")
+
+
+_SENTENCES = r"""q AS (SELECT doc_id, text, string_split(text, '$$') AS m, len(string_split(text, '$$')) - CASE WHEN len(string_split(text, '$$')) % 2 = 0 THEN 1 ELSE 0 END AS closed FROM documents),
+v AS (SELECT doc_id, flatten([CASE WHEN i % 2 = 0 THEN ['$$' || m[i] || '$$'] ELSE string_split(regexp_replace(regexp_replace(replace(CASE WHEN i = closed AND len(m) % 2 = 0 THEN m[i] || '$$' || m[i + 1] ELSE m[i] END, '##', chr(10) || '##'), '([;\n])', '\1' || chr(1), 'g'), chr(1) || '+', chr(1), 'g'), chr(1)) END FOR i IN range(1, closed + 1)]) AS parts FROM q),
+p AS (SELECT doc_id, generate_subscripts(parts, 1) AS pos, regexp_replace(regexp_replace(regexp_replace(unnest(parts), '^\s+|\s+$', '', 'g'), '^#{1,4}\s*', ''), '^\s+|\s+$', '', 'g') AS s FROM v),
+g AS (SELECT doc_id, pos, s, regexp_replace(s, '\s+', '', 'g') AS z FROM p),
+k AS (SELECT * FROM g WHERE length(s) >= 12 AND length(z) BETWEEN 12 AND CASE WHEN regexp_matches(s, '\$\$(?s:.){6,}\$\$|\$[^$]{8,}\$') THEN 900 ELSE 480 END AND NOT (regexp_matches(s, '\\mathrm|\\frac|\$\s*\\') AND NOT regexp_matches(s, '\$\$|式中|='))
+  AND NOT regexp_matches(s, '(?i)Requirements\s+for|ARINC\s*\d+|Air\s+transport\s+avionics') AND NOT regexp_matches(z, 'HB[xX]{2,}')),
+o AS (SELECT doc_id, z, min(pos) AS pos, arg_min(s, pos) AS sentence FROM k GROUP BY ALL),
+w AS (SELECT doc_id, 0 AS pos, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS sentence FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM o)),
+se AS (SELECT doc_id, pos, sentence FROM o UNION ALL SELECT doc_id, pos, sentence FROM w WHERE length(regexp_replace(sentence, '\s+', '', 'g')) BETWEEN 12 AND 480
+  AND NOT regexp_matches(sentence, '(?i)Requirements\s+for|ARINC\s*\d+|Air\s+transport\s+avionics'))"""
+
+
+@query(f"WITH {_SENTENCES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS part_index, sentence FROM se")
 def sentence_split(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.posexplode(chunk.sentences(F.col("text"))).alias("part_index", "sentence"))
+    """Evidence sentences; the texts hold no CJK, whose rules tests check."""
+    return chunk.sentences(t(spark, sf, "documents"), "doc_id", "text")
 
 
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]|[A-Za-z0-9]+')) AS INTEGER) AS mixed,
@@ -346,11 +376,11 @@ def json_parse_props(spark, sf):
     return e.select("event_id", "user_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query()
+@query("""SELECT event_id, CAST(2 AS INTEGER) AS n, props AS first FROM events""")
 def llm_json_repair(spark, sf):
     """Damaged replies made of event properties: thinking, a trailing comma, a cut-off last object."""
     reply = F.concat(F.lit("<think>[1]</think> ["), "props", F.lit(", "), F.regexp_replace("props", "}$", ",}"), F.lit(', {"k": '))
-    found = t(spark, sf, "events").select("event_id", text.salvage_json_objects_udf(reply).alias("objects"))
+    found = t(spark, sf, "events").select("event_id", text.salvage_objects(reply).alias("objects"))
     return found.select("event_id", F.size("objects").alias("n"), F.get("objects", 0).alias("first"))
 
 
@@ -472,12 +502,26 @@ def neighbours(spark, sf):
     return c.select("conv_id", "turn", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"), around.alias("around"))
 
 
-@query()
+_CLAUSES = r"""ln AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+hd AS (SELECT *, length(line) % 3 + 1 AS k, repeat('#', CAST(length(line) % 3 + 1 AS INTEGER)) || ' ' || i || '.' || (length(line) % 3 + 1) || ' Part' AS head FROM ln),
+st AS (SELECT *, coalesce(sum(length(head) + length(line) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_offset, i || '.' || k || ' Part' AS name FROM hd),
+an AS (SELECT *, last_value(CASE WHEN k <= 1 THEN name END IGNORE NULLS) OVER w AS a1, last_value(CASE WHEN k <= 2 THEN struct_pack(k := k, n := name) END IGNORE NULLS) OVER w AS a2,
+  lead(start_offset) OVER w AS nx FROM st WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+cl AS (SELECT doc_id, 'HB+' || doc_id || '-2013.md' AS source, 'HB ' || doc_id || '-2013' AS standard_id, i || '.' || k AS clause_id, 'Part' AS clause_title,
+  CASE WHEN k > 1 AND a1 IS NOT NULL THEN a1 || ' / ' ELSE '' END || CASE WHEN k > 2 AND a2.k = 2 THEN a2.n || ' / ' ELSE '' END || name AS clause_path, CAST(start_offset AS BIGINT) AS start_offset,
+  CAST(coalesce(nx, start_offset + length(head) + 1 + length(line)) AS BIGINT) AS end_offset, regexp_replace(head || chr(10) || line, '\s+$', '') AS raw_text FROM an)"""
+
+
+def _clauses(spark, sf):
+    """Clauses of documents read as Markdown: each line gets a numbered heading of one of three levels."""
+    line = lambda x, i: F.concat(F.repeat(F.lit("#"), F.length(x) % 3 + 1), F.lit(" "), (i + 1).cast("string"), F.lit("."), (F.length(x) % 3 + 1).cast("string"), F.lit(" Part\n"), x)
+    docs = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("HB+"), F.col("doc_id").cast("string"), F.lit("-2013.md")).alias("source"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    return clauses.parse(docs, key="doc_id")
+
+
+@query(f"WITH {_CLAUSES} SELECT doc_id, clause_id, clause_title, clause_path, start_offset, end_offset, 'ev_' || substr(sha256(standard_id || '|' || clause_id || '|clause-v1'), 1, 20) AS evidence_id, md5(raw_text) AS raw_md5 FROM cl")
 def markdown_clauses(spark, sf):
-    """Clauses of documents read as Markdown: numbered lines and headings, ancestors, ends."""
-    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.lit("# "), (i + 1).cast("string"), F.lit("."), (F.length(line) % 3 + 1).cast("string"), F.lit(" Part\n"), line)), "\n")
-    docs = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), numbered.alias("text"))
-    return clauses.parse(docs).select("source", "clause_id", "clause_title", F.array_join("clause_path", " / ").alias("clause_path"), "start_offset", "end_offset", "evidence_id")
+    return _clauses(spark, sf).select("doc_id", "clause_id", "clause_title", F.array_join("clause_path", " / ").alias("clause_path"), F.col("start_offset").cast("long").alias("start_offset"), F.col("end_offset").cast("long").alias("end_offset"), "evidence_id", F.md5(F.col("raw_text").cast("binary")).alias("raw_md5"))
 
 
 # Answers and evaluation

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.functions import chunk, text
+from quillgraph.functions import chunk, similarity, text
 from quillgraph.operators import align, clauses, graph, identity, metrics, rank, retrieval, splits
 from quillgraph.plans import methods
 from quillgraph.sources import files
@@ -48,20 +48,68 @@ def test_quality(spark):
 def test_replies(spark):
     rows = one(spark, text.parse_triples(F.col("x")), x='<think>[x]</think> so: [{"head":{"name":"a"},"relation":"r","tail":{"name":"b"}}] end')
     assert rows[0]["head"]["name"] == "a" and rows[0]["confidence"] == 0.5
-    assert one(spark, text.salvage_json_objects_udf(F.col("x")), x='[{"a":1,}, {"b": [2,]}, {"c"') == ['{"a": 1}', '{"b": [2]}']
+    assert one(spark, text.salvage_objects(F.col("x")), x='[{"a":1,}, {"b": [2,], "d": {"e": "}"}}, {"c"') == ['{"a":1}', '{"b": [2], "d": {"e": "}"}}']
     assert one(spark, text.router_reply(F.col("x")), x='hm {"type_id": 7, "entities": [" a ", ""]}')["type_id"] == 1
     assert one(spark, text.judge_score(F.col("x")), x="score: 0.8") == 0.8 and one(spark, text.judge_score(F.col("x")), x="none") == -1.0
     assert one(spark, text.cited_numbers(text.answer_part(F.col("x"))), x="【答案】a [2] b [3.1]【证据】1. ev [9]") == [2, 3]
 
 
 def test_chunks():
-    assert chunk.cut("", 10, 2, ("\n",)) == [] and chunk.cut("abcdefghij", 10, 2, ("\n",)) == ["abcdefghij"]
-    assert chunk.cut("aaaaaa\r\nbbbbbb", 10, 0, ("\n",)) == ["aaaaaa", "bbbbbb"]
-    assert chunk.cut("a\nbbbbbbbbbbbbb", 10, 0, ("\n",))[0] == "a\nbbbbbbbb"
+    cut = chunk.running_chunks
+    assert cut("", 10, 2) == [] == cut(None, 10, 2) and cut("abcdefghij", 10, 2) == ["abcdefghij"]
+    assert cut("aaaaaa\r\nbbbbbb", 10, 0) == ["aaaaaa", "bbbbbb"]
+    assert cut("a\nbbbbbbbbbbbbb", 10, 0)[0] == "a\nbbbbbbbb"
+    # a boundary exactly at half the window counts, so do blank lines with blanks and all four marks
+    assert cut("abcd\nefghijkl", 10, 0) == ["abcd", "efghijkl"] and cut("abcdef\n  \nghijklmn", 10, 0) == ["abcdef", "ghijklmn"]
+    for mark in "。！？；":
+        assert cut(f"abcdef{mark}  ghijklm", 10, 0) == [f"abcdef{mark}", "ghijklm"]
+    assert cut("abcdefgh；    ijklmnop", 10, 3) == ["abcdefgh；", "h；", "ijklmno", "mnop"]
+    # clauses: the mark itself lies in the second half, and only three marks count
+    part = chunk.parts_of_clause
+    assert part("abcd\nefghijkl", 10, 0) == ["abcd\nefghi", "jkl"] and part("abcde\nfghijkl", 10, 0) == ["abcde", "fghijkl"]
+    assert part("abcdef！ghijklm", 10, 0) == ["abcdef！ghi", "jklm"] and part("x" * 10, 10, 2) == ["x" * 10] and part(" ", 10, 2) == []
     with pytest.raises(ValueError):
         chunk.boundary_chunks(F.lit(""), 10, 10)
 
 
+def test_sentences(spark):
+    def of(body):
+        rows = chunk.sentences(spark.createDataFrame([(1, body)], "k long, t string"), "k", "t")
+        return [r["sentence"] for r in rows.orderBy("part_index").collect()]
+
+    assert of("这一条要求零件表面应保持清洁。第二条要求设备应定期进行检查；太短。") == ["这一条要求零件表面应保持清洁。", "第二条要求设备应定期进行检查；"]
+    # clause numbers and headings begin sentences; the heading's mark goes
+    assert of("651贮存条件应符合环境要求规定值652板级组件应符合安装要求规定值") == ["651贮存条件应符合环境要求规定值", "652板级组件应符合安装要求规定值"]
+    assert of("这一条要求零件表面应保持清洁## 检验方法和检验规则的说明") == ["这一条要求零件表面应保持清洁", "检验方法和检验规则的说明"]
+    # a formula is whole whatever it holds, and joins the sentence that announces it
+    assert of("零件的效率应按公式(1)计算如下：$$\\eta = a；b\nc + 12345$$\n其余部分应符合设计图样的要求。") == ["零件的效率应按公式(1)计算如下：\n$$\\eta = a；b\nc + 12345$$", "其余部分应符合设计图样的要求。"]
+    assert of("本部分应重复出现的一句说明文字。本部分应重复出现的一句说明文字。") == ["本部分应重复出现的一句说明文字。"]
+    assert of("abc def; ghi jkl; mno") == ["abc def; ghi jkl; mno"] and of("short") == [] and of(None) == []
+    assert of("one $$ alone stays text of its own") == ["one $$ alone stays text of its own"]
+
+
+def test_matching_blocks():
+    import difflib
+    import random
+
+    random.seed(3)
+    for _ in range(500):
+        a, b = ("".join(random.choice("abcd") for _ in range(random.randint(0, 30))) for _ in "ab")
+        assert similarity.ratio(a, b) == pytest.approx(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else 0.0)
+    long = "".join(random.choice("ab") for _ in range(300))  # beyond the length where popular characters could count as junk
+    assert similarity.ratio(long, long[::-1]) == pytest.approx(difflib.SequenceMatcher(None, long, long[::-1], autojunk=False).ratio())
+
+
+def test_display_id(spark):
+    def of(file, body=""):
+        name, year = text.display_id(F.col("f"), F.col("b"))
+        r = spark.createDataFrame([(file, body)], "f string, b string").select(name.alias("n"), year.alias("y")).first()
+        return r["n"], r["y"]
+
+    assert of("28878_1-2012-gbt-e-300.md") == ("GB/T 28878.1-2012", "2012") and of("HB+8364-2013.md") == ("HB 8364-2013", "2013")
+    assert of("GBT+1.1.md", "本标准代替 GB / T 1.1 － 2000") == ("GB/T 1.1-2000", "2000") and of("GJB 150 - 1986.md") == ("GJB 150-1986", "1986")
+
+
 def test_alignment(spark):
     p = spark.createDataFrame([("s", 1, "abcdefgh"), ("s", 2, "zz"), ("s", 3, "qwertyui")], "source string, pid long, p_text string")
     c = spark.createDataFrame([("s", 1, "xxabcdefghyy"), ("s", 2, "bcdefg"), ("s", 3, "aazzbb"), ("s", 4, "qwertyuX"), ("s", 5, "qwertyuX")], "source string, cid long, c_text string")
@@ -103,9 +151,12 @@ def test_graph_and_identity(spark):
 
 
 def test_clauses(spark):
-    body = "# 1 Scope\nWords.\n## 1.1 Parts\nMore words here.\n2\nReferences\nText 2\n# Annex A Notes\nend"
+    body = "# 1 Scope\nWords.\n## 1.1 Parts\nMore words here.\n2\n\nText before\n# References\nText 2\n# Annex A Notes\nend\n7\n8 Last one\n#### 652 Lost dots"
     rows = clauses.parse(spark.createDataFrame([("f.md", body)], "source string, text string")).orderBy("start_offset").collect()
-    assert [r["clause_id"] for r in rows] == ["1", "1.1", "2", "Annex A"]
+    assert [r["clause_id"] for r in rows] == ["1", "1.1", "2", "Annex A", "8", "6.5.2"]
+    assert [r["parse_method"] for r in rows] == ["markdown_heading", "markdown_heading", "split_number_heading", "markdown_heading", "plain_number_heading", "markdown_heading:ocr_compact_id_repaired"]
+    two = spark.createDataFrame([("a/f.md", "f.md", body), ("b/f.md", "f.md", "# 1 Other\nx")], "path string, source string, text string")
+    assert clauses.parse(two, key="path").groupBy("path").count().orderBy("path").collect() == [("a/f.md", 6), ("b/f.md", 1)]
     assert rows[1]["clause_path"] == ["1 Scope", "1.1 Parts"] and rows[2]["clause_title"] == "References"
     assert all(body[r["start_offset"] : r["end_offset"]].strip() == r["raw_text"] for r in rows)
 
