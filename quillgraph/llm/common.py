@@ -58,11 +58,19 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def slices(batches: Iterable, most_rows: int = 1000, most_bytes: int = 8_000_000):
+    """The rows of Arrow batches in parts of at most ``most_rows``, fewer where they are long, so Python objects of few rows live at once."""
+    for batch in batches:
+        rows = max(1, min(most_rows, most_bytes * max(batch.num_rows, 1) // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts(batches: Iterable, text: str = "text"):
-    """Arrow batches with their texts as bytes (null: empty)."""
+    """Parts of Arrow batches with their texts as bytes (null: empty)."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in slices(batches):
         column = batch.column(batch.schema.get_field_index(text))
         yield batch, [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
