@@ -123,7 +123,7 @@ def same_document(a: Column, b: Column) -> Column:
 
 
 def standard_codes(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"({STANDARD_CODE})"), 1), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"({STANDARD_CODE})"), 1), lambda x: F.trim(x)))
 
 
 #: Forms of punctuation that mean the same.
@@ -318,7 +318,7 @@ def router_reply(reply: Column) -> Column:
     row = F.from_json(F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)(\{.*\})", 1), "struct<type_id:int,entities:array<string>,intent:string>")
     kind = F.when(row["type_id"].isin(1, 2, 3), row["type_id"]).otherwise(1)
     entities = F.filter(F.coalesce(row["entities"], F.array().cast("array<string>")), lambda e: blank_to_null(e).isNotNull())
-    return F.struct(kind.alias("type_id"), F.transform(entities, F.trim).alias("entities"), F.coalesce(row["intent"], F.lit("")).alias("intent"))
+    return F.struct(kind.alias("type_id"), F.transform(entities, lambda x: F.trim(x)).alias("entities"), F.coalesce(row["intent"], F.lit("")).alias("intent"))
 
 
 # Vectors
