@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,21 @@ def shared_folder(spark: SparkSession) -> str:
 _local: dict[str, str] = {}
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of at most ``rows`` rows while a table is written, so that long texts stay small in memory; then as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stash(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -46,7 +62,8 @@ def stash(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with small_batches(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
