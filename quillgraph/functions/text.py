@@ -324,6 +324,13 @@ def router_reply(reply: Column) -> Column:
 # Vectors
 
 
+def hash_embedding(tokens: Column, size: int = 16) -> Column:
+    """Counts of tokens by the first hex digit of their MD5: a vector that every engine computes alike."""
+    digits = F.transform(tokens, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 1), 16, 10).cast("int") % size)
+    bound = F.array(digits)  # computed once, not for each component
+    return F.get(F.transform(bound, lambda d: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(d, lambda x: x == i)).cast("double"))), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -16,9 +16,9 @@ from ..sources.files import stash
 from . import blocks
 
 
-def top_k(scored: DataFrame, query: str, k: int, score: str = "score", tie: str = "doc_id", digits: int = 9) -> DataFrame:
+def top_k(scored: DataFrame, query: str | list[str], k: int, score: str = "score", tie: str = "doc_id", digits: int = 9) -> DataFrame:
     """The k best of each query, ``rank`` from 1; scores rounded so that engines agree on ties, then the smaller ``tie``."""
-    w = Window.partitionBy(query).orderBy(F.desc("_rounded"), tie)
+    w = Window.partitionBy(*([query] if isinstance(query, str) else query)).orderBy(F.desc("_rounded"), tie)
     ranked = scored.withColumn("_rounded", F.round(score, digits)).withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k).drop("_rounded")
 
@@ -61,11 +61,12 @@ def reciprocal_rank_fusion(channels: list[tuple[str, DataFrame]], constant: int
     return union.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("channel")).alias("channels"))
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, scopes: bool = False, exclude_self: bool = True, row_block: int = 16_384, query_block: int = 2_048) -> DataFrame:
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, scopes: bool = False, exclude_self: bool = True, keep_scope: bool = False, row_block: int = 16_384, query_block: int = 2_048) -> DataFrame:
     """``query_id``, ``doc_id``, ``score``, ``rank``: exact cosine search (0 for a zero norm), the smaller doc_id first in ties.
 
     ``queries`` has query_id and v, ``vectors`` doc_id and v (arrays of one length), with ``scopes`` both a column scope: then
     only rows of the query's scope count, and the scope is part of the block, which restricts before anything is scored.
+    With ``keep_scope`` a query may ask in several scopes and has ``k`` rows in each, which ``scope`` tells.
     Neither side is broadcast: pairs of blocks of bounded size are groups, and each returns k rows a query at most.
     """
     extra = ["scope"] if scopes else []
@@ -76,6 +77,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, scopes: bool = F
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["asks"].to_numpy(bool)
         out = {"query_id": [], "doc_id": [], "score": []}
+        scope = pdf["scope"].iloc[0] if keep_scope else None
         if asks.any() and not asks.all():
             x = np.stack(pdf["v"].to_list()).astype(float)
             norms = np.sqrt((x * x).sum(1))
@@ -93,10 +95,11 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, scopes: bool = F
                     out["query_id"] += [qid[a + i]] * len(row)
                     out["doc_id"] += rid[row].tolist()
                     out["score"] += scores[i, row].tolist()
-        return pd.DataFrame(out)
+        return pd.DataFrame({"scope": [scope] * len(out["score"]), **out} if keep_scope else out)
 
-    found = q.unionByName(r).groupBy(*extra, "qb", "rb").applyInPandas(block, "query_id long, doc_id long, score double")
-    return top_k(found, "query_id", k)
+    kind = f"scope {vectors.schema['scope'].dataType.simpleString()}, " if keep_scope else ""
+    found = q.unionByName(r).groupBy(*extra, "qb", "rb").applyInPandas(block, kind + "query_id long, doc_id long, score double")
+    return top_k(found, ["query_id", "scope"] if keep_scope else ["query_id"], k)
 
 
 def thresholded(ranked: DataFrame, least: float, caps: Column) -> DataFrame:

@@ -7,30 +7,14 @@ whose id is divisible by 50; ``conversations`` pair questions and answers; ``lab
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import chunk, similarity, text
 from ..operators import align, clauses, graph, identity, metrics, rank, retrieval, router, splits
+from .registry import ORACLES, QUERIES, query, t
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # Vector search
 

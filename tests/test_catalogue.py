@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillgraph.plans import catalogue
+from quillgraph.plans import queries as catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
