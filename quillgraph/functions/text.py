@@ -29,6 +29,11 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def bound(c: Column, f) -> Column:
+    """``f`` of a column that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), 0)
+
+
 def squeezed(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
 
@@ -96,9 +101,10 @@ NUMBER = r"(\d{2,6})(?:[.\-_](\d+))?"
 def comparison_id(c: Column) -> Column:
     """``kind:number:part:year`` of a standard's name, or empty: prefix form, suffix form, loose prefix form, bare number."""
     s = F.regexp_replace(F.regexp_replace(document_key(c), r"\.md", ""), "_", "-")
-    s = F.regexp_replace(F.regexp_replace(s, r"hb-z|hb/z", "hbz"), r"gb-t|gb/t", "gbt")
-    kinds, number = KINDS, NUMBER
+    return bound(F.regexp_replace(F.regexp_replace(s, r"hb-z|hb/z", "hbz"), r"gb-t|gb/t", "gbt"), _comparison)
+
 
+def _comparison(s: Column) -> Column:
     def tier(pattern: str, kind: int | Column, num: int, part: int, year: int) -> Column:
         get = lambda g: F.regexp_extract(s, pattern, g)
         name = get(kind) if isinstance(kind, int) else kind
@@ -106,18 +112,22 @@ def comparison_id(c: Column) -> Column:
 
     bare_kind = F.coalesce(*(F.when(F.contains(s, F.lit(k)), k) for k in ("hbz", "gbt", "gjb", "qj")), F.when(s.startswith("hb") | F.regexp_like(s, F.lit(r"\bhb\b")), "hb"), F.lit(""))
     return F.coalesce(
-        tier(rf"({kinds}){number}-(\d{{4}})", 1, 2, 3, 4),
-        tier(rf"{number}-(\d{{4}}).*?(gbt|gjb|qj|hbz|hb)", 4, 1, 2, 3),
-        tier(rf"(?:^|[^a-z])({kinds})[^\d]*{number}[^\d]*(\d{{4}})", 1, 2, 3, 4),
-        tier(rf"{number}-(\d{{4}})", bare_kind, 1, 2, 3),
+        tier(rf"({KINDS}){NUMBER}-(\d{{4}})", 1, 2, 3, 4),
+        tier(rf"{NUMBER}-(\d{{4}}).*?(gbt|gjb|qj|hbz|hb)", 4, 1, 2, 3),
+        tier(rf"(?:^|[^a-z])({KINDS})[^\d]*{NUMBER}[^\d]*(\d{{4}})", 1, 2, 3, 4),
+        tier(rf"{NUMBER}-(\d{{4}})", bare_kind, 1, 2, 3),
         F.lit(""),
     )
 
 
 def same_document(a: Column, b: Column) -> Column:
     """Equal comparison ids if both have one; else equal keys, or containment of keys of 8 characters or more."""
-    ia, ib = comparison_id(a), comparison_id(b)
-    ka, kb = F.regexp_replace(document_key(a), r"\.md", ""), F.regexp_replace(document_key(b), r"\.md", "")
+    form = lambda c: F.struct(comparison_id(c).alias("id"), F.regexp_replace(document_key(c), r"\.md", "").alias("key"))
+    return bound(F.struct(form(a).alias("a"), form(b).alias("b")), _same)
+
+
+def _same(both: Column) -> Column:
+    ia, ib, ka, kb = both["a"]["id"], both["b"]["id"], both["a"]["key"], both["b"]["key"]
     inside = (F.least(F.length(ka), F.length(kb)) >= 8) & (F.contains(ka, kb) | F.contains(kb, ka))
     return (ka != "") & (kb != "") & F.when((ia != "") & (ib != ""), ia == ib).otherwise((ka == kb) | inside)
 

@@ -94,5 +94,29 @@ def best_with_margin(scored: DataFrame, keys: list[str], gates: tuple[tuple[floa
     return best.withColumn("status", status).drop("_rank", "_s")
 
 
+def best_few(scored: DataFrame, keys: list[str], most: int, digits: int = 9) -> DataFrame:
+    """The ``most`` best clauses of each paragraph, ``place`` from 1, for an audit."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", digits)), "cid")
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def linked(triples: DataFrame, aligned: DataFrame, keys: list[str], identity: list[str], always: bool = False) -> DataFrame:
+    """``triples`` with ``status`` and the columns ``identity`` of their paragraph's clause, null unless it is accepted (or ``always``).
+
+    A paragraph without any candidate is ``unresolved``.
+    """
+    accepted = F.lit(True) if always else F.col("status") != "needs_review"
+    one = aligned.select(*keys, "status", *(F.when(accepted, F.col(c)).alias(c) for c in identity))
+    return triples.join(one, keys, "left").withColumn("status", F.coalesce("status", F.lit("unresolved")))
+
+
+def manifest(rows: DataFrame, source: str, paragraph: list[str], identity: str) -> DataFrame:
+    """One row of counts: triples, sources, distinct paragraphs, accepted, to review, unresolved."""
+    return rows.agg(
+        F.count("*").alias("triples"), F.count_distinct(source).alias("sources"), F.count_distinct(*paragraph).alias("paragraphs"),
+        F.count(identity).alias("accepted"), F.count_if(F.col("status") == "needs_review").alias("review"), F.count_if(F.col("status") == "unresolved").alias("unresolved"),
+    )
+
+
 GRAPH_GATES = ((0.90, 0.02, "accepted_high"), (0.65, 0.01, "accepted_medium"))
 ANSWER_GATES = ((0.90, 0.03, "accepted_high"), (0.72, 0.015, "accepted_medium"))
