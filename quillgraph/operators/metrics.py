@@ -157,7 +157,8 @@ def paragraph_tokens(c: Column) -> Column:
     text = F.regexp_replace(F.coalesce(c, F.lit("")), NAMED_STANDARD, " ")
     words = F.regexp_extract_all(text, F.lit(f"([{CJK}]{{2,}}|[A-Za-z0-9]{{2,}})"), 1)
     runs = F.regexp_extract_all(text, F.lit(f"([{CJK}]{{4,}})"), 1)
-    grams = F.flatten(F.transform(runs, lambda r: F.concat(*(F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i, n=n: F.substring(r, i, F.lit(n))) for n in (2, 3)))))
+    cut = lambda r, n: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n)))
+    grams = F.flatten(F.transform(runs, lambda r: F.concat(cut(r, 2), cut(r, 3))))
     return F.filter(F.array_distinct(F.concat(words, grams)), lambda w: ~w.isin(*GENERIC) & ~F.regexp_like(w, F.lit(r"^\d+$")))
 
 
