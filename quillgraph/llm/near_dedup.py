@@ -136,7 +136,7 @@ def held_sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
     return made.dropDuplicates(["doc_id", "text_hash"])
 
 
-def near_limit(open_: DataFrame, percent: int, block: int = 2048) -> DataFrame:
+def near_limit(open_: DataFrame, percent: int, block: int = 512) -> DataFrame:
     """Pairs (a, b) of members of one group in different components that are links or all but links.
 
     ``open_``: grp, doc_id, text_hash, lab, held. The 32-bit hashes of the sets decide, with a hundredth to spare for hashes
