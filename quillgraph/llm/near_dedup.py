@@ -136,13 +136,14 @@ def held_sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
     return made.dropDuplicates(["doc_id", "text_hash"])
 
 
-def near_limit(open_: DataFrame, percent: int, block: int = 512) -> DataFrame:
+def near_limit(open_: DataFrame, percent: int, block: int = 512, groups: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of members of one group in different components that are links or all but links.
 
     ``open_``: grp, doc_id, text_hash, lab, held. The 32-bit hashes of the sets decide, with a hundredth to spare for hashes
     that fall together, for every pair whose sizes allow a link; pairs that share too few places of a table, which is never
     less than they share of their sets, need no exact count. Only members outside the group's largest component ask.
-    Groups of more than ``block`` members are compared block by block.
+    Groups of more than ``block`` members are compared block by block. ``groups`` has a grp for each row of ``open_``, to count
+    without its sets.
     """
     limit = percent / 100 - 0.01
 
@@ -184,8 +185,8 @@ def near_limit(open_: DataFrame, percent: int, block: int = 512) -> DataFrame:
         ids, hashes = pdf["doc_id"].to_numpy(), pdf["text_hash"].to_numpy()
         return pd.DataFrame({"xi": ids[x], "xh": hashes[x], "yi": ids[y], "yh": hashes[y]}) if x else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("xi", "xh", "yi", "yh")})
 
-    sizes = open_.groupBy("grp").agg(F.count("*").alias("members"))
-    dealt = open_.join(sizes, "grp").withColumn("nb", F.ceil(F.col("members") / block).cast("int"))
+    counts = (open_ if groups is None else groups).groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    dealt = open_.join(F.broadcast(heaviest(counts, "grp")), "grp", "left").withColumn("nb", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
     dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("nb")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("grp", F.least("blk", "k").alias("lo"), F.greatest("blk", "k").alias("hi"), "blk", "doc_id", "text_hash", "lab", "held")
     found = dealt.groupBy("grp", "lo", "hi").applyInPandas(compare, "xi long, xh long, yi long, yh long")
@@ -291,7 +292,7 @@ def _components_of_classes(docs: DataFrame, shingle: int, percent: int, rows: in
         here = stash(here.select(F.xxhash64("lo").alias("grp"), "doc_id", "text_hash", F.xxhash64("label").alias("lab")).distinct())
         asked = here.select("doc_id", "text_hash").distinct()
         of = docs.withColumn("text_hash", F.xxhash64("text")).join(asked, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text")
-        found = stash(near_limit(here.join(held_sets(of, shingle), ["doc_id", "text_hash"]), percent))
+        found = stash(near_limit(here.join(held_sets(of, shingle), ["doc_id", "text_hash"]), percent, groups=here))
         found = stash(confirmed(found, docs, shingle, percent)) if not found.isEmpty() else found
         if not found.isEmpty():
             labels = stash(components(links.union(found)))
