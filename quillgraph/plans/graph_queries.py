@@ -14,7 +14,7 @@ _QN = r"""
 qp AS (SELECT query_id, regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9_''.-]*(?:\s+(?:of|the|and|de|[A-Z][A-Za-z0-9_''.-]*)){0,5})', 1) AS f FROM qs),
 ql AS (SELECT query_id, [regexp_replace(regexp_replace(x, '^[ ,.;:()]+', ''), '[ ,.;:()]+$', '') FOR x IN f IF length(trim(x)) >= 3] AS l FROM qp),
 qu AS (SELECT query_id, unnest(l) AS name, generate_subscripts(l, 1) AS i FROM ql),
-qo AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) - 1 AS place FROM qu GROUP BY query_id, name),
+qo AS MATERIALIZED (SELECT query_id, name, count(*) OVER (PARTITION BY query_id ORDER BY min(i)) - 1 AS place FROM qu GROUP BY query_id, name),
 qc AS (SELECT query_id, count(*) AS names FROM qo GROUP BY 1)"""
 _TR = _ENT.replace("WITH m AS", f"WITH {_QS}, {_QN}, m AS") + """,
 tr AS (SELECT e.doc_id * 16 + e.pos AS tid, h.name AS head, e.name AS tail, e.doc_id, cp.k, cp.clause_id, substr(cp.text, 1, 200) AS para, e.pos / 12 AS conf FROM e h JOIN e ON h.doc_id = e.doc_id AND h.pos = 1 AND e.pos BETWEEN 2 AND 12 JOIN cp ON cp.doc_id = e.doc_id),
