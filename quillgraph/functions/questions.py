@@ -200,9 +200,9 @@ def query_for_side(question: Column, index: Column) -> Column:
 def names(question: Column, extra: Column | None = None) -> Column:
     """Names of several capitalised words, words with a number, single words of four letters or more; then ``extra``; each once."""
     q = F.coalesce(question, F.lit(""))
-    several = _all(q, r"\b[A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+)+\b")
-    numbered = _all(q, r"\b[A-Z][a-zA-Z0-9]*(?:\s+\d+)\b")
-    single = F.filter(_all(q, r"\b[A-Z][a-zA-Z0-9]{3,}\b"), lambda w: ~F.lower(w).isin(*NO_NAME))
+    several = _all(q, r"(?U)\b[A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+)+\b")
+    numbered = _all(q, r"(?U)\b[A-Z][a-zA-Z0-9]*(?:\s+\d+)\b")
+    single = F.filter(_all(q, r"(?U)\b[A-Z][a-zA-Z0-9]{3,}\b"), lambda w: ~F.lower(w).isin(*NO_NAME))
     more = F.filter(F.transform(extra, lambda x: F.trim(x)), lambda w: F.coalesce(w, F.lit("")) != "") if extra is not None else F.array().cast("array<string>")
     return distinct_by(F.concat(several, numbered, single, more), F.lower)
 
