@@ -192,7 +192,7 @@ def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
 class _Encoder(dict):
     """Ids of a blank and a chunk without white space at its ends, as bytes; the memory is bounded."""
 
-    def __init__(self, tokenizer_file: str, ranks_file: str | None = None, most: int = 400_000):
+    def __init__(self, tokenizer_file: str, ranks_file: str | None = None, most: int = 250_000):
         super().__init__()
         import os
 
