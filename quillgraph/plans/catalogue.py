@@ -299,13 +299,13 @@ def chunk_ordinals(spark, sf):
 
 _SENTENCES = r"""q AS (SELECT doc_id, text, string_split(text, '$$') AS m, len(string_split(text, '$$')) - CASE WHEN len(string_split(text, '$$')) % 2 = 0 THEN 1 ELSE 0 END AS closed FROM documents),
 v AS (SELECT doc_id, flatten([CASE WHEN i % 2 = 0 THEN ['$$' || m[i] || '$$'] ELSE string_split(regexp_replace(regexp_replace(replace(CASE WHEN i = closed AND len(m) % 2 = 0 THEN m[i] || '$$' || m[i + 1] ELSE m[i] END, '##', chr(10) || '##'), '([;\n])', '\1' || chr(1), 'g'), chr(1) || '+', chr(1), 'g'), chr(1)) END FOR i IN range(1, closed + 1)]) AS parts FROM q),
-p AS (SELECT doc_id, generate_subscripts(parts, 1) AS pos, regexp_replace(regexp_replace(regexp_replace(unnest(parts), '^\s+|\s+$', '', 'g'), '^#{1,4}\s*', ''), '^\s+|\s+$', '', 'g') AS s FROM v),
-g AS (SELECT doc_id, pos, s, regexp_replace(s, '\s+', '', 'g') AS z FROM p),
+sp AS (SELECT doc_id, generate_subscripts(parts, 1) AS pos, regexp_replace(regexp_replace(regexp_replace(unnest(parts), '^\s+|\s+$', '', 'g'), '^#{1,4}\s*', ''), '^\s+|\s+$', '', 'g') AS s FROM v),
+g AS (SELECT doc_id, pos, s, regexp_replace(s, '\s+', '', 'g') AS z FROM sp),
 k AS (SELECT * FROM g WHERE length(s) >= 12 AND length(z) BETWEEN 12 AND CASE WHEN regexp_matches(s, '\$\$(?s:.){6,}\$\$|\$[^$]{8,}\$') THEN 900 ELSE 480 END AND NOT (regexp_matches(s, '\\mathrm|\\frac|\$\s*\\') AND NOT regexp_matches(s, '\$\$|式中|='))
   AND NOT regexp_matches(s, '(?i)Requirements\s+for|ARINC\s*\d+|Air\s+transport\s+avionics') AND NOT regexp_matches(z, 'HB[xX]{2,}')),
 o AS (SELECT doc_id, z, min(pos) AS pos, arg_min(s, pos) AS sentence FROM k GROUP BY ALL),
-w AS (SELECT doc_id, 0 AS pos, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS sentence FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM o)),
-se AS (SELECT doc_id, pos, sentence FROM o UNION ALL SELECT doc_id, pos, sentence FROM w WHERE length(regexp_replace(sentence, '\s+', '', 'g')) BETWEEN 12 AND 480
+sw AS (SELECT doc_id, 0 AS pos, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS sentence FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM o)),
+se AS (SELECT doc_id, pos, sentence FROM o UNION ALL SELECT doc_id, pos, sentence FROM sw WHERE length(regexp_replace(sentence, '\s+', '', 'g')) BETWEEN 12 AND 480
   AND NOT regexp_matches(sentence, '(?i)Requirements\s+for|ARINC\s*\d+|Air\s+transport\s+avionics'))"""
 
 

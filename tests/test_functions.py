@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import chunk, similarity, text
 from quillgraph.operators import align, clauses, graph, identity, metrics, rank, retrieval, splits
-from quillgraph.plans import methods
 from quillgraph.sources import files
 
 
@@ -175,11 +174,3 @@ def test_sources(spark, tmp_path):
     for body, expected in (('[{"id":"1","q":"a"},{"id":"2","q":"b"}]', {"1", "2"}), ('{"id":"7","q":"a"}', {"7"}), ('{"k1":{"q":"a"},"k2":{"q":"b"}}', {"k1", "k2"})):
         (tmp_path / "i.json").write_text(body)
         assert {r["id"] for r in files.json_items(spark, str(tmp_path / "i.json"), "id string, q string").collect()} == expected
-
-
-@pytest.mark.parametrize("name", sorted(methods.METHODS))
-def test_methods(spark, name):
-    corpus = spark.createDataFrame([(i, f"word{i} shared text number {i}", f"s{i % 2}") for i in range(8)], "doc_id long, text string, scope string")
-    questions = spark.createDataFrame([(100, "word3 shared", "single", "s1"), (101, "word4 number", "cross", None)], "query_id long, text string, kind string, scope string")
-    rows = methods.METHODS[name](questions, corpus, k=3).collect()
-    assert name == "closed_book" or (rows and all(r["rank"] >= 1 for r in rows))
