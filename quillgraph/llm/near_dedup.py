@@ -247,8 +247,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).union(edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u", F.lit(1).cast("long").alias("n")).limit(1)).isEmpty():
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        # the middle of a large star has very many edges
+        large = join_spread(both, least, "u", heaviest(least.where("n > 1000"), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         edges = stash(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
