@@ -563,6 +563,17 @@ def test_lattice_sums_all_segmentations():
     assert np.isfinite(pieces.forward(["▁日x"], log_p)[0]).all()
 
 
+def test_long_words_run_through_windows():
+    rng = random.Random(4)
+    entries = ["▁", "a", "b", "ab", "▁a", "aba", "bbab"]
+    whole, windowed = lm_score.Pieces(entries), lm_score.Pieces(entries, window=7)
+    words = ["▁" + "".join(rng.choice("abé") for _ in range(n)) for n in (1, 6, 7, 8, 13, 14, 15, 60, 200)]
+    log_p, weights = whole.start(), np.arange(1.0, 10.0)
+    a, ea = whole.forward(words, log_p, weights)
+    b, eb = windowed.forward(words, log_p, weights)
+    assert np.allclose(a, b) and np.allclose(ea, eb) and np.allclose(whole.forward(words, log_p)[0], windowed.forward(words, log_p)[0])
+
+
 def test_scores(spark, odd, empty):
     import zlib
 
@@ -577,7 +588,7 @@ def test_scores(spark, odd, empty):
         tokens = [*words[i], b"\n"]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(tokens), sum(counts[t] > 0 for t in tokens), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens)) and -math.inf < r["score"] < 0
-    again = {r["doc_id"]: r["score"] for r in rows(lm_score.lattice_scores(df, MODEL, block_bytes=2000, bucket_bytes=2000))}
+    again = {r["doc_id"]: r["score"] for r in rows(lm_score.lattice_scores(df.repartition(3), MODEL, block_bytes=2000, bucket_bytes=2000, most_words=20))}
     assert all(again[i] == pytest.approx(r["score"]) for i, r in got.items())
     assert lm_score.lattice_scores(odd, MODEL).count() == odd.count() and lm_score.lattice_scores(empty, MODEL).count() == 0
 
