@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stash, table, texts
-from .lattice import Vocabulary, lattices
+from .lattice import Lattice, Vocabulary, lattices
 
 SPACE = "▁"  # stands for a space inside pieces
 PAIR_BITS = 20  # of the table of token pairs; a newer pair takes the place of an older one
@@ -29,7 +29,7 @@ PAIR_BITS = 20  # of the table of token pairs; a newer pair takes the place of a
 class PrefixCounter:
     """Counts of all prefixes under a sentencepiece BPE model, with memories of bounded size for words and token pairs."""
 
-    def __init__(self, model_file: str, most_words: int = 250_000):
+    def __init__(self, model_file: str, most_words: int = 250_000, window: int = 4096):
         import sentencepiece
 
         self.model = model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -40,7 +40,7 @@ class PrefixCounter:
         if "\n" in pieces:
             raise ValueError("the model has a piece for the line break, which must separate here")
         self.pieces = Vocabulary(pieces)
-        self.most_words = most_words
+        self.most_words, self.window = most_words, window
         self.steps: dict[str, bytes | None] = {}  # None: a step doesn't fit a byte
         self.wide: dict[str, np.ndarray] = {}
         self.pairs, self.apart = np.full(1 << PAIR_BITS, ~np.uint64(0)), np.zeros(1 << PAIR_BITS, bool)
@@ -60,9 +60,51 @@ class PrefixCounter:
             self.apart[slots[missing]] = apart[missing]
         return apart
 
+    def _counts_long(self, word: str) -> np.ndarray:
+        """The same for one long word, window by window, so that entries by size are held for one window at a time."""
+        longest, n = self.pieces.longest, len(word)
+        last, counts = [-1] * (n + 1), [0] * (n + 1)
+        known: dict[tuple[int, int], bool] = {}
+        for first in range(0, n, self.window):
+            begin, stop = max(0, first - longest + 1), min(n, first + self.window)
+            lattice = Lattice(self.pieces, np.zeros(1, np.int64), [word[begin:stop]])
+            table = np.stack([ids[0, first - begin :] for ids in lattice.ids], 1)
+            single, spelled = table[:, 0].tolist(), lattice.utf8_sizes()[0, first - begin :].tolist()
+            # entries by end, the longest first
+            ends, turned = np.nonzero(table[:, ::-1] >= 0)
+            sizes = table.shape[1] - turned
+            pieces = table[ends, sizes - 1].tolist()
+            ends, sizes, k = ends.tolist(), sizes.tolist(), 0
+            for e in range(stop - first):
+                end, taken = first + e + 1, False
+                while k < len(ends) and ends[k] == e:
+                    if not taken:
+                        size, piece = sizes[k], pieces[k]
+                        before = last[end - size]
+                        taken = before < 0
+                        if not taken:
+                            if len(known) > 1_000_000:
+                                known.clear()
+                            taken = known.get((before, piece))
+                            if taken is None:
+                                taken = known[before, piece] = bool(self.stay_apart(np.array([before]), np.array([piece]))[0])
+                        if taken:
+                            last[end], counts[end] = piece, counts[end - size] + 1
+                    k += 1
+                if not taken:
+                    if single[e] >= 0:
+                        raise ValueError("no token ends where a known character does: this isn't a BPE vocabulary")
+                    counts[end] = counts[end - 1] + spelled[e]
+        return np.array(counts, np.int32)
+
     def counts(self, words: list[str]):
         """For chunks of the words: their places in the list, lengths and counts at prefixes of 0, 1, ... characters."""
-        for lattice in lattices(self.pieces, words):
+        long_ = [i for i, w in enumerate(words) if len(w) > self.window]
+        for i in long_:
+            yield np.array([i]), np.array([len(words[i])]), self._counts_long(words[i])[None, :]
+        short = np.array([i for i in range(len(words)) if len(words[i]) <= self.window], np.int64)
+        for lattice in lattices(self.pieces, [words[i] for i in short.tolist()]):
+            lattice.rows = short[lattice.rows]
             n, width = lattice.codes.shape
             last, counts = np.full((n, width + 1), -1, np.int64), np.zeros((n, width + 1), np.int32)
             spelled = lattice.utf8_sizes()

@@ -83,6 +83,14 @@ def test_steps_that_a_byte_does_not_hold():
     assert stored[0] == 4 and token_counts.counts_of(stored).tolist()[:3] == [0, 301, 1] and len(token_counts.counts_of(stored)) == 6 + n
 
 
+def test_counts_of_long_words_run_through_windows():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(alphabet) for _ in range(n)) for alphabet in ("abcdefgh0123/+", "the ing", "日é🙂ab") for n in (1, 31, 32, 33, 64, 65, 200)]
+    whole, windowed = token_counts.PrefixCounter(MODEL), token_counts.PrefixCounter(MODEL, window=32)
+    for t in texts:
+        assert token_counts.counts_of(windowed.of_texts([t])[0]).tolist() == token_counts.counts_of(whole.of_texts([t])[0]).tolist()
+
+
 def test_longest_prefix(spark):
     got = token_counts.longest_prefix(token_counts.prefix_token_counts(docs(spark, ["hello world again", ""]), MODEL), 2)
     import sentencepiece
