@@ -176,6 +176,15 @@ class Pieces:
         return scores, expected
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, first all their lowest bytes, then the next: the upper ones compress to next to nothing."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 class _Block(dict):
     """Words of a block by their numbers, in order of appearance, and its documents as numbers."""
 
@@ -244,7 +253,7 @@ def split_long(rows, most: int = 1 << 20):
         yield row, raw[at:]
 
 
-def lattice_scores(docs: DataFrame, model_file: str, steps: int = 2, block_bytes: int = 24_000_000, bucket_bytes: int = 16_000_000, most_words: int = 60_000, text: str = "text") -> DataFrame:
+def lattice_scores(docs: DataFrame, model_file: str, steps: int = 2, block_bytes: int = 24_000_000, bucket_bytes: int = 16_000_000, most_words: int = 2_000_000, text: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of each row of ``docs``.
 
     Documents whose crc32(doc_id as text) modulo 7 isn't 2 train; a null id counts as the empty text. Tokens are words, A-Z
@@ -272,9 +281,7 @@ def lattice_scores(docs: DataFrame, model_file: str, steps: int = 2, block_bytes
             if not block.docs:
                 return
             ids = pa.concat_arrays([a for a, _, _ in block.docs])
-            narrow = "<u2" if len(block) <= 1 << 16 else "<u4"
-            tag = narrow[-1].encode()
-            stored = [tag + d.astype(narrow).tobytes() for _, _, ds in block.docs for d in ds]
+            stored = [_planes(d) for _, _, ds in block.docs for d in ds]
             held = [h for _, hs, _ in block.docs for h in hs]
             n = len(stored)
             nothing = lambda kind: pa.nulls(n, kind)
@@ -288,7 +295,7 @@ def lattice_scores(docs: DataFrame, model_file: str, steps: int = 2, block_bytes
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([first + block.number] * m, pa.int64()), pa.nulls(m, ids.type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()), pa.array(list(packed), pa.int32()),
-                    pa.array([b"\n".join(w for w, _ in v) for v in packed.values()], pa.binary()), pa.array([counts[p].astype("<i8").tobytes() for p in places], pa.binary()), pa.array([p.astype("<u4").tobytes() for p in places], pa.binary()),
+                    pa.array([b"\n".join(w for w, _ in v) for v in packed.values()], pa.binary()), pa.array([counts[p].astype("<i8").tobytes() for p in places], pa.binary()), pa.array([_planes(np.diff(p, prepend=0)) for p in places], pa.binary()),
                 ],
                 [f.name for f in written.fields],
             )
@@ -387,7 +394,7 @@ def lattice_scores(docs: DataFrame, model_file: str, steps: int = 2, block_bytes
                 if block != at:
                     at, tables, base_of = block, [], None
                 if places[i].is_valid:
-                    tables.append((np.frombuffer(places[i].as_py(), "<u4"), np.frombuffer(counts[i].as_py(), "<i8"), np.frombuffer(scores[i].as_py(), float)))
+                    tables.append((np.cumsum(_numbers(places[i].as_py()), dtype=np.int64), np.frombuffer(counts[i].as_py(), "<i8"), np.frombuffer(scores[i].as_py(), float)))
                     continue
                 if base_of is None:
                     size_here = sum(len(t[0]) for t in tables)
@@ -395,8 +402,7 @@ def lattice_scores(docs: DataFrame, model_file: str, steps: int = 2, block_bytes
                     for p, n, v in tables:
                         counts_of[p], scores_of[p] = n, v
                     base_of = np.log10((counts_of + 1) / (n_all + v_all + 1))
-                stored = docs_[i].as_py()
-                found = np.frombuffer(stored, "<u" + stored[:1].decode(), offset=1)
+                found = _numbers(docs_[i].as_py())
                 got.append((i, len(found) + 1, int(np.count_nonzero(counts_of[found])) + (ends > 0), float(base_of[found].sum()) + end_base, float(scores_of[found].sum()) + end_score))
             if got:
                 rows_ = pa.array([g[0] for g in got], pa.int64())
