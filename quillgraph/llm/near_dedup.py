@@ -197,7 +197,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, text: str = "text", block: int = 1000) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, text: str = "text", block: int = 250) -> DataFrame:
     """The ``pairs`` (a, b) of representatives, structs of doc_id and text_hash, with 100 * intersection >= percent * union of their full sets.
 
     Texts stream through tasks, each ``b`` followed by its partners; the partners of a ``b`` with very many of them are
