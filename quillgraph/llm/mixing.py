@@ -36,19 +36,26 @@ def source_targets(hist: DataFrame, weights=(5, 2, 1), most: int = MOST) -> Data
     """``_key``, ``source_size``, ``source_docs``, ``target`` from ``_key``, ``size``, ``n``.
 
     Sources in order weigh ``weights`` in turn and share all words; a target stops at ``most`` times its source's size and
-    the excess goes to the others by weight, until none is above. With sources in rising order of cap over weight that
-    is: all before some place stop, and the rest share what is left by weight.
+    the excess goes to the others by weight, until none is above. Each round is one sum over the sources.
     """
     s = hist.groupBy("_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_docs"))
-    s = s.withColumn("_place", F.row_number().over(Window.orderBy("_key")) - 1)  # one row for each source
-    s = s.withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int")).cast("double"))
-    s = s.withColumn("_cap", (most * F.col("source_size")).cast("double"))
-    rising = Window.orderBy(F.col("_cap") / F.col("_weight"), "_place")
-    before, onward = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(0, Window.unboundedFollowing)
-    everywhere = rising.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("_share", (F.sum("source_size").over(everywhere) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_weight").over(onward))
-    first = F.first(F.when(F.col("_share") * F.col("_weight") <= F.col("_cap"), F.col("_share")), ignorenulls=True).over(everywhere)
-    return s.select("_key", "source_size", "source_docs", F.coalesce(F.least("_cap", F.col("_weight") * first), "_cap").alias("target"))
+    # places of sources in order, without a window over all: each range of keys counts, and starts behind the ranges before it
+    ranged = stash(s.repartitionByRange("_key").withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_in"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = counts.select("_part", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_start"))
+    placed = ranged.join(F.broadcast(starts), "_part").withColumn("_place", F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1)
+    placed = placed.withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int")).cast("double"))
+    placed = stash(placed.withColumn("_cap", (most * F.col("source_size")).cast("double")))
+    # the share of a weight rises as sources stop at their caps, until none is above
+    share, stopped = -1.0, None
+    while True:
+        over = F.col("_weight") * F.lit(share) > F.col("_cap")
+        sums = placed.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, F.col("_cap"))).alias("capped"), F.sum(F.when(~over, F.col("_weight"))).alias("free"), F.count_if(over).alias("stopped")).first()
+        if not sums["free"] or sums["stopped"] == stopped:
+            break
+        share, stopped = (sums["all"] - (sums["capped"] or 0.0)) / sums["free"], sums["stopped"]
+    return placed.select("_key", "source_size", "source_docs", F.least("_cap", F.col("_weight") * F.lit(float(share))).alias("target"))
 
 
 def rate(size: Column, mean: Column, multiplier: Column, most: int = MOST) -> Column:

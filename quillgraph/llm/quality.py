@@ -136,7 +136,9 @@ def judged(docs: DataFrame, labels: DataFrame, carry: list[str], stratum: str =
     ``carry`` must name doc_id and the stratum. A null text has no words and fails the base rule; a null stratum is the
     stratum of the empty string; a stratum without enough labels gets no cutoffs, so only the base rule rejects there.
     Several labels of a document count once, as good if one says so; labels without a document have no effect. Rows are
-    never merged; an empty table gives an empty result.
+    never merged: repeated rows are judged alike, rows with a null id by the rules but never by labels. Rules that reach
+    their cutoff exactly reject. An empty table gives an empty result; columns beside ``carry`` are ignored, and names clash
+    only with those that begin with ``_q_``. Texts of any length count whole, one at a time.
     """
     counted = stash(with_counts(docs, carry))
     cutoffs = stash(risk_controlled_cutoffs(counted, labels, stratum, risk, alpha, lift))
@@ -151,8 +153,10 @@ def judged(docs: DataFrame, labels: DataFrame, carry: list[str], stratum: str =
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, as they are."""
-    return judged(docs, labels, docs.columns, **settings).where("_q_kept").select(*docs.columns)
+    """The rows of ``docs`` that no rule rejects, as they are. ``docs`` may have any other columns: a row travels as one value."""
+    stratum = settings.get("stratum", "lang")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.col(stratum).alias(stratum), "text")
+    return judged(packed, labels, ["_row", "doc_id", stratum], **settings).where("_q_kept").select("_row.*")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
