@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import chunk, similarity, text
-from ..operators import align, clauses, graph, identity, metrics, rank, retrieval, router, splits
+from ..operators import align, blocks, clauses, graph, identity, metrics, rank, retrieval, router, splits
 from .registry import ORACLES, QUERIES, query, t
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -430,26 +430,38 @@ def graph_two_hops(spark, sf):
     return graph.expand(_places(spark, sf), seeds, 2)
 
 
-_TRIPLES = _EDGES + r""", q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark),
+_TRIPLES = _EDGES + r""", q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark), qn AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
 c AS (SELECT head, tail, min(doc_id) AS doc_id, count(DISTINCT doc_id) AS n FROM g GROUP BY ALL),
-hit AS (SELECT query_id, head, tail, doc_id, n, bool_or(lower(head) = token) AS anchored, count(*) AS lexical FROM (
-  SELECT head, tail, doc_id, n, unnest(list_distinct(regexp_extract_all(lower(head || ' ' || tail), '[a-z0-9]+'))) AS token FROM c) JOIN q USING (token) GROUP BY ALL),
-sc AS (SELECT *, 3.0 * CAST(anchored AS INTEGER) + 1.5 * lexical + 0.5 + 0.05 * least(n / 10.0, 1.0) AS score, CASE query_id % 3 WHEN 0 THEN 'single' WHEN 1 THEN 'cross' ELSE 'correlation' END AS kind FROM hit),
+fp AS (SELECT item_id AS query_id, token, min(i) AS place FROM (SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)) GROUP BY ALL),
+pl AS (SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY place) AS place FROM fp),
+hit AS (SELECT query_id, head, tail, doc_id, c.n, max(CASE WHEN lower(head) = token THEN 0.5 * (1 - (place - 1) / qn.n) ELSE 0.0 END) AS early, count(*) / any_value(qn.n) AS lexical FROM (
+  SELECT head, tail, doc_id, n, unnest(list_distinct(regexp_extract_all(lower(head || ' ' || tail), '[a-z0-9]+'))) AS token FROM c) c JOIN q USING (token) JOIN qn USING (query_id) JOIN pl USING (query_id, token) GROUP BY ALL),
+sc AS (SELECT *, 1.5 * lexical + early + 0.05 * least(n / 10.0, 1.0) AS score, CASE query_id % 3 WHEN 0 THEN 'single' WHEN 1 THEN 'cross' ELSE 'correlation' END AS kind FROM hit),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, head, tail) AS rank FROM sc)
 SELECT query_id, head, tail, kind, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= CASE kind WHEN 'single' THEN 10 WHEN 'cross' THEN 20 ELSE 15 END"""
 
 
 @query(_TRIPLES)
 def triple_score_rank(spark, sf):
-    """Triples that share a token with a question, scored and capped by its type."""
-    edges = _edges(spark, sf).groupBy("head", "tail").agg(F.min("unit").alias("doc_id"), F.count_distinct("unit").alias("n"))
-    asked = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(text.english_tokens(F.col("text")))).alias("token"))
-    tokens = edges.select("*", F.explode(F.array_distinct(text.english_tokens(F.concat_ws(" ", "head", "tail")))).alias("token"))
-    hits = tokens.join(identity.small(asked), "token").groupBy("query_id", "head", "tail", "doc_id", "n").agg(F.max(F.lower("head") == F.col("token")).alias("anchored"), F.count("*").alias("lexical"))
+    """Triples by the words they share with a question, how early it names their head, and how often they occur; capped by type."""
+    edges = _edges(spark, sf).groupBy("head", "tail").agg(F.count_distinct("unit").alias("n"))
+    # a head named by the question is an item of its own, so that products of weights give the whole score
+    rows = edges.select(
+        F.concat("head", F.lit("\x00"), "tail").alias("doc_id"), F.concat(F.array_distinct(text.english_tokens(F.concat_ws(" ", "head", "tail"))), F.array(F.concat(F.lit("^"), F.lower("head")))).alias("items"),
+        F.lit(0.0).alias("size"), (0.05 * F.least(F.col("n") / 10.0, F.lit(1.0))).alias("bonus"),
+    )
+    words = F.array_distinct(text.english_tokens(F.col("text")))
+    n = F.size("w")
+    asked = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).where(n > 0)
+    asked = asked.select(
+        "query_id", F.concat("w", F.transform("w", lambda x: F.concat(F.lit("^"), x))).alias("items"),
+        F.concat(F.transform("w", lambda x: 1.5 / n), F.transform("w", lambda x, i: 0.5 * (1 - i / n))).alias("weights"), F.lit(1.0).alias("parts"),
+    )
+    found = blocks.top_k(asked, rows, 20)
     kind = F.when(F.col("query_id") % 3 == 0, "single").when(F.col("query_id") % 3 == 1, "cross").otherwise("correlation")
-    score = graph.triple_score(F.col("anchored"), F.col("lexical"), F.lit(0), F.lit(1), F.least(F.col("n") / 10.0, F.lit(1.0)))
-    kept = graph.capped(hits.withColumns({"kind": kind, "score": score}), {"single": 10, "cross": 20, "correlation": 15}, "kind", "head", "tail")
-    return kept.select("query_id", "head", "tail", "kind", F.round("score", 6).alias("score"), "rank")
+    pair = F.split("doc_id", "\x00")
+    kept = found.withColumn("kind", kind).where(F.col("rank") <= F.when(F.col("kind") == "single", 10).when(F.col("kind") == "cross", 20).otherwise(15))
+    return kept.select("query_id", pair[0].alias("head"), pair[1].alias("tail"), "kind", F.round("score", 6).alias("score"), "rank")
 
 
 # Identity
@@ -530,35 +542,38 @@ def token_f1(spark, sf):
     return out.select("query_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
-_CITES = """WITH v AS (SELECT conv_id, list(DISTINCT turn % 5) FILTER (role = 'assistant') AS p0, list(DISTINCT turn % 4) FILTER (role = 'user') AS g0 FROM conversations GROUP BY 1),
-w AS (SELECT conv_id, coalesce(p0, []) AS p, coalesce(g0, []) AS g FROM v), k AS (SELECT *, len(list_intersect(p, g)) AS b FROM w),
-s AS (SELECT conv_id, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(p) > 0 THEN b / len(p) ELSE 0 END AS precision, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(g) > 0 THEN b / len(g) ELSE 0 END AS recall,
+_CITES = f"""WITH {_SEARCH}, {_GRAMS}, pv AS (SELECT query_id, list(DISTINCT source) AS p0 FROM bt JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1), gv AS (SELECT query_id, list(DISTINCT source) AS g0 FROM nt JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1),
+cw AS (SELECT item_id AS query_id, coalesce(p0, []) AS p, coalesce(g0, []) AS g FROM benchmark LEFT JOIN pv ON pv.query_id = item_id LEFT JOIN gv ON gv.query_id = item_id), k AS (SELECT *, len(list_intersect(p, g)) AS b FROM cw),
+s AS (SELECT query_id, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(p) > 0 THEN b / len(p) ELSE 0 END AS precision, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN len(g) > 0 THEN b / len(g) ELSE 0 END AS recall,
   CASE WHEN len(p) = len(g) AND b = len(p) THEN 1.0 ELSE 0.0 END AS exact FROM k),
 f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM s)
 """
 
 
 def _citations(spark, sf):
-    c = t(spark, sf, "conversations")
-    sets = c.groupBy("conv_id").agg(F.collect_set(F.when(F.col("role") == "assistant", F.col("turn") % 5)).alias("p"), F.collect_set(F.when(F.col("role") == "user", F.col("turn") % 4)).alias("g"))
-    return sets.select("conv_id", *(c.alias(n) for n, c in metrics.set_scores(F.col("p"), F.col("g")).items()))
+    """Sources of the five best lexical hits as what an answer cites, those of the five best by n-grams as gold."""
+    sources = t(spark, sf, "documents").select("doc_id", "source")
+    cited = lambda hits, name: hits.where("rank <= 5").join(sources, "doc_id").groupBy("query_id").agg(F.collect_set("source").alias(name))
+    sets = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).join(cited(_bm25(spark, sf, text.search_tokens), "p"), "query_id", "left").join(cited(_containment(spark, sf), "g"), "query_id", "left")
+    none = F.array().cast("array<string>")
+    return sets.select("query_id", *(c.alias(n) for n, c in metrics.set_scores(F.coalesce("p", none), F.coalesce("g", none)).items()))
 
 
-@query(_CITES + "SELECT conv_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, exact FROM f")
+@query(_CITES + "SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, exact FROM f")
 def citation_prf(spark, sf):
-    return _citations(spark, sf).select("conv_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "exact")))
+    return _citations(spark, sf).select("query_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "exact")))
 
 
-@query(_CITES + """SELECT conv_id, round(least(greatest(f1, 0), 1) * CAST(exact = 1 AS INTEGER), 6) AS penalised,
+@query(_CITES + """SELECT query_id, round(least(greatest(f1, 0), 1) * CAST(exact = 1 AS INTEGER), 6) AS penalised,
   CASE WHEN recall < 1 THEN 'retrieval' WHEN exact < 1 THEN 'citation' WHEN f1 < 0.8 THEN 'generation' ELSE 'none' END AS error FROM f""")
 def error_taxonomy(spark, sf):
     s = _citations(spark, sf)
-    return s.select("conv_id", F.round(metrics.penalised_accuracy(F.col("f1"), F.col("exact")), 6).alias("penalised"), metrics.error_class(F.col("recall"), F.col("exact"), F.col("f1")).alias("error"))
+    return s.select("query_id", F.round(metrics.penalised_accuracy(F.col("f1"), F.col("exact")), 6).alias("penalised"), metrics.error_class(F.col("recall"), F.col("exact"), F.col("f1")).alias("error"))
 
 
-@query(_CITES + "SELECT conv_id % 3 AS kind, count(*) AS n, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM f GROUP BY 1")
+@query(_CITES + "SELECT query_id % 3 AS kind, count(*) AS n, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM f GROUP BY 1")
 def metric_means_per_type(spark, sf):
-    out = metrics.means(_citations(spark, sf).withColumn("kind", F.col("conv_id") % 3), ["precision", "recall", "f1"], ["kind"])
+    out = metrics.means(_citations(spark, sf).withColumn("kind", F.col("query_id") % 3), ["precision", "recall", "f1"], ["kind"])
     return out.select("kind", "n", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 

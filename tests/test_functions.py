@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import chunk, similarity, text
-from quillgraph.operators import align, clauses, graph, identity, metrics, rank, retrieval, splits
+from quillgraph.operators import align, clauses, graph, identity, metrics, rank, retrieval, router, splits
+from quillgraph.plans import methods, plugins
 from quillgraph.sources import files
 
 
@@ -174,3 +175,57 @@ def test_sources(spark, tmp_path):
     for body, expected in (('[{"id":"1","q":"a"},{"id":"2","q":"b"}]', {"1", "2"}), ('{"id":"7","q":"a"}', {"7"}), ('{"k1":{"q":"a"},"k2":{"q":"b"}}', {"k1", "k2"})):
         (tmp_path / "i.json").write_text(body)
         assert {r["id"] for r in files.json_items(spark, str(tmp_path / "i.json"), "id string, q string").collect()} == expected
+
+
+def test_writers_and_logs(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "source string, position long, status string")
+    files.write_new(rows, str(tmp_path / "new"), by=["source"])
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 2
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        files.write_new(rows, str(tmp_path / "new"))
+    files.write_new(rows.limit(1), str(tmp_path / "new"), overwrite=True)
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 1
+    for _ in range(2):
+        files.append_log(rows, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 4
+    files.write_alignment(rows.withColumn("status", F.when(F.col("position") == 1, "needs_review").otherwise("accepted_high")), str(tmp_path / "aligned"))
+    assert spark.read.parquet(str(tmp_path / "aligned/alignments")).count() == 2 and spark.read.json(str(tmp_path / "aligned/review")).count() == 1
+    edges = spark.createDataFrame([("h", "r", "t", 2), ("h", "r", "t", 1), ("h", "s", "t", 3)], "head string, relation string, tail string, position long")
+    edges.write.parquet(str(tmp_path / "edges"))
+    assert sorted(r["position"] for r in files.read_edges(spark, str(tmp_path / "edges")).collect()) == [1, 3]
+    assert [r["position"] for r in files.last_of_each(edges, "relation", "position").orderBy("relation").collect()] == [2, 3]
+    corpus = spark.createDataFrame([("e1", 1, "a"), (" ", 2, "b"), (None, 3, " ")], "evidence_id string, row_id long, text string")
+    assert [r["doc_id"] for r in files.corpus(corpus).orderBy("row_id").collect()] == ["e1", "2"]
+
+
+def test_plug_ins(spark):
+    rows = spark.createDataFrame([(1, "the valve opens", "the valve opens at 5 mm\nsecond")], "id long, q string, t string")
+    out = rows.select(plugins.embed(plugins.HashEmbedder(8), F.col("q")).alias("v"), plugins.score(plugins.OverlapScorer(), F.col("q"), F.col("t")).alias("s"), plugins.generate(plugins.FirstLineGenerator(), F.col("q"), F.col("t")).alias("a")).first()
+    assert len(out["v"]) == 8 and sum(x * x for x in out["v"]) == pytest.approx(1.0) and out["s"] == 1.0
+    answer = spark.createDataFrame([(out["a"],)], "a string").select(text.cited_numbers(text.answer_part(F.col("a"))).alias("n"), text.clean_answer(F.col("a")).alias("c")).first()
+    assert answer["n"] == [1] and answer["c"] == "the valve opens at 5 mm"
+    corpus = spark.createDataFrame([(1, "the valve opens"), (2, "nothing alike")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "valve opens")], "query_id long, text string")
+    found = methods.METHODS["dense"](asked, corpus, k=1, embed=lambda c: plugins.embed(plugins.HashEmbedder(), c)).collect()
+    assert [r["doc_id"] for r in found] == [1]
+
+
+def test_router_learns(spark):
+    rows = [(i, [float(i % 3 == 0), float(i % 3 == 1), 0.01 * (i % 7)], float(i % 3)) for i in range(300)]
+    out = router.train_and_predict(spark.createDataFrame(rows, "id long, v array<double>, label double"), "id", "v", "label").collect()
+    assert 30 < len(out) < 90 and sum(r["label"] == r["predicted"] for r in out) >= 0.95 * len(out)
+
+
+def test_sequence_ratio_in_the_score(spark):
+    import difflib
+
+    a, b = "abcdefghij" * 25, "abcdefghxj" * 25
+    rows = spark.createDataFrame([("s", 1, a)], "source string, pid long, p_text string"), spark.createDataFrame([("s", 1, b), ("s", 2, "zzzz")], "source string, cid long, c_text string")
+    pairs = align.candidates(*rows).withColumn("ratio", similarity.sequence_ratio("p_text", "c_text"))
+    value, method = align.score(F.col("p_text"), F.col("c_text"), F.col("ratio"))
+    grams = lambda s: {s[i : i + 4] for i in range(len(s) - 3)}
+    both, x, y = len(grams(a) & grams(b)), len(grams(a)), len(grams(b))
+    r, p = both / x, both / y
+    want = 0.72 * r + 0.18 * 2 * r * p / (r + p) + 0.10 * difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    best = align.best_with_margin(pairs.withColumns({"score": value, "method": method}), ["source", "pid"], align.ANSWER_GATES).first()
+    assert (best["cid"], best["method"]) == (1, "fuzzy") and best["score"] == pytest.approx(want)
