@@ -22,21 +22,23 @@ class Best:
     def __init__(self, n: int, k: int, digits: int):
         self.k, self.digits = k, digits
         self.kept: list = [(np.zeros(0), np.zeros(0, object))] * n
+        self.least = np.full(n, -np.inf)  # what a score must reach to stay
 
     def add(self, scores: np.ndarray, ids: np.ndarray, valid: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         scores, ids, valid = np.round(scores[:, order], self.digits), ids[order], valid[:, order]
-        for q in np.flatnonzero(valid.any(1)).tolist():
+        open_ = valid & (scores >= self.least[:, None])
+        for q in np.flatnonzero(open_.any(1)).tolist():
             old_scores, old_ids = self.kept[q]
-            here = np.flatnonzero(valid[q] & (scores[q] >= (old_scores[-1] if len(old_scores) == self.k else -np.inf)))
-            if not len(here):
-                continue
+            here = np.flatnonzero(open_[q])
             # of a batch only its k best can stay
             here = here[np.argsort(-scores[q, here], kind="stable")[: self.k]]
             s, i = np.concatenate([old_scores, scores[q, here]]), np.concatenate([old_ids, ids[here]])
             by_id = np.argsort(i, kind="stable")
             best = by_id[np.argsort(-s[by_id], kind="stable")][: self.k]
             self.kept[q] = s[best], i[best]
+            if len(best) == self.k:
+                self.least[q] = s[best[-1]]
 
 
 def saturated(k1: float, b: float, mean: float) -> Callable:

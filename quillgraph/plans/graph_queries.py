@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import entities, triples
-from .catalogue import _ENT, _entities
+from ..operators import entities, graph, triples
+from .catalogue import _ENT, _PLACES, _entities, _places
 from .registry import query, t
 from .scoped_queries import _COS, _NAME, _QS, _VECTOR, _corpus, _file, _name, _number, _questions
 
@@ -160,3 +160,17 @@ def dense_entity_boost(spark, sf):
     asked = _named_questions(spark, sf).select("query_id", "kind", vector.alias("v"), F.slice("names", 1, 3).alias("routed"), F.slice("names", 4, 3).alias("known"))
     found = entities.boosted_dense(asked, t(spark, sf, "documents").select("doc_id", "text", vector.alias("v")))
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_TR + " SELECT head, 'related_to' AS relation, tail, min(tid) AS triple_id, arg_min(conf, tid) AS confidence FROM tr GROUP BY head, tail")
+def distinct_triples(spark, sf):
+    """Of triples of one head, relation and tail the first."""
+    return triples.distinct_triples(_triples(spark, sf)).select("head", "relation", "tail", "triple_id", "confidence")
+
+
+@query(f"""WITH RECURSIVE {_PLACES}, w AS (SELECT r_regionkey AS query_id, 'r' || r_regionkey AS node, 0 AS depth FROM region
+  UNION SELECT query_id, b, depth + 1 FROM w JOIN bo ON a = node WHERE depth < 4)
+SELECT CAST(query_id AS BIGINT) AS query_id, node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY ALL""")
+def graph_four_hops(spark, sf):
+    seeds = t(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    return graph.expand(_places(spark, sf), seeds, 4)
