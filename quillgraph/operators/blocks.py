@@ -21,22 +21,23 @@ class Best:
 
     def __init__(self, n: int, k: int, digits: int):
         self.k, self.digits = k, digits
-        self.kept: list = [(np.zeros(0), np.zeros(0, object))] * n
-        self.least = np.full(n, -np.inf)  # what a score must reach to stay
+        self.kept: list = [(np.zeros(0), np.zeros(0, object), np.zeros(0))] * n  # rounded scores, ids, scores
+        self.least = np.full(n, -np.inf)  # what a rounded score must reach to stay
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, valid: np.ndarray) -> None:
+    def add(self, raw: np.ndarray, ids: np.ndarray, valid: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
-        scores, ids, valid = np.round(scores[:, order], self.digits), ids[order], valid[:, order]
+        raw, ids, valid = raw[:, order], ids[order], valid[:, order]
+        scores = np.round(raw, self.digits)
         open_ = valid & (scores >= self.least[:, None])
         for q in np.flatnonzero(open_.any(1)).tolist():
-            old_scores, old_ids = self.kept[q]
+            old_scores, old_ids, old_raw = self.kept[q]
             here = np.flatnonzero(open_[q])
             # of a batch only its k best can stay
             here = here[np.argsort(-scores[q, here], kind="stable")[: self.k]]
-            s, i = np.concatenate([old_scores, scores[q, here]]), np.concatenate([old_ids, ids[here]])
+            s, i, r = np.concatenate([old_scores, scores[q, here]]), np.concatenate([old_ids, ids[here]]), np.concatenate([old_raw, raw[q, here]])
             by_id = np.argsort(i, kind="stable")
             best = by_id[np.argsort(-s[by_id], kind="stable")][: self.k]
-            self.kept[q] = s[best], i[best]
+            self.kept[q] = s[best], i[best], r[best]
             if len(best) == self.k:
                 self.least[q] = s[best[-1]]
 
@@ -56,7 +57,7 @@ def top_k(questions: DataFrame, corpus: DataFrame, k: int, value: Callable = pre
     ``questions``: query_id, items (distinct strings), weights (as many numbers), parts (the score is divided by it).
     ``corpus``: doc_id, items (strings, repeated as often as they occur), size, bonus (added where an item is shared).
     An item shared counts its weight times ``value`` (occurrences, size). Documents without a shared item appear only with
-    ``zeros``, and then with their score of 0. Scores are rounded to ``digits`` before they are compared; the smaller doc_id
+    ``zeros``, and then with their score of 0. Scores are compared rounded to ``digits``; the smaller doc_id
     wins ties. Null items and ids of questions drop. ``corpus`` should be stashed if there are many questions.
     """
     spark = questions.sparkSession
@@ -101,7 +102,7 @@ def top_k(questions: DataFrame, corpus: DataFrame, k: int, value: Callable = pre
                     doc_ids[:] = part.column(0).to_pylist()
                     best.add(scores, doc_ids, np.ones_like(shared) if zeros else shared)
             if ids:
-                out = [(q, i, s) for q, (scores, docs) in zip(ids, best.kept, strict=True) for s, i in zip(scores.tolist(), docs.tolist(), strict=True)]
+                out = [(q, i, s) for q, (_, docs, scores) in zip(ids, best.kept, strict=True) for s, i in zip(scores.tolist(), docs.tolist(), strict=True)]
                 types = pa.schema([("query_id", pa.array(ids).type), ("doc_id", pa.string() if isinstance(id_type, T.StringType) else pa.int64()), ("score", pa.float64())])
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(types)], schema=types)
 

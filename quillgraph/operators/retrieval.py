@@ -43,7 +43,7 @@ def bm25(questions: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: fl
         none = questions.select("query_id").distinct().join(held, "query_id", "left_anti")
         held = held.unionByName(none.select("query_id", F.array().cast("array<string>").alias("items"), F.array().cast("array<double>").alias("weights")))
     found = blocks.top_k(held.withColumn("parts", F.lit(1.0)), sized, k, blocks.saturated(k1, b, stats["mean"] or 1.0), zeros)
-    return found if zeros else found.where("score > 0")
+    return found if zeros else found.where(F.round("score", 9) > 0)
 
 
 def ngram_containment(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
