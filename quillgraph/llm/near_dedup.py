@@ -17,6 +17,8 @@ links, which are confirmed like the first. So no link is missed because a bucket
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,13 +141,15 @@ def held_sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
 def near_limit(open_: DataFrame, percent: int, block: int = 512, groups: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of members of one group in different components that are links or all but links.
 
-    ``open_``: grp, doc_id, text_hash, lab, held. The 32-bit hashes of the sets decide, with a hundredth to spare for hashes
-    that fall together, for every pair whose sizes allow a link; pairs that share too few places of a table, which is never
-    less than they share of their sets, need no exact count. Only members outside the group's largest component ask.
-    Groups of more than ``block`` members are compared block by block. ``groups`` has a grp for each row of ``open_``, to count
-    without its sets.
+    ``open_``: grp, doc_id, text_hash, lab, n (the set's size) and held. The 32-bit hashes of the sets decide, with a hundredth
+    to spare for hashes that fall together, for every pair whose sizes allow a link; pairs that share too few places of a
+    table, which is never less than they share of their sets, need no exact count. Only members outside the group's largest
+    component ask. Members are dealt by size, each to its own step of sizes and to the next one, since sizes two steps apart
+    allow no link; steps of more than ``block`` members are compared block by block. ``groups`` has grp and n for each row of
+    ``open_``, to count without its sets.
     """
     limit = percent / 100 - 0.01
+    step = -math.log(percent / 100) * 1.001 if percent < 100 else 1.0
 
     def compare(pdf):
         import pandas as pd
@@ -154,7 +158,7 @@ def near_limit(open_: DataFrame, percent: int, block: int = 512, groups: DataFra
         sizes = np.array([len(h) for h in held])
         order = np.argsort(sizes, kind="stable")
         pdf, held, sizes = pdf.iloc[order], [held[k] for k in order.tolist()], sizes[order]
-        label, block_ = pdf["lab"].to_numpy(), pdf["blk"].to_numpy()
+        label, block_, home = pdf["lab"].to_numpy(), pdf["blk"].to_numpy(), pdf["home"].to_numpy()
         two = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         kinds, counts = np.unique(label, return_counts=True)
         odd = (label != kinds[counts.argmax()]) | two  # two blocks may have different largest components
@@ -166,7 +170,7 @@ def near_limit(open_: DataFrame, percent: int, block: int = 512, groups: DataFra
             # partners: of a size that allows a link, of another component, each pair once, across the blocks if there are two
             first, last = np.searchsorted(sizes, limit * sizes[r], "left"), np.searchsorted(sizes, sizes[r] / limit, "right")
             near = np.arange(first, last)
-            ask = (label[near] != label[r]) & ~(odd[near] & (near < r))
+            ask = (label[near] != label[r]) & ~(odd[near] & (near < r)) & (home[near] | home[r])
             if two:
                 ask &= block_[near] != block_[r]
             if not ask.any():
@@ -185,11 +189,13 @@ def near_limit(open_: DataFrame, percent: int, block: int = 512, groups: DataFra
         ids, hashes = pdf["doc_id"].to_numpy(), pdf["text_hash"].to_numpy()
         return pd.DataFrame({"xi": ids[x], "xh": hashes[x], "yi": ids[y], "yh": hashes[y]}) if x else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("xi", "xh", "yi", "yh")})
 
-    counts = (open_ if groups is None else groups).groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    dealt = open_.join(F.broadcast(heaviest(counts, "grp")), "grp", "left").withColumn("nb", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
+    own = F.floor(F.log("n") / step).cast("int")
+    counts = (open_ if groups is None else groups).select("grp", F.explode(F.array(own, own + 1)).alias("step")).groupBy("grp", "step").agg(F.count("*").alias("members")).where(F.col("members") > block)
+    dealt = open_.withColumn("step", F.explode(F.array(own, own + 1))).withColumn("home", F.col("step") == own)
+    dealt = dealt.join(small(stash(counts), 100_000), ["grp", "step"], "left").withColumn("nb", F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int"))
     dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("nb")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("grp", F.least("blk", "k").alias("lo"), F.greatest("blk", "k").alias("hi"), "blk", "doc_id", "text_hash", "lab", "held")
-    found = dealt.groupBy("grp", "lo", "hi").applyInPandas(compare, "xi long, xh long, yi long, yh long")
+    dealt = dealt.select("grp", "step", F.least("blk", "k").alias("lo"), F.greatest("blk", "k").alias("hi"), "blk", "home", "doc_id", "text_hash", "lab", "held")
+    found = dealt.groupBy("grp", "step", "lo", "hi").applyInPandas(compare, "xi long, xh long, yi long, yh long")
     return _ordered(found.select(F.struct(F.col("xi").alias("doc_id"), F.col("xh").alias("text_hash")).alias("x"), F.struct(F.col("yi").alias("doc_id"), F.col("yh").alias("text_hash")).alias("y")))
 
 
@@ -260,6 +266,11 @@ def _classified(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int
     """``doc_id``, ``text_hash``, ``n_shingles`` and ``component_id`` of each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     signed, final = _components_of_classes(docs, shingle, percent, rows, bands)
+    return of_rows(signed, final, hot_copies)
+
+
+def of_rows(signed: DataFrame, final: DataFrame, hot_copies: int = 10_000) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n_shingles`` and ``component_id`` of each signed row, from the components of its class."""
     # a class with very many copies is sent to them; the other copies go to their classes
     hot = final.where(F.col("copies") > hot_copies).select("set_hash", F.col("component_id").alias("_hot"))
     rows_ = signed.select("doc_id", "text_hash", "n_shingles", "set_hash").join(small(hot, 10_000), "set_hash", "left")
@@ -272,11 +283,11 @@ def _classified(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int
 def _components_of_classes(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows; ``set_hash``, ``copies`` and ``component_id`` of all classes of one set. Both written out."""
     signed = stash(signatures(docs, shingle, rows, bands))
-    known = signed.where("doc_id is not null and set_hash is not null").select(F.struct("doc_id", "text_hash").alias("id"), "set_hash", "buckets")
+    known = signed.where("doc_id is not null and set_hash is not null").select(F.struct("doc_id", "text_hash").alias("id"), "set_hash", "buckets", "n_shingles")
     # classes of one shingle set: partial aggregation, so thousands of copies shuffle as a few rows
-    classes = stash(known.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets"), F.count("*").alias("copies")))
+    classes = stash(known.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")))
     # buckets with company; the pivot of a bucket is its smallest id, so near copies of one text mostly share theirs
-    members = classes.select(F.explode("buckets").alias("bucket"), "rep.doc_id", "rep.text_hash")
+    members = classes.select(F.explode("buckets").alias("bucket"), "rep.doc_id", "rep.text_hash", F.col("n").alias("size"))
     rep = F.struct("doc_id", "text_hash")
     buckets = stash(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(rep).alias("pivot")).where("n > 1"))
     heavy = heaviest(buckets, "bucket")
@@ -285,12 +296,12 @@ def _components_of_classes(docs: DataFrame, shingle: int, percent: int, rows: in
     labels = stash(components(links))
     # buckets that still hold several components, grouped by the smallest of them: a member stands in a group once
     flat = labels.select("id.doc_id", "id.text_hash", "label")
-    here = crowded.where("n > 2").select("bucket", "doc_id", "text_hash").join(flat, ["doc_id", "text_hash"], "left").withColumn("label", F.coalesce("label", rep))
-    here = stash(here.select("bucket", "doc_id", "text_hash", "label"))
+    here = crowded.where("n > 2").select("bucket", "doc_id", "text_hash", "size").join(flat, ["doc_id", "text_hash"], "left").withColumn("label", F.coalesce("label", rep))
+    here = stash(here.select("bucket", "doc_id", "text_hash", "size", "label"))
     mixed_ = stash(here.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
     if not mixed_.isEmpty():
         here = join_spread(here, mixed_, "bucket", heaviest(mixed_, "bucket"))
-        here = stash(here.select(F.xxhash64("lo").alias("grp"), "doc_id", "text_hash", F.xxhash64("label").alias("lab")).distinct())
+        here = stash(here.select(F.xxhash64("lo").alias("grp"), "doc_id", "text_hash", F.col("size").alias("n"), F.xxhash64("label").alias("lab")).distinct())
         asked = here.select("doc_id", "text_hash").distinct()
         of = docs.withColumn("text_hash", F.xxhash64("text")).join(asked, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text")
         found = stash(near_limit(here.join(held_sets(of, shingle), ["doc_id", "text_hash"]), percent, groups=here))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, lm_score, merkle, mixing, near_dedup, packing, pii, quality, token_counts, token_groups, topk, url_filter
+from . import chat_format, lm_score, merkle, mixing, near_dedup, ngram_join, packing, pii, quality, token_counts, token_groups, topk, url_filter
 
-MODULES = (chat_format, lm_score, merkle, mixing, near_dedup, packing, pii, quality, token_counts, token_groups, topk, url_filter)
+MODULES = (chat_format, lm_score, merkle, mixing, near_dedup, ngram_join, packing, pii, quality, token_counts, token_groups, topk, url_filter)
 
 
 def queries() -> dict:
