@@ -13,15 +13,13 @@ crowded lists and groups inside tasks in blocks of a bounded number of members,
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import heaviest, join_spread, stash, table, texts
-from .near_dedup import _ordered, components, confirmed, held_sets, near_limit, of_rows, shingles
+from .common import heaviest, join_spread, small, stash, table, texts
+from .near_dedup import _ordered, _step, components, confirmed, links_in_groups, of_rows, shingles
 
 BITS, BLOCK = 20, 4096  # of the table of counts, which has 2 ** BITS places
 
@@ -38,9 +36,8 @@ def count_classes(docs: DataFrame, shingle: int) -> np.ndarray:
 
         held = np.zeros(1 << BITS, np.int64)
         for _, raws in texts(batches):
-            for raw in raws:
-                places, n = np.unique(shingles(raw, shingle) >> np.uint64(64 - BITS), return_counts=True)
-                held[places.astype(np.int64)] += n
+            places = np.concatenate([shingles(raw, shingle) for raw in raws]) >> np.uint64(64 - BITS)
+            held += np.bincount(places.astype(np.int64), minlength=len(held))
         numbers, blocks = [], []
         for k, part in enumerate(held.reshape(-1, BLOCK)):
             at = np.flatnonzero(part)
@@ -108,37 +105,38 @@ def prefixes(docs: DataFrame, shingle: int, percent: int, classes) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-def sizes_allow(x: str, y: str, percent: int) -> Column:
+def prefixes_allow(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (g, h) of groups whose sizes allow a link and where neither lacks too much of what the other's prefix holds.
+
+    What comes before the end of a prefix and isn't in it isn't in the set.
+    """
+    held = groups.select("gid", "n", "prefix")
+    both = pairs.join(held.toDF("g", "n1", "p1"), "g").join(held.toDF("h", "n2", "p2"), "h")
+    shared = _least_shared("n1", "n2", percent)
+    lacks = lambda p, q: F.size(F.filter(F.array_except(p, q), lambda t: t < F.element_at(q, -1)))
+    return both.where(_sizes_allow("n1", "n2", percent)).where((lacks("p1", "p2") <= F.col("n1") - shared) & (lacks("p2", "p1") <= F.col("n2") - shared)).select("g", "h")
+
+
+def _sizes_allow(x: str, y: str, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def least_shared(x: str, y: str, percent: int) -> Column:
+def _least_shared(x: str, y: str, percent: int) -> Column:
     """The fewest n-grams that linked sets of these sizes share."""
     return F.ceil((F.col(x) + F.col(y)) * percent / F.lit(100 + percent) - 1e-9)
 
 
-def prefixes_allow(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (g, h) of groups where neither lacks too much of what the other's prefix holds.
-
-    What comes before the end of a prefix and isn't in it isn't in the set.
-    """
-    held = groups.select("grp", "n", "prefix")
-    both = pairs.join(held.toDF("g", "n1", "p1"), "g").join(held.toDF("h", "n2", "p2"), "h")
-    shared = least_shared("n1", "n2", percent)
-    lacks = lambda p, q: F.size(F.filter(F.array_except(p, q), lambda t: t < F.element_at(q, -1)))
-    return both.where((lacks("p1", "p2") <= F.col("n1") - shared) & (lacks("p2", "p1") <= F.col("n2") - shared)).select("g", "h")
+def _first_shared(n1: str, pos1: str, n2: str, pos2: str, percent: int) -> Column:
+    """Whether an n-gram at these places can be the first that linked sets of these sizes share: nothing before it is shared."""
+    left = F.lit(1) + F.least(F.col(n1) - F.col(pos1) - 1, F.col(n2) - F.col(pos2) - 1)
+    return _sizes_allow(n1, n2, percent) & (left >= _least_shared(n1, n2, percent))
 
 
-def _group_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (g, h) of ``met`` groups (structs x and y of grp, n, pos) whose sizes and places of a shared n-gram allow a link."""
-    shared = least_shared("x.n", "y.n", percent)
-    left = F.lit(1) + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
-    # at the first n-gram that two prefixes share they share nothing before it
-    allowed = met.where("x.grp <> y.grp").where(sizes_allow("x.n", "y.n", percent) & (left >= shared))
-    return allowed.select(F.least("x.grp", "y.grp").alias("g"), F.greatest("x.grp", "y.grp").alias("h")).distinct()
+def _pairs(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("g"), F.greatest(x, y).alias("h")]
 
 
-def linked_documents(docs: DataFrame, shingle: int = 3, percent: int = 90, crowd: int = 64, text: str = "text") -> DataFrame:
+def linked_documents(docs: DataFrame, shingle: int = 3, percent: int = 90, crowd: int = 64, block: int = 512, text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of each row of ``docs``.
 
     Documents link where 100 * intersection >= ``percent`` * union of their sets of ``shingle``-word n-grams;
@@ -146,60 +144,58 @@ def linked_documents(docs: DataFrame, shingle: int = 3, percent: int = 90, crowd
     blank texts have none and link with nothing. A row with a null doc_id takes no part and its component is null. Rows of
     one doc_id with different texts are documents of their own; identical rows stay repeated. Pairs exactly at the limit
     link. Texts count whole at any length. An empty table gives an empty result; other columns are ignored. Ids are cast
-    to long. ``crowd``: groups of a list whose pairs come as rows; longer lists are compared inside tasks.
+    to long. ``crowd``: groups of a list whose pairs come as rows; longer lists are compared inside tasks, ``block`` members at a time.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    spark = docs.sparkSession
-    classes_of = spark.sparkContext.broadcast(count_classes(docs, shingle))
+    classes_of = docs.sparkSession.sparkContext.broadcast(count_classes(docs, shingle))
     signed = stash(prefixes(docs, shingle, percent, classes_of))
-    known = signed.where("doc_id is not null and set_hash is not null").select(F.struct("doc_id", "text_hash").alias("id"), "set_hash", "grp", "n_shingles", "prefix")
-    classes = stash(known.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("grp").alias("grp"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("copies")))
-    groups = stash(classes.groupBy("grp").agg(F.min("rep").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members")))
-    # lists of n-grams with company, dealt by steps of size: a group stands in its own and in the next, since two steps allow no link
-    posts = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = stash(posts.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1"))
-    own = F.floor(F.log("n") / (-math.log(percent / 100) * 1.001 if percent < 100 else 1.0)).cast("int")
-    posts = join_spread(posts, lists, "token", heaviest(lists, "token", "groups")).withColumn("step", F.explode(F.array(own, own + 1)))
-    posts = stash(posts.select("token", "step", (F.col("step") == own).alias("home"), F.struct("grp", "n", "pos").alias("x")))
-    list_ = ["token", "step"]
-    pivots = stash(posts.groupBy(*list_).agg(F.min("x").alias("y"), F.count("*").alias("groups"), F.max("home").alias("home")).where("groups > 1 and home").drop("home"))
-    met = join_spread(posts.withColumn("list", F.xxhash64(*list_)), pivots.withColumn("list", F.xxhash64(*list_)).drop(*list_), "list", heaviest(pivots.select(F.xxhash64(*list_).alias("list"), "y", "groups"), "list", "groups"))
-    met = stash(met)
-    first = prefixes_allow(_group_pairs(met, percent), groups, percent)
-    head = groups.select("grp", "head")
-    heads = first.join(head.toDF("g", "x"), "g").join(head.toDF("h", "y"), "h").select("x", "y")
-    within = classes.join(groups.where("members > 1").select("grp", "head"), "grp").select(F.col("rep").alias("x"), F.col("head").alias("y"))
-    links = stash(confirmed(stash(_ordered(heads.unionByName(within))), docs, shingle, percent))
+    known = signed.where("doc_id is not null and set_hash is not null")
+    groups = known.groupBy("grp").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    groups = stash(groups.withColumn("gid", F.monotonically_increasing_id()))
+    classes = known.groupBy("set_hash", "grp").agg(F.min(F.struct("doc_id", "text_hash")).alias("id"), F.count("*").alias("copies"))
+    classes = stash(classes.join(groups.select("grp", "gid", "n"), "grp").drop("grp"))
+    heads = stash(classes.groupBy("gid").agg(F.min("id").alias("head"), F.count("*").alias("members")))
+    # lists of n-grams with company: every group meets the list's first one
+    posts = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    lists = stash(posts.groupBy("token").agg(F.count("*").alias("groups"), F.min("gid").alias("first")).where("groups > 1"))
+    met = stash(join_spread(posts, lists, "token", heaviest(lists, "token", "groups")))
+    first = prefixes_allow(met.where("gid <> first").select(*_pairs("gid", "first")).distinct(), groups, percent)
+    head = heads.select("gid", "head")
+    tops = first.join(head.toDF("g", "x"), "g").join(head.toDF("h", "y"), "h").select("x", "y")
+    within = classes.join(heads.where("members > 1"), "gid").select(F.col("id").alias("x"), F.col("head").alias("y"))
+    links = stash(confirmed(stash(_ordered(tops.unionByName(within))), docs, shingle, percent))
     labels = stash(components(links))
-    labelled = stash(classes.select("grp", "n", F.col("rep").alias("id")).join(labels, "id", "left").select("grp", "n", "id", F.coalesce("label", "id").alias("label")))
+    labelled = stash(classes.select("gid", "n", "id").join(labels, "id", "left").select("gid", "n", "id", F.coalesce("label", "id").alias("label")))
     # a group of one component goes by its label, any other by a label of its own
-    marks = stash(labelled.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).select("grp", "members", (F.col("lo") < F.col("hi")).alias("open"), F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).otherwise(F.xxhash64("grp", F.lit(1))).alias("lab")))
-    of_list = met.select("list", "home", "groups", "x", F.col("x.grp").alias("grp")).join(marks.select("grp", "lab"), "grp")
-    several = of_list.groupBy("list").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.first("groups").alias("groups")).where("lo < hi")
-    several = stash(several)
-    crowded = several.where(F.col("groups") > crowd)
-    short = stash(of_list.join(several.where(F.col("groups") <= crowd).select("list"), "list", "left_semi").select("list", "home", "lab", "x"))
-    other = short.select("list", F.col("home").alias("home2"), F.col("lab").alias("lab2"), F.col("x").alias("y"))
-    pairs = _group_pairs(short.join(other, "list").where("x.grp < y.grp and lab <> lab2 and (home or home2)"), percent)
-    pairs = stash(prefixes_allow(pairs, groups, percent))
-    sizes = marks.select("grp", "members")
-    expanded = pairs.join(sizes.toDF("g", "m1"), "g").join(sizes.toDF("h", "m2"), "h")
-    few = labelled.select("grp", "id", "label")
-    second = expanded.where(F.col("m1") * F.col("m2") <= crowd).join(few.toDF("g", "x", "l1"), "g").join(few.toDF("h", "y", "l2"), "h").where("l1 <> l2")
+    marks = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"))
+    marks = stash(marks.select("gid", "members", (F.col("lo") < F.col("hi")).alias("open"), F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).otherwise(F.xxhash64("gid", F.lit(1))).alias("lab")))
+    # lists that still hold several components, dealt by steps of size: a group stands in its own and in the next
+    of_list = met.select("token", "gid", "n", "pos").join(marks.select("gid", "lab"), "gid")
+    several = of_list.groupBy("token").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    several = stash(several.select("token", "lo", "size"))
+    of_list = join_spread(of_list, several, "token", heaviest(several, "token", "size"))
+    own = _step(percent)
+    here = stash(of_list.withColumn("step", F.explode(F.array(own, own + 1))).withColumn("home", F.col("step") == own))
+    steps = here.groupBy("token", "step").agg(F.count("*").alias("in_step"), F.min("lab").alias("least"), F.max("lab").alias("greatest")).where("least < greatest")
+    steps = stash(steps.select("token", "step", "in_step"))
+    x = here.join(steps.where(F.col("in_step") <= crowd), ["token", "step"]).select("token", "step", "gid", "n", "pos", "lab", "home")
+    y = x.toDF("token", "step", "gid2", "n2", "pos2", "lab2", "home2")
+    pairs = x.join(y, ["token", "step"]).where("gid < gid2 and lab <> lab2 and (home or home2)").where(_first_shared("n", "pos", "n2", "pos2", percent))
+    pairs = stash(prefixes_allow(pairs.select(*_pairs("gid", "gid2")).distinct(), groups, percent))
+    sizes = marks.select("gid", "members")
+    expanded = pairs.join(sizes.toDF("g", "m1"), "g").join(sizes.toDF("h", "m2"), "h").withColumn("many", F.col("m1") * F.col("m2") > crowd)
+    of = labelled.select("gid", "id", "label")
+    second = expanded.where("not many").join(of.toDF("g", "x", "l1"), "g").join(of.toDF("h", "y", "l2"), "h").where("l1 <> l2").select("x", "y")
+    found = stash(confirmed(stash(_ordered(second)), docs, shingle, percent))
     # what is compared inside tasks: crowded lists by their least label, open groups, and pairs of large groups
-    asked = of_list.join(crowded.select("list", "lo"), "list").select(F.xxhash64("lo").alias("in"), "grp")
-    large = expanded.where(F.col("m1") * F.col("m2") > crowd).select(F.xxhash64("g", "h").alias("in"), F.explode(F.array("g", "h")).alias("grp"))
-    asked = asked.unionByName(large).unionByName(marks.where("open").select(F.xxhash64("grp").alias("in"), "grp")).distinct()
-    here = stash(asked.join(labelled, "grp").select(F.col("in").alias("grp"), "id.doc_id", "id.text_hash", "n", F.xxhash64("label").alias("lab")).distinct())
-    found = _ordered(second.select("x", "y"))
-    if not here.isEmpty():
-        of = docs.withColumn("text_hash", F.xxhash64("text")).join(here.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text")
-        found = found.unionByName(near_limit(here.join(held_sets(of, shingle), ["doc_id", "text_hash"]), percent, groups=here)).distinct()
-    found = stash(found)
-    if not found.isEmpty():
-        found = stash(confirmed(found, docs, shingle, percent))
-        labels = stash(components(links.unionByName(found)))
-    joined = classes.select("set_hash", "copies", F.col("rep").alias("id")).join(labels, "id", "left")
+    asked = here.join(small(steps.where(F.col("in_step") > crowd).select("token", "step"), 100_000), ["token", "step"], "left_semi").select(F.xxhash64("lo").alias("grp"), "gid")
+    large = expanded.where("many").select(F.xxhash64("g", "h").alias("grp"), F.explode(F.array("g", "h")).alias("gid"))
+    asked = asked.unionByName(large).unionByName(marks.where("open").select(F.xxhash64("gid").alias("grp"), "gid")).distinct()
+    crowded = stash(asked.join(labelled, "gid").select("grp", "id.doc_id", "id.text_hash", "n", F.xxhash64("label").alias("lab")).distinct())
+    if not crowded.isEmpty():
+        found = found.unionByName(links_in_groups(crowded, docs, shingle, percent, links.unionByName(found), block))
+    labels = stash(components(links.unionByName(found)))
+    joined = classes.join(labels, "id", "left")
     final = stash(joined.select("set_hash", "copies", F.coalesce("label.doc_id", "id.doc_id").alias("component_id")))
     return of_rows(signed, final).select("doc_id", "n_shingles", "component_id")
 
