@@ -540,7 +540,11 @@ def test_sets_alone_decide_in_crowded_buckets(spark, block):
     assert (signer.signature(x) == signer.signature(y)).sum() == 283 and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
     others = [" ".join(shared[: 20 + 5 * i] + [f"{i}o{j}" for j in range(60)]) for i in range(6)]
     held = near_dedup.held_sets(docs(spark, [*pair, *others]).select("doc_id", "text"), 1)
-    found = near_dedup.near_limit(held.withColumns({"grp": F.lit(1).cast("long"), "lab": F.least("doc_id", F.lit(2).cast("long"))}), 80, block)
+    n = F.expr("octet_length(held) div 8")
+    here = near_dedup.stash(held.withColumns({"grp": F.lit(1).cast("long"), "lab": F.least("doc_id", F.lit(2).cast("long")), "n": n}).drop("held"))
+    all_ = docs(spark, [*pair, *others]).select("doc_id", "text")
+    none = here.select(F.struct("doc_id", "text_hash").alias("a"), F.struct("doc_id", "text_hash").alias("b")).limit(0)
+    found = near_dedup.links_in_groups(here, all_, 1, 80, none, block)
     assert [(r["a"]["doc_id"], r["b"]["doc_id"]) for r in found.collect()] == [(1, 0)]
 
 
