@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..sources.files import stash
 from . import blocks
+from .identity import small
 
 
 def top_k(scored: DataFrame, query: str | list[str], k: int, score: str = "score", tie: str = "doc_id", digits: int = 9) -> DataFrame:
@@ -61,44 +62,84 @@ def reciprocal_rank_fusion(channels: list[tuple[str, DataFrame]], constant: int
     return union.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("channel")).alias("channels"))
 
 
+def scope_blocks(queries: DataFrame, vectors: DataFrame, row_block: int, query_block: int) -> DataFrame:
+    """``scope``, ``rows``, ``row_blocks``, ``query_blocks`` for each scope that has both rows and queries; written."""
+    counted = lambda d, name: d.where("scope is not null").groupBy("scope").agg(F.count("*").alias(name))
+    both = counted(vectors, "rows").join(counted(queries, "asks"), "scope")
+    needed = lambda name, size: F.ceil(F.col(name) / size).cast("long")
+    return stash(both.select("scope", (F.col("rows") + F.col("asks")).alias("rows"), needed("rows", row_block).alias("row_blocks"), needed("asks", query_block).alias("query_blocks")))
+
+
+def placed_in_blocks(queries: DataFrame, vectors: DataFrame, row_block: int, query_block: int, most: int = 100_000) -> DataFrame:
+    """Queries (``asks``) and rows with ``cell``, ``qb`` and ``rb``: rows that agree in the three meet.
+
+    Every scope is counted and only one of more than a block is cut: its queries are copied to its own row blocks, its rows
+    to its own query blocks. Small scopes share cells of about a block, uncut, so a query is copied as often as its scope
+    has blocks, however large the table is. Rows of scopes without a query, and queries of scopes without a row, stay away.
+    Cut scopes number at most a row or query block's share of the tables; the table of scopes is broadcast only up to ``most`` rows.
+    """
+    counted = scope_blocks(queries, vectors, row_block, query_block)
+    cut = (F.col("row_blocks") > 1) | (F.col("query_blocks") > 1)
+    cells = max(1, -(-(counted.where(~cut).agg(F.sum("rows")).first()[0] or 0) // row_block))
+    # a cut scope is a cell of its own; negative numbers are those of shared cells
+    large = small(counted.where(cut).select("scope", "row_blocks", "query_blocks", F.monotonically_increasing_id().alias("cell")), most)
+    held = small(counted.select("scope"), most)
+
+    def placed(rows: DataFrame, asks: bool) -> DataFrame:
+        own, other = ("query_blocks", "row_blocks") if asks else ("row_blocks", "query_blocks")
+        joined = rows.join(held, "scope", "left_semi").join(large, "scope", "left")
+        one = F.lit(1).cast("long")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, one) - 1))
+        dealt = joined.withColumn("_own", F.pmod(F.xxhash64("id"), F.coalesce(own, one))).withColumn("_other", every)
+        cell = F.coalesce("cell", -1 - F.pmod(F.xxhash64("scope"), F.lit(cells)))
+        qb, rb = ("_own", "_other") if asks else ("_other", "_own")
+        return dealt.select("id", "v", "scope", F.lit(asks).alias("asks"), cell.alias("cell"), F.col(qb).alias("qb"), F.col(rb).alias("rb"))
+
+    return placed(queries, True).unionByName(placed(vectors, False))
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, scopes: bool = False, exclude_self: bool = True, keep_scope: bool = False, row_block: int = 16_384, query_block: int = 2_048) -> DataFrame:
     """``query_id``, ``doc_id``, ``score``, ``rank``: exact cosine search (0 for a zero norm), the smaller doc_id first in ties.
 
     ``queries`` has query_id and v, ``vectors`` doc_id and v (arrays of one length), with ``scopes`` both a column scope: then
-    only rows of the query's scope count, and the scope is part of the block, which restricts before anything is scored.
-    With ``keep_scope`` a query may ask in several scopes and has ``k`` rows in each, which ``scope`` tells.
-    Neither side is broadcast: pairs of blocks of bounded size are groups, and each returns k rows a query at most.
+    only rows of the query's scope count, and blocks are made scope by scope, which restricts before anything is scored.
+    With ``keep_scope`` a query may ask in several scopes and has ``k`` rows in each, which ``scope`` tells; a null scope holds
+    nothing. Neither side is broadcast: pairs of blocks of bounded size are groups, and each returns k rows a query at most.
+    With scopes both tables are counted first, so they should be stashed where they are costly.
     """
-    extra = ["scope"] if scopes else []
-    counts = [max(1, -(-d.count() // size)) for d, size in ((vectors, row_block), (queries, query_block))]
-    q = queries.select(F.col("query_id").alias("id"), "v", *extra, F.lit(True).alias("asks"), F.pmod(F.xxhash64("query_id"), F.lit(counts[1])).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(counts[0] - 1).cast("long"))).alias("rb"))
-    r = vectors.select(F.col("doc_id").alias("id"), "v", *extra, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(counts[1] - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("doc_id"), F.lit(counts[0])).alias("rb"))
+    of = lambda d, name: d.select(F.col(name).alias("id"), "v", *(["scope"] if scopes else [F.lit(0).alias("scope")]))
+    placed = placed_in_blocks(of(queries, "query_id"), of(vectors, "doc_id"), row_block, query_block)
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy(bool)
-        out = {"query_id": [], "doc_id": [], "score": []}
-        scope = pdf["scope"].iloc[0] if keep_scope else None
-        if asks.any() and not asks.all():
-            x = np.stack(pdf["v"].to_list()).astype(float)
+    def scored(asks: pd.DataFrame, rows: pd.DataFrame, out: dict) -> None:
+        def unit(part):
+            x = np.stack(part["v"].to_list()).astype(float)
             norms = np.sqrt((x * x).sum(1))
-            x = x / np.where(norms > 0, norms, 1.0)[:, None]
-            qx, rx, qid, rid = x[asks], x[~asks], pdf["id"].to_numpy()[asks], pdf["id"].to_numpy()[~asks]
-            order = np.argsort(rid, kind="stable")
-            rx, rid = rx[order], rid[order]
-            for a in range(0, len(qx), 256):
-                scores = np.round(qx[a : a + 256] @ rx.T, 9)
-                if exclude_self:
-                    scores[qid[a : a + 256, None] == rid[None, :]] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                for i, row in enumerate(best):
-                    row = row[np.isfinite(scores[i, row])]
-                    out["query_id"] += [qid[a + i]] * len(row)
-                    out["doc_id"] += rid[row].tolist()
-                    out["score"] += scores[i, row].tolist()
-        return pd.DataFrame({"scope": [scope] * len(out["score"]), **out} if keep_scope else out)
+            return x / np.where(norms > 0, norms, 1.0)[:, None], part["id"].to_numpy()
+
+        (qx, qid), (rx, rid) = unit(asks), unit(rows.sort_values("id", kind="stable"))
+        for a in range(0, len(qx), 256):
+            scores = np.round(qx[a : a + 256] @ rx.T, 9)
+            if exclude_self:
+                scores[qid[a : a + 256, None] == rid[None, :]] = -np.inf
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            for i, row in enumerate(best):
+                row = row[np.isfinite(scores[i, row])]
+                out["query_id"] += [qid[a + i]] * len(row)
+                out["doc_id"] += rid[row].tolist()
+                out["score"] += scores[i, row].tolist()
+                if keep_scope:
+                    out["scope"] += [asks["scope"].iloc[0]] * len(row)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = {"scope": [], "query_id": [], "doc_id": [], "score": []} if keep_scope else {"query_id": [], "doc_id": [], "score": []}
+        for _, of_scope in pdf.groupby("scope", sort=False):
+            asks = of_scope["asks"].to_numpy(bool)
+            if asks.any() and not asks.all():
+                scored(of_scope[asks], of_scope[~asks], out)
+        return pd.DataFrame(out)
 
     kind = f"scope {vectors.schema['scope'].dataType.simpleString()}, " if keep_scope else ""
-    found = q.unionByName(r).groupBy(*extra, "qb", "rb").applyInPandas(block, kind + "query_id long, doc_id long, score double")
+    found = placed.groupBy("cell", "qb", "rb").applyInPandas(block, kind + "query_id long, doc_id long, score double")
     return top_k(found, ["query_id", "scope"] if keep_scope else ["query_id"], k)
 
 

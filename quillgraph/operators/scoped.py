@@ -196,9 +196,9 @@ def inject_sources(hits: DataFrame, triples: DataFrame, questions: DataFrame, co
 
 
 def sentences_within(asked: DataFrame, matches: DataFrame, sentences: DataFrame, limit: int = 36, per_text: int = 12, embed: Embed = default_embed) -> DataFrame:
-    """``query_id``, ``doc_id``, ``part_index``, ``score``, ``rank``: the most similar sentences of a standard.
+    """``query_id``, ``doc_id``, ``part_index``, ``score``, ``rank``: the most similar sentences of the standards that a question asks in.
 
-    ``sentences``: doc_id, source, part_index, sentence; the first ``per_text`` of a text count. Of sentences of a standard
+    ``asked``: query_id, key, text, a row for each standard. ``sentences``: doc_id, source, part_index, sentence; the first ``per_text`` of a text count. Of sentences of a standard
     that agree in 240 characters without white space the first one stands for all. All texts of a standard take part.
     """
     rows = matches.join(sentences.where(F.col("part_index") < per_text), "source")
@@ -206,7 +206,8 @@ def sentences_within(asked: DataFrame, matches: DataFrame, sentences: DataFrame,
     once = stash(rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").select("key", "doc_id", "part_index", "sentence", F.monotonically_increasing_id().alias("_id")))
     own = once.select(F.col("key").alias("source"), F.col("_id").alias("doc_id"), F.col("sentence").alias("text"))
     found = dense_within(asked, once.select("key", F.col("key").alias("source")).distinct(), own, limit, embed, least=1)
-    named = found.select("query_id", F.col("doc_id").alias("_id"), "score").join(once, "_id")
+    # a sentence that two standards of a question hold is one hit
+    named = found.select("query_id", F.col("doc_id").alias("_id"), "score").join(once, "_id").groupBy("query_id", "doc_id", "part_index").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id", "part_index")
     return named.select("query_id", "doc_id", "part_index", "score", F.row_number().over(by_score).alias("rank")).where(F.col("rank") <= limit)
 

@@ -139,7 +139,7 @@ def source_injection(spark, sf):
 
 _SENT = f"""{_SENTENCES}, sq AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS part_index, sentence FROM se),
 s1 AS (SELECT k, doc_id, part_index, sentence FROM sq JOIN cp USING (doc_id) WHERE part_index < 12 AND cp.z >= 24 QUALIFY row_number() OVER (PARTITION BY k, substr(regexp_replace(sentence, '\\s+', '', 'g'), 1, 240) ORDER BY doc_id, part_index) = 1),
-s2 AS (SELECT k, doc_id, part_index, sentence, {_VECTOR.format(c="sentence")} AS v FROM s1), qv AS (SELECT query_id, k1 AS k, {_VECTOR.format(c="text")} AS v FROM qs),
+s2 AS (SELECT k, doc_id, part_index, sentence, {_VECTOR.format(c="sentence")} AS v FROM s1), qv AS (SELECT query_id, k, {_VECTOR.format(c="text")} AS v FROM qs JOIN ks USING (query_id)),
 sh AS (SELECT query_id, doc_id, part_index, sentence, {_COS.format(a="qv.v", b="s2.v")} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS.format(a="qv.v", b="s2.v")} DESC, doc_id, part_index) AS rank FROM qv JOIN s2 USING (k) QUALIFY rank <= 8)"""
 
 
@@ -147,8 +147,7 @@ def _sentence_hits(spark, sf):
     corpus = _corpus(spark, sf)
     good = corpus.where(scoped.usable(F.col("text"), 24, scoped.HEAD_WORDS, 80)).select("doc_id", "source")
     sentences = identity.stash(chunk.sentences(t(spark, sf, "documents"), "doc_id", "text").join(good, "doc_id"))
-    i = F.col("query_id")
-    asked = _questions(spark, sf).select("query_id", q.standard_keys(F.col("text"))[0].alias("key"), "text").where(i.isNotNull())
+    asked = _questions(spark, sf).select("query_id", F.explode(q.standard_keys(F.col("text"))).alias("key"), "text")
     return scoped.sentences_within(asked, scoped.matched_sources(asked, corpus), sentences, 8), sentences
 
 
