@@ -173,7 +173,7 @@ def same_paragraph(a: str, b: str, with_ratio: bool = True) -> Column:
     p, q = F.col(f"{a}_bare"), F.col(f"{b}_bare")
     # the ratio can't exceed what the lengths allow, and isn't asked where words decide
     possible = known & ~tokens & (2.0 * F.least(F.length(p), F.length(q)) >= 0.62 * (F.length(p) + F.length(q)))
-    return known & (tokens | (similarity.sequence_ratio(F.when(possible, p), F.when(possible, q)) >= 0.62))
+    return known & (tokens | (similarity.sequence_ratio(F.when(possible, p), F.when(possible, q), popular_rule=True, least=0.62) >= 0.62))
 
 
 def _paragraphs(df: DataFrame, side: str, *extra: str) -> DataFrame:
@@ -192,19 +192,29 @@ def paragraph_metrics(retrieved: DataFrame, gold: DataFrame, ks: tuple[int, ...]
 
 def context_metrics(retrieved: DataFrame, gold: DataFrame, first: int = 5) -> DataFrame:
     """``query_id``, ``context_recall``, ``context_relevance``: the mean over gold texts of their best ratio with a retrieved text, and the mean over
-    the first ``first`` retrieved texts of their best ratio with a gold one, codes apart. Without texts on a side: 0."""
+    the first ``first`` retrieved texts of their best ratio with a gold one, codes apart. Without texts on a side: 0.
+
+    Where no retrieved text of a question has more than 30 characters, they count as ids, and recall is the share of the
+    distinct gold ones among them. Popular characters of the retrieved text start no block of a ratio.
+    """
+    of = lambda: similarity.sequence_ratio("_gold", "_got", popular_rule=True)
     bare = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), NAMED_STANDARD, " "))
     g = gold.select("query_id", F.col("text").alias("_gold"), F.monotonically_increasing_id().alias("_g"))
     r = retrieved.select("query_id", "rank", F.col("text").alias("_got"))
     pairs = stash(g.join(r, "query_id").select("query_id", "_g", "rank", "_gold", "_got"))
-    recall = pairs.groupBy("query_id", "_g").agg(F.max(similarity.sequence_ratio("_gold", "_got")).alias("b")).groupBy("query_id").agg(F.sum("b").alias("_sum"))
+    ids = retrieved.groupBy("query_id").agg((F.max(F.length(F.coalesce("text", F.lit("")))) <= 30).alias("_ids"))
+    texts = pairs.join(ids.where("not _ids"), "query_id", "left_semi")
+    recall = texts.groupBy("query_id", "_g").agg(F.max(of()).alias("b")).groupBy("query_id").agg(F.sum("b").alias("_sum"))
+    distinct = gold.select("query_id", F.coalesce("text", F.lit("")).alias("_id")).distinct().join(ids.where("_ids").select("query_id"), "query_id")
+    known = retrieved.select("query_id", F.coalesce("text", F.lit("")).alias("_id"), F.lit(1).alias("_known")).distinct()
+    shares = distinct.join(known, ["query_id", "_id"], "left").groupBy("query_id").agg((F.count("_known") / F.count("*")).alias("_share"))
     wanted = gold.groupBy("query_id").agg(F.count("*").alias("_wanted"))
     spoken = pairs.withColumns({"_gold": bare(F.col("_gold")), "_got": bare(F.col("_got"))}).where("_gold <> '' and _got <> ''")
-    best = spoken.groupBy("query_id", "rank").agg(F.max(similarity.sequence_ratio("_gold", "_got")).alias("b"))
+    best = spoken.groupBy("query_id", "rank").agg(F.max(of()).alias("b"))
     w = Window.partitionBy("query_id").orderBy("rank")
     relevance = best.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= first).groupBy("query_id").agg(F.avg("b").alias("_relevance"))
-    joined = wanted.join(recall, "query_id", "left").join(relevance, "query_id", "left")
-    return joined.select("query_id", F.coalesce(F.col("_sum") / F.col("_wanted"), F.lit(0.0)).alias("context_recall"), F.coalesce("_relevance", F.lit(0.0)).alias("context_relevance"))
+    joined = wanted.join(recall, "query_id", "left").join(shares, "query_id", "left").join(relevance, "query_id", "left")
+    return joined.select("query_id", F.coalesce("_share", F.col("_sum") / F.col("_wanted"), F.lit(0.0)).alias("context_recall"), F.coalesce("_relevance", F.lit(0.0)).alias("context_relevance"))
 
 
 def answer_entities(c: Column) -> Column:

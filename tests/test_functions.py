@@ -96,8 +96,36 @@ def test_matching_blocks():
     for _ in range(500):
         a, b = ("".join(random.choice("abcd") for _ in range(random.randint(0, 30))) for _ in "ab")
         assert similarity.ratio(a, b) == pytest.approx(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else 0.0)
-    long = "".join(random.choice("ab") for _ in range(300))  # beyond the length where popular characters could count as junk
-    assert similarity.ratio(long, long[::-1]) == pytest.approx(difflib.SequenceMatcher(None, long, long[::-1], autojunk=False).ratio())
+    # from 200 characters on popular ones start no block; they still lengthen one, also an empty one at the beginning
+    alphabets = ["ab", "abcdefghij klmnop", "".join(chr(0x4E00 + i) for i in range(300)) + "  aaaa"]
+    for k in range(400):
+        a, b = ("".join(random.choice(alphabets[k % 3]) for _ in range(random.choice([1, 40, 199, 200, 201, 500]))) for _ in "ab")
+        b = b[: len(b) // 2] + a[len(a) // 3 : len(a) // 3 + random.randint(0, 80)] + b[len(b) // 2 :]
+        for rule in (False, True):
+            want = difflib.SequenceMatcher(None, a, b, autojunk=rule).ratio()
+            assert similarity.ratio(a, b, rule) == want and (similarity.ratio(a, b, rule, 0.62) >= 0.62) == (want >= 0.62)
+
+
+@pytest.mark.parametrize("rule", [False, True])
+def test_matching_blocks_of_long_texts(rule):
+    import difflib
+    import random
+    import time
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(4000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))[:n]
+    a, b = text(20_000), text(20_000)
+    rare = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3000))  # characters that aren't popular
+    a, b = a[:9000] + rare + a[9000:17_000], b[:5000] + rare[:2000] + b[5000:9000] + rare[1500:] + b[9000:14_500]
+    began = time.time()
+    got = similarity.ratio(a, b, rule)
+    assert time.time() - began < 20
+    if rule:
+        assert got == difflib.SequenceMatcher(None, a, b).ratio() > 0.1
+    else:  # the plain way takes minutes here: shorter ones are compared, and repeats of one character stay linear
+        assert similarity.ratio(a[8000:11_000], b[4000:8000]) == difflib.SequenceMatcher(None, a[8000:11_000], b[4000:8000], autojunk=False).ratio()
+        assert similarity.ratio("a" * 20_000, "a" * 10_000) == 2 / 3
 
 
 def test_display_id(spark):
