@@ -13,13 +13,15 @@ crowded lists and groups inside tasks in blocks of a bounded number of members,
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import heaviest, join_spread, small, stash, table, texts
-from .near_dedup import _ordered, _step, components, confirmed, links_in_groups, of_rows, shingles
+from .near_dedup import PLACES, _ordered, components, confirmed, shingles
 
 BITS, BLOCK = 20, 4096  # of the table of counts, which has 2 ** BITS places
 
@@ -136,6 +138,118 @@ def _pairs(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("g"), F.greatest(x, y).alias("h")]
 
 
+def _sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``held`` (the sorted hashes of the shingles)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch, raws in texts(batches):
+            held = [shingles(raw, shingle).tobytes() for raw in raws]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.binary())], ["doc_id", "text_hash", "held"])
+
+    made = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, text_hash long, held binary")
+    return made.dropDuplicates(["doc_id", "text_hash"])
+
+
+def links_in_blocks(open_: DataFrame, percent: int, blocks: DataFrame, across: bool, block: int = 512) -> DataFrame:
+    """Pairs (a, b) of members of one group that are links, as many as join what links join: a forest in each block or pair of blocks.
+
+    ``open_``: grp, doc_id, text_hash, lab (known component), n (the set's size) and held. Full sets decide, for every pair of
+    different components whose sizes allow a link; pairs that share too few places of a table, which is never less than
+    they share of their sets, need no exact count. Members are dealt by size, each to its own step of sizes and to the
+    next one, since sizes two steps apart allow no link; ``blocks`` has the members of steps with more than ``block`` of
+    them. Those are compared block by block: each block within itself or, with ``across``, each with every other.
+    """
+
+    def compare(pdf):
+        import pandas as pd
+
+        held = [np.frombuffer(h, np.uint64) for h in pdf["held"]]
+        sizes = np.array([len(h) for h in held])
+        order = np.argsort(sizes, kind="stable")
+        pdf, held, sizes = pdf.iloc[order], [held[k] for k in order.tolist()], sizes[order]
+        label, block_, home = (pdf[c].to_numpy().copy() for c in ("lab", "blk", "home"))
+        kinds, counts = np.unique(label, return_counts=True)
+        odd = (label != kinds[counts.argmax()]) | across  # two blocks may have different largest components
+        places = (np.concatenate(held) & np.uint64(PLACES - 1)).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        marked = np.zeros(PLACES, np.int8)
+        x, y = [], []
+        for r in np.flatnonzero(odd).tolist():
+            # partners: of a size that allows a link, of another component, each pair once, across the blocks if there are two
+            first, last = np.searchsorted(100 * sizes, percent * sizes[r], "left"), np.searchsorted(percent * sizes, 100 * sizes[r], "right")
+            near = np.arange(first, last)
+            ask = (label[near] != label[r]) & ~(odd[near] & (near < r)) & (home[near] | home[r])
+            if across:
+                ask &= block_[near] != block_[r]
+            if not ask.any():
+                continue
+            first, last = near[ask][0], near[ask][-1] + 1
+            mine = places[starts[r] : starts[r + 1]]
+            marked[mine] = 1
+            most = np.add.reduceat(marked[places[starts[first] : starts[last]]], starts[first:last] - starts[first], dtype=np.int64)
+            marked[mine] = 0
+            to = near[ask]
+            for c in to[100 * most[to - first] >= percent * (sizes[r] + sizes[to] - most[to - first])].tolist():
+                if label[c] == label[r]:
+                    continue
+                both = len(np.intersect1d(held[r], held[c], assume_unique=True))
+                if 100 * both >= percent * (sizes[r] + sizes[c] - both):
+                    x.append(r)
+                    y.append(c)
+                    label[label == label[c]] = label[r]
+        ids, hashes = pdf["doc_id"].to_numpy(), pdf["text_hash"].to_numpy()
+        return pd.DataFrame({"xi": ids[x], "xh": hashes[x], "yi": ids[y], "yh": hashes[y]}) if x else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("xi", "xh", "yi", "yh")})
+
+    own = _step(percent)
+    dealt = open_.withColumn("step", F.explode(F.array(own, own + 1))).withColumn("home", F.col("step") == own)
+    dealt = dealt.join(small(blocks, 100_000), ["grp", "step"], "inner" if across else "left").withColumn("nb", F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int"))
+    dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("nb")).cast("int"))
+    others = F.explode(F.expr("filter(sequence(0, nb - 1), k -> k <> blk)")) if across else F.col("blk")
+    dealt = dealt.withColumn("k", others).select("grp", "step", F.least("blk", "k").alias("lo"), F.greatest("blk", "k").alias("hi"), "blk", "home", "doc_id", "text_hash", "lab", "held")
+    found = dealt.groupBy("grp", "step", "lo", "hi").applyInPandas(compare, "xi long, xh long, yi long, yh long")
+    return _ordered(found.select(F.struct(F.col("xi").alias("doc_id"), F.col("xh").alias("text_hash")).alias("x"), F.struct(F.col("yi").alias("doc_id"), F.col("yh").alias("text_hash")).alias("y")))
+
+
+def _step(percent: int) -> Column:
+    """Number of the step of sizes that ``n`` is in; linked sets are at most one step apart."""
+    return F.floor(F.log("n") / (-math.log(percent / 100) * 1.001 if percent < 100 else 1.0)).cast("int")
+
+
+def links_in_groups(here: DataFrame, docs: DataFrame, shingle: int, percent: int, links: DataFrame, block: int = 512) -> DataFrame:
+    """Links that join the components of all members of each group that links join, beside the known ``links``.
+
+    ``here``: grp, doc_id, text_hash, n and lab, stashed. Crowded groups first find the links inside their blocks; only
+    groups that then still hold several components go through pairs of blocks.
+    """
+    id_ = ["doc_id", "text_hash"]
+    sets = lambda rows: rows.join(_sets(docs.withColumn("text_hash", F.xxhash64("text")).join(rows.select(id_).distinct(), id_, "left_semi").select("doc_id", "text"), shingle), id_)
+    own = _step(percent)
+    blocks = here.select("grp", F.explode(F.array(own, own + 1)).alias("step")).groupBy("grp", "step").agg(F.count("*").alias("members")).where(F.col("members") > block)
+    blocks = stash(blocks)
+    found = stash(links_in_blocks(sets(here), percent, blocks, False, block))
+    if blocks.isEmpty():
+        return found
+    labels = stash(components(links.unionByName(found))).select("id.*", F.xxhash64("label").alias("new"))
+    # ids without a link keep a label of their own
+    here = stash(here.join(labels, id_, "left").select("grp", *id_, "n", F.coalesce("new", F.xxhash64(F.struct(*id_))).alias("lab")))
+    several = here.groupBy("grp").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo < hi").select("grp")
+    here = stash(here.join(several, "grp", "left_semi"))
+    return found if here.isEmpty() else stash(found.unionByName(links_in_blocks(sets(here), percent, blocks, True, block)).distinct())
+
+
+def of_rows(signed: DataFrame, final: DataFrame, hot_copies: int = 10_000) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n_shingles`` and ``component_id`` of each signed row, from the components of its class."""
+    # a class with very many copies is sent to them; the other copies go to their classes
+    hot = final.where(F.col("copies") > hot_copies).select("set_hash", F.col("component_id").alias("_hot"))
+    rows_ = signed.select("doc_id", "text_hash", "n_shingles", "set_hash").join(small(hot, 10_000), "set_hash", "left")
+    at_home = F.col("_hot").isNull() & F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull()
+    near = rows_.where(at_home).join(final.select("set_hash", "component_id"), "set_hash").select("doc_id", "text_hash", "n_shingles", "component_id")
+    rest = rows_.where(~at_home).select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_hot", "doc_id")).alias("component_id"))
+    return near.union(rest)
+
+
 def linked_documents(docs: DataFrame, shingle: int = 3, percent: int = 90, crowd: int = 64, block: int = 512, text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of each row of ``docs``.
 

@@ -150,7 +150,7 @@ def test_links_in_crowded_groups_need_few_rows(spark):
     docs = table(spark, rows).select("doc_id", "text")
     here = docs.select(F.lit(1).cast("long").alias("grp"), "doc_id", F.xxhash64("text").alias("text_hash"), F.lit(198).alias("n"), F.col("doc_id").alias("lab"))
     none = near_dedup._ordered(here.select(F.struct("doc_id", "text_hash").alias("x"), F.struct("doc_id", "text_hash").alias("y")))
-    found = near_dedup.links_in_groups(here, docs, 3, 90, none, block=16)
+    found = ngram_join.links_in_groups(here, docs, 3, 90, none, block=16)
     assert near_dedup.components(found).select("label").distinct().count() == 1 and found.count() < 2 * 60 + 8 * 8
 
 
