@@ -402,6 +402,25 @@ def test_sample_of_labels_is_bounded(spark, monkeypatch, most):
     assert 0 < sum(seen) <= most and (most < 200 or sum(seen) >= 190)
 
 
+def test_pii_copies_are_one_proposal(spark):
+    line = "Write to a.b@c.example.com or call +1 (377) 555-0271, card 4111 1111 1111 1111."
+    assert pii.fit(docs(spark, [line] * 400), most_labelled=200)[1] == [float("inf")] * 4
+    untrained = pii.Trees().fit(np.zeros((90, pii.FEATURES)), np.ones(90))
+    assert pii.thresholds(untrained, np.zeros((200, pii.FEATURES)), np.ones(200), 0.9) == [float("inf")] * 4
+    # copies don't crowd out the others: the sample of a table with copies is that of the table without
+    others = [f"mail user{i}@host{i % 7}.example.org now, ref {i * 7919 + 1000000000}" for i in range(600)]
+    plain, crowded = (pii.fit(docs(spark, t).repartition(3), most_labelled=300) for t in ([*others, line], [*others, *[line] * 900]))
+    assert plain[1] == crowded[1] and repr(plain[0].trees) == repr(crowded[0].trees)
+
+
+@pytest.mark.parametrize("most", [1, 50, 3000, 10_000])
+def test_pii_lowest_keys(spark, most):
+    keys = [random.Random(5).getrandbits(63) for _ in range(1)] * 4000 + [random.Random(i).getrandbits(63) for i in range(3000)] + list(range(40))
+    found = spark.createDataFrame([(k,) for k in keys], "key long").repartition(4)
+    got = {r["key"] for r in pii.lowest_keys(found, most).collect()}
+    assert set(sorted(set(keys))[:most]) <= got and (len(got) <= 4 * most + 10 or got == set(keys))
+
+
 def test_numbers_parted_by_a_blank_are_found(spark):
     cards, mixed = "7536784127813050 4845168114407329", "+1 (826) 555-4081 190.137.223.204"
     assert pii.base_spans(cards) == [] and [k for _, k, _ in pii.base_spans(mixed)] == [1]
