@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter, defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,67 +13,116 @@ from ..functions import text
 from ..sources.files import stash
 
 
+def grams_of(text: str, n: int) -> set[str]:
+    return {text[i : i + n] for i in range(max(1, len(text) - n + 1))}
+
+
+class Block:
+    """The texts of a block by gram. Searches walk from rare grams to common ones and stop when no other text can enter."""
+
+    def __init__(self, texts: list[str], n: int):
+        self.texts, self.n, self.grams = texts, n, [grams_of(t, n) for t in texts]
+        self.postings, self.rarest, self.short = defaultdict(list), defaultdict(list), defaultdict(list)
+        for row, own in enumerate(self.grams):
+            for gram in own:
+                self.postings[gram].append(row)
+        for row, (text_, own) in enumerate(zip(texts, self.grams, strict=True)):
+            if len(text_) < n:
+                self.short[text_].append(row)
+            else:  # a text that lies in another brings its rarest gram along
+                self.rarest[min(own, key=lambda g: (len(self.postings[g]), g))].append(row)
+
+    def most_shared(self, own: set[str], limit: int) -> list[int]:
+        """The ``limit`` rows that share most of the grams ``own``, ties to the earlier row; rows that share none stay out."""
+        known = sorted((g for g in own if g in self.postings), key=lambda g: (len(self.postings[g]), g))
+        counts: Counter = Counter()
+        for place, gram in enumerate(known):
+            left = len(known) - place
+            if place % 16 == 0 and len(counts) >= limit:
+                least = heapq.nlargest(limit, counts.values())[-1]
+                if least > left:  # a row not met yet shares at most ``left`` grams
+                    rest = set(known[place:])
+                    counts = Counter({row: n + len(rest & self.grams[row]) for row, n in counts.items() if n + left >= least})
+                    break
+            counts.update(self.postings[gram])
+        return heapq.nsmallest(limit, counts, key=lambda row: (-counts[row], row))
+
+    def inside(self, text: str, own: set[str]) -> set[int]:
+        """The rows that contain ``text`` or lie in it."""
+        if len(text) < self.n:
+            holding = {row for gram, rows in self.postings.items() if text in gram for row in rows}
+        elif own <= self.postings.keys():
+            holding = {row for row in self.postings[min(own, key=lambda g: (len(self.postings[g]), g))] if text in self.texts[row]}
+        else:
+            holding = set()
+        held = {row for gram in own & self.rarest.keys() for row in self.rarest[gram] if self.texts[row] in text}
+        return holding | held | {row for short, rows in self.short.items() if short in text for row in rows}
+
+
 def candidates(paragraphs: DataFrame, clauses: DataFrame, limit: int = 12, n: int = 4, block: int = 512) -> DataFrame:
     """``source``, ``pid``, ``p_text``, ``cid``, ``c_text``: clauses that contain the paragraph or lie in it, and the ``limit`` that share most of its grams.
 
-    ``paragraphs`` has source, pid, p_text, ``clauses`` source, cid, c_text, both compacted. Both sides of a source are dealt
-    into blocks of about ``block`` texts; a pair of blocks is compared in one task by a product of gram counts, which gives
-    ``limit`` rows a paragraph and the contained ones. Ties go to the smaller cid.
+    ``paragraphs`` has source, pid, p_text, ``clauses`` source, cid, c_text, both compacted; ``shared``, ``p_grams`` and ``c_grams``
+    count the grams of a pair for ``score``. A null source and empty texts have no candidates; ties go to the smaller cid.
+
+    Both sides of a source are dealt into blocks of about ``block`` texts. A pair of blocks meets in one task, small sources share
+    one, and a paragraph takes from a block ``limit`` rows and the contained ones. Within a block postings of grams, rare ones
+    first, with a bound on what is left decide which clauses are looked at.
     """
     sides = ((paragraphs, "pid", "p_text", True), (clauses, "cid", "c_text", False))
-    counts = [df.groupBy("source").agg(F.ceil(F.count("*") / block).cast("int").alias(f"_n_{id_}")) for df, id_, _, _ in sides]
+    counts = [df.where(F.length(text_) > 0).groupBy("source").agg(F.ceil(F.count("*") / block).alias(f"_n_{id_}"), F.count("*").alias(f"_all_{id_}")) for df, id_, text_, _ in sides]
     blocks = stash(counts[0].join(counts[1], "source"))
+    rows = blocks.agg(F.sum(F.col("_all_pid") * F.col("_n_cid") + F.col("_all_cid") * F.col("_n_pid"))).first()[0] or 0
+    groups = 1 + rows // (4 * block)
     dealt = None
     for df, id_, text_, asks in sides:
         own, other = ("_pb", "_cb") if asks else ("_cb", "_pb")
         n_other = "_n_cid" if asks else "_n_pid"
         part = df.where(F.length(text_) > 0).join(blocks, "source").select(
             "source", F.col(id_).cast("long").alias("id"), F.col(text_).alias("text"), F.lit(asks).alias("asks"),
-            F.pmod(F.xxhash64(id_), F.col(f"_n_{id_}")).alias(own), F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)).alias(other),
+            F.pmod(F.xxhash64(id_), F.col(f"_n_{id_}")).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1)).alias(other),
         )
         dealt = part if dealt is None else dealt.unionByName(part)
 
     def compare(pdf):
-        import numpy as np
         import pandas as pd
 
-        asks = pdf["asks"].to_numpy(bool)
-        p, c = pdf[asks].sort_values("id", kind="stable"), pdf[~asks].sort_values("id", kind="stable")
         out = []
-        if len(p) and len(c):
-            grams = [[{t} if len(t) <= n else {t[i : i + n] for i in range(len(t) - n + 1)} for t in side["text"]] for side in (p, c)]
-            known = {g: i for i, g in enumerate(set().union(*grams[0]))}
-            wide = np.zeros((len(c), len(known)), np.float32)
-            for row, own in enumerate(grams[1]):
-                wide[row, [known[g] for g in own if g in known]] = 1
-            sizes = np.array([len(g) for g in grams[1]])
-            short = np.array([len(t) < n for t in c["text"]])
-            c_texts, c_ids = c["text"].tolist(), c["id"].to_numpy()
-            for row, (pid, gold) in enumerate(zip(p["id"].tolist(), p["text"].tolist(), strict=True)):
-                own = grams[0][row]
-                shared = wide[:, [known[g] for g in own]].sum(1).astype(np.int64)
-                # a text inside another shares all its grams, unless it is too short to have one
-                maybe = (shared >= np.minimum(sizes, len(own))) | short | (len(gold) < n)
-                inside = np.array([bool(m) and (gold in t or t in gold) for m, t in zip(maybe, c_texts, strict=True)])
-                best = np.argsort(-shared, kind="stable")
-                chosen = np.zeros(len(c), bool)
-                chosen[best[:limit]] = True
-                for k in np.flatnonzero((chosen & (shared > 0)) | inside).tolist():
-                    out.append((pdf["source"].iloc[0], pid, int(c_ids[k]), int(shared[k]), bool(inside[k])))
-        return pd.DataFrame(out, columns=["source", "pid", "cid", "shared", "inside"])
+        pdf = pdf.sort_values("id", kind="stable", ignore_index=True)
+        asks, ids, texts, sources = pdf["asks"].tolist(), pdf["id"].tolist(), pdf["text"].tolist(), pdf["source"].tolist()
+        for places in pdf.groupby(["source", "_pb", "_cb"], sort=False).indices.values():
+            c = [k for k in places if not asks[k]]
+            if not c or len(c) == len(places):
+                continue
+            known = Block([texts[k] for k in c], n)
+            for k in places:
+                if asks[k]:
+                    own = grams_of(texts[k], n)
+                    inside = known.inside(texts[k], own)
+                    for row in inside.union(known.most_shared(own, limit)):
+                        of = known.grams[row]
+                        out.append((sources[k], ids[k], ids[c[row]], len(own & of), len(own), len(of), row in inside))
+        return pd.DataFrame(out, columns=["source", "pid", "cid", "shared", "p_grams", "c_grams", "inside"])
 
     kind = paragraphs.schema["source"].dataType.simpleString()
-    found = dealt.groupBy("source", "_pb", "_cb").applyInPandas(compare, f"source {kind}, pid long, cid long, shared long, inside boolean")
+    schema = f"source {kind}, pid long, cid long, shared long, p_grams long, c_grams long, inside boolean"
+    found = dealt.withColumn("_group", F.pmod(F.xxhash64("source", "_pb", "_cb"), F.lit(groups))).groupBy("_group").applyInPandas(compare, schema)
     w = Window.partitionBy("source", "pid").orderBy(F.desc("shared"), "cid")
-    kept = found.withColumn("_rank", F.row_number().over(w)).where((F.col("_rank") <= limit) | F.col("inside")).select("source", "pid", "cid")
+    kept = found.withColumn("_rank", F.row_number().over(w)).where((F.col("_rank") <= limit) | F.col("inside")).drop("_rank", "inside")
     return kept.join(paragraphs, ["source", "pid"]).join(clauses, ["source", "cid"])
 
 
-def score(gold: Column, clause: Column, sequence: Column | None = None, n: int = 4) -> tuple[Column, Column]:
-    """Score in [0, 1] and method of compacted texts. ``sequence`` is a sequence ratio; without it that tenth is 0."""
-    grams, of = text.char_ngrams(gold, n), text.char_ngrams(clause, n)
-    shared = F.size(F.array_intersect(grams, of))
-    recall, precision = shared / F.greatest(F.size(grams), F.lit(1)), shared / F.greatest(F.size(of), F.lit(1))
+def score(gold: Column, clause: Column, sequence: Column | None = None, n: int = 4, counted: tuple[str, str, str] | None = None) -> tuple[Column, Column]:
+    """Score in [0, 1] and method of compacted texts. ``sequence`` is a sequence ratio; without it that tenth is 0.
+
+    ``counted`` names columns with the numbers of shared grams, of the paragraph's and of the clause's, where they are known.
+    """
+    if counted:
+        shared, n_gold, n_clause = (F.col(c) for c in counted)
+    else:
+        grams, of = text.char_ngrams(gold, n), text.char_ngrams(clause, n)
+        shared, n_gold, n_clause = F.size(F.array_intersect(grams, of)), F.size(grams), F.size(of)
+    recall, precision = shared / F.greatest(n_gold, F.lit(1)), shared / F.greatest(n_clause, F.lit(1))
     f1 = F.when(recall + precision > 0, 2 * recall * precision / (recall + precision)).otherwise(0.0)
     cover = F.least(F.length(gold), F.length(clause)) / F.greatest(F.length(gold), F.length(clause))
     fuzzy = 0.72 * recall + 0.18 * f1 + 0.10 * (F.lit(0.0) if sequence is None else sequence)
@@ -118,5 +170,7 @@ def manifest(rows: DataFrame, source: str, paragraph: list[str], identity: str)
     )
 
 
+#: Columns of ``candidates`` for ``counted`` of ``score``.
+COUNTED = ("shared", "p_grams", "c_grams")
 GRAPH_GATES = ((0.90, 0.02, "accepted_high"), (0.65, 0.01, "accepted_medium"))
 ANSWER_GATES = ((0.90, 0.03, "accepted_high"), (0.72, 0.015, "accepted_medium"))

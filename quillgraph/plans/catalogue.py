@@ -241,7 +241,7 @@ al AS (SELECT *, CASE WHEN score >= 0.90 AND margin >= 0.02 THEN 'accepted_high'
 def _aligned(spark, sf):
     paragraphs, answers = _pairs_of_turns(spark, sf)
     pairs = align.candidates(paragraphs, answers)
-    value, method = align.score(F.col("p_text"), F.col("c_text"))
+    value, method = align.score(F.col("p_text"), F.col("c_text"), counted=align.COUNTED)
     return align.best_with_margin(pairs.withColumns({"score": value, "method": method}), ["source", "pid"], align.GRAPH_GATES)
 
 
@@ -260,7 +260,7 @@ def alignment_with_sequence_ratio(spark, sf):
     """The full score, with the ratio of matching blocks of the first 4,000 and 8,000 characters as the rule has it."""
     paragraphs, answers = _pairs_of_turns(spark, sf)
     pairs = align.candidates(paragraphs, answers).withColumn("ratio", similarity.sequence_ratio(F.substring("p_text", 1, 4000), F.substring("c_text", 1, 8000)))
-    value, method = align.score(F.col("p_text"), F.col("c_text"), F.col("ratio"))
+    value, method = align.score(F.col("p_text"), F.col("c_text"), F.col("ratio"), counted=align.COUNTED)
     best = align.best_with_margin(pairs.withColumns({"score": value, "method": method}), ["source", "pid"], align.ANSWER_GATES)
     return best.select("source", "pid", "cid", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "method", "status")
 

@@ -146,6 +146,6 @@ def alignment_manifest(spark, sf):
 def alignment_audit(spark, sf):
     """The five best clauses of each paragraph."""
     paragraphs, answers = _pairs_of_turns(spark, sf)
-    value, method = align.score(F.col("p_text"), F.col("c_text"))
+    value, method = align.score(F.col("p_text"), F.col("c_text"), counted=align.COUNTED)
     out = align.best_few(align.candidates(paragraphs, answers).withColumns({"score": value, "method": method}), ["source", "pid"], 5)
     return out.select("source", "pid", "cid", "place", F.round(F.round("score", 9), 6).alias("score"))
