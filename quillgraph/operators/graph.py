@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import stash
 
 def postings(mentions: DataFrame, span: int = 4096) -> DataFrame:
     """``name``, ``block``, ``units`` from name, unit (a number): distinct units in order, in blocks of ``span`` ids, so no row grows with a name's fame."""
@@ -19,13 +20,17 @@ def cooccurrence(entities: DataFrame, most: int = 11) -> DataFrame:
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """``query_id``, ``node``, ``depth``: nodes within ``hops`` of the seeds (query_id, node), edges taken both ways, least depth."""
+    """``query_id``, ``node``, ``depth``: nodes within ``hops`` of the seeds (query_id, node), edges taken both ways, least depth.
+
+    The edges both ways and each hop's new nodes are written before the next hop reads them, so the plan grows by one step a hop.
+    """
     both = edges.select(F.col("head").alias("node"), F.col("tail").alias("next")).union(edges.select(F.col("tail").alias("node"), F.col("head").alias("next"))).distinct()
-    seen = seeds.select("query_id", "node").distinct().withColumn("depth", F.lit(0))
+    both = stash(both)
+    seen = stash(seeds.select("query_id", "node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for depth in range(1, hops + 1):
         new = front.join(both, "node").select("query_id", F.col("next").alias("node")).distinct()
-        front = new.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        front = stash(new.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(front)
     return seen
 

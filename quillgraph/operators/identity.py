@@ -59,11 +59,13 @@ def merge_channels(channels: list[tuple[str, DataFrame]], keys: list[str], rank:
 
 def three_tier_lookup(rows: DataFrame, corpus: DataFrame, tiers: list[list[str]], value: str, position: str) -> DataFrame:
     """``value`` of the corpus by the first tier of key columns that finds it. A key of several corpus rows takes the longest
-    value, and of equally long ones the one with the greatest ``position``. Rows with a null in a tier's keys don't match there."""
-    found = []
+    value, and of equally long ones the one with the greatest ``position``, a unique number. Rows with a null in a tier's keys
+    don't match there. Only lengths and positions are aggregated; values join in for the positions that won."""
     for k, keys in enumerate(tiers):
-        best = corpus.groupBy(*keys).agg(F.max(F.struct(F.length(value).alias("n"), F.col(position).alias("p"), F.col(value).alias("v"))).alias(f"_hit{k}"))
+        best = corpus.groupBy(*keys).agg(F.max(F.struct(F.length(value).alias("n"), F.col(position).alias("p")))["p"].alias(f"_hit{k}"))
         rows = rows.join(best, keys, "left")
-        found.append(F.col(f"_hit{k}.v"))
-    tier = F.coalesce(*(F.when(F.col(f"_hit{k}").isNotNull(), k + 1) for k in range(len(tiers))))
-    return rows.withColumns({value: F.coalesce(*found), "tier": tier}).drop(*(f"_hit{k}" for k in range(len(tiers))))
+    hits = [F.col(f"_hit{k}") for k in range(len(tiers))]
+    tier = F.coalesce(*(F.when(hit.isNotNull(), k + 1) for k, hit in enumerate(hits)))
+    chosen = rows.withColumns({"_won": F.coalesce(*hits), "tier": tier}).drop(*(f"_hit{k}" for k in range(len(tiers))), value)
+    values = corpus.select(F.col(position).alias("_won"), value)
+    return chosen.join(values, "_won", "left").drop("_won")

@@ -639,12 +639,12 @@ def validate_gate(spark, sf):
 
 
 @query(r"""WITH c AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id AS source, turn AS pos, role, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS z FROM conversations),
-h AS (SELECT *, md5('42|' || doc_id) AS h FROM c), l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS i FROM h),
-f AS (SELECT source FROM l WHERE i = 1 ORDER BY h, doc_id LIMIT 7), p AS (SELECT * FROM h WHERE role = 'assistant' AND length(text) >= 8),
-n AS (SELECT p.doc_id AS query_id, l.doc_id, l.h, CASE WHEN p.source <> l.source THEN 'random' WHEN abs(p.pos - l.pos) <= 2 THEN 'neighbour' ELSE 'same_source' END AS origin,
-  CASE WHEN p.source <> l.source THEN 4 WHEN abs(p.pos - l.pos) <= 2 THEN abs(p.pos - l.pos) ELSE 3 END AS d
-  FROM p JOIN l ON p.doc_id <> l.doc_id AND (p.source = l.source OR (l.i <= 6 AND l.source IN (SELECT source FROM f))) WHERE NOT (contains(l.z, p.z) OR contains(p.z, l.z))),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, h, doc_id) AS rank FROM n)
+h AS (SELECT *, md5('42|' || doc_id) AS h, CAST('0x' || substr(md5('42|' || doc_id), 1, 13) AS BIGINT) AS place, CAST('0x' || substr(md5('42|start|' || doc_id), 1, 13) AS BIGINT) AS start FROM c),
+p AS (SELECT * FROM h WHERE role = 'assistant' AND length(text) >= 8),
+o AS (SELECT p.doc_id AS query_id, l.doc_id, CASE WHEN p.source <> l.source THEN 'random' WHEN abs(p.pos - l.pos) <= 2 THEN 'neighbour' ELSE 'same_source' END AS origin, abs(p.pos - l.pos) AS off, (l.place - p.start + 4503599627370496) % 4503599627370496 AS gap, l.h
+  FROM p JOIN h l ON p.doc_id <> l.doc_id WHERE NOT (contains(l.z, p.z) OR contains(p.z, l.z))),
+n AS (SELECT query_id, doc_id, origin, CASE origin WHEN 'random' THEN 4 WHEN 'same_source' THEN 3 ELSE off END AS d, CASE WHEN origin = 'neighbour' THEN 0 ELSE gap END AS gap, CASE WHEN origin = 'neighbour' THEN h ELSE '' END AS h FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, gap, h, doc_id) AS rank FROM n)
 SELECT query_id, doc_id, origin, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
 def negative_mining(spark, sf):
     c = t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("conv_id").alias("source"), F.col("turn").alias("pos"), "role", F.coalesce("text", F.lit("")).alias("text"))

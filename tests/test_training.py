@@ -1,12 +1,14 @@
 """Training pairs and methods that SQL doesn't express, against plain versions."""
 
+import hashlib
 import os
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import scoped, training
+from quillgraph.operators import scoped, splits, training
 from quillgraph.plans import methods, result_queries
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +66,32 @@ def test_tiers(spark):
     assert [d for o, d in got[5] if o == "similar"] == [d for d in near[:5] if d not in (3, 4, 6, 7)][:2] and len(got[5]) == len(got[22]) == 6
 
 
+def test_drawn_negatives(spark):
+    """Against a plain walk around the circle, with a source of most rows, many copies of a text and more asked for than there is."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot"] * 6 + ["a", "b", "c"]), i, rng.choice(["same text", f"own {i}"])) for i in range(300)]
+    corpus = spark.createDataFrame(rows, "doc_id long, source string, pos long, text string")
+    asked = corpus.where("doc_id % 10 = 3").withColumn("query_id", F.col("doc_id"))
+    place = lambda key: int(hashlib.md5(f"42|{key}".encode()).hexdigest()[:13], 16)
+
+    def plain(own, most):
+        out, (_, source, pos, text) = [], rows[own]
+        for d, s, p, x in rows:
+            if d != own and (text := text.replace(" ", "")) not in (x := x.replace(" ", "")) and x not in text:
+                gap = (place(d) - place(f"start|{own}")) % 2**52
+                out.append((4, gap, "", d, "random") if s != source else (abs(p - pos), 0, hashlib.md5(f"42|{d}".encode()).hexdigest(), d, "neighbour") if abs(p - pos) <= 2 else (3, gap, "", d, "same_source"))
+        return [(o, d) for *_, d, o in sorted(out)[:most]]
+
+    for most in (6, 90, 400):
+        got = {}
+        for r in splits.negatives(asked, corpus, most, text="text").orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["origin"], r["doc_id"]))
+        assert got == {q: plain(q, most) for q in range(3, 300, 10)}
+    drawn = splits.negatives(asked.where("source = 'a'"), corpus, 200, text="text").where("origin = 'random'").groupBy("query_id").agg(F.min(F.struct("rank", "doc_id"))["doc_id"].alias("d"))
+    assert drawn.select("d").distinct().count() > 1
+    assert splits.negatives(asked.limit(0), corpus, 6).count() == 0
+
+
 def test_positives(spark):
     facts = spark.createDataFrame([(1, "在密封与标识方面有何异同", "a/f.md", "密封圈应符合设计图样的要求。并按规定进行检验和试验工作。", 0, 1), (1, "q", "f.md", "short", 1, None), (1, "在密封与标识方面有何异同", "b/f.md", "密封圈应符合设计图样的要求。并按规定进行检验和试验工作。", 2, 1)], "query_id long, question string, source string, text string, place long, side int")
     pairs = training.positives(facts)
