@@ -93,7 +93,7 @@ def placed_in_blocks(queries: DataFrame, vectors: DataFrame, row_block: int, que
         dealt = joined.withColumn("_own", F.pmod(F.xxhash64("id"), F.coalesce(own, one))).withColumn("_other", every)
         cell = F.coalesce("cell", -1 - F.pmod(F.xxhash64("scope"), F.lit(cells)))
         qb, rb = ("_own", "_other") if asks else ("_other", "_own")
-        return dealt.select("id", "v", "scope", F.lit(asks).alias("asks"), cell.alias("cell"), F.col(qb).alias("qb"), F.col(rb).alias("rb"))
+        return dealt.select(*rows.columns, F.lit(asks).alias("asks"), cell.alias("cell"), F.col(qb).alias("qb"), F.col(rb).alias("rb"))
 
     return placed(queries, True).unionByName(placed(vectors, False))
 

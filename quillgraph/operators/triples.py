@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import questions as q
 from ..functions import text
 from ..sources.files import stash
+from . import retrieval
 from .containment import contained
 from .scoped import keys_of, matched_sources
 
@@ -61,56 +66,172 @@ def entity_hits(questions: DataFrame, triples: DataFrame, most: int, with_text:
     return pairs.groupBy("query_id", "triple_id").agg(F.min("place").alias("place"))
 
 
-def in_scope(questions: DataFrame, triples: DataFrame) -> DataFrame:
-    """``query_id``, ``triple_id`` of the triples of the standards that a question names."""
+def _prepared(triples: DataFrame, relation: bool) -> DataFrame:
+    """Triples with ``standard`` (else the source), ``unit`` (of source and standard), ``sid`` (comparison id), ``held`` (distinct tokens,
+    of the relation too with ``relation``) and ``apart`` (tokens that only the relation gives). Tokens are cut once and written."""
+    named = F.coalesce(text.blank_to_null(F.col("standard_id")), F.col("source")) if "standard_id" in triples.columns else F.col("source")
+    tokens = lambda *parts: F.array_distinct(text.mixed_tokens(F.concat_ws(" ", *parts)))
+    whole = triples.withColumn("standard", named).withColumn("unit", F.concat_ws("\n", F.coalesce("source", F.lit("")), F.coalesce("standard", F.lit(""))))
+    whole = whole.withColumn("shares", tokens("head", "tail", "paragraph"))
+    whole = whole.withColumn("held", tokens("head", "relation", "tail", "paragraph") if relation else F.col("shares"))
+    return stash(whole.withColumns({"apart": F.array_except("held", "shares"), "sid": text.comparison_id(F.col("standard"))}).drop("shares"))
+
+
+def scope_units(questions: DataFrame, triples: DataFrame) -> DataFrame:
+    """``query_id``, ``unit`` of the prepared triples whose source or standard is one that a question names."""
     keys = stash(keys_of(questions))
-    of = matched_sources(keys, triples)
-    return keys.select("query_id", "key").join(of, "key").select("query_id", "source").distinct().join(triples.select("triple_id", "source"), "source").select("query_id", "triple_id")
+    units = stash(triples.select("unit", "source", "standard").distinct())
+    by_name = units.select("unit", F.explode(F.array_distinct(F.array("source", "standard"))).alias("source")).where("source <> ''")
+    of = matched_sources(keys, by_name)
+    return stash(keys.join(of, "key").select("query_id", "source").distinct().join(by_name, "source").select("query_id", "unit").distinct())
 
 
-def _lexical(tokens: Column, *parts: Column) -> Column:
-    of = F.array_distinct(text.mixed_tokens(F.concat_ws(" ", *parts)))
-    return F.size(F.array_intersect(tokens, of)) / F.greatest(F.size(tokens), F.lit(1))
+def _best_rows(scores: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """Those of ``rows`` (in order of their ids) that can be among the ``most`` best once scores are rounded to nine digits."""
+    if len(rows) <= most:
+        return rows
+    own = scores[rows]
+    near = own >= np.partition(own, len(own) - most)[len(own) - most] - 2e-9
+    rows, own = rows[near], own[near]
+    order = np.argsort(-own, kind="stable")
+    rows, own = rows[order], own[order]
+    # of equal scores the first ids are enough, so a tie of a whole block doesn't leave the task
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    place = np.arange(len(own)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(own)]])))
+    return rows[place < most]
+
+
+def best_in_units(asks: DataFrame, rows: DataFrame, judge: Callable, row_block: int = 16_384, query_block: int = 1_024) -> DataFrame:
+    """``query_id``, ``triple_id``, ``both`` (tokens shared) and ``near`` of the triples that may be a question's best, judged in blocks of one unit.
+
+    ``asks``: id, scope (unit), tokens, most, and what ``judge`` reads; ``rows``: id, scope, tokens, apart, and what it reads. ``judge(both,
+    shared, ask, rows)`` gets the tokens that a question shares with each row of a block, with and without the relation's, and returns
+    scores, which rows count, and rows to return as ``near`` beside the best. A unit is cut only if it is larger than a block; pairs of a
+    question and a triple exist only inside tasks, and each block returns ``most`` rows a question, and ties by rounding.
+    """
+    every = {f.name: f.dataType for f in [*asks.schema.fields, *rows.schema.fields]}
+    full = lambda d: d.select(*(F.col(c) if c in d.columns else F.lit(None).cast(kind).alias(c) for c, kind in every.items()))
+    placed = retrieval.placed_in_blocks(full(asks), full(rows), row_block, query_block)
+    types = {"query_id": every["id"].simpleString(), "triple_id": rows.schema["id"].dataType.simpleString()}
+
+    def lists(column: pd.Series, index: pd.Index) -> tuple[np.ndarray, np.ndarray]:
+        """Places of known tokens and the rows that hold them, by place."""
+        sizes = column.map(len).to_numpy()
+        place = index.get_indexer(np.concatenate([np.zeros(0, object), *column])) if sizes.sum() else np.zeros(0, int)
+        row = np.repeat(np.arange(len(column)), sizes)[place >= 0]
+        order = np.argsort(place[place >= 0], kind="stable")
+        return place[place >= 0][order], row[order]
+
+    def in_unit(questions: pd.DataFrame, held: pd.DataFrame, out: list) -> None:
+        held = held.sort_values("id", kind="stable", ignore_index=True)
+        index = pd.Index(pd.unique(np.concatenate([np.zeros(0, object), *questions["tokens"]])))
+        posts = [lists(held[c], index) for c in ("tokens", "apart")]
+        starts = [np.searchsorted(place, np.arange(len(index) + 1)) for place, _ in posts]
+        ids = held["id"].to_numpy()
+        for ask in questions.itertuples():
+            asked = index.get_indexer(ask.tokens)
+            both, apart = (np.bincount(np.concatenate([np.zeros(0, int), *(row[at[t] : at[t + 1]] for t in asked)]), minlength=len(held)) for (_, row), at in zip(posts, starts, strict=True))
+            scores, counts, near = judge(both, both - apart, ask, held)
+            best = _best_rows(scores, np.flatnonzero(counts), int(ask.most))
+            for chosen, mark in ((best, False), (np.flatnonzero(near), True)):
+                out.append(pd.DataFrame({"query_id": ask.id, "triple_id": ids[chosen], "both": both[chosen], "near": mark}))
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": pdf["id"][:0], "triple_id": pdf["id"][:0], "both": np.zeros(0, int), "near": np.zeros(0, bool)})]
+        for _, of_unit in pdf.groupby("scope", sort=False):
+            asking = of_unit["asks"].to_numpy(bool)
+            if asking.any() and not asking.all():
+                in_unit(of_unit[asking], of_unit[~asking], out)
+        return pd.concat([d for d in out if len(d)] or out[:1])
+
+    return placed.groupBy("cell", "qb", "rb").applyInPandas(block, f"query_id {types['query_id']}, triple_id {types['triple_id']}, both int, near boolean")
+
+
+def _in_units(pairs: DataFrame, scope: DataFrame, triples: DataFrame) -> DataFrame:
+    """The (query_id, triple_id, ...) pairs whose triple lies in a unit of the question."""
+    return pairs.join(triples.select("triple_id", "unit"), "triple_id").join(scope, ["query_id", "unit"], "left_semi").drop("unit")
+
+
+def _shared(tokens: str, held: str) -> Column:
+    return F.size(F.array_intersect(tokens, held))
 
 
 def rank_triples(questions: DataFrame, triples: DataFrame, two_hops: int = 20) -> DataFrame:
     """``query_id``, ``triple_id``, ``score``, ``rank``, ``origin``: triples for each question, up to the cap of its type.
 
-    ``questions``: query_id, text, kind, names; ``triples``: triple_id, head, relation, tail, paragraph, source, confidence. A question that
-    names standards gets triples of those alone, another one those that hold one of its first ten names. Score: 3 if the
-    standard is named, 1.5 times the share of its tokens that the triple holds, 0.5 times how early its name comes, 0.05
-    times the confidence. The relation must be relevant, but for correlations within standards; there a triple without a
-    name must share a token, and ``two_hops`` triples that touch one found follow with a score of 2.
+    ``questions``: query_id, text, kind, names; ``triples``: triple_id, head, relation, tail, paragraph, source, confidence, and standard_id if
+    it isn't the source. A question that names standards gets triples of those alone, another one those that hold one of its first ten
+    names. A triple is anchored if its standard has the very id that is named; a standard that only matches (another year, a name
+    within the other) gives triples with a name. Score: 3 if anchored, 1.5 times the share of its tokens that the triple holds, 0.5
+    times how early its name comes, 0.05 times the confidence. The relation must be relevant, but for correlations within standards;
+    there an anchored triple without a name must share a token, and ``two_hops`` triples of its standards that touch one found and
+    share a token follow with a score of 2.
+
+    Triples with a name are pairs; all others are scored in blocks by standard, from which only the best of each question come.
     """
-    asked = questions.select("query_id", "kind", "names", F.array_distinct(text.mixed_tokens(F.coalesce("text", F.lit("")))).alias("tokens"), F.size(q.standard_keys(F.col("text"))).alias("_keys"))
-    scope = stash(in_scope(questions, triples))
+    triples = _prepared(triples, True)
+    asked = questions.select("query_id", "kind", "names", F.array_distinct(text.mixed_tokens(F.coalesce("text", F.lit("")))).alias("tokens"), q.standard_keys(F.coalesce("text", F.lit(""))).alias("keys"))
+    asked = stash(asked.withColumn("strict", (F.col("kind") == "correlation") & (F.size("keys") > 0)))
+    scope = scope_units(questions, triples)
+    anchored = F.coalesce((F.col("sid") != "") & F.array_contains("keys", F.col("sid")), F.lit(False))
     hits = stash(entity_hits(questions, triples, 10))
-    pairs = scope.withColumn("anchored", F.lit(True)).join(hits, ["query_id", "triple_id"], "full_outer")
-    full = pairs.join(asked, "query_id").join(triples, "triple_id").withColumn("anchored", F.coalesce("anchored", F.lit(False)))
-    full = full.where((F.col("_keys") == 0) | F.col("anchored"))
-    lexical = _lexical(F.col("tokens"), F.col("head"), F.col("relation"), F.col("tail"), F.col("paragraph"))
-    place = F.when(F.col("place").isNotNull(), 1 - F.col("place") / F.greatest(F.least(F.size("names"), F.lit(10)), F.lit(1))).otherwise(0.0)
-    scoped_correlation = (F.col("kind") == "correlation") & (F.col("_keys") > 0)
-    shares = F.size(F.array_intersect("tokens", text.mixed_tokens(F.concat_ws(" ", "head", "tail", "paragraph")))) > 0
-    kept = full.where((relevant_relation(F.col("relation")) | scoped_correlation) & (F.col("place").isNotNull() | ~(scoped_correlation & F.col("anchored")) | shares))
-    score = 3.0 * F.col("anchored").cast("double") + 1.5 * lexical + 0.5 * place + 0.05 * F.coalesce("confidence", F.lit(0.0))
-    first = stash(kept.select("query_id", "triple_id", "kind", F.round(score, 9).alias("score"), "head", "relation", "tail", F.lit("hop1").alias("origin")))
-    more = _touching(first.where("kind = 'correlation'"), scope, asked, triples, two_hops).select("query_id", "triple_id", "kind", F.lit(2.0).alias("score"), F.lit("hop2").alias("origin"))
+    hits = stash(_in_units(hits, scope, triples).unionByName(hits.join(asked.where(F.size("keys") == 0).select("query_id"), "query_id", "left_semi")))
+    named = hits.join(asked, "query_id").join(triples, "triple_id").where(relevant_relation(F.col("relation")) | F.col("strict"))
+    named = named.select("query_id", "triple_id", "place", _shared("tokens", "held").alias("both"), anchored.alias("anchored"))
+
+    def judge(both, shared, ask, rows):
+        own = rows["sid"].isin([k for k in ask.keys if k]).to_numpy(bool)
+        counts = own & (shared > 0) if ask.strict else own & rows["ok"].to_numpy(bool)
+        return 1.5 * both / max(len(ask.tokens), 1) + rows["base"].to_numpy(float), counts, ~own & (shared > 0) & bool(ask.strict)
+
+    asks = scope.join(asked, "query_id").select(F.col("query_id").alias("id"), F.col("unit").alias("scope"), "tokens", "keys", "strict", _cap("kind", CAPS).alias("most"))
+    rows = triples.select(F.col("triple_id").alias("id"), F.col("unit").alias("scope"), F.col("held").alias("tokens"), "apart", "sid", relevant_relation(F.col("relation")).alias("ok"), (0.05 * F.coalesce("confidence", F.lit(0.0))).alias("base"))
+    judged = stash(best_in_units(asks, rows, judge).join(hits.select("query_id", "triple_id"), ["query_id", "triple_id"], "left_anti"))
+    others = judged.where("not near").select("query_id", "triple_id", F.lit(None).cast("int").alias("place"), "both", F.lit(True).alias("anchored"))
+    full = named.unionByName(others).join(asked.select("query_id", "kind", F.size("tokens").alias("n"), F.size("names").alias("named")), "query_id").join(triples.select("triple_id", "confidence"), "triple_id")
+    place = F.when(F.col("place").isNotNull(), 1 - F.col("place") / F.greatest(F.least(F.col("named"), F.lit(10)), F.lit(1))).otherwise(0.0)
+    score = 3.0 * F.col("anchored").cast("double") + 1.5 * (F.col("both") / F.greatest("n", F.lit(1))) + 0.5 * place + 0.05 * F.coalesce("confidence", F.lit(0.0))
+    first = full.select("query_id", "triple_id", "kind", F.round(score, 9).alias("score"), F.lit("hop1").alias("origin"))
+    near = judged.where("near").select("query_id", "triple_id")
+    if not near.isEmpty():
+        more = _second_hop(near, hits, scope, asked, triples, anchored, two_hops)
+        first = first.unionByName(more.join(asked.select("query_id", "kind"), "query_id").select("query_id", "triple_id", "kind", F.lit(2.0).alias("score"), F.lit("hop2").alias("origin")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "origin", "triple_id")
-    ranked = first.select("query_id", "triple_id", "kind", "score", "origin").unionByName(more).withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= _cap("kind", CAPS)).drop("kind")
+    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= _cap("kind", CAPS)).drop("kind")
+
+
+def _ends(triples: DataFrame) -> DataFrame:
+    return triples.select("unit", "triple_id", F.explode(F.array_distinct(F.array("head", "tail"))).alias("node")).where("node <> ''")
+
+
+def _second_hop(near: DataFrame, hits: DataFrame, scope: DataFrame, asked: DataFrame, triples: DataFrame, anchored: Column, most: int) -> DataFrame:
+    """Those of ``near`` that have a node in common with a triple found and differ from all found: the first ``most`` in order of their ids.
+
+    Found triples are looked up from the nodes of ``near``, so what no candidate touches isn't asked for.
+    """
+    edge = ["query_id", "head", "relation", "tail"]
+    candidates = stash(near.join(triples.select("triple_id", "head", "relation", "tail"), "triple_id").withColumn("node", F.explode(F.array_distinct(F.array("head", "tail")))).where("node <> ''"))
+    around = candidates.select("query_id", "node").distinct().join(scope, "query_id").join(_ends(triples), ["unit", "node"]).select("query_id", "node", "triple_id")
+    judged = around.join(hits.select("query_id", "triple_id", F.lit(True).alias("hit")), ["query_id", "triple_id"], "left").join(asked.select("query_id", "tokens", "keys"), "query_id").join(triples, "triple_id")
+    found = stash(judged.where(F.col("hit").isNotNull() | (anchored & (F.size(F.array_except(F.array_intersect("tokens", "held"), "apart")) > 0))).select("node", *edge))
+    touching = candidates.join(found.select("query_id", "node").distinct(), ["query_id", "node"], "left_semi").join(found.select(*edge).distinct(), edge, "left_anti")
+    return _first_ids(touching, edge, most)
+
+
+def _first_ids(pairs: DataFrame, edge: list[str], most: int) -> DataFrame:
+    once = pairs.groupBy(*edge).agg(F.min("triple_id").alias("triple_id"))
+    w = Window.partitionBy("query_id").orderBy("triple_id")
+    return once.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most).select("query_id", "triple_id")
 
 
 def _touching(found: DataFrame, scope: DataFrame, asked: DataFrame, triples: DataFrame, most: int) -> DataFrame:
     """Triples in scope that touch a node of ``found``, aren't among them and share a token: the first ``most`` in order of their ids."""
+    edge = ["query_id", "head", "relation", "tail"]
     nodes = found.select("query_id", F.explode(F.array("head", "tail")).alias("node")).where("node <> ''").distinct()
-    seen = found.select("query_id", "head", "relation", "tail").distinct()
-    near = scope.join(triples, "triple_id").select("query_id", "triple_id", "head", "relation", "tail", "paragraph", F.explode(F.array_distinct(F.array("head", "tail"))).alias("node"))
-    touching = near.join(nodes, ["query_id", "node"]).drop("node").dropDuplicates(["query_id", "triple_id"]).join(seen, ["query_id", "head", "relation", "tail"], "left_anti")
-    sharing = touching.join(asked.select("query_id", "kind", "tokens"), "query_id").where((F.size("tokens") == 0) | (F.size(F.array_intersect("tokens", text.mixed_tokens(F.concat_ws(" ", "head", "tail", "paragraph")))) > 0))
-    once = sharing.groupBy("query_id", "kind", "head", "relation", "tail").agg(F.min("triple_id").alias("triple_id"))
-    w = Window.partitionBy("query_id").orderBy("triple_id")
-    return once.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most).drop("_i")
+    near = nodes.join(scope, "query_id").join(_ends(triples), ["unit", "node"]).select("query_id", "triple_id").distinct()
+    full = near.join(triples.select("triple_id", "head", "relation", "tail", "held"), "triple_id").join(found.select(*edge).distinct(), edge, "left_anti")
+    sharing = full.join(asked.select("query_id", "tokens"), "query_id").where((F.size("tokens") == 0) | (_shared("tokens", "held") > 0))
+    return _first_ids(sharing, edge, most)
 
 
 def community_search(questions: DataFrame, triples: DataFrame, most: int = 40, pool: int = 50, two_hops: int = 30) -> DataFrame:
@@ -119,25 +240,39 @@ def community_search(questions: DataFrame, triples: DataFrame, most: int = 40, p
     Score: 2.2 times the share of tokens, 0.8 times 1 - 0.05 * place of the first of twelve names in it, 0.35 for a clause of
     definitions and 0.45 for formulas where the question asks for those. A triple needs a name, a shared token or, with
     them, such a clause. Triples that touch the best 40 follow with 0.15 more; one triple of each evidence stays.
-    ``triples`` also has clause_id, standard_id, evidence_id.
+    ``triples`` also has clause_id, standard_id, evidence_id. Triples with a name are pairs; all others are scored in blocks by standard.
     """
     c = F.coalesce(F.col("text"), F.lit(""))
-    asked = questions.select("query_id", F.array_distinct(text.mixed_tokens(c)).alias("tokens"), F.regexp_like(c, F.lit(ASKS_DEFINITION)).alias("_def"), F.regexp_like(c, F.lit(ASKS_FORMULA)).alias("_for"), F.lit("community").alias("kind"))
-    scope = stash(in_scope(questions, triples))
-    hits = stash(entity_hits(questions, triples, 12, with_text=True))
-    scored = scope.join(hits, ["query_id", "triple_id"], "left").join(asked, "query_id").join(triples, "triple_id")
-    shared = _lexical(F.col("tokens"), F.col("head"), F.col("tail"), F.col("paragraph"))
+    asked = stash(questions.select("query_id", F.array_distinct(text.mixed_tokens(c)).alias("tokens"), F.regexp_like(c, F.lit(ASKS_DEFINITION)).alias("defs"), F.regexp_like(c, F.lit(ASKS_FORMULA)).alias("fors")))
+    triples = _prepared(triples, False)
+    scope = scope_units(questions, triples)
     clause = F.coalesce("clause_id", F.lit(""))
-    defines = F.col("_def") & F.regexp_like(clause, F.lit(DEFINITION_CLAUSE))
-    formula = F.col("_for") & F.regexp_like(F.concat(F.coalesce("paragraph", F.lit("")), clause), F.lit(FORMULA_TEXT))
-    entity = F.coalesce(1.0 - 0.05 * F.col("place"), F.lit(0.0))
+    is_def, is_for = F.regexp_like(clause, F.lit(DEFINITION_CLAUSE)), F.regexp_like(F.concat(F.coalesce("paragraph", F.lit("")), clause), F.lit(FORMULA_TEXT))
+    hits = stash(_in_units(entity_hits(questions, triples, 12, with_text=True), scope, triples))
     columns = ["query_id", "triple_id", "head", "relation", "tail", "standard_id", "clause_id", "evidence_id"]
-    value = 2.2 * F.col("_lex") + 0.8 * entity + F.when(defines, 0.35).otherwise(0.0) + F.when(formula, 0.45).otherwise(0.0)
-    local = stash(scored.withColumn("_lex", shared).withColumn("score", F.round(value, 9)).select(*columns, "_lex", "place", (defines | formula).alias("_topical"), "score"))
-    good = local.where(F.col("place").isNotNull() | (F.col("_lex") > 0) | F.col("_topical"))
+
+    def judge(both, shared, ask, rows):
+        defines, formula = rows["is_def"].to_numpy(bool) & bool(ask.defs), rows["is_for"].to_numpy(bool) & bool(ask.fors)
+        scores = 2.2 * (both / max(len(ask.tokens), 1)) + 0.35 * defines + 0.45 * formula
+        return scores, (both > 0) | defines | formula, np.zeros(len(both), bool)
+
+    asks = scope.join(asked, "query_id").select(F.col("query_id").alias("id"), F.col("unit").alias("scope"), "tokens", "defs", "fors", F.lit(pool).alias("most"))
+    rows = triples.select(F.col("triple_id").alias("id"), F.col("unit").alias("scope"), F.col("held").alias("tokens"), "apart", is_def.alias("is_def"), is_for.alias("is_for"))
+    judged = best_in_units(asks, rows, judge).select("query_id", "triple_id", "both").join(hits, ["query_id", "triple_id"], "left_anti").withColumn("place", F.lit(None).cast("int"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """``columns`` and score of pairs with ``place`` and ``both``."""
+        of = pairs.join(asked.select("query_id", F.size("tokens").alias("n"), "defs", "fors"), "query_id").join(triples, "triple_id")
+        value = 2.2 * (F.col("both") / F.greatest("n", F.lit(1))) + 0.8 * F.coalesce(1.0 - 0.05 * F.col("place"), F.lit(0.0))
+        value = value + F.when(F.col("defs") & is_def, 0.35).otherwise(0.0) + F.when(F.col("fors") & is_for, 0.45).otherwise(0.0)
+        return of.select(*columns, F.round(value, 9).alias("score"))
+
+    counted = lambda pairs: pairs.join(asked.select("query_id", "tokens"), "query_id").join(triples.select("triple_id", "held"), "triple_id").select("query_id", "triple_id", "place", _shared("tokens", "held").alias("both"))
+    good = scored(counted(hits).unionByName(judged.select("query_id", "triple_id", "place", "both")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "triple_id")
     best = stash(good.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= pool))
-    extra = _touching(best.where("_i <= 40"), scope, asked, triples, two_hops).select("query_id", "triple_id").join(local.select(*columns, "score"), ["query_id", "triple_id"]).withColumn("score", F.round(F.col("score") + 0.15, 9))
+    around = _touching(best.where("_i <= 40"), scope, asked, triples, two_hops).join(hits, ["query_id", "triple_id"], "left")
+    extra = scored(counted(around)).withColumn("score", F.round(F.col("score") + 0.15, 9))
     union = best.select(*columns, "score", F.lit(0).alias("_o")).unionByName(extra.withColumn("_o", F.lit(1)))
     key = F.coalesce(text.blank_to_null(F.col("evidence_id").cast("string")), F.concat_ws("::", F.coalesce("standard_id", F.lit("")), clause, "head"))
     by_key = Window.partitionBy("query_id", key).orderBy(F.desc("score"), "_o", "triple_id")
@@ -157,6 +292,11 @@ def community_reports(found: DataFrame, most_triples: int = 8, most_relations: i
     return rows.select("query_id", "standard_id", report.alias("report"))
 
 
+def _lexical(tokens: Column, *parts: Column) -> Column:
+    of = F.array_distinct(text.mixed_tokens(F.concat_ws(" ", *parts)))
+    return F.size(F.array_intersect(tokens, of)) / F.greatest(F.size(tokens), F.lit(1))
+
+
 def rank_text_units(questions: DataFrame, units: DataFrame) -> DataFrame:
     """``query_id``, ``doc_id``, ``score``, ``rank`` of the units of each question (query_id, doc_id, text, clause_id): the share of tokens, 0.4 for a definition and 0.5 for a formula where they are asked for."""
     c = F.coalesce(F.col("_q"), F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import entities, graph, triples
+from ..sources.files import stash
 from .catalogue import _ENT, _PLACES, _entities, _places
 from .registry import query, t
 from .scoped_queries import _COS, _NAME, _QS, _VECTOR, _corpus, _file, _name, _number, _questions
@@ -29,10 +30,10 @@ def _triples(spark, sf):
     found = _entities(spark, sf).select("doc_id", "source", F.get("names", 0).alias("head"), F.posexplode(F.slice("names", 2, 11)).alias("p", "tail"))
     k = _number(F.col("source"))
     full = found.join(_corpus(spark, sf).select("doc_id", "clause_id", F.substring("text", 1, 200).alias("paragraph")), "doc_id")
-    return full.select(
+    return stash(full.select(
         (F.col("doc_id") * 16 + F.col("p") + 2).alias("triple_id"), "head", F.lit("related_to").alias("relation"), "tail", "paragraph", _file(k).alias("source"),
         ((F.col("p") + 2) / 12).alias("confidence"), "clause_id", _name(k).alias("standard_id"), F.col("doc_id").cast("string").alias("evidence_id"),
-    )
+    ))
 
 
 _LEX = "len(list_intersect(q, regexp_extract_all({c}, '[\\x{{4e00}}-\\x{{9fff}}]|[A-Za-z0-9]+')))"
