@@ -15,6 +15,7 @@ from ..functions import text
 from ..sources.files import stash
 from . import retrieval
 from .containment import contained
+from .identity import small
 from .scoped import keys_of, matched_sources
 
 #: Parts of relations that questions ask for: facts, logic, meaning.
@@ -74,7 +75,9 @@ def _prepared(triples: DataFrame, relation: bool) -> DataFrame:
     whole = triples.withColumn("standard", named).withColumn("unit", F.concat_ws("\n", F.coalesce("source", F.lit("")), F.coalesce("standard", F.lit(""))))
     whole = whole.withColumn("shares", tokens("head", "tail", "paragraph"))
     whole = whole.withColumn("held", tokens("head", "relation", "tail", "paragraph") if relation else F.col("shares"))
-    return stash(whole.withColumns({"apart": F.array_except("held", "shares"), "sid": text.comparison_id(F.col("standard"))}).drop("shares"))
+    # a standard's id takes many patterns, so it is made once for each standard
+    sids = small(whole.select("standard").distinct().withColumn("sid", text.comparison_id(F.col("standard"))))
+    return stash(whole.withColumn("apart", F.array_except("held", "shares")).drop("shares").join(sids, "standard", "left"))
 
 
 def scope_units(questions: DataFrame, triples: DataFrame) -> DataFrame:
