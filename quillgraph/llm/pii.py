@@ -8,9 +8,11 @@ context, and the spans above a threshold are added.
 There are no labelled spans, so the trees learn from what the checks of the base patterns say. A proposal that agrees
 with a base span of its kind is a positive, one whose form a check refutes or whose characters a base span of another
 kind holds a negative, and others, without a label, are what the trees are for. Features leave out what the labels are made of where a new span wouldn't have it (the leading
-plus of a phone number, the at sign). The trees are fitted on a sample of ``most_labelled`` different labelled proposals,
-bounded by that parameter, taken by the lowest hashes over all documents; one in four of them is left out, and there each kind's
-threshold is the lowest score from which on at least ``precision`` of the labelled proposals are positive.
+plus of a phone number, the at sign). All different labelled proposals of all documents take part: features become bins
+whose borders come from counts over all of them, proposals with the same bins and label a row with their number, and each
+level of a tree is one pass of Spark over these rows, of which the driver sees sums by node, feature and bin. One proposal
+in four is left out, and there each kind's threshold is the lowest score from which on at least ``precision`` of the
+labelled proposals are positive. Sums are of whole numbers, so the model doesn't depend on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from bisect import bisect_left
 from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,6 +167,20 @@ def labels(text: str, base: list[tuple[int, int, int]]):
         yield c, 0 if y is None and others[c[1]](c[2]) > c[0] else y
 
 
+ONE = 1 << 30  # gradients and weights are whole multiples of 1 / ONE, so that sums don't depend on their order
+STEPS = 1 << 20  # leaves are whole multiples of 1 / STEPS, so that scores are exact
+
+
+def _leaf_of(tree: dict, bins: np.ndarray) -> np.ndarray:
+    """The node of ``tree``, which may be growing, that each row of ``bins`` comes to."""
+    node = np.ones(len(bins), np.int64)
+    for at in sorted(k for k, v in tree.items() if isinstance(v, tuple)):
+        j, cut = tree[at]
+        here = node == at
+        node[here] = 2 * at + (bins[here, j] > cut)
+    return node
+
+
 class Trees:
     """Boosted regression trees for the logistic loss, on binned features; small on purpose."""
 
@@ -175,41 +191,73 @@ class Trees:
     def _bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], 1) if len(x) else np.zeros((0, len(self.edges)), int)
 
+    def start(self, edges: list[np.ndarray], share: float) -> None:
+        share = min(max(share, 1e-3), 1 - 1e-3)
+        self.edges, self.trees = edges, []
+        self.prior = round(float(np.log(share / (1 - share))) * STEPS) / STEPS
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1])) if len(x) else np.zeros(0) for j in range(FEATURES)]
-        share = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
-        self.prior, self.trees = float(np.log(share / (1 - share))), []
+        self.start([np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1])) if len(x) else np.zeros(0) for j in range(FEATURES)], y.mean() if len(y) else 0.0)
         if len(np.unique(y)) < 2:
             return self
-        bins, score = self._bins(x), np.full(len(y), self.prior)
+        bins, ones = self._bins(x), np.ones(len(y), np.int64)
+        return self.boost(lambda tree, nodes: self.sums(tree, nodes, bins, y, ones))
+
+    def sums(self, tree: dict, nodes: list[int], bins: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Gradients, weights and numbers of the rows, each standing for ``n``, by node of ``nodes``, feature and bin."""
+        out = np.zeros((3, len(nodes), FEATURES, 32), np.int64)
+        p = 1 / (1 + np.exp(-self.scores_of_bins(bins)))
+        parts = [np.rint((y - p) * ONE).astype(np.int64) * n, np.rint(p * (1 - p) * ONE).astype(np.int64) * n, n]
+        at = _leaf_of(tree, bins)
+        for k, node in enumerate(nodes):
+            rows = np.flatnonzero(at == node)
+            for j in range(FEATURES):
+                for part, values in enumerate(parts):
+                    np.add.at(out[part, k, j], bins[rows, j], values[rows])
+        return out
+
+    def boost(self, sums) -> Trees:
+        """Grow the trees level by level; ``sums`` gives for a growing tree and its open nodes what the method of this name gives for all rows."""
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-score))
             tree: dict = {}
-            self._grow(tree, 1, bins, y - p, p * (1 - p), np.arange(len(y)), 0)
+            nodes = [1]
+            for level in range(self.depth):
+                g, h, n = sums(tree, nodes)
+                deeper = []
+                for k, node in enumerate(nodes):
+                    found = self._split(g[k], h[k], n[k])
+                    if found is None:
+                        tree[node] = self._value_of(g[k, 0].sum(), h[k, 0].sum())
+                        continue
+                    j, cut = tree[node] = found
+                    for child, side in ((2 * node, slice(0, cut + 1)), (2 * node + 1, slice(cut + 1, None))):
+                        if level + 1 < self.depth:
+                            deeper.append(child)
+                        else:
+                            tree[child] = self._value_of(g[k, j, side].sum(), h[k, j, side].sum())
+                nodes = deeper
+                if not nodes:
+                    break
+            if len(tree) < 2:
+                break  # nothing splits, so no later tree would
             self.trees.append(tree)
-            score += self._value(tree, bins)
         return self
 
-    def _grow(self, tree, node, bins, gradient, weight, rows, level) -> None:
-        g, h = gradient[rows].sum(), weight[rows].sum()
-        best = (1e-6, None, None)
-        if level < self.depth and len(rows) >= 2 * self.least:
-            for j in range(bins.shape[1]):
-                n = len(self.edges[j]) + 1
-                gs, hs, ns = (np.cumsum(np.bincount(bins[rows, j], w, n)) for w in (gradient[rows], weight[rows], None))
-                ok = (ns >= self.least) & (len(rows) - ns >= self.least)
-                if ok.any():
-                    gain = np.where(ok, gs**2 / (hs + 1) + (g - gs) ** 2 / (h - hs + 1) - g**2 / (h + 1), -np.inf)
-                    if gain.max() > best[0]:
-                        best = (gain.max(), j, int(gain.argmax()))
-        if best[1] is None:
-            tree[node] = self.rate * g / (h + 1)
-            return
-        _, j, cut = best
-        tree[node] = (j, cut)
-        left = bins[rows, j] <= cut
-        self._grow(tree, 2 * node, bins, gradient, weight, rows[left], level + 1)
-        self._grow(tree, 2 * node + 1, bins, gradient, weight, rows[~left], level + 1)
+    def _value_of(self, g: int, h: int) -> float:
+        return round(self.rate * int(g) / (int(h) + ONE) * STEPS) / STEPS
+
+    def _split(self, g: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[int, int] | None:
+        """Feature and bin of the best cut; None if none gains."""
+        best, found = 1e-6, None
+        g, h = g / ONE, h / ONE
+        for j in range(FEATURES):
+            gs, hs, ns = np.cumsum(g[j]), np.cumsum(h[j]), np.cumsum(n[j])
+            ok = (ns >= self.least) & (ns[-1] - ns >= self.least)
+            if ok.any():
+                gain = np.where(ok, gs**2 / (hs + 1) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1) - gs[-1] ** 2 / (hs[-1] + 1), -np.inf)
+                if gain.max() > best:
+                    best, found = gain.max(), (j, int(gain.argmax()))
+        return found
 
     def _value(self, tree, bins) -> np.ndarray:
         out, todo = np.zeros(len(bins)), [(1, np.arange(len(bins)))]
@@ -223,9 +271,11 @@ class Trees:
                 out[rows] = tree[node]
         return out
 
+    def scores_of_bins(self, bins: np.ndarray) -> np.ndarray:
+        return self.prior + sum((self._value(t, bins) for t in self.trees), np.zeros(len(bins)))
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        bins = self._bins(x)
-        return self.prior + sum((self._value(t, bins) for t in self.trees), np.zeros(len(x)))
+        return self.scores_of_bins(self._bins(x))
 
 
 def thresholds(trees: Trees, x: np.ndarray, y: np.ndarray, precision: float, least: int = 50) -> list[float]:
@@ -267,12 +317,97 @@ def lowest_keys(found: DataFrame, most: int) -> DataFrame:
         low, width = low + border[0] * width, max(1, width >> 10)
 
 
-def fit(docs: DataFrame, most_labelled: int = 20_000, precision: float = 0.995, text: str = "text") -> tuple[Trees, list[float]]:
-    """Trees and thresholds from at most ``most_labelled`` labelled proposals of all documents, those of lowest hash.
+def _edges(found: DataFrame) -> list[np.ndarray]:
+    """Borders of at most 32 bins of each feature, quantiles of all rows of ``found`` (x: whole numbers); kinds have their own bins.
+
+    Values of more than six bits count with the largest one that has the same first six, so the counts are few.
+    """
+    values = found.select(F.posexplode("x").alias("j", "v")).withColumn("low", F.greatest(F.length(F.bin("v")) - 6, F.lit(0)))
+    counts = values.groupBy("j", F.expr("shiftleft(shiftright(v, low) + 1L, low) - 1").alias("v")).agg(F.count("*").alias("n"))
+    held: list[list] = [[] for _ in range(FEATURES)]
+    for r in counts.collect():
+        held[r["j"]].append((r["v"], r["n"]))
+    out = [np.arange(len(KINDS) - 1, dtype=float)]
+    for of in held[1:]:
+        of = np.array(sorted(of), np.int64).reshape(-1, 2)
+        ends = np.cumsum(of[:, 1])
+        out.append(np.unique(of[np.searchsorted(32 * ends, np.arange(1, 32) * ends[-1], "left"), 0]).astype(float) if len(of) else np.zeros(0))
+    return out
+
+
+def _arrays(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``bins``, ``y`` and ``n`` of a batch."""
+    bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, FEATURES)
+    return bins, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+
+
+def _fit_all(found: DataFrame, precision: float, least: int = 50) -> tuple[Trees, list[float]]:
+    """Trees and thresholds from all rows of ``found`` (key, y, x), of which equal keys with one label count once."""
+    trees, never = Trees(), [float("inf")] * len(KINDS)
+    distinct = stash(found.groupBy("key", "y").agg(F.first("x").alias("x")))
+    held = F.col("key") % 4 == 0
+    counts = {(r["held"], r["y"], r["kind"]): r["n"] for r in distinct.groupBy(held.alias("held"), "y", F.col("x")[0].alias("kind")).agg(F.count("*").alias("n")).collect()}
+    learnt = [sum(n for (h, y, _), n in counts.items() if not h and y == of) for of in (0, 1)]
+    if not all(learnt) or all(counts.get((True, 1, k), 0) < least for k in range(len(KINDS))):
+        return trees, never
+    trees.start(_edges(distinct), learnt[1] / sum(learnt))
+
+    def binned(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = batch.column(0).values.to_numpy(zero_copy_only=False).reshape(-1, FEATURES) if batch.num_rows else np.zeros((0, FEATURES))
+            bins = [b.tobytes() for b in trees._bins(x).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.binary()), *batch.columns[1:]], ["bins", "y", "held"])
+
+    rows = distinct.select("x", "y", held.alias("held")).mapInArrow(binned, "bins binary, y int, held boolean")
+    rows = stash(rows.groupBy("bins", "y", "held").agg(F.count("*").alias("n")))
+    learn = rows.where("not held").select("bins", "y", "n")
+
+    def sums(tree: dict, nodes: list[int]) -> np.ndarray:
+        def run(batches):
+            import pyarrow as pa
+
+            total = np.zeros((3, len(nodes), FEATURES, 32), np.int64)
+            for batch in batches:
+                total += trees.sums(tree, nodes, *_arrays(batch))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        # each task returns at most 48 KB
+        return sum(np.frombuffer(r["sums"], np.int64).reshape(3, len(nodes), FEATURES, 32) for r in learn.mapInArrow(run, "sums binary").collect())
+
+    trees.boost(sums)
+    if not trees.trees:
+        return trees, never
+
+    def scored(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            bins, y, n = _arrays(batch)
+            score = np.rint(trees.scores_of_bins(bins) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bins[:, 0].astype(np.int64)), pa.array(score), pa.array(n), pa.array(n * y)], ["kind", "score", "n", "hit"])
+
+    out = list(never)
+    total = lambda c: F.sum(c).alias(c)
+    scores = rows.where("held").select("bins", "y", "n").mapInArrow(scored, "kind long, score long, n long, hit long").groupBy("kind", "score").agg(total("n"), total("hit"))
+    # running sums in slices of the scores, after the sums of all slices above
+    scores = stash(scores.withColumn("slice", F.expr("shiftright(score, 14)")))
+    above = Window.partitionBy("kind").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    before = scores.groupBy("kind", "slice").agg(total("n"), total("hit")).select("kind", "slice", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "hit")))
+    inside = Window.partitionBy("kind", "slice").orderBy(F.desc("score"))
+    running = scores.join(before, ["kind", "slice"]).select("kind", "score", *((F.col(f"{c}_above") + F.sum(c).over(inside)).alias(c) for c in ("n", "hit")))
+    for r in running.where((F.col("hit") / F.col("n") >= precision) & (F.col("hit") >= least)).groupBy("kind").agg(F.min("score").alias("score")).collect():
+        out[r["kind"]] = r["score"] / STEPS
+    return trees, out
+
+
+def fit(docs: DataFrame, most_labelled: int | None = None, precision: float = 0.995, text: str = "text") -> tuple[Trees, list[float]]:
+    """Trees and thresholds from all labelled proposals of all documents; with ``most_labelled``, from at most so many, those of lowest hash.
 
     A span with its kind and the 40 characters on both sides is one proposal wherever and however often it stands, so copies
-    of a text are neither evidence of their own nor crowd out others. Each task keeps its ``most_labelled`` lowest and the
-    driver gets that many rows of numbers, so memory is bounded everywhere. A kind with fewer than 50 held-out positives
+    of a text are neither evidence of their own nor crowd out others. The driver gets sums by node, feature and bin, or
+    ``most_labelled`` rows of numbers, so memory is bounded everywhere. A kind with fewer than 50 held-out positives
     can't be calibrated, and without labels of both classes to learn from no kind can: the threshold is then infinite and
     the method adds nothing, as on a small table. A null text is empty; in an empty table there is nothing to fit and only
     base spans are found; other columns are ignored. Texts count whole; of equal hashes and labels one row stays.
@@ -282,6 +417,12 @@ def fit(docs: DataFrame, most_labelled: int = 20_000, precision: float = 0.995,
         import pyarrow as pa
 
         kept: dict = {}
+        seen: set = set()  # only spares rows that a shuffle would drop
+
+        def out():
+            keys = sorted(kept)[:most_labelled]
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([list(map(int, kept[k])) for k in keys], pa.list_(pa.int32()))], ["key", "y", "x"])
+
         for _, raws in texts(batches):
             for raw in raws:
                 s = raw.decode("utf-8", "replace")
@@ -292,14 +433,19 @@ def fit(docs: DataFrame, most_labelled: int = 20_000, precision: float = 0.995,
                         first = max(0, start - 40)
                         context = f"{kind} {start - first} {end - start} {s[first : end + 40]}"
                         key = int.from_bytes(hashlib.blake2b(context.encode(), digest_size=8).digest(), "little") >> 1
-                        if (key, y) not in kept:
+                        if (key, y) not in kept and (key, y) not in seen:
                             kept[key, y] = features(s, start, kind, end)
-            if len(kept) > 2 * most_labelled:
+                if most_labelled is None and len(kept) >= 1000:
+                    yield out()
+                    seen = (seen if len(seen) < 100_000 else set()) | set(kept)
+                    kept.clear()
+            if most_labelled is not None and len(kept) > 2 * most_labelled:
                 kept = {k: kept[k] for k in sorted(kept)[:most_labelled]}
-        keys = sorted(kept)[:most_labelled]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([list(map(float, kept[k])) for k in keys], pa.list_(pa.float64()))], ["key", "y", "x"])
+        yield out()
 
-    found = stash(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, y int, x array<double>"))
+    found = stash(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, y int, x array<int>"))
+    if most_labelled is None:
+        return _fit_all(found, precision)
     distinct = lowest_keys(found, most_labelled).groupBy("key", "y").agg(F.first("x").alias("x"))
     rows = distinct.orderBy("key", "y").limit(most_labelled).collect()
     x, y = np.array([r["x"] for r in rows], float).reshape(-1, FEATURES), np.array([r["y"] for r in rows], float)

@@ -421,6 +421,32 @@ def test_pii_lowest_keys(spark, most):
     assert set(sorted(set(keys))[:most]) <= got and (len(got) <= 4 * most + 10 or got == set(keys))
 
 
+def test_all_labelled_proposals_are_learnt_from(spark, monkeypatch):
+    random.seed(4)
+    lines = [f"call +1 ({random.randint(200, 999)}) 555-{random.randint(1000, 9999)} or {random.randint(10**15, 10**16 - 1)} at {random.randint(1, 299)}.0.{i % 256}.{i // 256}" for i in range(12_000)]
+    table, numbers = docs(spark, [*lines, *lines[:500]]).repartition(5), []  # copies count once
+    boost = pii.Trees.boost
+    monkeypatch.setattr(pii.Trees, "boost", lambda self, sums: numbers.append(int(sums({}, [1])[2, 0, 0].sum())) or boost(self, sums))
+    trees, limits = pii.fit(table)
+    known, x, y = {}, [], []
+    for line in lines:
+        for (start, kind, end), of in pii.labels(line, pii.base_spans(line)):
+            if of is not None:
+                first = max(0, start - 40)
+                key = int.from_bytes(hashlib.blake2b(f"{kind} {start - first} {end - start} {line[first : end + 40]}".encode(), digest_size=8).digest(), "little") >> 1
+                known[key, of] = pii.features(line, start, kind, end)
+    held = np.array([key % 4 == 0 for key, _ in known])
+    assert len(known) > 20_000 and numbers == [(~held).sum()]
+    # the same trees and thresholds as from all rows in one place
+    x, y = np.array(list(known.values()), float), np.array([of for _, of in known], float)
+    plain = pii.Trees()
+    plain.start(trees.edges, y[~held].mean())
+    bins, ones = plain._bins(x[~held]), np.ones((~held).sum(), np.int64)
+    boost(plain, lambda tree, nodes: plain.sums(tree, nodes, bins, y[~held], ones))
+    assert plain.trees == trees.trees and len(trees.trees) == 40 and limits == pii.thresholds(plain, x[held], y[held], 0.995)
+    assert sum(t < float("inf") for t in limits) > 1
+
+
 def test_numbers_parted_by_a_blank_are_found(spark):
     cards, mixed = "7536784127813050 4845168114407329", "+1 (826) 555-4081 190.137.223.204"
     assert pii.base_spans(cards) == [] and [k for _, k, _ in pii.base_spans(mixed)] == [1]
