@@ -11,7 +11,9 @@ level empties no sequence.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -189,6 +191,9 @@ def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return at, offset, full
 
 
+_LATER = re.compile("[\u0500-\U0010ffff]")
+
+
 class _Encoder(dict):
     """Ids of a blank and a chunk without white space at its ends, as bytes; the memory is bounded."""
 
@@ -225,17 +230,23 @@ class _Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        # Letter and number classes of these characters don't differ between the two libraries' Unicode versions.
-        if self.by_rank and max(text, default="") < "\u0500":
-            return np.array(self.by_rank.encode_ordinary(text), "<u4").tobytes()
+        if self.by_rank and self.plain(text):
+            return array("I", self.by_rank.encode_ordinary(text)).tobytes()
         return self.whole(text)
 
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Whether letter and number classes of its characters don't differ between the two libraries' Unicode versions."""
+        return text.isascii() or not _LATER.search(text)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of_text(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
+        if self.by_rank and self.plain(text):
+            return self.encode(text)  # where most words are new, pieces and their memory cost more than they spare
         chunks = text.split(" ")
         try:
             if chunks[0][-1:].isspace():

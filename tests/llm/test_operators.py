@@ -178,6 +178,17 @@ def test_levels_end_where_nothing_fits(spark):
     assert got.count() == got.select("sequence_id").distinct().count() == 500
 
 
+def test_plain_texts_are_encoded_whole():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(BPE), packing._Encoder(BPE, RANKS)
+    for text in ("new words each time, ñandú\r\n  A1 I'll", "", " a", "Жук  x\n", *filter(None, ODD)):
+        assert encoder.of_text(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    encoder.clear()
+    encoder.of_text("words that no other text has, ñandú")
+    assert not encoder  # no piece of it was cut and remembered
+
+
 def test_levels_of_packing(spark):
     pieces = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") * 37 % 60 + 1).alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
     got = packing.pack_pieces(packing.stash(pieces), 64, shard_pieces=400)
