@@ -110,9 +110,10 @@ def prefixes(docs: DataFrame, shingle: int, percent: int, classes) -> DataFrame:
 def prefixes_allow(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (g, h) of groups whose sizes allow a link and where neither lacks too much of what the other's prefix holds.
 
-    What comes before the end of a prefix and isn't in it isn't in the set.
+    What comes before the end of a prefix and isn't in it isn't in the set. Prefixes travel as the upper halves of their
+    n-grams: those that fall together count as shared, so no pair is lost.
     """
-    held = groups.select("gid", "n", "prefix")
+    held = groups.select("gid", "n", F.transform("prefix", lambda t: F.shiftright(t, 32).cast("int")).alias("prefix"))
     both = pairs.join(held.toDF("g", "n1", "p1"), "g").join(held.toDF("h", "n2", "p2"), "h")
     shared = _least_shared("n1", "n2", percent)
     lacks = lambda p, q: F.size(F.filter(F.array_except(p, q), lambda t: t < F.element_at(q, -1)))
@@ -271,9 +272,11 @@ def linked_documents(docs: DataFrame, shingle: int = 3, percent: int = 90, crowd
     heads = stash(classes.groupBy("gid").agg(F.min("id").alias("head"), F.count("*").alias("members")))
     # lists of n-grams with company: every group meets the list's first one
     posts = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = stash(posts.groupBy("token").agg(F.count("*").alias("groups"), F.min("gid").alias("first")).where("groups > 1"))
+    lists = posts.groupBy("token").agg(F.count("*").alias("groups"), F.min("gid").alias("first")).where("groups > 1")
+    lists = stash(lists.join(groups.select(F.col("gid").alias("first"), F.col("n").alias("first_n")), "first"))
     met = stash(join_spread(posts, lists, "token", heaviest(lists, "token", "groups")))
-    first = prefixes_allow(met.where("gid <> first").select(*_pairs("gid", "first")).distinct(), groups, percent)
+    # sizes rule out most of these pairs before prefixes are sent to them
+    first = prefixes_allow(met.where("gid <> first").where(_sizes_allow("n", "first_n", percent)).select(*_pairs("gid", "first")).distinct(), groups, percent)
     head = heads.select("gid", "head")
     tops = first.join(head.toDF("g", "x"), "g").join(head.toDF("h", "y"), "h").select("x", "y")
     within = classes.join(heads.where("members > 1"), "gid").select(F.col("id").alias("x"), F.col("head").alias("y"))

@@ -154,6 +154,23 @@ def test_links_in_crowded_groups_need_few_rows(spark):
     assert near_dedup.components(found).select("label").distinct().count() == 1 and found.count() < 2 * 60 + 8 * 8
 
 
+def test_prefixes_are_sent_only_to_pairs_whose_sizes_allow_a_link(spark, monkeypatch):
+    rng, asked = random.Random(3), []
+    shared = " ".join(f"s{i}" for i in range(12))
+    docs = table(spark, [(i, shared + "".join(f" w{rng.randrange(10**9)}" for _ in range(5 + 9 * i)), None, None, None) for i in range(24)])
+    allow = ngram_join.prefixes_allow
+
+    def seen(pairs, groups, percent):
+        sizes = {r["gid"]: r["n"] for r in groups.collect()}
+        asked.extend(100 * min(sizes[r["g"]], sizes[r["h"]]) >= percent * max(sizes[r["g"]], sizes[r["h"]]) for r in pairs.collect())
+        return allow(pairs, groups, percent)
+
+    monkeypatch.setattr(ngram_join, "prefixes_allow", seen)
+    monkeypatch.setattr(ngram_join, "prefix_size", lambda n, percent: n)
+    assert ngram_join.linked_documents(docs).where("doc_id = component_id").count() == 24
+    assert asked and all(asked)
+
+
 def test_prefix_size():
     for percent in (80, 90, 100):
         for n in range(1, 300):
