@@ -144,3 +144,15 @@ def test_odd_rows_pass_all_stages(spark):
         assert counts == [0] * 5 if empty else counts[:3] == [6, 3, 3]
         if not empty:
             assert here.where("doc_id = 5").count() >= 0
+
+
+def test_personal_data_learns_from_all_labelled_proposals(spark, monkeypatch):
+    import corpus_pipeline
+    from quillgraph.llm import pii
+
+    lines = [f"call +1 ({200 + i % 700}) 555-{1000 + i} now" for i in range(22_000)]
+    docs = spark.createDataFrame([(i, line, len(line)) for i, line in enumerate(lines)], "doc_id long, text string, n_chars long").repartition(3)
+    seen = []
+    monkeypatch.setattr(pii, "_fit_all", lambda found, precision: seen.append(found.select("key", "y").distinct().count()) or (pii.Trees(), [float("inf")] * 4))
+    assert corpus_pipeline.personal_data(spark, docs, SF).count() == len(lines)
+    assert len(seen) == 1 and seen[0] >= len(lines)
