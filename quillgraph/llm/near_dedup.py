@@ -197,11 +197,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, text: str = "text", block: int = 250) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, text: str = "text", block: int = 250, held: DataFrame | None = None) -> DataFrame:
     """The ``pairs`` (a, b) of representatives, structs of doc_id and text_hash, with 100 * intersection >= percent * union of their full sets.
 
     Texts stream through tasks, each ``b`` followed by its partners; the partners of a ``b`` with very many of them are
-    dealt into blocks of about ``block``, each with a copy of its text.
+    dealt into blocks of about ``block``, each with a copy of its text. ``held``: one text (``_t``) for each ``id`` of the
+    pairs and maybe others, from a caller that gathers them in its own way.
     """
 
     def run(batches):
@@ -224,10 +225,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, tex
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows)], ["a", "b"])
 
-    id_ = F.struct("doc_id", F.xxhash64(text).alias("text_hash"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # rows that agree in id and text are one; a copy of it is enough
-    held = docs.select(id_.alias("id"), F.col(text).alias("_t")).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("_t").alias("_t"))
+    if held is None:
+        id_ = F.struct("doc_id", F.xxhash64(text).alias("text_hash"))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        # rows that agree in id and text are one; a copy of it is enough
+        held = docs.select(id_.alias("id"), F.col(text).alias("_t")).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("_t").alias("_t"))
     hot = heaviest(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > block), "b")
     blocks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
     dealt = pairs.join(F.broadcast(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), blocks).alias("blk"))

@@ -24,6 +24,7 @@ from .common import heaviest, join_spread, small, stash, table, texts
 from .near_dedup import PLACES, _ordered, components, confirmed, shingles
 
 BITS, BLOCK = 20, 4096  # of the table of counts, which has 2 ** BITS places
+MARKS = 1 << 25  # bits of the table of ids whose texts are asked for
 
 
 def count_classes(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -139,6 +140,58 @@ def _pairs(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("g"), F.greatest(x, y).alias("h")]
 
 
+def marked(ids: DataFrame) -> np.ndarray:
+    """A table of ``MARKS`` bits where those at the hashes of the ``ids`` (doc_id, text_hash) are set; 4 MB, however many ids there are."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            blocks = []
+            for places in batch.column(1):
+                bits = np.zeros(8 * BLOCK, bool)
+                bits[places.values.to_numpy()] = True
+                blocks.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.binary())], ["block", "bits"])
+
+    place = ids.select(_place().alias("place"))
+    blocks = place.groupBy(F.expr(f"place div {8 * BLOCK}").cast("int").alias("block")).agg(F.collect_set((F.col("place") % (8 * BLOCK)).cast("int")).alias("places"))
+    out = np.zeros(MARKS // 8, np.uint8).reshape(-1, BLOCK)
+    for row in blocks.mapInArrow(pack, "block int, bits binary").collect():
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _place() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(MARKS))
+
+
+def asked_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``text`` of the rows of ``docs`` that the ``ids`` (doc_id, text_hash) name, and of some others whose marks fall together.
+
+    Rows drop out where they lie, so what joins or groups the result shuffles hardly any text that isn't asked for,
+    whether the ids fit a broadcast or not.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(marked(ids))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            place = batch.column(3).to_numpy()
+            yield batch.select([0, 1, 2]).filter(pa.array(marks.value[place >> 3] >> (place & 7) & 1 == 1))
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.withColumn("place", _place()).mapInArrow(run, "doc_id long, text_hash long, text string")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``confirmed``, for which texts travel once by their id and once to their pairs; rows that agree in id and text are one."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select("id.*")
+    held = asked_rows(docs, ids).groupBy(F.struct("doc_id", "text_hash").alias("id")).agg(F.min("text").alias("_t"))
+    return confirmed(pairs, docs, shingle, percent, held=held)
+
+
 def _sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
     """``doc_id``, ``text_hash`` and ``held`` (the sorted hashes of the shingles)."""
 
@@ -225,7 +278,7 @@ def links_in_groups(here: DataFrame, docs: DataFrame, shingle: int, percent: int
     groups that then still hold several components go through pairs of blocks.
     """
     id_ = ["doc_id", "text_hash"]
-    sets = lambda rows: rows.join(_sets(docs.withColumn("text_hash", F.xxhash64("text")).join(rows.select(id_).distinct(), id_, "left_semi").select("doc_id", "text"), shingle), id_)
+    sets = lambda rows: rows.join(_sets(asked_rows(docs, rows.select(id_)).join(rows.select(id_).distinct(), id_, "left_semi").select("doc_id", "text"), shingle), id_)
     own = _step(percent)
     blocks = here.select("grp", F.explode(F.array(own, own + 1)).alias("step")).groupBy("grp", "step").agg(F.count("*").alias("members")).where(F.col("members") > block)
     blocks = stash(blocks)
@@ -280,7 +333,7 @@ def linked_documents(docs: DataFrame, shingle: int = 3, percent: int = 90, crowd
     head = heads.select("gid", "head")
     tops = first.join(head.toDF("g", "x"), "g").join(head.toDF("h", "y"), "h").select("x", "y")
     within = classes.join(heads.where("members > 1"), "gid").select(F.col("id").alias("x"), F.col("head").alias("y"))
-    links = stash(confirmed(stash(_ordered(tops.unionByName(within))), docs, shingle, percent))
+    links = stash(_linked(stash(_ordered(tops.unionByName(within))), docs, shingle, percent))
     labels = stash(components(links))
     labelled = stash(classes.select("gid", "n", "id").join(labels, "id", "left").select("gid", "n", "id", F.coalesce("label", "id").alias("label")))
     # a group of one component goes by its label, any other by a label of its own
@@ -303,7 +356,7 @@ def linked_documents(docs: DataFrame, shingle: int = 3, percent: int = 90, crowd
     expanded = pairs.join(sizes.toDF("g", "m1"), "g").join(sizes.toDF("h", "m2"), "h").withColumn("many", F.col("m1") * F.col("m2") > crowd)
     of = labelled.select("gid", "id", "label")
     second = expanded.where("not many").join(of.toDF("g", "x", "l1"), "g").join(of.toDF("h", "y", "l2"), "h").where("l1 <> l2").select("x", "y")
-    found = stash(confirmed(stash(_ordered(second)), docs, shingle, percent))
+    found = stash(_linked(stash(_ordered(second)), docs, shingle, percent))
     # what is compared inside tasks: crowded lists by their least label, open groups, and pairs of large groups
     asked = here.join(small(steps.where(F.col("in_step") > crowd).select("token", "step"), 100_000), ["token", "step"], "left_semi").select(F.xxhash64("lo").alias("grp"), "gid")
     large = expanded.where("many").select(F.xxhash64("g", "h").alias("grp"), F.explode(F.array("g", "h")).alias("gid"))

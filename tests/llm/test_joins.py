@@ -171,6 +171,25 @@ def test_prefixes_are_sent_only_to_pairs_whose_sizes_allow_a_link(spark, monkeyp
     assert asked and all(asked)
 
 
+def test_only_texts_of_pairs_are_gathered(spark, monkeypatch):
+    """Of texts that no pair asks for none is shuffled, unless marks fall together, which changes no result."""
+    rows, asked = near_copies(5), []
+    docs = table(spark, [(i, t, "en", "s", 1) for i, t in rows]).repartition(5)
+    confirm = near_dedup.confirmed
+
+    def seen(pairs, docs, shingle, percent, held):
+        asked.append(({r["x"] for r in pairs.select(F.explode(F.array("a", "b")).alias("x")).collect()}, [r["id"] for r in held.collect()]))
+        return confirm(pairs, docs, shingle, percent, held=held)
+
+    monkeypatch.setattr(ngram_join, "confirmed", seen)
+    for marks in (ngram_join.marked, lambda ids: np.full(ngram_join.MARKS // 8, 255, np.uint8)):
+        monkeypatch.setattr(ngram_join, "marked", marks)
+        assert sorted(str(tuple(r)) for r in ngram_join.linked_documents(docs, 3, 90).collect()) == plain_components(rows, 3, 90)
+    assert len(asked) == 4 and all(len(held) == len(set(held)) for _, held in asked)
+    assert asked[0][0] and all(set(held) == ids for ids, held in asked[:2])
+    assert all(ids < set(held) for ids, held in asked[2:])
+
+
 def test_prefix_size():
     for percent in (80, 90, 100):
         for n in range(1, 300):
