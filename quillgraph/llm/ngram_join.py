@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import heaviest, join_spread, small, stash, table, texts
+from .common import heaviest, join_spread, small, small_batches, stash, table, texts
 from .near_dedup import PLACES, _ordered, components, confirmed, shingles
 
 BITS, BLOCK = 20, 4096  # of the table of counts, which has 2 ** BITS places
@@ -63,7 +63,9 @@ def count_classes(docs: DataFrame, shingle: int) -> np.ndarray:
 
     counted = docs.select("doc_id", "text").mapInArrow(count, "block int, held binary")
     out = np.zeros(1 << BITS, np.uint8).reshape(-1, BLOCK)
-    for row in counted.repartition("block").mapInArrow(add, "block int, classes binary").collect():
+    with small_batches(docs.sparkSession):
+        summed = counted.repartition("block").mapInArrow(add, "block int, classes binary").collect()
+    for row in summed:
         out[row["block"]] = np.frombuffer(row["classes"], np.uint8)
     return out.reshape(-1)
 
@@ -173,16 +175,19 @@ def asked_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     whether the ids fit a broadcast or not.
     """
     marks = docs.sparkSession.sparkContext.broadcast(marked(ids))
+    return _placed(docs).mapInArrow(lambda batches: _asked(batches, marks.value), "doc_id long, text_hash long, text string")
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            place = batch.column(3).to_numpy()
-            yield batch.select([0, 1, 2]).filter(pa.array(marks.value[place >> 3] >> (place & 7) & 1 == 1))
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").withColumn("place", _place())
+
+
+def _asked(batches, marks: np.ndarray):
+    import pyarrow as pa
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.withColumn("place", _place()).mapInArrow(run, "doc_id long, text_hash long, text string")
+    for batch in batches:
+        place = batch.column(3).to_numpy()
+        yield batch.select([0, 1, 2]).filter(pa.array(marks[place >> 3] >> (place & 7) & 1 == 1))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -192,18 +197,22 @@ def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     return confirmed(pairs, docs, shingle, percent, held=held)
 
 
-def _sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
-    """``doc_id``, ``text_hash`` and ``held`` (the sorted hashes of the shingles)."""
+def asked_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``held`` (the sorted hashes of the shingles) of the rows of ``docs`` that the ``ids`` name, each once.
+
+    Marks are looked up and sets made in one function, since each of two in a task would have a Python worker of its own.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(marked(ids))
 
     def run(batches):
         import pyarrow as pa
 
-        for batch, raws in texts(batches):
+        for batch, raws in texts(_asked(batches, marks.value)):
             held = [shingles(raw, shingle).tobytes() for raw in raws]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.binary())], ["doc_id", "text_hash", "held"])
 
-    made = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, text_hash long, held binary")
-    return made.dropDuplicates(["doc_id", "text_hash"])
+    made = _placed(docs).mapInArrow(run, "doc_id long, text_hash long, held binary")
+    return made.join(ids.distinct(), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
 
 
 def links_in_blocks(open_: DataFrame, percent: int, blocks: DataFrame, across: bool, block: int = 512) -> DataFrame:
@@ -216,14 +225,14 @@ def links_in_blocks(open_: DataFrame, percent: int, blocks: DataFrame, across: b
     them. Those are compared block by block: each block within itself or, with ``across``, each with every other.
     """
 
-    def compare(pdf):
-        import pandas as pd
+    def compare(rows):
+        import pyarrow as pa
 
-        held = [np.frombuffer(h, np.uint64) for h in pdf["held"]]
+        held = [np.frombuffer(h, np.uint64) for h in rows["held"].to_pylist()]
         sizes = np.array([len(h) for h in held])
         order = np.argsort(sizes, kind="stable")
-        pdf, held, sizes = pdf.iloc[order], [held[k] for k in order.tolist()], sizes[order]
-        label, block_, home = (pdf[c].to_numpy().copy() for c in ("lab", "blk", "home"))
+        held, sizes = [held[k] for k in order.tolist()], sizes[order]
+        label, block_, home, ids, hashes = (rows[c].to_numpy()[order] for c in ("lab", "blk", "home", "doc_id", "text_hash"))
         kinds, counts = np.unique(label, return_counts=True)
         odd = (label != kinds[counts.argmax()]) | across  # two blocks may have different largest components
         places = (np.concatenate(held) & np.uint64(PLACES - 1)).astype(np.int64)
@@ -253,8 +262,7 @@ def links_in_blocks(open_: DataFrame, percent: int, blocks: DataFrame, across: b
                     x.append(r)
                     y.append(c)
                     label[label == label[c]] = label[r]
-        ids, hashes = pdf["doc_id"].to_numpy(), pdf["text_hash"].to_numpy()
-        return pd.DataFrame({"xi": ids[x], "xh": hashes[x], "yi": ids[y], "yh": hashes[y]}) if x else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("xi", "xh", "yi", "yh")})
+        return pa.table({"xi": ids[x], "xh": hashes[x], "yi": ids[y], "yh": hashes[y]})
 
     own = _step(percent)
     dealt = open_.withColumn("step", F.explode(F.array(own, own + 1))).withColumn("home", F.col("step") == own)
@@ -262,7 +270,7 @@ def links_in_blocks(open_: DataFrame, percent: int, blocks: DataFrame, across: b
     dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("nb")).cast("int"))
     others = F.explode(F.expr("filter(sequence(0, nb - 1), k -> k <> blk)")) if across else F.col("blk")
     dealt = dealt.withColumn("k", others).select("grp", "step", F.least("blk", "k").alias("lo"), F.greatest("blk", "k").alias("hi"), "blk", "home", "doc_id", "text_hash", "lab", "held")
-    found = dealt.groupBy("grp", "step", "lo", "hi").applyInPandas(compare, "xi long, xh long, yi long, yh long")
+    found = dealt.groupBy("grp", "step", "lo", "hi").applyInArrow(compare, "xi long, xh long, yi long, yh long")
     return _ordered(found.select(F.struct(F.col("xi").alias("doc_id"), F.col("xh").alias("text_hash")).alias("x"), F.struct(F.col("yi").alias("doc_id"), F.col("yh").alias("text_hash")).alias("y")))
 
 
@@ -278,7 +286,7 @@ def links_in_groups(here: DataFrame, docs: DataFrame, shingle: int, percent: int
     groups that then still hold several components go through pairs of blocks.
     """
     id_ = ["doc_id", "text_hash"]
-    sets = lambda rows: rows.join(_sets(asked_rows(docs, rows.select(id_)).join(rows.select(id_).distinct(), id_, "left_semi").select("doc_id", "text"), shingle), id_)
+    sets = lambda rows: rows.join(asked_sets(docs, rows.select(id_), shingle), id_)
     own = _step(percent)
     blocks = here.select("grp", F.explode(F.array(own, own + 1)).alias("step")).groupBy("grp", "step").agg(F.count("*").alias("members")).where(F.col("members") > block)
     blocks = stash(blocks)

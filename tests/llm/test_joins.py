@@ -190,6 +190,32 @@ def test_only_texts_of_pairs_are_gathered(spark, monkeypatch):
     assert all(ids < set(held) for ids, held in asked[2:])
 
 
+def test_counts_come_in_small_batches(spark, monkeypatch):
+    """Texts are counted in Arrow batches of few rows, as they are where tables are written, and the setting stays."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    docs, before = table(spark, [(i, f"a b c w{i}", "en", "s", 1) for i in range(9)]), spark.conf.get(name)
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: seen.append(int(spark.conf.get(name))) or collect(df))
+    classes = ngram_join.count_classes(docs, 3)
+    assert seen and max(seen) <= 1000 and spark.conf.get(name) == before
+    assert classes.max() == int(4 * np.log2(10))
+
+
+def test_sets_are_made_by_one_worker_of_a_task(spark, monkeypatch):
+    """Each Python function of a task has a worker of its own, so marks and sets share one."""
+    rows, plans = near_copies(6), []
+    docs = table(spark, [(i, t, "en", "s", 1) for i, t in rows]).repartition(5)
+    inner = ngram_join.links_in_blocks
+
+    def seen(open_, *rest):
+        plans.append(open_._jdf.queryExecution().executedPlan().toString())
+        return inner(open_, *rest)
+
+    monkeypatch.setattr(ngram_join, "links_in_blocks", seen)
+    assert sorted(str(tuple(r)) for r in ngram_join.linked_documents(docs, 3, 90, 1, 3).collect()) == plain_components(rows, 3, 90)
+    assert plans and all(p.count("MapInArrow") == 1 for p in plans)
+
+
 def test_prefix_size():
     for percent in (80, 90, 100):
         for n in range(1, 300):
