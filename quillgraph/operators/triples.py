@@ -56,10 +56,10 @@ def distinct_triples(triples: DataFrame, order: str = "triple_id") -> DataFrame:
     return triples.groupBy("head", "relation", "tail").agg(F.min_by(F.struct(*columns), order).alias("x")).select("x.*")
 
 
-def entity_hits(questions: DataFrame, triples: DataFrame, most: int, with_text: bool = False) -> DataFrame:
-    """``query_id``, ``triple_id``, ``place``: the first of a question's names (array ``names``) that lies in head or tail, or, ``with_text``, in the paragraph."""
+def entity_hits(questions: DataFrame, triples: DataFrame, most: int) -> DataFrame:
+    """``query_id``, ``triple_id``, ``place``: the first of a question's names (array ``names``) that lies in head or tail."""
     names = questions.select("query_id", F.posexplode(F.slice("names", 1, most)).alias("place", "name")).where("name <> ''")
-    sides = [triples.select("triple_id", F.explode(F.array("head", "tail", *(["paragraph"] if with_text else []))).alias("hay"))]
+    sides = [triples.select("triple_id", F.explode(F.array("head", "tail")).alias("hay"))]
     hays = sides[0].where("hay is not null").groupBy("hay").agg(F.count("*").alias("_n")).select(F.xxhash64("hay").alias("hid"), "hay")  # each text once
     found = contained(names.select(F.col("name").alias("nid"), F.col("name").alias("needle")), hays)
     of_hay = sides[0].where("hay is not null").select("triple_id", F.xxhash64("hay").alias("hid"))
@@ -67,9 +67,21 @@ def entity_hits(questions: DataFrame, triples: DataFrame, most: int, with_text:
     return pairs.groupBy("query_id", "triple_id").agg(F.min("place").alias("place"))
 
 
+def names_held(questions: DataFrame, triples: DataFrame, most: int) -> DataFrame:
+    """``triple_id``, ``named``: those of the questions' first ``most`` names that lie in head, tail or paragraph, for triples with one.
+
+    A list holds names of all questions, so it is bounded by its triple's own text and no table of questions by triples is made.
+    """
+    names = questions.select(F.explode(F.slice("names", 1, most)).alias("name")).where("name <> ''").distinct()
+    sides = triples.select("triple_id", F.explode(F.array("head", "tail", "paragraph")).alias("hay")).where("hay is not null").select("triple_id", "hay", F.xxhash64("hay").alias("hid"))
+    hays = sides.select("hid", "hay").distinct()  # each text once
+    of_hay = contained(names.select(F.col("name").alias("nid"), F.col("name").alias("needle")), hays).groupBy("hid").agg(F.collect_set("nid").alias("found"))
+    return sides.select("triple_id", "hid").join(of_hay, "hid").groupBy("triple_id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("named"))
+
+
 def _prepared(triples: DataFrame, relation: bool) -> DataFrame:
     """Triples with ``standard`` (else the source), ``unit`` (of source and standard), ``sid`` (comparison id), ``held`` (distinct tokens,
-    of the relation too with ``relation``) and ``apart`` (tokens that only the relation gives). Tokens are cut once and written."""
+    of the relation too with ``relation``) and ``apart`` (tokens that only the relation gives), without the paragraph. Tokens are cut once and written."""
     named = F.coalesce(text.blank_to_null(F.col("standard_id")), F.col("source")) if "standard_id" in triples.columns else F.col("source")
     tokens = lambda *parts: F.array_distinct(text.mixed_tokens(F.concat_ws(" ", *parts)))
     whole = triples.withColumn("standard", named).withColumn("unit", F.concat_ws("\n", F.coalesce("source", F.lit("")), F.coalesce("standard", F.lit(""))))
@@ -77,7 +89,7 @@ def _prepared(triples: DataFrame, relation: bool) -> DataFrame:
     whole = whole.withColumn("held", tokens("head", "relation", "tail", "paragraph") if relation else F.col("shares"))
     # a standard's id takes many patterns, so it is made once for each standard
     sids = small(whole.select("standard").distinct().withColumn("sid", text.comparison_id(F.col("standard"))))
-    return stash(whole.withColumn("apart", F.array_except("held", "shares")).drop("shares").join(sids, "standard", "left"))
+    return stash(whole.withColumn("apart", F.array_except("held", "shares")).drop("shares", "paragraph").join(sids, "standard", "left"))
 
 
 def scope_units(questions: DataFrame, triples: DataFrame) -> DataFrame:
@@ -105,17 +117,20 @@ def _best_rows(scores: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
 
 
 def best_in_units(asks: DataFrame, rows: DataFrame, judge: Callable, row_block: int = 16_384, query_block: int = 1_024) -> DataFrame:
-    """``query_id``, ``triple_id``, ``both`` (tokens shared) and ``near`` of the triples that may be a question's best, judged in blocks of one unit.
+    """``query_id``, ``triple_id``, ``both`` (tokens shared), ``place`` and ``near`` of the triples that may be a question's best, judged in blocks of one unit.
 
     ``asks``: id, scope (unit), tokens, most, and what ``judge`` reads; ``rows``: id, scope, tokens, apart, and what it reads. ``judge(both,
     shared, ask, rows)`` gets the tokens that a question shares with each row of a block, with and without the relation's, and returns
-    scores, which rows count, and rows to return as ``near`` beside the best. A unit is cut only if it is larger than a block; pairs of a
-    question and a triple exist only inside tasks, and each block returns ``most`` rows a question, and ties by rounding.
+    scores, which rows count, and rows to return as ``near`` beside the best. With ``names`` in ``asks`` and ``named`` in ``rows`` (lists of
+    strings) the rows that it gets have ``place``: that of the question's first name among the row's, else -1. A unit is cut only if it
+    is larger than a block; pairs of a question and a triple exist only inside tasks, and each block returns ``most`` rows a question, and
+    ties by rounding.
     """
     every = {f.name: f.dataType for f in [*asks.schema.fields, *rows.schema.fields]}
     full = lambda d: d.select(*(F.col(c) if c in d.columns else F.lit(None).cast(kind).alias(c) for c, kind in every.items()))
     placed = retrieval.placed_in_blocks(full(asks), full(rows), row_block, query_block)
     types = {"query_id": every["id"].simpleString(), "triple_id": rows.schema["id"].dataType.simpleString()}
+    by_name = "names" in asks.columns
 
     def lists(column: pd.Series, index: pd.Index) -> tuple[np.ndarray, np.ndarray]:
         """Places of known tokens and the rows that hold them, by place."""
@@ -131,23 +146,33 @@ def best_in_units(asks: DataFrame, rows: DataFrame, judge: Callable, row_block:
         posts = [lists(held[c], index) for c in ("tokens", "apart")]
         starts = [np.searchsorted(place, np.arange(len(index) + 1)) for place, _ in posts]
         ids = held["id"].to_numpy()
+        if by_name:
+            names = pd.Index(pd.unique(np.concatenate([np.zeros(0, object), *questions["names"]])))
+            of_name, row_of_name = lists(held["named"], names)
+            name_starts = np.searchsorted(of_name, np.arange(len(names) + 1))
+        places = np.full(len(held), -1)
         for ask in questions.itertuples():
+            if by_name:
+                places = np.full(len(held), -1)
+                for i, n in reversed(list(enumerate(names.get_indexer(ask.names).tolist()))):
+                    places[row_of_name[name_starts[n] : name_starts[n + 1]]] = i
+                held["place"] = places
             asked = index.get_indexer(ask.tokens)
             both, apart = (np.bincount(np.concatenate([np.zeros(0, int), *(row[at[t] : at[t + 1]] for t in asked)]), minlength=len(held)) for (_, row), at in zip(posts, starts, strict=True))
             scores, counts, near = judge(both, both - apart, ask, held)
             best = _best_rows(scores, np.flatnonzero(counts), int(ask.most))
             for chosen, mark in ((best, False), (np.flatnonzero(near), True)):
-                out.append(pd.DataFrame({"query_id": ask.id, "triple_id": ids[chosen], "both": both[chosen], "near": mark}))
+                out.append(pd.DataFrame({"query_id": ask.id, "triple_id": ids[chosen], "both": both[chosen], "place": places[chosen], "near": mark}))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": pdf["id"][:0], "triple_id": pdf["id"][:0], "both": np.zeros(0, int), "near": np.zeros(0, bool)})]
+        out = [pd.DataFrame({"query_id": pdf["id"][:0], "triple_id": pdf["id"][:0], "both": np.zeros(0, int), "place": np.zeros(0, int), "near": np.zeros(0, bool)})]
         for _, of_unit in pdf.groupby("scope", sort=False):
             asking = of_unit["asks"].to_numpy(bool)
             if asking.any() and not asking.all():
                 in_unit(of_unit[asking], of_unit[~asking], out)
         return pd.concat([d for d in out if len(d)] or out[:1])
 
-    return placed.groupBy("cell", "qb", "rb").applyInPandas(block, f"query_id {types['query_id']}, triple_id {types['triple_id']}, both int, near boolean")
+    return placed.groupBy("cell", "qb", "rb").applyInPandas(block, f"query_id {types['query_id']}, triple_id {types['triple_id']}, both int, place int, near boolean")
 
 
 def _in_units(pairs: DataFrame, scope: DataFrame, triples: DataFrame) -> DataFrame:
@@ -227,14 +252,37 @@ def _first_ids(pairs: DataFrame, edge: list[str], most: int) -> DataFrame:
     return once.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most).select("query_id", "triple_id")
 
 
-def _touching(found: DataFrame, scope: DataFrame, asked: DataFrame, triples: DataFrame, most: int) -> DataFrame:
-    """Triples in scope that touch a node of ``found``, aren't among them and share a token: the first ``most`` in order of their ids."""
-    edge = ["query_id", "head", "relation", "tail"]
-    nodes = found.select("query_id", F.explode(F.array("head", "tail")).alias("node")).where("node <> ''").distinct()
-    near = nodes.join(scope, "query_id").join(_ends(triples), ["unit", "node"]).select("query_id", "triple_id").distinct()
-    full = near.join(triples.select("triple_id", "head", "relation", "tail", "held"), "triple_id").join(found.select(*edge).distinct(), edge, "left_anti")
-    sharing = full.join(asked.select("query_id", "tokens"), "query_id").where((F.size("tokens") == 0) | (_shared("tokens", "held") > 0))
-    return _first_ids(sharing, edge, most)
+def _touching(best: DataFrame, asks: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """``query_id``, ``triple_id``, ``both``: rows (with head, relation, tail) that touch a node of ``best``, aren't among them and share a token: the first ``most`` in order of their ids.
+
+    Of an edge the first id counts. A block returns its first ``most`` edges, which hold all that can be among the first of all blocks.
+    """
+    edge = F.to_json(F.array("head", "relation", "tail"))
+    # as in joins, an edge with a null is none of those found
+    known = F.when(F.col("head").isNotNull() & F.col("relation").isNotNull() & F.col("tail").isNotNull(), edge)
+    around = best.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(F.filter(F.array("head", "tail"), lambda x: x != "")))).alias("names"), F.collect_set(known).alias("edges"))
+
+    def judge(both, shared, ask, rows):
+        near, seen = np.zeros(len(both), bool), set(ask.edges)
+        candidates, more = np.flatnonzero((rows["place"].to_numpy() >= 0) & ((both > 0) | (len(ask.tokens) == 0))), 0
+        for row, key in zip(candidates.tolist(), rows["edge"].to_numpy()[candidates].tolist(), strict=True):
+            if more == most:
+                break
+            if key not in seen:
+                seen.add(key)
+                near[row], more = True, more + 1
+        return np.zeros(len(both)), np.zeros(len(both), bool), near
+
+    asked = asks.select("id", "scope", "tokens", "most").join(around, F.col("id") == F.col("query_id")).drop("query_id")
+    held = rows.select("id", "scope", "tokens", "apart", F.filter(F.array("head", "tail"), lambda x: x != "").alias("named"), edge.alias("edge"))
+    found = stash(best_in_units(asked, held, judge).select("query_id", "triple_id", "both"))
+    edges = _of_ids(rows.select(F.col("id").alias("triple_id"), "head", "relation", "tail"), found)
+    return _first_ids(found.drop("both").join(edges, "triple_id"), ["query_id", "head", "relation", "tail"], most).join(found, ["query_id", "triple_id"])
+
+
+def _of_ids(triples: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The triples of ``pairs``; where their ids are few, the others drop out before any shuffle."""
+    return triples.join(small(pairs.select("triple_id").distinct()), "triple_id", "left_semi")
 
 
 def community_search(questions: DataFrame, triples: DataFrame, most: int = 40, pool: int = 50, two_hops: int = 30) -> DataFrame:
@@ -243,39 +291,41 @@ def community_search(questions: DataFrame, triples: DataFrame, most: int = 40, p
     Score: 2.2 times the share of tokens, 0.8 times 1 - 0.05 * place of the first of twelve names in it, 0.35 for a clause of
     definitions and 0.45 for formulas where the question asks for those. A triple needs a name, a shared token or, with
     them, such a clause. Triples that touch the best 40 follow with 0.15 more; one triple of each evidence stays.
-    ``triples`` also has clause_id, standard_id, evidence_id. Triples with a name are pairs; all others are scored in blocks by standard.
+    ``triples`` also has clause_id, standard_id, evidence_id. Triples are scored in blocks by standard, names and all; each triple has the
+    names that lie in it as a list, so neither those with a name nor those near the best are pairs outside a task.
     """
     c = F.coalesce(F.col("text"), F.lit(""))
-    asked = stash(questions.select("query_id", F.array_distinct(text.mixed_tokens(c)).alias("tokens"), F.regexp_like(c, F.lit(ASKS_DEFINITION)).alias("defs"), F.regexp_like(c, F.lit(ASKS_FORMULA)).alias("fors")))
-    triples = _prepared(triples, False)
-    scope = scope_units(questions, triples)
+    asked = stash(questions.select("query_id", F.array_distinct(text.mixed_tokens(c)).alias("tokens"), F.coalesce(F.slice("names", 1, 12), F.array().cast("array<string>")).alias("names"), F.regexp_like(c, F.lit(ASKS_DEFINITION)).alias("defs"), F.regexp_like(c, F.lit(ASKS_FORMULA)).alias("fors")))
     clause = F.coalesce("clause_id", F.lit(""))
     is_def, is_for = F.regexp_like(clause, F.lit(DEFINITION_CLAUSE)), F.regexp_like(F.concat(F.coalesce("paragraph", F.lit("")), clause), F.lit(FORMULA_TEXT))
-    hits = stash(_in_units(entity_hits(questions, triples, 12, with_text=True), scope, triples))
+    named = names_held(questions, triples, 12)
+    triples = _prepared(triples.withColumns({"is_def": is_def, "is_for": is_for}).join(named, "triple_id", "left").withColumn("named", F.coalesce("named", F.array().cast("array<string>"))), False)
+    scope = scope_units(questions, triples)
     columns = ["query_id", "triple_id", "head", "relation", "tail", "standard_id", "clause_id", "evidence_id"]
 
     def judge(both, shared, ask, rows):
-        defines, formula = rows["is_def"].to_numpy(bool) & bool(ask.defs), rows["is_for"].to_numpy(bool) & bool(ask.fors)
-        scores = 2.2 * (both / max(len(ask.tokens), 1)) + 0.35 * defines + 0.45 * formula
-        return scores, (both > 0) | defines | formula, np.zeros(len(both), bool)
+        defines, formula, place = rows["is_def"].to_numpy(bool) & bool(ask.defs), rows["is_for"].to_numpy(bool) & bool(ask.fors), rows["place"].to_numpy()
+        scores = 2.2 * (both / max(len(ask.tokens), 1)) + 0.8 * np.where(place >= 0, 1.0 - 0.05 * place, 0.0) + 0.35 * defines + 0.45 * formula
+        return scores, (both > 0) | (place >= 0) | defines | formula, np.zeros(len(both), bool)
 
-    asks = scope.join(asked, "query_id").select(F.col("query_id").alias("id"), F.col("unit").alias("scope"), "tokens", "defs", "fors", F.lit(pool).alias("most"))
-    rows = triples.select(F.col("triple_id").alias("id"), F.col("unit").alias("scope"), F.col("held").alias("tokens"), "apart", is_def.alias("is_def"), is_for.alias("is_for"))
-    judged = best_in_units(asks, rows, judge).select("query_id", "triple_id", "both").join(hits, ["query_id", "triple_id"], "left_anti").withColumn("place", F.lit(None).cast("int"))
+    asks = stash(scope.join(asked, "query_id").select(F.col("query_id").alias("id"), F.col("unit").alias("scope"), "tokens", "names", "defs", "fors", F.lit(pool).alias("most")))
+    rows = triples.select(F.col("triple_id").alias("id"), F.col("unit").alias("scope"), F.col("held").alias("tokens"), "apart", "named", "is_def", "is_for")
+    judged = stash(best_in_units(asks, rows, judge).select("query_id", "triple_id", "both", F.when(F.col("place") >= 0, F.col("place")).alias("place")))
 
     def scored(pairs: DataFrame) -> DataFrame:
         """``columns`` and score of pairs with ``place`` and ``both``."""
-        of = pairs.join(asked.select("query_id", F.size("tokens").alias("n"), "defs", "fors"), "query_id").join(triples, "triple_id")
+        of = pairs.join(asked.select("query_id", F.size("tokens").alias("n"), "defs", "fors"), "query_id").join(_of_ids(triples.select(*columns[1:], "is_def", "is_for"), pairs), "triple_id")
         value = 2.2 * (F.col("both") / F.greatest("n", F.lit(1))) + 0.8 * F.coalesce(1.0 - 0.05 * F.col("place"), F.lit(0.0))
-        value = value + F.when(F.col("defs") & is_def, 0.35).otherwise(0.0) + F.when(F.col("fors") & is_for, 0.45).otherwise(0.0)
+        value = value + F.when(F.col("defs") & F.col("is_def"), 0.35).otherwise(0.0) + F.when(F.col("fors") & F.col("is_for"), 0.45).otherwise(0.0)
         return of.select(*columns, F.round(value, 9).alias("score"))
 
-    counted = lambda pairs: pairs.join(asked.select("query_id", "tokens"), "query_id").join(triples.select("triple_id", "held"), "triple_id").select("query_id", "triple_id", "place", _shared("tokens", "held").alias("both"))
-    good = scored(counted(hits).unionByName(judged.select("query_id", "triple_id", "place", "both")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "triple_id")
-    best = stash(good.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= pool))
-    around = _touching(best.where("_i <= 40"), scope, asked, triples, two_hops).join(hits, ["query_id", "triple_id"], "left")
-    extra = scored(counted(around)).withColumn("score", F.round(F.col("score") + 0.15, 9))
+    best = stash(scored(judged).withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= pool))
+    edges = triples.select(F.col("triple_id").alias("id"), F.col("unit").alias("scope"), F.col("held").alias("tokens"), "apart", "head", "relation", "tail")
+    around = stash(_touching(best.where("_i <= 40"), asks, edges, two_hops))
+    first = F.array_min(F.transform("names", lambda x, i: F.when(F.array_contains("named", x), i)))
+    placed = around.join(asked.select("query_id", "names"), "query_id").join(_of_ids(triples.select("triple_id", "named"), around), "triple_id").select("query_id", "triple_id", first.alias("place"), "both")
+    extra = scored(placed).withColumn("score", F.round(F.col("score") + 0.15, 9))
     union = best.select(*columns, "score", F.lit(0).alias("_o")).unionByName(extra.withColumn("_o", F.lit(1)))
     key = F.coalesce(text.blank_to_null(F.col("evidence_id").cast("string")), F.concat_ws("::", F.coalesce("standard_id", F.lit("")), clause, "head"))
     by_key = Window.partitionBy("query_id", key).orderBy(F.desc("score"), "_o", "triple_id")

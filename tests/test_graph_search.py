@@ -113,3 +113,50 @@ def test_nothing_to_ask(spark):
     q = spark.createDataFrame([(1, None, "single", ["x"])], "query_id long, text string, kind string, names array<string>")
     assert triples.rank_triples(q, t).count() == 0
     assert triples.community_search(q, t).count() == 0
+
+
+def plain_community(rows, ask, most=40, pool=50, two_hops=30):
+    """Ranked (triple_id, score) of the neighbourhood of a question by reading every triple; rows are evidence of their own."""
+    _, text, _, names, named = ask
+    asked, scope = tokens(text), [r for r in rows if r[8][0] in {n for n, _ in named}]
+    place = lambda r: next((k for k, name in enumerate(names[:12]) if any(name in (x or "") for x in (r[1], r[3], r[4]))), None)
+    score = lambda r: round(2.2 * len(asked & tokens(r[1], r[3], r[4])) / max(len(asked), 1) + (0.8 * (1 - 0.05 * place(r)) if place(r) is not None else 0), 9)
+    best = sorted(((score(r), r) for r in scope if place(r) is not None or asked & tokens(r[1], r[3], r[4])), key=lambda x: (-x[0], x[1][0]))[:pool]
+    nodes, known, firsts = {x for _, r in best[:40] for x in (r[1], r[3])}, {r[1:4] for _, r in best[:40] if r[2] is not None}, {}
+    for r in scope:
+        if (r[1] in nodes or r[3] in nodes) and r[1:4] not in known and asked & tokens(r[1], r[3], r[4]):
+            firsts.setdefault(r[1:4], r)
+    more = sorted(firsts.values())[:two_hops] if firsts else []
+    union = {}
+    for value, order, r in [*((s, 0, r) for s, r in best), *((round(score(r) + 0.15, 9), 1, r) for r in more)]:
+        union[r[0]] = min(union.get(r[0], (0, 9, 0)), (-value, order, r[0]))
+    return [(i, -s) for s, _, i in sorted(union.values())][:most]
+
+
+@pytest.mark.parametrize("small_blocks", [False, True])
+def test_community_search(spark, monkeypatch, small_blocks):
+    rows, asks = data(5)
+    asks = [(*a[:3], ["valve", *a[3]], a[4]) for a in asks]
+    t = spark.createDataFrame([(*r[:8], "1.1", str(r[0])) for r in rows], "triple_id long, head string, relation string, tail string, paragraph string, source string, confidence double, standard_id string, clause_id string, evidence_id string")
+    q = spark.createDataFrame([a[:4] for a in asks], "query_id long, text string, kind string, names array<string>")
+    if small_blocks:
+        once = triples.best_in_units
+        monkeypatch.setattr(triples, "best_in_units", lambda asks, rows, judge: once(asks, rows, judge, row_block=16, query_block=2))
+    got = {}
+    for r in triples.community_search(q, t).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["triple_id"], r["score"]))
+    for ask in asks:
+        want = plain_community(rows, ask)
+        assert [g[0] for g in got.get(ask[0], [])] == [w[0] for w in want], ask
+        assert np.allclose([g[1] for g in got.get(ask[0], [])], [w[1] for w in want])
+
+
+def test_a_name_of_all_triples_makes_no_pairs(spark, monkeypatch):
+    n, m = 600, 12
+    t = spark.range(n).selectExpr("id as triple_id", "concat('a', id) as head", "'has' as relation", "'b' as tail", "'The valve' as paragraph", "'GB_T 7000-2003.md' as source", "cast(0.5 as double) as confidence", "'GB/T 7000-2003' as standard_id", "'1.1' as clause_id", "cast(id as string) as evidence_id")
+    q = spark.createDataFrame([(i, "GB/T 7000-2003 x", "single", ["The"]) for i in range(m)], "query_id long, text string, kind string, names array<string>")
+    written, keep = [], triples.stash
+    monkeypatch.setattr(triples, "stash", lambda df: (out := keep(df), written.append(out.count()))[0])
+    found = triples.community_search(q, t).groupBy("query_id").count().collect()
+    assert len(found) == m and {r["count"] for r in found} == {40}
+    assert max(written) <= 50 * m < n * m
