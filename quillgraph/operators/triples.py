@@ -74,7 +74,7 @@ def names_held(questions: DataFrame, triples: DataFrame, most: int) -> DataFrame
     """
     names = questions.select(F.explode(F.slice("names", 1, most)).alias("name")).where("name <> ''").distinct()
     sides = triples.select("triple_id", F.explode(F.array("head", "tail", "paragraph")).alias("hay")).where("hay is not null").select("triple_id", "hay", F.xxhash64("hay").alias("hid"))
-    hays = sides.select("hid", "hay").distinct()  # each text once
+    hays = stash(sides.select("hid", "hay").distinct())  # each text once
     of_hay = contained(names.select(F.col("name").alias("nid"), F.col("name").alias("needle")), hays).groupBy("hid").agg(F.collect_set("nid").alias("found"))
     return sides.select("triple_id", "hid").join(of_hay, "hid").groupBy("triple_id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("named"))
 
@@ -350,6 +350,11 @@ def _lexical(tokens: Column, *parts: Column) -> Column:
     return F.size(F.array_intersect(tokens, of)) / F.greatest(F.size(tokens), F.lit(1))
 
 
+def texts_of(corpus: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``corpus`` that were found (query_id, doc_id, written before); where those are few, other texts drop out before any shuffle."""
+    return corpus.join(small(found.select("doc_id").distinct()), "doc_id", "left_semi")
+
+
 def rank_text_units(questions: DataFrame, units: DataFrame) -> DataFrame:
     """``query_id``, ``doc_id``, ``score``, ``rank`` of the units of each question (query_id, doc_id, text, clause_id): the share of tokens, 0.4 for a definition and 0.5 for a formula where they are asked for."""
     c = F.coalesce(F.col("_q"), F.lit(""))
@@ -364,9 +369,17 @@ def rank_text_units(questions: DataFrame, units: DataFrame) -> DataFrame:
 
 def graph_triples(questions: DataFrame, relations: DataFrame, units: DataFrame) -> DataFrame:
     """``query_id``, ``head``, ``relation``, ``tail``, ``source``, ``confidence``, ``rank``: relations that hold one of ten names; for a question without any, units that hold one (``appears_in``, 0.8)."""
-    hits = entity_hits(questions, relations, 10).select("query_id", "triple_id").join(relations, "triple_id")
-    own = hits.select("query_id", "triple_id", "head", "relation", "tail", "source", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
-    none = questions.join(own.select("query_id").distinct(), "query_id", "left_anti")
+    names = questions.select("query_id", F.explode(F.slice("names", 1, 10)).alias("name")).where("name <> ''").distinct()
+    relations = relations.select("triple_id", "head", "relation", "tail", "source", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    sides = relations.select("triple_id", "confidence", F.explode(F.array("head", "tail")).alias("hay")).where("hay is not null").withColumn("hid", F.xxhash64("hay"))
+    found = contained(names.select(F.col("name").alias("nid"), F.col("name").alias("needle")), stash(sides.select("hid", "hay").distinct()))
+    # a question's best are among the best of its names, so no table of questions by relations is made
+    of_name = Window.partitionBy("name").orderBy(F.desc("confidence"), "triple_id")
+    best = found.withColumnRenamed("nid", "name").join(sides.select("hid", "triple_id", "confidence"), "hid").select("name", "triple_id", "confidence").distinct()
+    best = best.withColumn("_i", F.row_number().over(of_name)).where(F.col("_i") <= max(GRAPH_CAPS.values())).select("name", "triple_id")
+    hits = stash(names.join(best, "name").select("query_id", "triple_id").distinct())
+    own = hits.join(_of_ids(relations, hits), "triple_id").select("query_id", "triple_id", "head", "relation", "tail", "source", "confidence")
+    none = questions.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     names = none.select("query_id", F.posexplode(F.slice("names", 1, 10)).alias("place", "name")).where("name <> ''")
     inside = contained(names.select(F.col("name").alias("nid"), F.col("name").alias("needle")), units.select(F.col("doc_id").alias("hid"), F.col("text").alias("hay")))
     pseudo = names.join(inside.withColumnRenamed("nid", "name"), "name").join(units.select(F.col("doc_id").alias("hid"), "title"), "hid")

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from quillgraph.operators import triples
+from quillgraph.operators import containment, triples
 
 WORDS = "valve seal gasket flange rotor pump filter sensor cable housing".split()
 RELATIONS = ["has_part", "requires", "odd", "", None]
@@ -159,4 +159,36 @@ def test_a_name_of_all_triples_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(triples, "stash", lambda df: (out := keep(df), written.append(out.count()))[0])
     found = triples.community_search(q, t).groupBy("query_id").count().collect()
     assert len(found) == m and {r["count"] for r in found} == {40}
-    assert max(written) <= 50 * m < n * m
+    assert max(written) <= n + 50 * m < n * m  # texts, and 50 a question; not the pairs
+
+
+def test_contained_reads_texts_where_they_lie(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda most: "".join(rng.choices("abcé标𝔸 ", k=rng.randint(0, most)))
+    hays, needles = [(i, word(30)) for i in range(300)] + [(300, None)], [(f"n{i}", word(7)) for i in range(60)] + [("none", None)]
+    h, d = spark.createDataFrame(hays, "hid long, hay string"), spark.createDataFrame(needles, "nid string, needle string")
+    want = {(i, j) for i, x in needles for j, y in hays if x and y and x in y}
+    written, keep = [], containment.stash
+    monkeypatch.setattr(containment, "stash", lambda df: (out := keep(df), written.append(out.count()))[0])
+    found = containment.contained(d, h)
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len({len(x or "") for _, x in needles}) > 5
+    # no rows of grams are written or shuffled, and texts aren't joined
+    assert max(written) <= len(needles) and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, containment.contained(d, h, most_bytes=100).collect())) == sorted(want)
+
+
+def test_graph_triples_keeps_the_best_of_a_name(spark, monkeypatch):
+    n, m = 400, 12
+    t = spark.range(n).selectExpr("id as triple_id", "concat('The valve ', id) as head", "'has' as relation", "'b' as tail", "'f.md' as source", "case when id % 7 = 0 then null else id % 5 / 10 end as confidence")
+    t = t.withColumn("confidence", t["confidence"].cast("double"))
+    q = spark.createDataFrame([(i, "x", "single", ["The", "valve"] if i else ["pump"]) for i in range(m)], "query_id long, text string, kind string, names array<string>")
+    units = spark.createDataFrame([(1, "a pump", "one"), (2, "a valve", "two")], "doc_id long, text string, title string")
+    written, keep = [], triples.stash
+    monkeypatch.setattr(triples, "stash", lambda df: (out := keep(df), written.append((out.columns, out.count())))[0])
+    got = triples.graph_triples(q, t, units).orderBy("query_id", "rank").collect()
+    confidence = lambda i: 1.0 if i % 7 == 0 else i % 5 / 10
+    best = sorted(range(n), key=lambda i: (-confidence(i), i))[:20]
+    assert [(r["relation"], r["tail"]) for r in got if r["query_id"] == 0] == [("appears_in", "one")]
+    for i in range(1, m):
+        assert [r["head"] for r in got if r["query_id"] == i] == [f"The valve {b}" for b in best]
+    assert 0 < sum(k for columns, k in written if columns == ["query_id", "triple_id"]) <= 2 * 20 * m < n * m  # not all that hold the name
