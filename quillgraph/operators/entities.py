@@ -75,11 +75,11 @@ def relations_of(relations: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.select("query_id", "name").distinct().join(ends, "name").select("query_id", "triple_id").distinct().join(relations, "triple_id")
 
 
-def units_of(units: DataFrame, asked: DataFrame) -> DataFrame:
-    """Text units (doc_id, text, names) that hold an asked name in their text or among their entities: ``query_id``, ``doc_id``."""
+def units_of(units: DataFrame, asked: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Text units (doc_id, text, names) that hold an asked name in their text or among their entities: ``query_id``, ``doc_id``. ``listed`` (name, doc_id) may stand for ``names``."""
     wanted = asked.select("query_id", "name").distinct()
     inside = contained(wanted.select(F.col("name").alias("nid"), F.col("name").alias("needle")), units.select(F.col("doc_id").alias("hid"), F.col("text").alias("hay"))).select(F.col("nid").alias("name"), F.col("hid").alias("doc_id"))
-    listed = units.select(F.explode("names").alias("name"), "doc_id")
+    listed = units.select(F.explode("names").alias("name"), "doc_id") if listed is None else listed.select("name", "doc_id")
     return wanted.join(inside.unionByName(listed).distinct(), "name").select("query_id", "doc_id").distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import entities, graph, triples
+from ..operators.identity import small
 from ..sources.files import stash
 from .catalogue import _ENT, _PLACES, _entities, _places
 from .registry import query, t
@@ -136,14 +137,17 @@ al AS (SELECT query_id, 'e' AS w FROM en UNION ALL SELECT query_id, 'r' FROM rl
 SELECT qs.query_id, count(*) FILTER (w = 'e') AS entities, count(*) FILTER (w = 'r') AS relations, count(*) FILTER (w = 'u') AS units, count(*) FILTER (w = 'c') AS communities FROM qs LEFT JOIN al USING (query_id) GROUP BY qs.query_id""")
 def graph_lookups(spark, sf):
     """How many entities, relations, text units and communities the first names of each question have."""
-    asked = _named_questions(spark, sf).select("query_id", F.explode(F.slice("names", 1, 3)).alias("name"))
-    names = _entities(spark, sf)
-    units = t(spark, sf, "documents").select("doc_id", "text").join(names.select("doc_id", "names"), "doc_id")
-    members = names.select(_number(F.col("source")).alias("community_id"), F.explode("names").alias("node")).distinct()
+    asked = stash(_named_questions(spark, sf).select("query_id", F.explode(F.slice("names", 1, 3)).alias("name")))
+    names = stash(_entities(spark, sf))  # names are cut once for all parts
+    wanted = small(asked.select("name").distinct())
+    mentions = stash(names.select("doc_id", "source", F.explode("names").alias("name")).join(wanted, "name", "left_semi"))
+    members = mentions.select(_number(F.col("source")).alias("community_id"), F.col("name").alias("node")).distinct()
     listed = members.select("community_id", F.array("node").alias("nodes"))  # a row for each member: no list grows with a community
+    edges = names.select("doc_id", F.get("names", 0).alias("head"), F.posexplode(F.slice("names", 2, 11)).alias("p", "tail")).select((F.col("doc_id") * 16 + F.col("p") + 2).alias("triple_id"), "head", "tail")
+    ends = [edges.join(wanted.select(F.col("name").alias(c)), c, "left_semi") for c in ("head", "tail")]
     parts = {
-        "entities": entities.entities_named(_dictionary(spark, sf), asked), "relations": entities.relations_of(_triples(spark, sf), asked),
-        "units": entities.units_of(units, asked), "communities": entities.communities_of(listed, asked),
+        "entities": entities.entities_named(mentions.select("name").distinct(), asked), "relations": entities.relations_of(stash(ends[0].unionByName(ends[1]).distinct()), asked),
+        "units": entities.units_of(t(spark, sf, "documents").select("doc_id", "text"), asked, mentions), "communities": entities.communities_of(listed, asked),
     }
     out = _questions(spark, sf).select("query_id")
     for name, rows in parts.items():
