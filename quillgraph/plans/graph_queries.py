@@ -94,8 +94,8 @@ def community_reports(spark, sf):
 @query(_COMMUNITY + f", us AS (SELECT DISTINCT query_id, doc_id FROM cm), ut AS (SELECT query_id, doc_id, round({_LEX.format(c='cp.text')} / greatest(len(q), 1), 9) AS score FROM us JOIN cp USING (doc_id) JOIN tk USING (query_id)) SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM ut")
 def community_units(spark, sf):
     """Texts of the triples that a community search found, by the words they share with the question."""
-    found = triples.community_search(_named_questions(spark, sf), _triples(spark, sf)).select("query_id", F.col("evidence_id").cast("long").alias("doc_id")).distinct()
-    ranked = triples.rank_text_units(_questions(spark, sf), found.join(_corpus(spark, sf), "doc_id"))
+    found = stash(triples.community_search(_named_questions(spark, sf), _triples(spark, sf)).select("query_id", F.col("evidence_id").cast("long").alias("doc_id")).distinct())
+    ranked = triples.rank_text_units(_questions(spark, sf), found.join(triples.texts_of(_corpus(spark, sf), found), "doc_id"))
     return ranked.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

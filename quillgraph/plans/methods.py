@@ -62,8 +62,8 @@ def hybrid(questions: DataFrame, corpus: DataFrame, k: int = 20, **options) -> D
 @method
 def community(questions: DataFrame, corpus: DataFrame, k: int = 20, triples_: DataFrame | None = None, **_) -> DataFrame:
     """Search in the communities of a question: the texts of their triples, by shared words."""
-    found = triples.community_search(questions, triples_).where("evidence_id is not null").select("query_id", F.col("evidence_id").cast(corpus.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    return triples.rank_text_units(questions, found.join(corpus.select("doc_id", "text", "clause_id"), "doc_id")).where(F.col("rank") <= k).select(*COLUMNS)
+    found = stash(triples.community_search(questions, triples_).where("evidence_id is not null").select("query_id", F.col("evidence_id").cast(corpus.schema["doc_id"].dataType).alias("doc_id")).distinct())
+    return triples.rank_text_units(questions, found.join(triples.texts_of(corpus.select("doc_id", "text", "clause_id"), found), "doc_id")).where(F.col("rank") <= k).select(*COLUMNS)
 
 
 def _graph_texts(questions: DataFrame, corpus: DataFrame, triples_: DataFrame) -> DataFrame:
